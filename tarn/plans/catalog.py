@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import conversation_queries, ledger_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "turns"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
