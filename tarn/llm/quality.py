@@ -71,10 +71,11 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def ordered_rules(df: DataFrame, rules: dict[str, Column], fraction: float = 0.01, rows: int = 1000, seed: int = 7) -> list[tuple[str, float, float]]:
+def ordered_rules(df: DataFrame, rules: dict[str, Column], text: str = "text", fraction: float = 0.01, rows: int = 1000, seed: int = 7) -> list[tuple[str, float, float]]:
     """(rule, cost in seconds, share rejected) on a sample of at most ``rows`` rows (a documented bound: only the
-    order of evaluation depends on it), by rejection per cost, then name. ``df`` has the features already."""
-    sample = saved(df.sample(fraction=fraction, seed=seed).limit(rows), "rule-sample")
+    order of evaluation depends on it), by rejection per cost, then name. The sample is drawn before its features
+    are computed."""
+    sample = saved(base_features(df.sample(fraction=fraction, seed=seed).limit(rows), text), "rule-sample")
     n = max(1, sample.count())
     found = []
     for name, rule in rules.items():
@@ -101,7 +102,7 @@ def judge(df: DataFrame, text: str = "text", fraction: float = 0.01) -> DataFram
     full = base_features(df, text)
     rules = default_rules(text)
     base = (F.col(PREFIX + "n_words") < 10) | (100 * F.col(PREFIX + "n_repeat_words") > 20 * F.col(PREFIX + "n_words"))
-    order = [name for name, _, _ in ordered_rules(full, rules, fraction)]
+    order = [name for name, _, _ in ordered_rules(df, rules, text, fraction)]
     return full.withColumn("base_failed", base).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules, order))).drop("_w")
 
 
