@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space between words in every contract here: space and the controls 9 to 13.
@@ -37,6 +37,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_with_mark(df: DataFrame, name: str, *columns: str) -> tuple[DataFrame, int, object]:
+    """As :func:`saved`, with the number of rows and a sum of the rows' hashes, both observed while writing."""
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*(columns or df.columns)).cast("decimal(38,0)")).alias("mark"))
+    out = saved(watched, name)
+    return out, seen.get["n"], seen.get["mark"]
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a :func:`saved` table that is no longer needed."""
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
@@ -56,9 +64,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     exceeds the number of distinct links plus nodes. Null ends are ignored; an empty table gives an empty table.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    edges, n, mark = saved_with_mark(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = n, mark
+    while n:
         # large star: every larger neighbour of u goes to u's smallest neighbour (or u itself)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -66,13 +74,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every smaller neighbour of u, and u, go to u's smallest neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = saved(small, "edges")
-        # unchanged when the sum of the edges' fingerprints is
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = new
-        if mark == before:
+        edges, n, mark = saved_with_mark(small, "edges")
+        if (n, mark) == before:
             break
-        before = mark
+        before = n, mark
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -144,4 +149,4 @@ def salted_join_sizes(pairs: DataFrame, key: str, rows: int) -> DataFrame:
     return pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n_salts"))
 
 
-__all__ = ["LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "scratch_path", "shared_dir", "table", "union_all", "windows"]
+__all__ = ["LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "saved_with_mark", "scratch_path", "shared_dir", "table", "union_all", "windows"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, union_all
+from .common import saved, saved_with_mark, union_all
 
 #: Rows of one leader's group that one task verifies.
 GROUP = 500
@@ -48,10 +48,10 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
 def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
     """Links (a, b) with ``similar`` true. keys: id, band int, key long, more array<long>, as
     :func:`shared_buckets` leaves them; items: id, blob."""
-    kind, active = dict(keys.dtypes)["id"], keys
+    kind, active, left = dict(keys.dtypes)["id"], keys, 1
     seen: list[DataFrame] = []
     turn = 0
-    while not active.isEmpty():
+    while left:
         if turn >= 2:
             active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.pmod(F.lit(turn), F.greatest(F.size("more"), F.lit(1)))), F.lit(0))))
         first = active.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", F.pmod("band", F.lit(3))).alias("p"), "id")).alias("l"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("l.id").alias("leader"))
@@ -61,8 +61,7 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
             pairs = pairs.join(union_all(seen), ["a", "b"], "left_anti")
         seen.append(saved(verified(pairs, items, similar, kind), "verified"))
         ok = union_all(seen).where("ok").select(F.col("a").alias("id"), F.col("b").alias("leader"))
-        active = saved(met.join(ok, ["id", "leader"], "left_anti").select("id", "band", "key", "more"), "buckets")
+        rest = met.join(ok, ["id", "leader"], "left_anti").select("id", "band", "key", "more")
+        active, left, _ = saved_with_mark(rest, "buckets", "id", "key")
         turn += 1
-    if not seen:
-        return active.select(F.col("id").alias("a"), F.col("id").alias("b"))
     return union_all(seen).where("ok").select("a", "b")

@@ -246,11 +246,11 @@ def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     """The packed sequences themselves: sequence_id, input_ids array<int>, document of each token array<long>.
     A group holds at most ``capacity`` tokens. The ids of doc_id, start and crc join once for repeated rows."""
     kept = saved(encode_documents(docs, tokenizer, capacity, end_id, with_ids=True), "ids")
-    same = Window.partitionBy("doc_id", "start", "length", "ids_crc32").orderBy(F.lit(1))
-    texts = kept.withColumn("copy", F.row_number().over(same)).select("doc_id", "start", "length", "ids_crc32", "copy", "ids")
-    placed = place_pieces(kept.drop("ids"), capacity).withColumn("copy", F.row_number().over(same))
-    on = [texts[c].eqNullSafe(placed[c]) for c in ("doc_id", "start", "length", "ids_crc32", "copy")]
-    both = placed.join(texts, on).select(placed["sequence_id"], placed["offset"], placed["doc_id"], texts["ids"])
+    keys = ["doc_id", "start", "length", "ids_crc32"]
+    same = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    texts = kept.withColumn("copy", same).select(*[F.col(c).alias(f"_{c}") for c in [*keys, "copy"]], F.col("ids").alias("_ids"))
+    placed = place_pieces(kept.drop("ids"), capacity).withColumn("copy", same)
+    both = placed.join(texts, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "copy"]]).select("sequence_id", "offset", "doc_id", F.col("_ids").alias("ids"))
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("offset")
