@@ -1,9 +1,10 @@
 """Links between items that share a bucket, without all pairs of a bucket.
 
-In each round every bucket names a leader and its other items are verified against that leader alone. Items that
-the leader does not match stay in the bucket for the next round, until no bucket has two. The leader differs
-between three classes of bands, so an item that matches another one but not the common leader meets it elsewhere.
-From the third round on buckets are split by further sketch values, so that unlike items part quickly.
+In each round every bucket names a leader, its most central item, and the others are verified against it alone.
+Items that it does not match stay in the bucket for the next round, until no bucket has any left. Between items as
+central the leader differs in three classes of bands, so that an item that matches another one but not the common
+leader meets it elsewhere. From the third round on few items are left: buckets are split by further sketch values and
+name twice as many leaders each round, so that the rounds end soon, however many unlike items a bucket holds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, saved_with_mark, union_all
@@ -40,13 +41,30 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose bucket holds two items or more, saved."""
-    more = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return saved(keys.join(more, ["band", "key"], "left_semi").select("id", "band", "key", "more"), "buckets")
+    """The rows of ``keys`` whose bucket holds two items or more, saved, with central: how many rows the item's buckets
+    hold together. A text and its edited copies share more buckets with it than with each other, so it is their most
+    central one."""
+    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = saved(keys.join(sizes, ["band", "key"]).select("id", "band", "key", "more", "n"), "buckets")
+    central = rows.groupBy("id").agg(F.sum("n").alias("central"))
+    return saved(rows.drop("n").join(central, "id"), "buckets")
+
+
+def _leaders(active: DataFrame, most: int) -> DataFrame:
+    """(band, key, leader, rank): the ``most`` most central items of each bucket that holds two or more."""
+    first = F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.pmod("band", F.lit(3))).alias("p"), "id")
+    if most == 1:
+        best = active.groupBy("band", "key").agg(F.min(first).alias("l"), F.count("*").alias("n")).where("n > 1")
+        return best.select("band", "key", F.col("l.id").alias("leader"), F.lit(1).alias("rank"))
+    # ranked in parts first, so that a large bucket is no single sort
+    part = active.select("band", "key", "id", first.alias("o"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("part"))
+    few = part.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key", "part").orderBy("o"))).where(F.col("rank") <= most)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("o"))).where(F.col("rank") <= most)
+    return ranked.select("band", "key", F.col("id").alias("leader"), "rank")
 
 
 def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Links (a, b) with ``similar`` true. keys: id, band int, key long, more array<long>, as
+    """Links (a, b) with ``similar`` true. keys: id, band int, key long, more array<long>, central, as
     :func:`shared_buckets` leaves them; items: id, blob."""
     kind, active, left = dict(keys.dtypes)["id"], keys, 1
     seen: list[DataFrame] = []
@@ -54,14 +72,21 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
     while left:
         if turn >= 2:
             active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.pmod(F.lit(turn), F.greatest(F.size("more"), F.lit(1)))), F.lit(0))))
-        first = active.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", F.pmod("band", F.lit(3))).alias("p"), "id")).alias("l"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("l.id").alias("leader"))
-        met = active.join(first, ["band", "key"]).where("id <> leader")
+        leaders = _leaders(active, 1 if turn < 2 else 2 ** (turn - 1))
+        met = active.join(leaders, ["band", "key"])
+        own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
+        if turn < 2:
+            met = met.where("id <> leader")
+        else:  # two leaders meet once
+            met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")
         pairs = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         if seen:
-            pairs = pairs.join(union_all(seen), ["a", "b"], "left_anti")
+            known = union_all(seen)
+            pairs = pairs.join(known.select("a", "b").union(known.select("b", "a")), ["a", "b"], "left_anti")
         seen.append(saved(verified(pairs, items, similar, kind), "verified"))
         ok = union_all(seen).where("ok").select(F.col("a").alias("id"), F.col("b").alias("leader"))
-        rest = met.join(ok, ["id", "leader"], "left_anti").select("id", "band", "key", "more")
+        done = met.join(ok, ["id", "leader"], "left_semi").select("band", "key", "id").union(own.select("band", "key", "id")).distinct()
+        rest = active.join(done, ["band", "key", "id"], "left_anti").join(leaders.select("band", "key").distinct(), ["band", "key"], "left_semi")
         active, left, _ = saved_with_mark(rest, "buckets", "id", "key")
         turn += 1
     return union_all(seen).where("ok").select("a", "b")

@@ -453,6 +453,18 @@ def test_band_alignment_equals_edit_distance():
             assert neardup.within(a, b, most) == (d <= most)
 
 
+def test_similarity_equals_edit_distance():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        a = rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint32)
+        b = a.copy()
+        for _ in range(rng.integers(0, 9)):
+            at = rng.integers(0, len(b) + 1)
+            b = [np.delete(b, min(at, len(b) - 1)) if len(b) > 1 else b, np.insert(b, at, 7), np.concatenate((b[:at], [99], b[at + 1 :]))][rng.integers(3)].astype(np.uint32)
+        n = max(len(a), len(b))
+        assert neardup.similar(a.tobytes(), b.tobytes()) == (edit_distance(a.tolist(), b.tolist()) <= int(0.2 * n + 1e-9))
+
+
 def test_near_duplicates_against_brute_force(spark, docs, texts):
     words = {k: SPACE.findall(v) for k, v in texts.items()}
     rows = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
