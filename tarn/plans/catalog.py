@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, conversation_queries, ledger_queries, spatial_queries, stream_queries  # noqa: F401
+from . import catalog_queries, conversation_queries, ledger_queries, review_queries, spatial_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "turns"
