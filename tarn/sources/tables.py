@@ -30,8 +30,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows as file and line)."""
     full = StructType([*schema.fields, StructField("_bad", StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
-    return rows.where("_bad is null").drop("_bad", "_file"), rows.where("_bad is not null").select(F.col("_file").alias("file"), F.col("_bad").alias("line"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    rows = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows.where("r._bad is null").select("r.*").drop("_bad"), rows.where("r._bad is not null").select("file", F.col("value").alias("line"))
 
 
 def repair_jsonl(lines: DataFrame, file: str = "file", order: str = "line_no", value: str = "value") -> DataFrame:
