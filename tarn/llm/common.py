@@ -45,11 +45,10 @@ def saved_with_mark(df: DataFrame, name: str, *columns: str) -> tuple[DataFrame,
     return out, seen.get["n"], seen.get["mark"]
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a :func:`saved` table that is no longer needed."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch files that is no longer needed."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,20 +63,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     exceeds the number of distinct links plus nodes. Null ends are ignored; an empty table gives an empty table.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges, n, mark = saved_with_mark(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = n, mark
+    edges, n, _ = saved_with_mark(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while n:
+        # done when no node points to two others, nor to one that points on
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("to")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("to").alias("to")).where("out > 1 or out = 1 and to = 1").isEmpty():
+            break
         # large star: every larger neighbour of u goes to u's smallest neighbour (or u itself)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: every smaller neighbour of u, and u, go to u's smallest neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges, n, mark = saved_with_mark(small, "edges")
-        if (n, mark) == before:
-            break
-        before = n, mark
+        edges, n, _ = saved_with_mark(small, "edges")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select("v", "v").distinct())
 
 

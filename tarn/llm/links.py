@@ -3,8 +3,8 @@
 In each round every bucket names a leader, its most central item, and the others are verified against it alone.
 Items that it does not match stay in the bucket for the next round, until no bucket has any left. Between items as
 central the leader differs in three classes of bands, so that an item that matches another one but not the common
-leader meets it elsewhere. From the third round on few items are left: buckets are split by further sketch values and
-name twice as many leaders each round, so that the rounds end soon, however many unlike items a bucket holds.
+leader meets it elsewhere. Each round names four times as many leaders as the one before, and from the third on buckets
+are split by further sketch values, so that the rounds end soon, however many unlike items a bucket holds.
 """
 
 from __future__ import annotations
@@ -72,10 +72,10 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
     while left:
         if turn >= 2:
             active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.pmod(F.lit(turn), F.greatest(F.size("more"), F.lit(1)))), F.lit(0))))
-        leaders = _leaders(active, 1 if turn < 2 else 2 ** (turn - 1))
+        leaders = _leaders(active, 4**turn)
         met = active.join(leaders, ["band", "key"])
         own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
-        if turn < 2:
+        if turn == 0:
             met = met.where("id <> leader")
         else:  # two leaders meet once
             met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")
@@ -86,7 +86,8 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
         seen.append(saved(verified(pairs, items, similar, kind), "verified"))
         ok = union_all(seen).where("ok").select(F.col("a").alias("id"), F.col("b").alias("leader"))
         done = met.join(ok, ["id", "leader"], "left_semi").select("band", "key", "id").union(own.select("band", "key", "id")).distinct()
-        rest = active.join(done, ["band", "key", "id"], "left_anti").join(leaders.select("band", "key").distinct(), ["band", "key"], "left_semi")
+        rest = active.join(done, ["band", "key", "id"], "left_anti")
+        rest = rest.join(rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"], "left_semi")
         active, left, _ = saved_with_mark(rest, "buckets", "id", "key")
         turn += 1
     return union_all(seen).where("ok").select("a", "b")

@@ -114,4 +114,13 @@ SELECT h.page_id, host, path, rule,
 FROM h LEFT JOIN best USING (page_id)
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op5_url_filters": _OP5}
+_OP7 = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, p, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS bits FROM h),
+d AS (SELECT page_id, strlen(p) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5*i+1] AS INT)
+        + 8 * CAST(bits[5*i+2] AS INT) + 4 * CAST(bits[5*i+3] AS INT) + 2 * CAST(bits[5*i+4] AS INT) + CAST(bits[5*i+5] AS INT)]), '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM m
+"""
+
+ORACLES = {"op3_quality_rules": _OP3, "op5_url_filters": _OP5, "op7_warc": _OP7}
