@@ -3,8 +3,8 @@
 In each round every bucket names a leader, its most central item, and the others are verified against it alone.
 Items that it does not match stay in the bucket for the next round, until no bucket has any left. Between items as
 central the leader differs in three classes of bands, so that an item that matches another one but not the common
-leader meets it elsewhere. Each round names four times as many leaders as the one before, and from the third on buckets
-are split by further sketch values, so that the rounds end soon, however many unlike items a bucket holds.
+leader meets it elsewhere. From the second round on buckets are split by one more sketch value each time, and from the
+third on they name twice as many leaders as before, so that the rounds end soon, however many unlike items a bucket holds.
 """
 
 from __future__ import annotations
@@ -70,12 +70,12 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
     seen: list[DataFrame] = []
     turn = 0
     while left:
-        if turn >= 2:
-            active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.pmod(F.lit(turn), F.greatest(F.size("more"), F.lit(1)))), F.lit(0))))
-        leaders = _leaders(active, 4**turn)
+        if turn:
+            active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.lit(turn - 1)), F.lit(0))))
+        leaders = _leaders(active, 1 if turn < 2 else 2 ** (turn - 1))
         met = active.join(leaders, ["band", "key"])
         own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
-        if turn == 0:
+        if turn < 2:
             met = met.where("id <> leader")
         else:  # two leaders meet once
             met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")

@@ -1,42 +1,75 @@
-"""The stages of the pipeline one after the other against plain Python, and the entry without them."""
+"""One run of the pipeline, its tables between the stages against plain Python; the entry's list of queries."""
+
+import re
 
 import corpus_pipeline
-from tarn.llm import decontamination, neardup, paragraphs, quality, queries
-from tarn.llm.packing import pack_documents
+from tarn.llm import packing, queries
 
 SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    w = WORD.findall(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def alike(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_each_stage_works_on_what_its_predecessor_kept(spark, monkeypatch):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
+    kept, saved = {}, corpus_pipeline.saved
+
+    def watched(df, name):
+        out = saved(df, name)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        rows = out.collect()
+        kept[name] = {r["doc_id"]: r["text"] for r in rows}
+        assert len(rows) == len(kept[name])
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "saved", watched)
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    quality, near, cut, clean = kept.values()
+
+    # rules: texts that go have few words, repeat themselves or are full of symbols, bars, capitals
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [k for k, v in labels.items() if v == 1 and len(WORD.findall(docs[k])) >= 40]
+    assert all(quality[k] == docs[k] for k in quality) and sum(k in quality for k in good) >= 0.97 * len(good)
+
+    # near copies: of those that are very alike one stays; a text that is like no other stays
+    sets = {k: shingles(v) for k, v in quality.items()}
+    for k in near:
+        assert near[k] == quality[k]
+        assert not any(j < k and alike(sets[j], sets[k]) for j in near if len(sets[j]) > 4 and len(sets[k]) > 4)
+    for k in quality.keys() - near.keys():
+        assert any(j != k and len(sets[j] & sets[k]) >= 0.2 * len(sets[j] | sets[k]) for j in quality)
+
+    # passages: no line of fifty words is left twice; other lines are untouched
+    seen = set()
+    for k in sorted(near):
+        lines = near[k].split("\n")
+        left = [x for x in lines if len(WORD.findall(x)) < 50]
+        assert [x for x in cut.get(k, "").split("\n") if len(WORD.findall(x)) < 50] == left or not "".join(left).strip()
+        for x in cut.get(k, "").split("\n"):
+            if len(WORD.findall(x)) >= 50:
+                assert x.strip() not in seen
+                seen.add(x.strip())
 
+    # leaks: documents that hold an item go, no others
+    assert clean == {k: v for k, v in cut.items() if not any(b in v for b in bench)}
 
-def test_each_stage_works_on_what_its_predecessor_kept(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, SF).localCheckpoint()
-        assert out.columns == docs.columns
-        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
-        before = {r["doc_id"]: r["text"] for r in seen.collect()}
-        after = {r["doc_id"]: r["text"] for r in out.collect()}
-        assert len(ids) == len(set(ids)) and set(ids) <= before.keys()
-        if name == "quality_rules":
-            assert set(ids) == {r["doc_id"] for r in quality.judge(seen).where("rejected_by is null").collect()}
-        if name == "near_dedup":
-            assert set(ids) == {r["class_id"] for r in neardup.near_duplicates(seen).collect()}
-        if name == "substring_dedup":
-            gone = {(r["doc_id"], r["paragraph"]) for r in paragraphs.repeated_paragraphs(seen).where("removed").collect()}
-            for k, text in before.items():
-                left = "\n".join(x for i, x in enumerate(text.split("\n")) if (k, i) not in gone)
-                assert after.get(k, "") == left or not left.strip()
-        if name == "decontamination":
-            bad = {r["doc_id"] for r in decontamination.contaminated(seen, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-            assert set(ids) == before.keys() - bad
-        seen = out
-    rows = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
-    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in seen.collect()}
-    whole = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert whole == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows}
-    assert whole == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in pack_documents(seen, queries.tokenizer_path()).collect()}
+    # packing: all that is left, whole
+    bpe = packing.ByteBpe(queries.tokenizer_path())
+    want = {k: len(x) // 4 + 1 for k, x in zip(clean, bpe.encode(list(clean.values())), strict=True)}
+    got: dict = {}
+    for r in pieces:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
 
 
 def test_all_eleven_queries_are_registered():
