@@ -108,6 +108,5 @@ def judge(df: DataFrame, text: str = "text", fraction: float = 0.01) -> DataFram
 
 def filter_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: only the documents that no rule rejects."""
-    # rand() keeps the filter above the features: pushed down, it would hold each of them many times over
-    verdict = F.when(F.rand(0) < 2, F.col("rejected_by"))
-    return judge(docs).withColumn("rejected_by", verdict).where(F.col("rejected_by").isNull()).select(*docs.columns)
+    # saved first: pushed down through the features, the filter would hold each of them many times over
+    return saved(judge(docs).select(*docs.columns, "rejected_by"), "judged").where(F.col("rejected_by").isNull()).select(*docs.columns)
