@@ -1,24 +1,26 @@
 """Links between items that share a bucket, without all pairs of a bucket.
 
-In each round every bucket names a leader, its most central item, and the others are verified against it alone.
-Items that it does not match stay in the bucket for the next round, until no bucket has any left. Between items as
-central the leader differs in three classes of bands, so that an item that matches another one but not the common
-leader meets it elsewhere. From the second round on buckets are split by one more sketch value each time, and from the
-third on they name twice as many leaders as before, so that the rounds end soon, however many unlike items a bucket holds.
+First every bucket names a leader, its most central item, and the others are verified against it alone; then up to
+four leaders for what it does not match. Between items as central the leader differs in three classes of bands. What is
+still open is resolved exactly: all pairs of a small bucket, and in a crowded one all that share a rare token of both
+(a prefix filter, which leaves out no similar pair).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, saved_with_mark, union_all
+from .common import saved, union_all
 
 #: Rows of one leader's group that one task verifies.
 GROUP = 500
+#: Leaders of a bucket in each round; then open buckets of at most FEW items are paired without a filter.
+LEADERS, FEW = (1, 4), 24
 
 
 def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], kind: str) -> DataFrame:
@@ -45,7 +47,7 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     hold together. A text and its edited copies share more buckets with it than with each other, so it is their most
     central one."""
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = saved(keys.join(sizes, ["band", "key"]).select("id", "band", "key", "more", "n"), "buckets")
+    rows = saved(keys.join(sizes, ["band", "key"]).select("id", "band", "key", "n"), "buckets")
     central = rows.groupBy("id").agg(F.sum("n").alias("central"))
     return saved(rows.drop("n").join(central, "id"), "buckets")
 
@@ -63,31 +65,68 @@ def _leaders(active: DataFrame, most: int) -> DataFrame:
     return ranked.select("band", "key", F.col("id").alias("leader"), "rank")
 
 
-def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Links (a, b) with ``similar`` true. keys: id, band int, key long, more array<long>, central, as
-    :func:`shared_buckets` leaves them; items: id, blob."""
-    kind, active, left = dict(keys.dtypes)["id"], keys, 1
+def _across(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b): the pairs of items of different roots that share a group (the columns ``on``; rows: these, id, root).
+    One side of a large group is dealt in parts, the other is sent to each of them."""
+    groups = rows.groupBy(*on).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = rows.select(*on, "id", "root").join(groups.select(*on, F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("n")), on)
+    one = rows.select(*on, F.col("id").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("part"))
+    two = rows.select(*on, F.col("id").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    return one.join(two, [*on, "part"]).where("ra < rb").select("a", "b")
+
+
+def _by_prefix(rows: DataFrame, items: DataFrame, tokens: Callable[[bytes], np.ndarray], share: float, kind: str) -> DataFrame:
+    """(a, b): of the pairs of different roots in one bucket (rows: band, key, id, root) all that can have ``share`` of
+    either's tokens in common. In any order of the tokens such a pair shares one among the first
+    n - ceil(share * n) + 1 of both; the order here is by how rare a token is in the bucket."""
+
+    def run(batches):
+        for x in batches:
+            found = [tokens(p.as_buffer().to_pybytes()).view(np.int64) for p in x.column(1)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
+
+    of = items.join(rows.select("id").distinct(), "id", "left_semi").select("id", "blob").mapInArrow(run, f"id {kind}, tokens array<long>")
+    each = rows.join(of, "id").select("band", "key", "id", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    each = saved(each, "tokens")
+    often = each.groupBy("band", "key", "token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("band", "key", "id").orderBy("often", "token")
+    head = each.join(often, ["band", "key", "token"]).withColumn("at", F.row_number().over(order))
+    head = head.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1).where("often > 1")
+    return _across(head, ["band", "key", "token"])
+
+
+def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray] | None = None, share: float = 0.0) -> DataFrame:
+    """Links (a, b) with ``similar`` true. keys: id, band int, key long, central, as :func:`shared_buckets` leaves
+    them; items: id, blob. tokens: the distinct 64-bit tokens of a blob; similar items have ``share`` of either's in
+    common. Without, all pairs that the leaders leave open are verified."""
+    kind, active = dict(keys.dtypes)["id"], keys
     seen: list[DataFrame] = []
-    turn = 0
-    while left:
-        if turn:
-            active = active.withColumn("key", F.xxhash64("key", F.coalesce(F.get("more", F.lit(turn - 1)), F.lit(0))))
-        leaders = _leaders(active, 1 if turn < 2 else 2 ** (turn - 1))
-        met = active.join(leaders, ["band", "key"])
-        own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
-        if turn < 2:
-            met = met.where("id <> leader")
-        else:  # two leaders meet once
-            met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")
-        pairs = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+
+    def verify(pairs: DataFrame) -> None:
+        pairs = pairs.distinct()
         if seen:
             known = union_all(seen)
             pairs = pairs.join(known.select("a", "b").union(known.select("b", "a")), ["a", "b"], "left_anti")
         seen.append(saved(verified(pairs, items, similar, kind), "verified"))
+
+    for most in LEADERS:
+        leaders = _leaders(active, most)
+        met = active.join(leaders, ["band", "key"])
+        own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
+        # two leaders meet once
+        met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")
+        verify(met.select(F.col("id").alias("a"), F.col("leader").alias("b")))
         ok = union_all(seen).where("ok").select(F.col("a").alias("id"), F.col("b").alias("leader"))
         done = met.join(ok, ["id", "leader"], "left_semi").select("band", "key", "id").union(own.select("band", "key", "id")).distinct()
         rest = active.join(done, ["band", "key", "id"], "left_anti")
         rest = rest.join(rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"], "left_semi")
-        active, left, _ = saved_with_mark(rest, "buckets", "id", "key")
-        turn += 1
+        active = saved(rest, "buckets")
+    rows = active.select("band", "key", "id", F.col("id").alias("root"))
+    if tokens is None:
+        verify(_across(rows, ["band", "key"]))
+    else:
+        size = rows.groupBy("band", "key").agg(F.count("*").alias("m"))
+        rows = saved(rows.join(size, ["band", "key"]), "open")
+        few = _across(rows.where(F.col("m") <= FEW).drop("m"), ["band", "key"])
+        verify(few.union(_by_prefix(rows.where(F.col("m") > FEW).drop("m"), items, tokens, share, kind)))
     return union_all(seen).where("ok").select("a", "b")

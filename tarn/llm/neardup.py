@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import Words, components, mix, saved, windows
 from .links import leader_links, shared_buckets
 
-SKETCHES, PICKED, MORE, K = 16, 3, 4, 5
-_SEEDS = np.random.default_rng(5).integers(1, 2**63, (SKETCHES + MORE, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCHES, PICKED, K = 16, 3, 5
+_SEEDS = np.random.default_rng(5).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -37,8 +37,8 @@ def label_occurrences(h: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of SKETCHES + MORE sketch values for each text with words; first: as in Words. Texts of fewer than
-    five words have one k-mer, all their words. The last MORE values pick one k-mer only."""
+    """A row of SKETCHES sketch values for each text with words; first: as in Words. Texts of fewer than
+    five words have one k-mer, all their words."""
     n = np.diff(first)
     live = np.flatnonzero(n > 0)
     grams, at = windows(words, first, K)
@@ -49,7 +49,7 @@ def order_minhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         grams, text = np.concatenate((grams, own)), np.concatenate((text, short))
         order = np.argsort(text, kind="stable")
         grams, text = grams[order], text[order]
-    out = np.zeros((len(live), SKETCHES + MORE), np.uint64)
+    out = np.zeros((len(live), SKETCHES), np.uint64)
     if not len(live):
         return out
     h = label_occurrences(grams, text)
@@ -59,7 +59,7 @@ def order_minhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         v = (h ^ b) * a
         v ^= v >> np.uint64(32)
         picked = []
-        for _ in range(PICKED if j < SKETCHES else 1):
+        for _ in range(PICKED):
             low = np.minimum.reduceat(v, begin)
             where = np.flatnonzero(v == np.repeat(low, size))
             where = where[::-1]  # the first place wins
@@ -168,6 +168,17 @@ def similar(x: bytes, y: bytes, share: float = 0.8) -> bool:
     return within(a, b, most)
 
 
+#: Share of either's pair tokens that similar texts have in common: an edit changes two of them at most.
+PAIRS = 0.6
+
+
+def pair_tokens(x: bytes) -> np.ndarray:
+    """A token for each word with the word before it (none before the first), numbered by occurrence."""
+    w = np.frombuffer(x, np.uint32).astype(np.uint64)
+    before = np.concatenate((np.zeros(1, np.uint64), w[:-1] + np.uint64(1)))
+    return label_occurrences(mix(w * np.uint64(0x9E3779B97F4A7C15) + before), np.zeros(len(w), np.int64))
+
+
 def _each(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -177,9 +188,9 @@ def _each(batches):
 
 def _sketch(batches):
     for part, words in _each(batches):
-        out = np.zeros((len(words.n), SKETCHES + MORE), np.uint64)
+        out = np.zeros((len(words.n), SKETCHES), np.uint64)
         out[words.n > 0] = order_minhash(words.hashes(), words.first)
-        ends = pa.array(np.where(words.n > 0, SKETCHES + MORE, 0).cumsum(), pa.int32())
+        ends = pa.array(np.where(words.n > 0, SKETCHES, 0).cumsum(), pa.int32())
         sketch = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), pa.array(out[words.n > 0].view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), sketch], ["doc_id", "id", "sketch"])
 
@@ -203,12 +214,12 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     keyed = keyed.withColumn("id", text_id(F.col("text")))
     rows = saved(keyed.mapInArrow(_sketch, "doc_id long, id binary, sketch array<long>"), "sketches")
     one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch")), "texts")
-    keys = one.where(F.size("sketch") > 0).select("id", F.posexplode(F.slice("sketch", 1, SKETCHES)).alias("band", "key"), F.slice("sketch", SKETCHES + 1, MORE).alias("more"))
+    keys = one.where(F.size("sketch") > 0).select("id", F.posexplode("sketch").alias("band", "key"))
     keys = shared_buckets(keys)
     wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id"), "id", "left_semi")
     texts = keyed.join(wanted, (keyed["id"] == wanted["id"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     items = saved(texts.select("id", "text").mapInArrow(_blob, "id binary, blob binary").dropDuplicates(["id"]), "words")
-    links = saved(leader_links(keys, items, similar), "links")
+    links = saved(leader_links(keys, items, similar, pair_tokens, PAIRS), "links")
     return components(links), one.select("id", "low"), rows, links
 
 

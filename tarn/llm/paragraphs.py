@@ -47,7 +47,7 @@ def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketcher(bands: int, rows: int):
-    seeds = np.random.default_rng(11).integers(1, 2**63, (bands * rows + 4, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = np.random.default_rng(11).integers(1, 2**63, (bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -55,16 +55,16 @@ def _sketcher(bands: int, rows: int):
                 part = batch.slice(at, 512)
                 grams, begin = _shingles(Words(part.column("text").to_pylist()))
                 live = np.diff(begin) > 0
-                out = np.zeros((part.num_rows, bands + 4), np.uint64)
+                out = np.zeros((part.num_rows, bands), np.uint64)
                 if live.any():
                     starts = begin[:-1][live]
                     for j, (a, b) in enumerate(seeds):
                         v = (grams ^ b) * a
                         v ^= v >> np.uint64(32)
                         low = np.minimum.reduceat(v, starts)
-                        to = j // rows if j < bands * rows else bands + j - bands * rows
+                        to = j // rows
                         out[live, to] = mix(out[live, to] * np.uint64(31) + low + np.uint64(j + 1))
-                ends = pa.array(np.arange(0, (part.num_rows + 1) * (bands + 4), bands + 4), pa.int32())
+                ends = pa.array(np.arange(0, (part.num_rows + 1) * (bands), bands), pa.int32())
                 sketch = pa.ListArray.from_arrays(ends, pa.array(out.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), sketch], ["id", "sketch"])
 
@@ -107,10 +107,10 @@ def paragraph_classes(docs: DataFrame, threshold: float = 0.8, min_words: int =
     places = saved(lines.select("doc_id", "paragraph", "id"), "paragraphs")
     sketched = lines.select("id", F.col("line").alias("text")).mapInArrow(_sketcher(bands, rows), "id binary, sketch array<long>")
     one = saved(sketched.dropDuplicates(["id"]), "sketches")
-    keys = shared_buckets(one.select("id", F.posexplode(F.slice("sketch", 1, bands)).alias("band", "key"), F.slice("sketch", bands + 1, 4).alias("more")))
+    keys = shared_buckets(one.select("id", F.posexplode("sketch").alias("band", "key")))
     wanted = keys.select("id").distinct()
     sets = saved(lines.join(wanted, "id", "left_semi").select("id", F.col("line").alias("text")).mapInArrow(_sets, "id binary, blob binary").dropDuplicates(["id"]), "shingles")
-    links = leader_links(keys, sets, lambda x, y: jaccard(x, y) >= threshold)
+    links = leader_links(keys, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), threshold)
     roots = components(links)
     counts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
     counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"))

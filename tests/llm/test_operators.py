@@ -496,3 +496,27 @@ def test_leaders_find_links_in_crowded_buckets(spark):
     found = links.leader_links(links.shared_buckets(keys), items, lambda x, y: x == y)
     got = {r["node"]: r["root"] for r in components(found).collect()}
     assert got == groups
+
+
+def test_links_in_crowded_buckets_need_no_agreeing_sketch(spark):
+    """Pairs of equal items in one bucket, of which no leader knows, whose ``more`` values all differ."""
+    keys = spark.createDataFrame([(i, 0, 5, [i, i + 1, i + 2]) for i in range(120)], "id long, band int, key long, more array<long>")
+    sets = {i: np.array([1, 2, *range(100 + 30 * (i // 2), 120 + 30 * (i // 2)), 9000 + i], np.uint64) for i in range(120)}
+    items = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "id long, blob binary")
+    alike = lambda x, y: paragraphs.jaccard(x, y) >= 0.8
+    for tokens in (None, lambda x: np.frombuffer(x, np.uint64)):
+        found = links.leader_links(links.shared_buckets(keys), items, alike, tokens, 0.8)
+        assert {tuple(sorted(r)) for r in found.collect()} == {(i, i + 1) for i in range(0, 120, 2)}
+
+
+def test_similar_texts_share_pair_tokens():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a = rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint32)
+        b = a.copy()
+        for _ in range(rng.integers(0, 9)):
+            at = rng.integers(0, len(b) + 1)
+            b = [np.delete(b, min(at, len(b) - 1)) if len(b) > 1 else b, np.insert(b, at, 7), np.concatenate((b[:at], [99], b[at + 1 :]))][rng.integers(3)].astype(np.uint32)
+        if neardup.similar(a.tobytes(), b.tobytes()):
+            both = len(np.intersect1d(neardup.pair_tokens(a.tobytes()), neardup.pair_tokens(b.tobytes())))
+            assert both >= neardup.PAIRS * max(len(a), len(b)) - 1e-6
