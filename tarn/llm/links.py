@@ -1,9 +1,10 @@
 """Links between items that share a bucket, without all pairs of a bucket.
 
 First every bucket names a leader, its most central item, and the others are verified against it alone; then up to
-four leaders for what it does not match. Between items as central the leader differs in three classes of bands. What is
-still open is resolved exactly: all pairs of a small bucket, and in a crowded one all that share a rare token of both
-(a prefix filter, which leaves out no similar pair).
+four leaders for what it does not match. Between items as central the leader differs in three classes of bands. Every
+bucket whose items, matched or not, are then not all joined by links is resolved exactly: all pairs of items that are
+not joined yet in a small bucket, and in a crowded one those of them that share a rare token of both (a prefix filter,
+which leaves out no similar pair). So the links have the same components as all similar pairs of the buckets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, union_all
+from .common import components, saved, union_all
 
 #: Rows of one leader's group that one task verifies.
 GROUP = 500
@@ -121,12 +122,14 @@ def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, by
         rest = active.join(done, ["band", "key", "id"], "left_anti")
         rest = rest.join(rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"], "left_semi")
         active = saved(rest, "buckets")
-    rows = active.select("band", "key", "id", F.col("id").alias("root"))
+    # a matched item stays a candidate for all that no link has joined to it yet
+    roots = components(union_all(seen).where("ok").select("a", "b"))
+    rows = keys.join(roots, keys["id"] == roots["node"], "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
+    parted = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = saved(rows.join(parted.select("band", "key", "m"), ["band", "key"]), "open")
     if tokens is None:
         verify(_across(rows, ["band", "key"]))
     else:
-        size = rows.groupBy("band", "key").agg(F.count("*").alias("m"))
-        rows = saved(rows.join(size, ["band", "key"]), "open")
         few = _across(rows.where(F.col("m") <= FEW).drop("m"), ["band", "key"])
         verify(few.union(_by_prefix(rows.where(F.col("m") > FEW).drop("m"), items, tokens, share, kind)))
     return union_all(seen).where("ok").select("a", "b")

@@ -237,7 +237,8 @@ def with_classes(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its group), n_links (verified links of its text).
+    """One row per document: doc_id, class_id (the smallest doc_id of its group), n_links (verified links of its text;
+    texts that are joined through others already are not compared, so this is no count of all similar texts).
 
     Groups are the connected components of verified links; equal texts are one text, and a null text is an
     empty one; texts without words have no links. Repeated rows, and null doc_ids, keep their rows; a

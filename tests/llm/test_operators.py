@@ -520,3 +520,16 @@ def test_similar_texts_share_pair_tokens():
         if neardup.similar(a.tobytes(), b.tobytes()):
             both = len(np.intersect1d(neardup.pair_tokens(a.tobytes()), neardup.pair_tokens(b.tobytes())))
             assert both >= neardup.PAIRS * max(len(a), len(b)) - 1e-6
+
+
+def test_items_that_a_leader_matches_still_meet_the_others(spark):
+    """Copies of copies: 1 ~ 2 ~ 3 in one bucket, where 1, the leader, does not match 3; and a crowded bucket of chains."""
+    keys = [(i, 0, 5, []) for i in (1, 2, 3)] + [(1, b, 6, []) for b in (1, 2)] + [(4, b, 6, []) for b in (1, 2)] + [(i, 0, 7, []) for i in range(10, 70)]
+    keys = spark.createDataFrame(keys, "id long, band int, key long, more array<long>")
+    # sets that shift by two tokens of 20 from one item to the next, chains of six
+    sets = {i: np.arange(2 * i, 2 * i + 20, dtype=np.uint64) + np.uint64(1000 * (i // 6) if i >= 10 else 0) for i in (1, 2, 3, *range(10, 70))}
+    sets[4] = np.arange(90_000, 90_020, dtype=np.uint64)
+    items = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "id long, blob binary")
+    found = links.leader_links(links.shared_buckets(keys), items, lambda x, y: paragraphs.jaccard(x, y) >= 0.8, lambda x: np.frombuffer(x, np.uint64), 0.8)
+    got = {r["node"]: r["root"] for r in components(found).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} | {i: max(10, i // 6 * 6) for i in range(10, 70)}
