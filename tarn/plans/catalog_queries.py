@@ -213,8 +213,14 @@ def cycle_nodes(spark, d):
     return G.cycle_nodes(t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst")))
 
 
-def _pairs(spark, d):
-    return t(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
+@query()
+def cycle_nodes_whole(spark, d):
+    """cycle_nodes over all orders; compared with plain Python in tests."""
+    return G.cycle_nodes(t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst")))
+
+
+def _pairs(spark, d, where="o_orderkey % 3 = 0"):
+    return t(spark, d, "orders").where(where).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
 
 
 _PAIRS = "e AS (SELECT o_custkey AS src, o_orderkey * 7 % 1000 AS dst FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS low FROM s UNION SELECT s.dst, r.low FROM r JOIN s ON s.src = r.node WHERE r.low < s.dst)"
@@ -234,10 +240,23 @@ def graph_facts(spark, d):
     return G.graph_facts(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
 
 
+@query()
+def components_whole(spark, d):
+    """components over all orders; compared with plain Python in tests."""
+    return G.components(_pairs(spark, d, "true"))
+
+
+@query()
+def graph_facts_whole(spark, d):
+    """graph_facts over all orders; compared with plain Python in tests."""
+    e = _pairs(spark, d, "true")
+    return G.graph_facts(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+
+
 @query()
 def cut_facts(spark, d):
-    """Bridges and articulation points; compared with plain Python in tests."""
-    return G.cut_facts(_pairs(spark, d))
+    """Bridges and articulation points over all orders; compared with plain Python in tests."""
+    return G.cut_facts(_pairs(spark, d, "true"))
 
 
 @query()
@@ -258,8 +277,18 @@ SELECT 'dangling' AS code, x AS id FROM (SELECT src AS x FROM e UNION SELECT dst
 UNION ALL SELECT 'atomic_with_children', node FROM n WHERE atomic AND node IN (SELECT src FROM e) UNION ALL SELECT 'composite_without_children', node FROM n WHERE NOT atomic AND node NOT IN (SELECT src FROM e)
 UNION ALL SELECT 'duplicate_name', node FROM (SELECT node, count(*) OVER (PARTITION BY lower(name)) AS k FROM n) WHERE k > 1""")
 def audit_graph(spark, d):
+    return _audit(spark, d, "o_orderkey % 5 = 0")
+
+
+@query()
+def audit_graph_whole(spark, d):
+    """audit_graph over all orders; compared with plain Python in tests."""
+    return _audit(spark, d, "true")
+
+
+def _audit(spark, d, where):
     n = t(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 90).cast("string")).alias("name"), (F.col("c_custkey") % 3 == 0).alias("atomic"))
-    return G.audit_graph(n, t(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 400).alias("dst")))
+    return G.audit_graph(n, t(spark, d, "orders").where(where).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 400).alias("dst")))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_custkey % 4 AS depth, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_nationkey, c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_custkey % 4) AS n FROM customer)

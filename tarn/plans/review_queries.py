@@ -154,6 +154,12 @@ def crossing_pairs(spark, d):
     return R.crossing_pairs(t(spark, d, "lineitem").where("l_orderkey % 20 = 0"), "l_orderkey", "l_suppkey")
 
 
+@query()
+def crossing_pairs_whole(spark, d):
+    """crossing_pairs over all lines; compared with plain Python in tests."""
+    return R.crossing_pairs(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
 @query("""WITH s AS (SELECT p_brand AS g, p_partkey AS id, p_size AS l, p_size + 1 + p_partkey % 9 AS h FROM part WHERE p_partkey % 4 = 0)
 SELECT a.g, a.id AS a, b.id AS b, 'continuous' AS relation FROM s a JOIN s b ON a.g = b.g AND a.h = b.l UNION ALL SELECT a.g, a.id, b.id, CASE WHEN a.h = b.h THEN 'duplicate' ELSE 'common_baseline' END FROM s a JOIN s b ON a.g = b.g AND a.l = b.l AND a.id < b.id
 UNION ALL SELECT a.g, a.id, b.id, 'shared_datum' FROM s a JOIN s b ON a.g = b.g AND a.h = b.h AND a.l <> b.l AND a.id < b.id""")
@@ -161,6 +167,12 @@ def dimension_chains(spark, d):
     return R.dimension_chains(t(spark, d, "part").where("p_partkey % 4 = 0").selectExpr("p_brand as g", "p_partkey as id", "p_size as low", "p_size + 1 + p_partkey % 9 as high"), "g", 1.0)
 
 
+@query()
+def dimension_chains_whole(spark, d):
+    """dimension_chains over all parts; compared with plain Python in tests."""
+    return R.dimension_chains(t(spark, d, "part").selectExpr("p_brand as g", "p_partkey as id", "p_size as low", "p_size + 1 + p_partkey % 9 as high"), "g", 1.0)
+
+
 @query("SELECT p_partkey, p_type IS NOT DISTINCT FROM 'PROMO' AND p_size % 2 = 0 AS comparable, CASE WHEN p_type <> 'PROMO' THEN 'other_number' WHEN p_size % 2 = 1 THEN 'other_sheet' ELSE 'same' END AS reason FROM part")
 def comparable_headers(spark, d):
     p = t(spark, d, "part")

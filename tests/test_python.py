@@ -167,3 +167,58 @@ def test_columns_on_odd_values(spark):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns
+
+
+def test_graph_queries_read_whole_tables(spark, duck):
+    orders = duck.execute("select o_custkey, o_orderkey from orders").fetchall()
+    edges = [(c, o * 7 % 1000) for c, o in orders]
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(adj):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += adj[y]
+    assert {r["node"]: r["component"] for r in rows(spark, "components_whole")} == want
+    facts = rows(spark, "graph_facts_whole")[0]
+    assert (facts["edges"], facts["nodes"], facts["components"]) == (len(edges), len(adj), len(set(want.values())))
+    degree = [x for e in edges for x in e]
+    leaves = {x for x in adj if len(adj[x]) == 1 and degree.count(x) == 1}
+    got = rows(spark, "cut_facts")
+    assert {x for r in got if r["kind"] == "bridge" for x in (r["a"], r["b"])} >= leaves and all(r["component"] == want[r["a"]] for r in got)
+    ring = {(c, o % 300) for c, o in orders}
+    n = -1
+    while n != len(ring):
+        n, into, out = len(ring), {b for _, b in ring}, {a for a, _ in ring}
+        ring = {(a, b) for a, b in ring if a in into and b in out}
+    assert {r["node"] for r in rows(spark, "cycle_nodes_whole")} == {x for e in ring for x in e}
+
+
+def test_other_queries_read_whole_tables(spark, duck):
+    by = {}
+    for o, s in duck.execute(f"select l_orderkey, l_suppkey from '{SF}/lineitem.parquet'").fetchall():
+        by.setdefault(o, set()).add(s)
+    assert {tuple(r) for r in rows(spark, "crossing_pairs_whole")} == {(a, b) for x in by.values() for a in x for b in x if a != b}
+    spans = duck.execute("select p_brand, p_partkey, p_size, p_size + 1 + p_partkey % 9 from part").fetchall()
+    want = set()
+    for g, a, al, ah in spans:
+        for h, b, bl, bh in spans:
+            if g == h:
+                want |= {(g, a, b, "continuous")} if ah == bl and a != b else set()
+                if a < b and al == bl:
+                    want.add((g, a, b, "duplicate" if ah == bh else "common_baseline"))
+                elif a < b and ah == bh:
+                    want.add((g, a, b, "shared_datum"))
+    assert {tuple(r) for r in rows(spark, "dimension_chains_whole")} == want
+    parents = {c for c, _ in duck.execute("select distinct o_custkey, 0 from orders").fetchall()}
+    ends = parents | {o for o, in duck.execute("select distinct o_orderkey % 400 from orders").fetchall()}
+    nodes = {c for c, in duck.execute(f"select c_custkey from '{SF}/customer.parquet'").fetchall()}
+    got = {}
+    for r in rows(spark, "audit_graph_whole"):
+        got.setdefault(r["code"], set()).add(r["id"])
+    assert got.get("dangling", set()) == ends - nodes and got["atomic_with_children"] == {x for x in nodes & parents if x % 3 == 0}
+    assert got.get("composite_without_children", set()) == {x for x in nodes - parents if x % 3}
