@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation (operator 9).
 
 Numbers, names and units become typed placeholders; runs of eight template words are hashed and joined with those
-of the benchmark. Slots say what stood at each placeholder: along one alignment of a document with an item, every
+of the benchmark. Slots say what stood at each placeholder: along one chain of windows of a document and an item, which words put in or left out do not end, every
 value of the item must always stand for the same value of the document and the other way round, so a
 re-parameterised question is caught and a chance meeting of templates is not.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,6 +99,40 @@ def _windows_of(size: int, key: str, wanted: np.ndarray | None):
     return run, f"{key} long, at long, hash long, slots array<long>, n_words long"
 
 
+def chain(hits: list, gap: int) -> tuple[int, bool]:
+    """(windows, verbatim) of the best chain of hits (item_at, at, item_slots, slots): rising in both places, no shift
+    further than ``gap`` from the chain's main one, every value standing for one value throughout. The windows of the
+    main shift come first and must all agree; the others follow by their distance from it, if they agree with the chain."""
+    shifts: dict = {}
+    for h in sorted(hits, key=lambda h: h[0]):
+        shifts.setdefault(h[1] - h[0], []).append(h)
+    best = (0, False)
+    for main in sorted(shifts, key=lambda s: (-len(shifts[s]), s)):
+        there, back, places, ats, torn = {}, {}, [], [], False
+        for shift in sorted((s for s in range(main - gap, main + gap + 1) if s in shifts), key=lambda s: (abs(s - main), s)):
+            for item_at, at, theirs, mine in shifts[shift]:
+                i = bisect_left(places, item_at)
+                if i < len(places) and (places[i] == item_at or ats[i] <= at) or i and ats[i - 1] >= at:
+                    continue
+                new, old = dict(zip(theirs, mine, strict=True)), dict(zip(mine, theirs, strict=True))
+                if any(there.get(x, y) != y or back.get(y, x) != x or new[x] != y or old[y] != x for x, y in zip(theirs, mine, strict=True)):
+                    torn |= shift == main
+                    continue
+                there |= new
+                back |= old
+                places.insert(i, item_at)
+                ats.insert(i, at)
+        if not torn:
+            best = max(best, (len(places), all(x == y for x, y in there.items())))
+    return best
+
+
+def _chains(frames):
+    for f in frames:
+        found = [chain([(h["item_at"], h["at"], list(h["item_slots"]), list(h["slots"])) for h in hits], max(2, int(w) // 8)) for hits, w in zip(f["hits"], f["w"], strict=True)]
+        yield f[["doc_id", "item_id", "w"]].assign(n_windows=[n for n, _ in found], verbatim=[v for _, v in found])
+
+
 def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None) -> DataFrame:
     run, schema = _windows_of(size, "key", wanted)
     return df.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -104,9 +140,10 @@ def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows (of the item's that were
-    found along its best alignment), share (of the item's windows), verbatim (all slots equal).
+    found along its best chain), share (of the item's windows), verbatim (all slots equal).
 
-    A document holds an item if at least ``share`` of its windows lie on one alignment with consistent slots. Items
+    A document holds an item if at least ``share`` of its windows lie on one chain with consistent slots; each word put in or
+    left out costs up to seven windows, so an item of under 21 words can still be lost by one in its middle. Items
     of fewer than eight words are compared as a whole, if they have three words. Items with the same text count as
     one, the smallest item_id. Null texts have no words; rows with the same doc_id count as one document; null
     doc_ids as well. Empty tables give an empty result. Other columns are left out.
@@ -122,14 +159,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
         few = theirs.count() <= FILTER_MOST
         wanted = np.unique(np.array([r[0] for r in theirs.select("hash").collect()], np.int64).view(np.uint64)) if few else None
         mine = _table(docs, "doc_id", size, wanted).select(F.col("key").alias("doc_id"), "at", "hash", "slots")
-        met = mine.join(theirs, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-        pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("i"), x["slots"].alias("d")))
-        # per alignment there are at most as many windows as the item has, so these sets are small
-        lined = met.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_words").alias("w"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
-        once = lambda side: F.size(F.array_distinct(F.transform("p", lambda x: x[side])))
-        lined = lined.where((once("i") == F.size("p")) & (once("d") == F.size("p")))
+        met = mine.join(theirs, "hash")
+        hit = F.struct("item_at", "at", "item_slots", "slots").alias("hit")
+        # windows of the benchmark item that one document holds: a group is no longer than the document
+        pairs = met.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("w"), F.collect_set(hit).alias("hits"))
+        lined = pairs.mapInPandas(_chains, "doc_id long, item_id long, w long, n_windows long, verbatim boolean")
         part = F.col("n_windows") / F.greatest(F.col("w") - (size - 1), F.lit(1))
-        found.append(lined.withColumn("share", part).where(F.col("share") >= share).withColumn("verbatim", F.forall("p", lambda x: x["i"] == x["d"])))
+        found.append(lined.withColumn("share", part).where(F.col("share") >= share))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

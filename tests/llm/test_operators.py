@@ -440,6 +440,20 @@ def test_reparameterised_questions_are_caught(spark, odd):
     assert decontamination.contaminated(odd, bench).count() == 0
 
 
+def test_leaks_with_words_put_in_are_caught(spark):
+    item = "A train leaves the old station of Lenford with many tired passengers and their heavy bags, and after a long ride through green hills it meets Anna near the wide river bridge where she waits for her brother."
+    rows = [
+        (1, "So: " + item.replace("through green", "through very green")),
+        (2, item.replace("after a long ride", "after a ride")),
+        (3, item.replace("it meets Anna", "it meets Mary Jane")),
+        (4, "A train leaves the old station of Lenford with many other people, and nothing else of that story is told again in this text."),
+    ]
+    got = {r["doc_id"]: r["verbatim"] for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got.keys() == {1, 2, 3} and got[1] and got[2]
+    torn = [(i, i + 3, [1, 2], [1, 3] if i < 4 else [4, 3]) for i in range(9)]
+    assert decontamination.chain(torn, 2)[0] == 0 and decontamination.chain(torn[4:], 2) == (5, False)
+
+
 # ------------------------------------------------------------------ 10 near-duplicates
 
 
