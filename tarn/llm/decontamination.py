@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, saved, table, windows
 
 W = 8
-#: Template windows with fewer literal words than this say nothing.
+#: Template windows with fewer literal words than this say nothing; they are compared by their exact values.
 LITERALS = 3
 #: Benchmark windows that are sent to all tasks as a filter (8 bytes each); beyond, all windows are shuffled.
 FILTER_MOST = 2_000_000
@@ -65,6 +65,7 @@ class Template(Words):
         unit = np.isin(self.value, _unit_hashes())
         self.template = np.where(number, NUMBER, np.where(capital & ~opens, NAME, np.where(unit, UNIT, self.value)))
         self.slot = number | (capital & ~opens) | unit
+        self.opening = capital & opens & ~number  # may be a name as well
 
 
 def _unit_hashes() -> np.ndarray:
@@ -79,58 +80,72 @@ def _windows_of(size: int, key: str, wanted: np.ndarray | None):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 t = Template(part.column("text").to_pylist())
-                h, begin = windows(t.template, t.first, size)
-                literal = np.concatenate(([0], np.cumsum(~t.slot)))
-                keep = literal[begin + size] - literal[begin] >= min(LITERALS, size)
-                if wanted is not None:
-                    found = np.searchsorted(wanted, h)
-                    keep &= wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else False
-                h, begin = h[keep], begin[keep]
-                text = np.searchsorted(t.first, begin, side="right") - 1
-                places = begin[:, None] + np.arange(size)
-                slot = t.slot[places] if len(begin) else np.zeros((0, size), bool)
-                values = t.value[places][slot].view(np.int64) if len(begin) else np.zeros(0, np.int64)
-                ends = pa.array(np.concatenate(([0], slot.sum(axis=1).cumsum())), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(text)), pa.array(begin - t.first[text], pa.int64()), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(values)), pa.array(t.n[text], pa.int64())],
-                    ["key", "at", "hash", "slots", "n_words"],
-                )
-
-    return run, f"{key} long, at long, hash long, slots array<long>, n_words long"
-
-
-def chain(hits: list, gap: int) -> tuple[int, bool]:
-    """(windows, verbatim) of the best chain of hits (item_at, at, item_slots, slots): rising in both places, no shift
+                full, begin = windows(t.template, t.first, size)
+                count = lambda x: np.concatenate(([0], np.cumsum(x)))
+                within = lambda c, b: c[b + size] - c[b]
+                kept = within(count(~t.slot), begin) >= min(LITERALS, size)
+                n_kept = np.bincount(np.searchsorted(t.first, begin[kept], side="right") - 1, minlength=len(t.n))
+                # as templates; with sentence-opening words as names; windows of few literal words by their exact values
+                also = t.slot | t.opening
+                named = (within(count(t.opening), begin) > 0) & (within(count(~also), begin) >= min(LITERALS, size))
+                ways = [
+                    (0, full, kept, t.slot),
+                    (1, windows(np.where(t.opening, NAME, t.template), t.first, size)[0], named, also),
+                    (2, ~windows(t.value, t.first, size)[0], ~kept, np.ones_like(t.slot)),  # never the hash of a template
+                ]
+                for way, h, keep, slots in ways:
+                    if wanted is not None:
+                        found = np.searchsorted(wanted, h)
+                        keep = keep & (wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else False)
+                    h, at_ = h[keep], begin[keep]
+                    if not len(h):
+                        continue
+                    text = np.searchsorted(t.first, at_, side="right") - 1
+                    places = at_[:, None] + np.arange(size)
+                    slot = slots[places]
+                    ends = pa.array(np.concatenate(([0], slot.sum(axis=1).cumsum())), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("key").take(pa.array(text)), pa.array(at_ - t.first[text], pa.int64()), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(t.value[places][slot].view(np.int64))), pa.array(t.n[text], pa.int64()), pa.array(n_kept[text], pa.int64()), pa.array(np.full(len(h), way), pa.int64())],
+                        ["key", "at", "hash", "slots", "n_words", "n_kept", "way"],
+                    )
+
+    return run, f"{key} long, at long, hash long, slots array<long>, n_words long, n_kept long, way long"
+
+
+def chain(hits: list, gap: int) -> tuple[int, int, bool]:
+    """(windows, those of them that are kept as templates, verbatim) of the best chain of hits (item_at, at, item_slots,
+    slots, way): rising in both places, no shift
     further than ``gap`` from the chain's main one, every value standing for one value throughout. The windows of the
-    main shift come first and must all agree; the others follow by their distance from it, if they agree with the chain."""
+    main shift come first and must all agree, but for those by another way; the others follow by their distance from it, if they agree with the chain."""
     shifts: dict = {}
-    for h in sorted(hits, key=lambda h: h[0]):
+    for h in sorted(hits, key=lambda h: (h[4], h[0])):
         shifts.setdefault(h[1] - h[0], []).append(h)
-    best = (0, False)
+    best = (0, 0, False)
     for main in sorted(shifts, key=lambda s: (-len(shifts[s]), s)):
-        there, back, places, ats, torn = {}, {}, [], [], False
+        there, back, places, ats, torn, kept = {}, {}, [], [], False, 0
         for shift in sorted((s for s in range(main - gap, main + gap + 1) if s in shifts), key=lambda s: (abs(s - main), s)):
-            for item_at, at, theirs, mine in shifts[shift]:
+            for item_at, at, theirs, mine, way in shifts[shift]:
                 i = bisect_left(places, item_at)
                 if i < len(places) and (places[i] == item_at or ats[i] <= at) or i and ats[i - 1] >= at:
                     continue
                 new, old = dict(zip(theirs, mine, strict=True)), dict(zip(mine, theirs, strict=True))
                 if any(there.get(x, y) != y or back.get(y, x) != x or new[x] != y or old[y] != x for x, y in zip(theirs, mine, strict=True)):
-                    torn |= shift == main
+                    torn |= shift == main and way == 0
                     continue
                 there |= new
                 back |= old
                 places.insert(i, item_at)
                 ats.insert(i, at)
+                kept += way < 2
         if not torn:
-            best = max(best, (len(places), all(x == y for x, y in there.items())))
+            best = max(best, (len(places), kept, all(x == y for x, y in there.items())))
     return best
 
 
 def _chains(frames):
     for f in frames:
-        found = [chain([(h["item_at"], h["at"], list(h["item_slots"]), list(h["slots"])) for h in hits], max(2, int(w) // 8)) for hits, w in zip(f["hits"], f["w"], strict=True)]
-        yield f[["doc_id", "item_id", "w"]].assign(n_windows=[n for n, _ in found], verbatim=[v for _, v in found])
+        found = [chain([(h["item_at"], h["at"], list(h["item_slots"]), list(h["slots"]), h["way"]) for h in hits], max(2, int(w) // 8)) for hits, w in zip(f["hits"], f["w"], strict=True)]
+        yield f[["doc_id", "item_id", "w", "k"]].assign(n_windows=[x[0] for x in found], n_kept=[x[1] for x in found], verbatim=[x[2] for x in found])
 
 
 def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -140,11 +155,12 @@ def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows (of the item's that were
-    found along its best chain), share (of the item's windows), verbatim (all slots equal).
+    found along its best chain), share (of the item's windows, or of
+    those with three literal words if that is more), verbatim (all slots equal).
 
     A document holds an item if at least ``share`` of its windows lie on one chain with consistent slots; each word put in or
     left out costs up to seven windows, so an item of under 21 words can still be lost by one in its middle. Items
-    of fewer than eight words are compared as a whole, if they have three words. Items with the same text count as
+    of fewer than eight words are compared as a whole, if they have three words (fewer are found by chance in any text). Items with the same text count as
     one, the smallest item_id. Null texts have no words; rows with the same doc_id count as one document; null
     doc_ids as well. Empty tables give an empty result. Other columns are left out.
     """
@@ -155,16 +171,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
     found = []
     for size in [W, *short]:
         theirs = _table(items, "item_id", size).where(F.col("n_words") == size if size < W else F.lit(True))
-        theirs = saved(theirs.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words")), "item-windows")
+        theirs = saved(theirs.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), F.col("n_kept").alias("item_kept"), "way"), "item-windows")
         few = theirs.count() <= FILTER_MOST
         wanted = np.unique(np.array([r[0] for r in theirs.select("hash").collect()], np.int64).view(np.uint64)) if few else None
         mine = _table(docs, "doc_id", size, wanted).select(F.col("key").alias("doc_id"), "at", "hash", "slots")
         met = mine.join(theirs, "hash")
-        hit = F.struct("item_at", "at", "item_slots", "slots").alias("hit")
+        hit = F.struct("item_at", "at", "item_slots", "slots", "way").alias("hit")
         # windows of the benchmark item that one document holds: a group is no longer than the document
-        pairs = met.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("w"), F.collect_set(hit).alias("hits"))
-        lined = pairs.mapInPandas(_chains, "doc_id long, item_id long, w long, n_windows long, verbatim boolean")
-        part = F.col("n_windows") / F.greatest(F.col("w") - (size - 1), F.lit(1))
+        pairs = met.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("w"), F.max("item_kept").alias("k"), F.collect_set(hit).alias("hits"))
+        lined = pairs.mapInPandas(_chains, "doc_id long, item_id long, w long, k long, n_windows long, n_kept long, verbatim boolean")
+        every = F.greatest(F.col("w") - (size - 1), F.lit(1))
+        # of all windows, or of those kept as templates (of four at least, as far as there are)
+        part = F.least(F.lit(1.0), F.greatest(F.col("n_windows") / every, F.col("n_kept") / F.greatest("k", F.least(every, F.lit(4)))))
         found.append(lined.withColumn("share", part).where(F.col("share") >= share))
     every = found[0]
     for f in found[1:]:

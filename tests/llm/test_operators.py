@@ -450,8 +450,17 @@ def test_leaks_with_words_put_in_are_caught(spark):
     ]
     got = {r["doc_id"]: r["verbatim"] for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got.keys() == {1, 2, 3} and got[1] and got[2]
-    torn = [(i, i + 3, [1, 2], [1, 3] if i < 4 else [4, 3]) for i in range(9)]
-    assert decontamination.chain(torn, 2)[0] == 0 and decontamination.chain(torn[4:], 2) == (5, False)
+    torn = [(i, i + 3, [1, 2], [1, 3] if i < 4 else [4, 3], 0) for i in range(9)]
+    assert decontamination.chain(torn, 2)[0] == 0 and decontamination.chain(torn[4:], 2) == (5, 5, False)
+
+
+def test_leaks_of_numbers_and_sentence_opening_names_are_caught(spark):
+    numbers = "Total 12 kg 15 cm 19 mm 3 h 44 min 7 days 18 km 5 g 100 l 2 weeks 9 usd 16 eur"
+    story = "Tom has 5 red apples in one bag. Tom buys 3 more at the shop. Tom eats 2 of them now. Tom then gives half of all away."
+    rows = [(1, "see " + numbers + " there"), (2, numbers.replace("1", "8")), (3, story.replace("Tom", "Anna").replace("5", "9")), (4, story.replace("Tom", "Anna", 2))]
+    bench = spark.createDataFrame([(1, numbers), (2, story)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got >= {(1, 1), (3, 2)} and not {(2, 1), (1, 2), (3, 1)} & got
 
 
 # ------------------------------------------------------------------ 10 near-duplicates
