@@ -1,10 +1,12 @@
 """Links between items that share a bucket, without all pairs of a bucket.
 
-First every bucket names a leader, its most central item, and the others are verified against it alone; then up to
-four leaders for what it does not match. Between items as central the leader differs in three classes of bands. Every
-bucket whose items, matched or not, are then not all joined by links is resolved exactly: all pairs of items that are
-not joined yet in a small bucket, and in a crowded one those of them that share a rare token of both (a prefix filter,
-which leaves out no similar pair). So the links have the same components as all similar pairs of the buckets.
+In each round every bucket names a leader, its most central item, and the others are verified against it alone; what it
+matches leaves the round's list, not the bucket. Rounds end when leaders settle little more (a group of near copies is
+settled by its first leader; items that merely share a passage are settled by none). Then every bucket whose items are
+not yet all joined by links is resolved exactly: in a small bucket all pairs of items that are not joined, in a crowded
+one those of them that share a rare token of both (a prefix filter, which no similar pair fails). Items settled before
+take part, so the links have the components of all similar pairs of the buckets. The number of jobs does not depend on
+the size of a bucket.
 """
 
 from __future__ import annotations
@@ -13,21 +15,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, union_all
+from .common import components, saved, saved_with_mark, union_all
 
 #: Rows of one leader's group that one task verifies.
 GROUP = 500
-#: Leaders of a bucket in each round; then open buckets of at most FEW items are paired without a filter.
-LEADERS, FEW = (1, 4), 24
+#: Most rounds of leaders; a round that settles less than this share of its rows is the last.
+ROUNDS, LEAST = 4, 0.1
+#: Open buckets of at most so many items are paired without a filter.
+FEW = 24
 
 
 def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], kind: str) -> DataFrame:
-    """``pairs`` (a, b) with ok: whether ``similar`` holds of the two items' blobs (items: id, blob).
+    """Those of ``pairs`` (a, b) of whose blobs (items: id, blob) ``similar`` holds.
 
-    A leader's blob is joined to its group in parts of about GROUP rows, so a large group is no single task.
+    A leader's (b's) blob is joined to its group in parts of about GROUP rows, so a large group is no single task.
     """
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("n"))
     split = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).drop("n")
@@ -38,34 +42,21 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes
     def run(batches):
         for x in batches:
             ok = [similar(p.as_buffer().to_pybytes(), q.as_buffer().to_pybytes()) for p, q in zip(x.column(2), x.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}, ok boolean")
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose bucket holds two items or more, saved, with central: how many rows the item's buckets
-    hold together. A text and its edited copies share more buckets with it than with each other, so it is their most
-    central one."""
+    """The rows of ``keys`` (id, band, key) whose bucket holds two items or more, saved, with central: how many rows the
+    item's buckets hold together. A text and its edited copies share more buckets with it than with each other, so it is
+    their most central one."""
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = saved(keys.join(sizes, ["band", "key"]).select("id", "band", "key", "n"), "buckets")
     central = rows.groupBy("id").agg(F.sum("n").alias("central"))
     return saved(rows.drop("n").join(central, "id"), "buckets")
 
 
-def _leaders(active: DataFrame, most: int) -> DataFrame:
-    """(band, key, leader, rank): the ``most`` most central items of each bucket that holds two or more."""
-    first = F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.pmod("band", F.lit(3))).alias("p"), "id")
-    if most == 1:
-        best = active.groupBy("band", "key").agg(F.min(first).alias("l"), F.count("*").alias("n")).where("n > 1")
-        return best.select("band", "key", F.col("l.id").alias("leader"), F.lit(1).alias("rank"))
-    # ranked in parts first, so that a large bucket is no single sort
-    part = active.select("band", "key", "id", first.alias("o"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("part"))
-    few = part.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key", "part").orderBy("o"))).where(F.col("rank") <= most)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("o"))).where(F.col("rank") <= most)
-    return ranked.select("band", "key", F.col("id").alias("leader"), "rank")
-
-
 def _across(rows: DataFrame, on: list[str]) -> DataFrame:
     """(a, b): the pairs of items of different roots that share a group (the columns ``on``; rows: these, id, root).
     One side of a large group is dealt in parts, the other is sent to each of them."""
@@ -79,7 +70,8 @@ def _across(rows: DataFrame, on: list[str]) -> DataFrame:
 def _by_prefix(rows: DataFrame, items: DataFrame, tokens: Callable[[bytes], np.ndarray], share: float, kind: str) -> DataFrame:
     """(a, b): of the pairs of different roots in one bucket (rows: band, key, id, root) all that can have ``share`` of
     either's tokens in common. In any order of the tokens such a pair shares one among the first
-    n - ceil(share * n) + 1 of both; the order here is by how rare a token is in the bucket."""
+    n - ceil(share * n) + 1 of both; the order here is by how rare a token is. Items that share a long passage, but less
+    than ``share``, have their own words first, so they do not meet."""
 
     def run(batches):
         for x in batches:
@@ -87,49 +79,55 @@ def _by_prefix(rows: DataFrame, items: DataFrame, tokens: Callable[[bytes], np.n
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
 
     of = items.join(rows.select("id").distinct(), "id", "left_semi").select("id", "blob").mapInArrow(run, f"id {kind}, tokens array<long>")
-    each = rows.join(of, "id").select("band", "key", "id", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    each = saved(each, "tokens")
-    often = each.groupBy("band", "key", "token").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("band", "key", "id").orderBy("often", "token")
-    head = each.join(often, ["band", "key", "token"]).withColumn("at", F.row_number().over(order))
-    head = head.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1).where("often > 1")
-    return _across(head, ["band", "key", "token"])
-
-
-def leader_links(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray] | None = None, share: float = 0.0) -> DataFrame:
-    """Links (a, b) with ``similar`` true. keys: id, band int, key long, central, as :func:`shared_buckets` leaves
-    them; items: id, blob. tokens: the distinct 64-bit tokens of a blob; similar items have ``share`` of either's in
-    common. Without, all pairs that the leaders leave open are verified."""
-    kind, active = dict(keys.dtypes)["id"], keys
-    seen: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> None:
-        pairs = pairs.distinct()
-        if seen:
-            known = union_all(seen)
-            pairs = pairs.join(known.select("a", "b").union(known.select("b", "a")), ["a", "b"], "left_anti")
-        seen.append(saved(verified(pairs, items, similar, kind), "verified"))
-
-    for most in LEADERS:
-        leaders = _leaders(active, most)
-        met = active.join(leaders, ["band", "key"])
-        own = met.where("id = leader").select("band", "key", "id", F.col("rank").alias("own"))
-        # two leaders meet once
-        met = met.join(own, ["band", "key", "id"], "left").where("own is null or own > rank").drop("own")
-        verify(met.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        ok = union_all(seen).where("ok").select(F.col("a").alias("id"), F.col("b").alias("leader"))
-        done = met.join(ok, ["id", "leader"], "left_semi").select("band", "key", "id").union(own.select("band", "key", "id")).distinct()
-        rest = active.join(done, ["band", "key", "id"], "left_anti")
-        rest = rest.join(rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"], "left_semi")
-        active = saved(rest, "buckets")
-    # a matched item stays a candidate for all that no link has joined to it yet
-    roots = components(union_all(seen).where("ok").select("a", "b"))
+    of = saved(of, "tokens")
+    each = of.select("id", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    # a token of one item alone comes first and meets nothing
+    ranked = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))
+    first = F.size("tokens") - F.ceil(F.size("tokens") * share - 1e-6) + 1
+    alone = F.size("tokens") - F.size("common")
+    head = of.join(ranked, "id").withColumn("m", (first - alone).cast("int")).where("m > 0")
+    head = head.select("id", F.transform(F.slice("common", 1, F.col("m")), lambda x: x["token"]).alias("head"))
+    return _across(rows.join(head, "id").select("band", "key", "id", "root", F.explode("head").alias("token")), ["band", "key", "token"])
+
+
+def bucket_classes(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray], share: float) -> DataFrame:
+    """(node, root): the components of all similar pairs of items in one bucket, for the items that have any; root is one
+    of the component's items.
+
+    keys: id, band int, key long, central, as :func:`shared_buckets` leaves them; items: id, blob. tokens: the distinct
+    64-bit tokens of a blob, of which similar items have ``share`` of either's in common.
+    """
+    kind, active, found = dict(keys.dtypes)["id"], keys, []
+    for turn in range(ROUNDS):
+        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("l")
+        leaders = active.groupBy("band", "key").agg(first, F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("l.id").alias("leader"))
+        met, n, _ = saved_with_mark(active.join(leaders, ["band", "key"]).where("id <> leader"), "met", "id")
+        if not n:
+            break
+        ok = saved(verified(met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), items, similar, kind), "links")
+        found.append(ok)
+        left = met.join(ok.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti")
+        active, rest, _ = saved_with_mark(left.select(*keys.columns), "active", "id")
+        if not rest or rest > (1 - LEAST) * n:
+            break
+    if not found:
+        return keys.select(F.col("id").alias("node"), F.col("id").alias("root")).where("false")
+    roots = saved(components(union_all(found)), "roots")
+    # a settled item stays a candidate for all that no link has joined to it yet
     rows = keys.join(roots, keys["id"] == roots["node"], "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
     parted = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = saved(rows.join(parted.select("band", "key", "m"), ["band", "key"]), "open")
-    if tokens is None:
-        verify(_across(rows, ["band", "key"]))
-    else:
-        few = _across(rows.where(F.col("m") <= FEW).drop("m"), ["band", "key"])
-        verify(few.union(_by_prefix(rows.where(F.col("m") > FEW).drop("m"), items, tokens, share, kind)))
-    return union_all(seen).where("ok").select("a", "b")
+    rows, n, _ = saved_with_mark(rows.join(parted.select("band", "key", "m"), ["band", "key"]), "open", "id")
+    if not n:
+        return roots
+    pairs = saved(_across(rows.where(F.col("m") <= FEW), ["band", "key"]).distinct(), "pairs")
+    crowded = rows.where(F.col("m") > FEW).select("band", "key", "id", "root")
+    if not crowded.isEmpty():
+        pairs = pairs.union(saved(_by_prefix(crowded, items, tokens, share, kind).distinct(), "pairs")).distinct()
+    more = saved(verified(pairs, items, similar, kind), "links")
+    of = rows.select("id", "root").distinct()
+    across = more.join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    merged = components(across.select("ra", "rb"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # every root that was joined to another, with all the items below it
+    every = roots.unionByName(merged.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
+    return every.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, saved, windows
-from .links import leader_links, shared_buckets
+from .common import Words, mix, saved, windows
+from .links import bucket_classes, shared_buckets
 
 SKETCHES, PICKED, K = 16, 3, 5
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,15 +168,14 @@ def similar(x: bytes, y: bytes, share: float = 0.8) -> bool:
     return within(a, b, most)
 
 
-#: Share of either's pair tokens that similar texts have in common: an edit changes two of them at most.
-PAIRS = 0.6
+#: Share of either's word tokens that similar texts have in common: an edit changes one of them at most.
+SHARE = 0.8
 
 
-def pair_tokens(x: bytes) -> np.ndarray:
-    """A token for each word with the word before it (none before the first), numbered by occurrence."""
+def word_tokens(x: bytes) -> np.ndarray:
+    """A token for each word of a text, numbered by occurrence."""
     w = np.frombuffer(x, np.uint32).astype(np.uint64)
-    before = np.concatenate((np.zeros(1, np.uint64), w[:-1] + np.uint64(1)))
-    return label_occurrences(mix(w * np.uint64(0x9E3779B97F4A7C15) + before), np.zeros(len(w), np.int64))
+    return label_occurrences(mix(w), np.zeros(len(w), np.int64))
 
 
 def _each(batches):
@@ -206,45 +205,41 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(node, root): the class of each distinct text that has links; (id, low): the smallest doc_id of each distinct
-    text; the rows (doc_id, id); (a, b): the links. A text's id is the MD5 of its bytes. Only sketches are kept of all texts; the words of
-    those that share a bucket are read again, from one document each."""
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, root): the class of each distinct text that has similar ones; (id, low, n): the smallest doc_id and the
+    number of rows of each distinct text; the rows (doc_id, id). A text's id is the MD5 of its bytes. Only sketches are
+    kept of all texts; the words of those that share a bucket are read again, from one document each."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("id", text_id(F.col("text")))
     rows = saved(keyed.mapInArrow(_sketch, "doc_id long, id binary, sketch array<long>"), "sketches")
-    one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch")), "texts")
+    one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "texts")
     keys = one.where(F.size("sketch") > 0).select("id", F.posexplode("sketch").alias("band", "key"))
     keys = shared_buckets(keys)
-    wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id"), "id", "left_semi")
+    wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id").distinct(), "id", "left_semi")
     texts = keyed.join(wanted, (keyed["id"] == wanted["id"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     items = saved(texts.select("id", "text").mapInArrow(_blob, "id binary, blob binary").dropDuplicates(["id"]), "words")
-    links = saved(leader_links(keys, items, similar, pair_tokens, PAIRS), "links")
-    return components(links), one.select("id", "low"), rows, links
+    return bucket_classes(keys, items, similar, word_tokens, SHARE), one.select("id", "low", "n"), rows.select("doc_id", "id")
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
     """doc_id, id (of the text), class_id and class_text (doc_id and text id of the group's first document: the smallest
-    doc_id, a null one last), n_links, for every row."""
-    roots, texts, rows, links = near_classes(docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    grouped = texts.join(roots, texts["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    doc_id, a null one last), n_class, for every row."""
+    roots, texts, rows = near_classes(docs)
+    grouped = texts.join(roots, texts["id"] == roots["node"], "left").select("id", "low", "n", F.coalesce("root", "id").alias("root"))
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "id")).alias("first")
-    classes = grouped.groupBy("root").agg(first)
-    of_text = grouped.join(classes, "root").join(degree, "id", "left")
-    of_text = of_text.select("id", F.col("first.low").alias("class_id"), F.col("first.id").alias("class_text"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "id").join(of_text, "id")
+    classes = grouped.groupBy("root").agg(first, F.sum("n").alias("n_class"))
+    of_text = grouped.select("id", "root").join(classes, "root")
+    return rows.join(of_text.select("id", F.col("first.low").alias("class_id"), F.col("first.id").alias("class_text"), "n_class"), "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its group), n_links (verified links of its text;
-    texts that are joined through others already are not compared, so this is no count of all similar texts).
+    """One row per document: doc_id, class_id (the smallest doc_id of its group), n_class (documents of the group).
 
-    Groups are the connected components of verified links; equal texts are one text, and a null text is an
-    empty one; texts without words have no links. Repeated rows, and null doc_ids, keep their rows; a
+    Groups are the connected components of all verified pairs that share a sketch; equal texts are one text, and a null
+    text is an empty one; a text without words is like no other. Repeated rows, and null doc_ids, keep their rows; a
     group of null doc_ids alone has a null class. Other columns are left out. An empty table stays empty.
     """
-    return with_classes(docs).select("doc_id", "class_id", "n_links")
+    return with_classes(docs).select("doc_id", "class_id", "n_class")
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

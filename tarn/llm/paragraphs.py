@@ -1,25 +1,41 @@
 """Substring deduplication: paragraph MinHash banding (operator 6).
 
-A paragraph is a line of at least ``min_words`` words. Equal paragraphs are one; distinct ones get MinHash values of
-their five-word shingles, in bands tuned for high recall at the threshold. Paragraphs that collide in a band are
-verified by the exact Jaccard similarity of their shingle sets; the components of verified pairs are classes, of
-which every occurrence but the first is removed.
+A text is cut into paragraphs in two ways, since a passage that repeats need not keep to line ends:
+
+- lines of at least ``min_words`` words. They get MinHash values of their five-word shingles, in bands tuned for high
+  recall at the threshold; lines that collide in a band are verified by the exact Jaccard similarity of their shingle
+  sets, and the components of similar lines are classes;
+- windows of half that length at places that the content chooses: of any ``min_words`` words in a row, the window whose
+  first three words have the least hash. Wherever a passage of ``min_words`` words or more stands, inside a longer line
+  or over several, one of the windows inside it is the same in every copy. Windows get a single band, which equal ones
+  share for certain. Windows that collide across texts are verified exactly: every run of ``min_words`` words around
+  them is compared with those of the other texts, and neighbouring runs that repeat are joined to one passage.
+
+Of each class every occurrence but the first is removed. Texts that are equal as a whole are one text until the end.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, saved, windows
-from .links import leader_links, shared_buckets
+from .common import Words, mix, saved, scratch_path, windows
+from .links import bucket_classes, shared_buckets
 
 K = 5
+#: Values of the one band of a window, and the words whose hash chooses its place.
+WINDOW_ROWS, ANCHOR = 4, 3
+_SEEDS = np.random.default_rng(11).integers(1, 2**63, (80, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TOP = np.uint64(2**64 - 1)
+LINE, WINDOW, TEXT = 0, 1, 2
 
 
-def tuned_bands(threshold: float, recall: float = 0.9995, most: int = 80) -> tuple[int, int]:
+def tuned_bands(threshold: float, recall: float = 0.9995, most: int = 16) -> tuple[int, int]:
     """(bands, rows): the most selective banding of at most ``most`` values that finds a pair at the threshold with
     probability ``recall``."""
     best = (most, 1)
@@ -30,54 +46,145 @@ def tuned_bands(threshold: float, recall: float = 0.9995, most: int = 80) -> tup
     return best
 
 
-def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, and where each text's begin; short texts have one, all words."""
-    h = words.hashes()
-    grams, at = windows(h, words.first, K)
-    text = np.searchsorted(words.first, at, side="right") - 1
-    for i in np.flatnonzero((words.n > 0) & (words.n < K)):
-        grams = np.append(grams, mix(np.array([h[words.first[i] : words.first[i + 1]].sum() + np.uint64(words.n[i])], np.uint64)))
-        text = np.append(text, i)
-    order = np.lexsort((grams, text))
-    grams, text = grams[order], text[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    grams, text = grams[new], text[new]
-    return grams, np.searchsorted(text, np.arange(len(words.n) + 1))
+def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
+    v = (values ^ _SEEDS[seed, 1]) * _SEEDS[seed, 0]
+    return v ^ (v >> np.uint64(32))
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges of ``sizes`` from ``starts``, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _line_ranges(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the lines of at least ``least`` words."""
+    line = np.searchsorted(np.flatnonzero(words.buf == 10), words.start)
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    size = np.diff(np.append(begin, len(line)))
+    return begin[size >= least], size[size >= least]
+
+
+def window_places(h: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """Where the windows of ``least // 2`` words begin, as indices of words (hashes ``h``; first: as in Words): the least
+    of any ``least - least // 2 + 1`` places in a row, by the hash of the three words there, the first of equals. Of a
+    streak of places that all begin with the same words, as in one word said again and again, each window's length one."""
+    size = least // 2
+    span = least - size + 1
+    if len(h) < least:
+        return np.zeros(0, np.int64)
+    grams = np.full(len(h), _TOP)
+    for at in range(ANCHOR):
+        part = h[at : len(h) - ANCHOR + 1 + at]
+        grams[: len(part)] = part if at == 0 else grams[: len(part)] * np.uint64(0x9E3779B97F4A7C15) + part
+    low = np.uint64(0xFFFFFFFF)
+    score = (mix(grams) & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
+    best, width = score, 1
+    while 2 * width <= span:
+        best = np.minimum(best[: len(best) - width], best[width:])
+        width *= 2
+    if width < span:
+        best = np.minimum(best[: len(best) - (span - width)], best[span - width :])
+    text = np.searchsorted(first, np.arange(len(best)), side="right") - 1
+    whole = np.flatnonzero(np.arange(len(best)) + least <= first[text + 1])
+    chosen = np.zeros(len(h), bool)
+    chosen[(best[whole] & low).astype(np.int64)] = True
+    chosen = np.flatnonzero(chosen)
+    # streaks
+    again = np.zeros(len(chosen), bool)
+    again[1:] = (np.diff(chosen) == 1) & (grams[chosen[1:]] == grams[chosen[:-1]])
+    begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(chosen))))
+    return chosen[(np.arange(len(chosen)) - begin) % size == 0]
+
+
+def _units(bands: int, rows: int, least: int):
+    """Per text of ``least`` words or more: its lines (with an id of their words and a sketch), its windows (with their
+    one band), and a row for the text itself."""
+    size = least // 2
+    names = ["doc_id", "tid", "kind", "start", "n", "id", "keys"]
+
+    def rows_of(part: pa.RecordBatch, text: np.ndarray, kind: int, start: np.ndarray, n: np.ndarray, ids: list | None, keys: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(text)
+        own = part.column("doc_id").take(at) if kind == TEXT else pa.nulls(len(text), pa.int64())
+        ends = pa.array(np.arange(len(text) + 1) * keys.shape[1], pa.int32())
+        columns = [own, part.column("tid").take(at), pa.array(np.full(len(text), kind, np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+        columns += [pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(text), pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = Words(part.column("text").to_pylist())
+                h = words.hashes()
+                long = np.flatnonzero(words.n >= least)
+                if not len(long):
+                    continue
+                yield rows_of(part, long, TEXT, np.zeros(len(long), np.int64), words.n[long], None, np.zeros((len(long), 0), np.uint64))
+                grams = np.zeros(len(h), np.uint64)
+                for i in range(K):
+                    grams[: len(h) - K + 1] = grams[: len(h) - K + 1] * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - K + 1 + i]
+                grams = mix(grams)
+                text_of = lambda x: np.searchsorted(words.first, x, side="right") - 1
+                begin, n = _line_ranges(words, least)
+                if len(begin):
+                    flat, starts = grams[_flat(begin, n - K + 1)], np.cumsum(n - K + 1) - (n - K + 1)
+                    keys = np.zeros((len(begin), bands), np.uint64)
+                    for j in range(bands * rows):
+                        keys[:, j // rows] = mix(keys[:, j // rows] * np.uint64(31) + np.minimum.reduceat(_mixed(flat, j), starts) + np.uint64(j + 1))
+                    data = memoryview(h.tobytes())
+                    ids = [hashlib.md5(data[8 * i : 8 * (i + m)]).digest() for i, m in zip(begin.tolist(), n.tolist(), strict=True)]
+                    text = text_of(begin)
+                    yield rows_of(part, text, LINE, begin - words.first[text], n, ids, keys)
+                begin = window_places(h, words.first, least)
+                for i in range(0, len(begin), 50_000):
+                    some = begin[i : i + 50_000]
+                    flat, key = grams[some[:, None] + np.arange(size - K + 1)], np.zeros(len(some), np.uint64)
+                    for j in range(WINDOW_ROWS):
+                        key = mix(key * np.uint64(31) + _mixed(flat, j).min(axis=1) + np.uint64(j + 1))
+                    text = text_of(some)
+                    yield rows_of(part, text, WINDOW, some - words.first[text], np.full(len(some), size), None, key[:, None])
+
+    return run, "doc_id long, tid binary, kind int, start int, n int, id binary, keys array<long>"
 
 
-def _sketcher(bands: int, rows: int):
-    seeds = np.random.default_rng(11).integers(1, 2**63, (bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _looked_up(least: int):
+    """Of each text (tid, text, starts of windows, lines as id, start, n): the shingle sets of the lines, and the hashes
+    of all runs of ``least`` words that reach over one of the windows."""
+    size = least // 2
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                grams, begin = _shingles(Words(part.column("text").to_pylist()))
-                live = np.diff(begin) > 0
-                out = np.zeros((part.num_rows, bands), np.uint64)
-                if live.any():
-                    starts = begin[:-1][live]
-                    for j, (a, b) in enumerate(seeds):
-                        v = (grams ^ b) * a
-                        v ^= v >> np.uint64(32)
-                        low = np.minimum.reduceat(v, starts)
-                        to = j // rows
-                        out[live, to] = mix(out[live, to] * np.uint64(31) + low + np.uint64(j + 1))
-                ends = pa.array(np.arange(0, (part.num_rows + 1) * (bands), bands), pa.int32())
-                sketch = pa.ListArray.from_arrays(ends, pa.array(out.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), sketch], ["id", "sketch"])
-
-    return run
-
-
-def _sets(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            grams, begin = _shingles(Words(part.column("text").to_pylist()))
-            blobs = [grams[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(blobs, pa.binary())], ["id", "blob"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                words = Words(part.column("text").to_pylist())
+                h = words.hashes()
+                grams, place = windows(h, words.first, K)
+                run_a, run_at = windows(h, words.first, least)
+                run_b = windows(mix(h + np.uint64(1)), words.first, least)[0]
+                lines, runs = [], []
+                for i, (tid, starts, asked) in enumerate(zip(part.column("tid").to_pylist(), part.column("starts").to_pylist(), part.column("lines").to_pylist(), strict=True)):
+                    base = int(words.first[i])
+                    for x in asked or ():
+                        low, high = np.searchsorted(place, [base + x["start"], base + x["start"] + x["n"] - K + 1])
+                        lines.append((x["id"], np.unique(grams[low:high]).tobytes()))
+                    if starts:
+                        spots = np.unique((base + np.array(starts)[:, None] - np.arange(least - size + 1)).ravel())
+                        low = np.searchsorted(run_at, spots)
+                        low = low[low < len(run_at)]
+                        low = np.unique(low[(run_at[low] >= base) & (run_at[low] < words.first[i + 1])])
+                        runs.append((tid, low, run_at[low] - base))
+                if lines:
+                    ids, blobs = zip(*lines, strict=True)
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, LINE, np.int32)), pa.array(ids, pa.binary()), pa.array(blobs, pa.binary()), *[pa.nulls(n, k) for k in (pa.int32(), pa.int64(), pa.int64())]], names)
+                if runs:
+                    tids = pa.array([t for t, low, _ in runs], pa.binary()).take(pa.array(np.repeat(np.arange(len(runs)), [len(low) for _, low, _ in runs])))
+                    low, pos = np.concatenate([x[1] for x in runs]), np.concatenate([x[2] for x in runs])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), WINDOW, np.int32)), tids, pa.nulls(len(low), pa.binary()), pa.array(pos.astype(np.int32)), pa.array(run_a[low].view(np.int64)), pa.array(run_b[low].view(np.int64))], names)
+
+    names = ["kind", "id", "blob", "pos", "h", "g"]
+    return run, "kind int, id binary, blob binary, pos int, h long, g long"
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -87,62 +194,125 @@ def jaccard(x: bytes, y: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def paragraphs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """doc_id, paragraph (line number from 0), id (MD5 of the trimmed line), line; lines of ``min_words`` words or more."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("paragraph", "line"))
-    # every word but the first follows white space: few lines need the exact count
-    lines = lines.where(F.length("line") >= 2 * min_words - 1)
-    n = F.size(F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return lines.where(n >= min_words).withColumn("id", F.unhex(F.md5(F.trim("line"))))
+def _kinds(df: DataFrame, name: str, *kinds: int) -> list[DataFrame]:
+    """``df``, saved by its column ``kind``: the rows of each of ``kinds``."""
+    path, spark = scratch_path(df.sparkSession, name), df.sparkSession
+    df.write.partitionBy("kind").parquet(path)
+    both = spark.read.schema(df.schema).parquet(path)
+    return [both.where(F.col("kind") == k).drop("kind") for k in kinds]
+
+
+def text_id(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def paragraph_classes(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> DataFrame:
-    """Every paragraph that has a twin elsewhere: doc_id, paragraph, id, root (its class), n (occurrences in the
-    class) and first (struct doc_id, paragraph of the class's first occurrence). Saved.
+def _place(low: Column | str, tid: Column | str, start: Column | str) -> Column:
+    """An occurrence, in the order that decides which is the first: doc_id (null last), text, word."""
+    return F.struct(F.col(low).isNull().alias("none"), F.col(low).alias("low"), F.col(tid).alias("tid"), F.col(start).alias("start"))
 
-    Only the paragraphs' places and ids are kept of all documents; the lines are read again to sketch one copy of
-    each and once more for those that share a band."""
+
+def repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> DataFrame:
+    """doc_id, tid (of the text: its MD5), kind ("line", "passage" or "text"), start, n_words (in words from 0),
+    first_doc_id, first_tid, first_start, n_occurrences, removed. See :func:`repeated_paragraphs`. Saved."""
     bands, rows = tuned_bands(threshold)
-    lines = paragraphs(docs, min_words)
-    places = saved(lines.select("doc_id", "paragraph", "id"), "paragraphs")
-    sketched = lines.select("id", F.col("line").alias("text")).mapInArrow(_sketcher(bands, rows), "id binary, sketch array<long>")
-    one = saved(sketched.dropDuplicates(["id"]), "sketches")
-    keys = shared_buckets(one.select("id", F.posexplode("sketch").alias("band", "key")))
-    wanted = keys.select("id").distinct()
-    sets = saved(lines.join(wanted, "id", "left_semi").select("id", F.col("line").alias("text")).mapInArrow(_sets, "id binary, blob binary").dropDuplicates(["id"]), "shingles")
-    links = leader_links(keys, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), threshold)
-    roots = components(links)
-    counts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
-    counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"))
-    classes = counts.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
-    of_id = counts.select("id", "root").join(classes, "root")
-    return saved(places.join(of_id, "id"), "classes")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", text_id(F.col("text")))
+    units, schema = _units(bands, rows, min_words)
+    lines, spots, whole = _kinds(keyed.mapInArrow(units, schema), "units", LINE, WINDOW, TEXT)
+    texts = saved(whole.groupBy("tid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n_words")), "texts")
+
+    # windows that stand in two different texts
+    spots = spots.select("tid", "start", F.col("keys")[0].alias("key"))
+    common = spots.groupBy("key").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("key")
+    starts = spots.join(common, "key", "left_semi").groupBy("tid").agg(F.collect_set("start").alias("starts"))
+
+    # lines that share a band with another
+    lines = lines.select("tid", "start", "n", "id", "keys")
+    one = saved(lines.groupBy("id").agg(F.min(F.struct("tid", "start", "n")).alias("at"), F.first("keys").alias("keys")), "line-sketches")
+    buckets = shared_buckets(one.select("id", F.posexplode("keys").alias("band", "key")))
+    of_text = one.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("at.tid").agg(F.collect_list(F.struct("id", "at.start", "at.n")).alias("lines"))
+
+    asked = saved(starts.join(of_text, "tid", "full").join(texts.select("tid", "low"), "tid"), "asked")
+    found, schema = _looked_up(min_words)
+    reread = keyed.join(asked.select(F.col("tid").alias("want"), "low", "starts", "lines"), (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    sets, runs = _kinds(reread.select("tid", "text", "starts", "lines").mapInArrow(found, schema), "looked-up", LINE, WINDOW)
+
+    # lines: the components of similar ones; a line that only equal ones repeat in other texts is left to the passages
+    sets = saved(sets.select("id", "blob").dropDuplicates(["id"]), "shingles")
+    roots = bucket_classes(buckets, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), threshold)
+    placed = lines.join(texts.select("tid", "low", "copies"), "tid").dropDuplicates(["tid", "start"])
+    counts = placed.groupBy("id").agg(F.sum("copies").alias("n"), F.min(_place("low", "tid", "start")).alias("first"), F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("k"))
+    counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", "a", "b", "k", F.coalesce("root", "id").alias("root"))
+    classes = counts.groupBy("root").agg(F.sum("n").alias("n_occurrences"), F.min("first").alias("first"), F.count("*").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"), F.sum("k").alias("k"))
+    classes = classes.where("m > 1 or a = b and k > 1").select("root", "n_occurrences", "first")
+    of_id = counts.select("id", "root").join(classes, "root").select("id", "n_occurrences", "first")
+    line_rows = placed.join(of_id, "id").select("low", "tid", F.lit("line").alias("kind"), "start", F.col("n").alias("n_words"), "first", "n_occurrences")
+
+    # passages: neighbouring runs whose first occurrences are neighbours as well
+    runs = runs.select(F.col("id").alias("tid"), "pos", "h", "g").join(texts.select("tid", "low", "copies"), "tid")
+    runs = saved(runs, "runs")
+    twice = runs.groupBy("h", "g").agg(F.min(_place("low", "tid", "pos")).alias("first"), F.sum("copies").alias("n"), F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b")
+    hit = runs.select("tid", "low", "pos", "h", "g").join(twice.select("h", "g", "first", "n"), ["h", "g"])
+    hit = hit.select("tid", "low", "pos", "n", F.col("first.low").alias("fl"), F.col("first.tid").alias("ft"), (F.col("first.start") - F.col("pos")).alias("shift"))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("tid", "ft", "shift").orderBy("pos"))
+    hit = hit.withColumn("island", island).groupBy("tid", "ft", "shift", "island").agg(F.first("low").alias("low"), F.first("fl").alias("fl"), F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), F.max("n").alias("n_occurrences"))
+    first = F.struct(F.col("fl").isNull().alias("none"), F.col("fl").alias("low"), F.col("ft").alias("tid"), (F.col("start") + F.col("shift")).cast("int").alias("start"))
+    passage_rows = hit.select("low", "tid", F.lit("passage").alias("kind"), "start", "n_words", first.alias("first"), "n_occurrences")
+
+    same = (F.col("first.tid") == F.col("tid")) & (F.col("first.start") == F.col("start"))
+    columns = ["doc_id", "tid", "kind", "start", "n_words", "first_doc_id", "first_tid", "first_start", "n_occurrences", "removed"]
+    parts = line_rows.unionByName(passage_rows)
+    parts = parts.select(F.col("low").alias("doc_id"), "tid", "kind", "start", "n_words", F.col("first.low").alias("first_doc_id"), F.col("first.tid").alias("first_tid"), F.col("first.start").alias("first_start"), "n_occurrences", (~same).alias("removed"))
+    copied = whole.select("doc_id", "tid").join(texts.where("copies > 1"), "tid")
+    copied = copied.select("doc_id", "tid", F.lit("text").alias("kind"), F.lit(0).alias("start"), "n_words", F.col("low").alias("first_doc_id"), F.col("tid").alias("first_tid"), F.lit(0).alias("first_start"), F.col("copies").alias("n_occurrences"), (~F.col("doc_id").eqNullSafe(F.col("low"))).alias("removed"))
+    return saved(parts.select(*columns).unionByName(copied), "repeats")
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> DataFrame:
-    """One row per paragraph that repeats: doc_id, paragraph, first_doc_id, first_paragraph (of the class's first
-    occurrence, by doc_id and line), n_occurrences, removed (all but the first).
+    """One row per stretch of a document that repeats: doc_id, kind, start, n_words (words from 0), first_doc_id,
+    first_start (of its class's first occurrence, by doc_id and place), n_occurrences, removed (all but the first).
+
+    kind "text": the document's whole text of ``min_words`` words or more stands in other rows too; only the first row's
+    document has the other kinds. kind "passage": ``min_words`` words or more in a row stand word for word in another
+    text, all with the same first occurrence (n_occurrences: of its most frequent run). kind "line": a line of ``min_words``
+    words or more that is similar to another one, or repeats inside the text. Null and short texts have no rows. A row
+    that equals the first occurrence's in doc_id and text is not removed. Null doc_ids come last. Other columns are left
+    out; an empty table gives an empty result."""
+    return repeats(docs, threshold, min_words).drop("tid", "first_tid")
 
-    Null and empty texts have no paragraphs. Repeated rows repeat their paragraphs: a row that equals the first
-    occurrence's in doc_id and line is not removed. Null doc_ids come first. Other columns are left out."""
-    c = paragraph_classes(docs, threshold, min_words)
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return c.select("doc_id", "paragraph", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), F.col("n").alias("n_occurrences"), (~same).alias("removed"))
+
+def _cut(text: str, ranges: list[int]) -> str:
+    """``text`` without the words of the ranges (start, end, start, end ...), each with the white space after it."""
+    words = Words([text])
+    n, data = len(words.start), text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    for start, end in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
+        low, high = int(words.start[start]), int(words.start[end]) if end < n else len(data)
+        if low > at:
+            out.append(data[at:low])
+        at = max(at, high)
+    kept = b"".join(out) + data[at:]
+    return (kept.rstrip(b" \t\n\v\f\r") if at >= len(data) else kept).decode("utf-8", "surrogatepass")
 
 
 def cut_paragraphs(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> DataFrame:
-    """``docs`` without the removed paragraphs (all columns; a changed text's n_chars is counted anew where there is
-    such a column). A document that had words and has none left goes."""
-    c = paragraph_classes(docs, threshold, min_words)
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
-    # a place and its line: another text with the same doc_id keeps its own
-    place = lambda n, line: F.concat_ws(" ", n.cast("string"), F.md5(F.trim(line)))
-    found = F.concat_ws(" ", F.col("paragraph").cast("string"), F.lower(F.hex("id")))
-    gone = c.where(~same).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(found).alias("_gone"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", place(i, x))), "\n")
-    changed = F.col("_gone").isNotNull()
-    out = out.withColumn("text", F.when(changed, kept).otherwise(F.col("text"))).where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """``docs`` without the removed stretches (all columns; a changed text's n_chars is counted anew where there is such
+    a column). A document that had words and has none left goes."""
+    gone = repeats(docs, threshold, min_words).where("removed")
+    names = {c.lower() for c in docs.columns}
+    own = lambda name: name if name not in names else own(name + "_")
+    doc, tid, cut, mine = own("_doc"), own("_tid"), own("_gone"), own("_mine")
+    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("tid").alias(tid)).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("n_words")))).alias(cut))
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, ranges: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else _cut(t, list(r)) for t, r in zip(text, ranges, strict=True)], dtype=object)
+
+    keyed = docs.withColumn(mine, text_id(F.col("text")))
+    out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(tid)), "left")
+    changed = F.col(cut).isNotNull()
+    # texts that stay as they are do not go through Python
+    out = out.withColumn(mine, left(F.when(changed, F.col("text").cast("string")), cut))
+    out = out.where(~changed | F.col(mine).rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.when(changed, F.col(mine)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -153,4 +323,4 @@ def cut_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut_paragraphs(docs)
 
 
-__all__ = ["cut_paragraphs", "cut_stage", "jaccard", "paragraph_classes", "paragraphs", "repeated_paragraphs", "tuned_bands"]
+__all__ = ["cut_paragraphs", "cut_stage", "jaccard", "repeated_paragraphs", "repeats", "tuned_bands", "window_places"]

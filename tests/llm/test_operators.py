@@ -281,8 +281,18 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
 
 
-def test_repeated_paragraphs_equal_brute_force(docs, texts):
-    lines = {(k, i): x for k, v in texts.items() for i, x in enumerate(v.split("\n")) if len(SPACE.findall(x)) >= 50}
+def test_similar_lines_equal_brute_force(docs, texts):
+    lines = {}
+    for k, v in texts.items():
+        at = 0
+        for x in v.split("\n"):
+            if len(SPACE.findall(x)) >= 50:
+                lines[k, at] = x
+            at += len(SPACE.findall(x))
+    first_of = {}
+    for k in sorted(texts):
+        first_of.setdefault(texts[k], k)
+    lines = {k: v for k, v in lines.items() if first_of[texts[k[0]]] == k[0]}  # equal texts are one
     sets = {k: shingles(v) for k, v in lines.items()}
     keys = sorted(sets)
     parent = {k: k for k in keys}
@@ -297,25 +307,92 @@ def test_repeated_paragraphs_equal_brute_force(docs, texts):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    size = Counter(root(k) for k in keys)
-    want = {(*k, *root(k), k != root(k)) for k in keys if size[root(k)] > 1}
-    got = {(r["doc_id"], r["paragraph"], r["first_doc_id"], r["first_paragraph"], r["removed"]) for r in paragraphs.repeated_paragraphs(docs).collect()}
-    assert got == want and want
+    groups: dict = {}
+    for k in keys:
+        groups.setdefault(root(k), []).append(k)
+    want = {(*k, *r, k != r) for r, g in groups.items() if len({tuple(SPACE.findall(lines[k])) for k in g}) > 1 or len(g) > 1 and len({k[0] for k in g}) == 1 for k in g}
+    rows = paragraphs.repeated_paragraphs(docs).where("kind = 'line'").collect()
+    assert {(r["doc_id"], r["start"], r["first_doc_id"], r["first_start"], r["removed"]) for r in rows} == want and want
+
+
+def fifties(text):
+    w = SPACE.findall(text)
+    return {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+
+
+def test_passages_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    words = {k: SPACE.findall(v) for k, v in texts.items()}
+    holders: dict = {}
+    for k, v in texts.items():
+        for run in fifties(v):
+            holders.setdefault(run, set()).add(v)
+    shared = {run for run, v in holders.items() if len(v) > 1}
+    rows = paragraphs.repeated_paragraphs(docs).collect()
+    first_of = {}
+    for k in sorted(texts):
+        first_of.setdefault(texts[k], k)
+    # every word of every run that stands in two texts is in a passage, no other word is
+    got: dict = {}
+    for r in rows:
+        if r["kind"] == "passage":
+            got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+            a, b = r["start"], r["first_start"]
+            assert words[r["doc_id"]][a : a + r["n_words"]] == words[r["first_doc_id"]][b : b + r["n_words"]]
+    for k, w in words.items():
+        want = {j for i in range(len(w) - 49) if tuple(w[i : i + 50]) in shared for j in range(i, i + 50)} if first_of[texts[k]] == k else set()
+        assert got.get(k, set()) == want, k
+    assert {r["doc_id"] for r in rows if r["kind"] == "text"} == {k for k, v in texts.items() if len(words[k]) >= 50 and Counter(texts.values())[v] > 1}
+
+
+def test_windows_lie_in_every_run():
+    rng = np.random.default_rng(4)
+    for draw in (lambda n: rng.integers(0, 2**63, n), lambda n: rng.integers(0, 3, n), lambda n: np.zeros(n, np.int64)):
+        h = draw(900).astype(np.uint64)
+        first = np.array([0, 0, 30, 30, 400, 450, 900])
+        got = paragraphs.window_places(h, first, 50)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            for p in range(a, b - 49):
+                inside = got[(got >= p) & (got <= p + 25)]
+                # in a streak of one word its windows are all alike, one of them a window's length away at most
+                assert len(inside) or len(set(h[p : p + 50].tolist())) == 1
+            assert all(x + 25 <= b for x in got[(got >= a) & (got < b)])
+    assert len(paragraphs.window_places(np.zeros(900, np.uint64), np.array([0, 900]), 50)) < 45
+
+
+def test_a_passage_is_found_inside_lines_and_over_them(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(51)]
+    around = lambda n: [word() for _ in range(n)]
+    one = " ".join([*around(70), *passage, *around(70)])
+    two = "\n".join(" ".join(x) for x in (around(9), passage[:20], passage[20:33], [*passage[33:], *around(30)]))
+    lone = " ".join(around(200))
+    df = spark.createDataFrame([(1, one), (2, two), (3, lone)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["kind"], r["start"], r["n_words"], r["removed"]) for r in paragraphs.repeated_paragraphs(df).collect()]
+    assert sorted(rows) == [(1, "passage", 70, 51, False), (2, "passage", 9, 51, True)]
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(df).collect()}
+    assert cut[1] == one and cut[3] == lone
+    assert SPACE.findall(cut[2]) == SPACE.findall(two)[:9] + SPACE.findall(two)[60:] and cut[2].count("\n") == 1
 
 
 def test_paragraphs_odd_input(spark, odd):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"intro\n{long}\nend"), (2, long), (2, long), (3, f"other\n{long} "), (4, None), (5, ""), (None, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as paragraph", "2 as id")
-    kept = {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(df).collect()}
-    assert kept == {1: "intro\nend", 3: "other", 4: None, 5: "", None: long}
-    assert paragraphs.repeated_paragraphs(odd).count() >= 0
-    assert paragraphs.cut_paragraphs(df.limit(0)).columns == df.columns
+    kept = [(r["doc_id"], r["text"]) for r in paragraphs.cut_paragraphs(df).collect()]
+    # the first by doc_id keeps it; a null doc_id comes last; rows equal in doc_id and text fare alike
+    assert sorted(kept, key=str) == sorted([(1, f"intro\n{long}\nend"), (3, "other"), (4, None), (5, "")], key=str)
+    assert paragraphs.repeated_paragraphs(odd).where("doc_id = 6").count() == 0  # one word said 30,000 times in one text
+    assert paragraphs.cut_paragraphs(df.limit(0)).columns == df.columns and paragraphs.repeated_paragraphs(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 as _doc", "2 as _tid", "3 as _gone", "4 as _mine", "5 as kind")
+    assert sorted((tuple(r) for r in paragraphs.cut_paragraphs(clash).select("doc_id", "text").collect()), key=str) == sorted(kept, key=str)
 
 
 def test_bands_are_tuned():
     bands, rows = paragraphs.tuned_bands(0.8)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 80
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 16
 
 
 # ------------------------------------------------------------------ 7 archives
@@ -499,8 +576,7 @@ def test_near_duplicates_against_brute_force(spark, docs, texts):
                 if len(x & y) >= 0.75 * len(x | y):
                     assert rows[a]["class_id"] == rows[b]["class_id"], (a, b)
     for a, r in rows.items():
-        if r["n_links"] == 0:
-            assert r["class_id"] == min(k for k, v in texts.items() if v == texts[a])
+        assert r["class_id"] <= a and r["n_class"] == sum(x["class_id"] == r["class_id"] for x in rows.values())
 
 
 def test_near_duplicates_odd_input(spark, odd):
@@ -512,27 +588,39 @@ def test_near_duplicates_odd_input(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 5, 6, 7, 8]
 
 
+def partition(classes, nodes):
+    """Classes (node, root) as sets of nodes, lone ones too."""
+    out: dict = {}
+    for r in classes.collect():
+        out.setdefault(r["root"], set()).add(r["node"])
+    alone = set(nodes) - set().union(*out.values(), set())
+    return sorted([sorted(x) for x in out.values()] + [[x] for x in alone])
+
+
+def classes_of(spark, keys, sets, similar=None):
+    keys = spark.createDataFrame(keys, "id long, band int, key long")
+    items = spark.createDataFrame([(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()], "id long, blob binary")
+    alike = similar or (lambda x, y: paragraphs.jaccard(x, y) >= 0.8)
+    found = links.bucket_classes(links.shared_buckets(keys), items, alike, lambda x: np.frombuffer(x, np.uint64), 0.8)
+    return partition(found, sets)
+
+
 def test_leaders_find_links_in_crowded_buckets(spark):
-    groups = {i: i % 7 for i in range(140)}
-    keys = spark.createDataFrame([(i, 0, 5, [g]) for i, g in groups.items()], "id long, band int, key long, more array<long>")
-    items = spark.createDataFrame([(i, str(g).encode()) for i, g in groups.items()], "id long, blob binary")
-    found = links.leader_links(links.shared_buckets(keys), items, lambda x, y: x == y)
-    got = {r["node"]: r["root"] for r in components(found).collect()}
-    assert got == groups
-
-
-def test_links_in_crowded_buckets_need_no_agreeing_sketch(spark):
-    """Pairs of equal items in one bucket, of which no leader knows, whose ``more`` values all differ."""
-    keys = spark.createDataFrame([(i, 0, 5, [i, i + 1, i + 2]) for i in range(120)], "id long, band int, key long, more array<long>")
-    sets = {i: np.array([1, 2, *range(100 + 30 * (i // 2), 120 + 30 * (i // 2)), 9000 + i], np.uint64) for i in range(120)}
-    items = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "id long, blob binary")
-    alike = lambda x, y: paragraphs.jaccard(x, y) >= 0.8
-    for tokens in (None, lambda x: np.frombuffer(x, np.uint64)):
-        found = links.leader_links(links.shared_buckets(keys), items, alike, tokens, 0.8)
-        assert {tuple(sorted(r)) for r in found.collect()} == {(i, i + 1) for i in range(0, 120, 2)}
-
-
-def test_similar_texts_share_pair_tokens():
+    sets = {i: range(100 * (i % 7), 100 * (i % 7) + 9) for i in range(140)}
+    assert classes_of(spark, [(i, 0, 5) for i in sets], sets) == sorted(list(range(g, 140, 7)) for g in range(7))
+
+
+def test_items_that_no_leader_matches_meet_each_other(spark):
+    """Pairs of similar items in one crowded bucket, of which no leader knows."""
+    sets = {i: [1, 2, *range(100 + 30 * (i // 2), 120 + 30 * (i // 2)), 9000 + i] for i in range(120)}
+    assert classes_of(spark, [(i, 0, 5) for i in sets], sets) == [[i, i + 1] for i in range(0, 120, 2)]
+    # the most central item, 1, is like neither of two that are alike and share all its buckets
+    sets = {1: range(20), 2: range(100, 120), 3: range(100, 120)}
+    keys = [(i, b, 7) for i in sets for b in range(16)] + [(1, 20, 1), (4, 20, 1)]
+    assert classes_of(spark, keys, sets | {4: range(300, 320)}) == [[1], [2, 3], [4]]
+
+
+def test_similar_texts_share_word_tokens():
     rng = np.random.default_rng(12)
     for _ in range(300):
         a = rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint32)
@@ -541,18 +629,48 @@ def test_similar_texts_share_pair_tokens():
             at = rng.integers(0, len(b) + 1)
             b = [np.delete(b, min(at, len(b) - 1)) if len(b) > 1 else b, np.insert(b, at, 7), np.concatenate((b[:at], [99], b[at + 1 :]))][rng.integers(3)].astype(np.uint32)
         if neardup.similar(a.tobytes(), b.tobytes()):
-            both = len(np.intersect1d(neardup.pair_tokens(a.tobytes()), neardup.pair_tokens(b.tobytes())))
-            assert both >= neardup.PAIRS * max(len(a), len(b)) - 1e-6
+            both = len(np.intersect1d(neardup.word_tokens(a.tobytes()), neardup.word_tokens(b.tobytes())))
+            assert both >= neardup.SHARE * max(len(a), len(b)) - 1e-6
 
 
 def test_items_that_a_leader_matches_still_meet_the_others(spark):
     """Copies of copies: 1 ~ 2 ~ 3 in one bucket, where 1, the leader, does not match 3; and a crowded bucket of chains."""
-    keys = [(i, 0, 5, []) for i in (1, 2, 3)] + [(1, b, 6, []) for b in (1, 2)] + [(4, b, 6, []) for b in (1, 2)] + [(i, 0, 7, []) for i in range(10, 70)]
-    keys = spark.createDataFrame(keys, "id long, band int, key long, more array<long>")
+    keys = [(i, b, 5) for i in (1, 2, 3) for b in range(16)] + [(1, b, 6) for b in (20, 21)] + [(4, b, 6) for b in (20, 21)] + [(i, 0, 7) for i in range(10, 70)]
     # sets that shift by two tokens of 20 from one item to the next, chains of six
-    sets = {i: np.arange(2 * i, 2 * i + 20, dtype=np.uint64) + np.uint64(1000 * (i // 6) if i >= 10 else 0) for i in (1, 2, 3, *range(10, 70))}
-    sets[4] = np.arange(90_000, 90_020, dtype=np.uint64)
-    items = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "id long, blob binary")
-    found = links.leader_links(links.shared_buckets(keys), items, lambda x, y: paragraphs.jaccard(x, y) >= 0.8, lambda x: np.frombuffer(x, np.uint64), 0.8)
-    got = {r["node"]: r["root"] for r in components(found).collect()}
-    assert got == {1: 1, 2: 1, 3: 1} | {i: max(10, i // 6 * 6) for i in range(10, 70)}
+    sets = {i: range(2 * i + 1000 * (i // 6 if i >= 10 else 0), 2 * i + 20 + 1000 * (i // 6 if i >= 10 else 0)) for i in (1, 2, 3, *range(10, 70))}
+    sets[4] = range(90_000, 90_020)
+    chains: dict = {}
+    for i in range(10, 70):
+        chains.setdefault(i // 6, []).append(i)
+    assert classes_of(spark, keys, sets) == sorted([[1, 2, 3], [4], *chains.values()])
+
+
+def test_classes_of_buckets_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**40, (9, 30))
+    sets = {}
+    for i in range(400):
+        x = centres[i % 9].copy()
+        change = rng.random(30) < rng.choice([0.02, 0.1, 0.3])
+        x[change] = rng.integers(0, 2**40, change.sum())
+        sets[i] = set(x.tolist())
+    keys = [(i, b, int(k)) for i in sets for b, k in enumerate((i % 2, i % 9 // 3, rng.integers(0, 3)))]
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    buckets: dict = {}
+    for i, b, k in keys:
+        buckets.setdefault((b, k), []).append(i)
+    for group in buckets.values():
+        for n, a in enumerate(group):
+            for b in group[:n]:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    want: dict = {}
+    for i in sets:
+        want.setdefault(root(i), []).append(i)
+    assert classes_of(spark, keys, sets) == sorted(want.values())
