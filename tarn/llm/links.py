@@ -86,8 +86,8 @@ def _by_prefix(rows: DataFrame, items: DataFrame, tokens: Callable[[bytes], np.n
     ranked = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))
     first = F.size("tokens") - F.ceil(F.size("tokens") * share - 1e-6) + 1
     alone = F.size("tokens") - F.size("common")
-    head = of.join(ranked, "id").withColumn("m", (first - alone).cast("int")).where("m > 0")
-    head = head.select("id", F.transform(F.slice("common", 1, F.col("m")), lambda x: x["token"]).alias("head"))
+    most = F.greatest(first - alone, F.lit(0)).cast("int")
+    head = of.join(ranked, "id").select("id", F.transform(F.slice("common", F.lit(1), most), lambda x: x["token"]).alias("head"))
     return _across(rows.join(head, "id").select("band", "key", "id", "root", F.explode("head").alias("token")), ["band", "key", "token"])
 
 
