@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -51,6 +52,13 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs, which else stay until the driver happens to collect
+    its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -148,4 +156,4 @@ def salted_join_sizes(pairs: DataFrame, key: str, rows: int) -> DataFrame:
     return pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n_salts"))
 
 
-__all__ = ["LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "saved_with_mark", "scratch_path", "shared_dir", "table", "union_all", "windows"]
+__all__ = ["LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "saved_with_mark", "scratch_path", "settled", "shared_dir", "table", "union_all", "windows"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, saved, scratch_path, windows
+from .common import Words, mix, saved, scratch_path, settled, windows
 from .links import bucket_classes, shared_buckets
 
 K = 5
@@ -101,13 +101,13 @@ def _units(bands: int, rows: int, least: int):
     """Per text of ``least`` words or more: its lines (with an id of their words and a sketch), its windows (with their
     one band), and a row for the text itself."""
     size = least // 2
-    names = ["doc_id", "tid", "kind", "start", "n", "id", "keys"]
+    names = ["doc_id", "tid", "t", "kind", "start", "n", "id", "keys"]
 
     def rows_of(part: pa.RecordBatch, text: np.ndarray, kind: int, start: np.ndarray, n: np.ndarray, ids: list | None, keys: np.ndarray) -> pa.RecordBatch:
         at = pa.array(text)
-        own = part.column("doc_id").take(at) if kind == TEXT else pa.nulls(len(text), pa.int64())
+        whole = [part.column(c).take(at) for c in ("doc_id", "tid")] if kind == TEXT else [pa.nulls(len(text), k) for k in (pa.int64(), pa.binary())]
         ends = pa.array(np.arange(len(text) + 1) * keys.shape[1], pa.int32())
-        columns = [own, part.column("tid").take(at), pa.array(np.full(len(text), kind, np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+        columns = [*whole, part.column("t").take(at), pa.array(np.full(len(text), kind, np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
         columns += [pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(text), pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel(), pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -145,11 +145,11 @@ def _units(bands: int, rows: int, least: int):
                     text = text_of(some)
                     yield rows_of(part, text, WINDOW, some - words.first[text], np.full(len(some), size), None, key[:, None])
 
-    return run, "doc_id long, tid binary, kind int, start int, n int, id binary, keys array<long>"
+    return run, "doc_id long, tid binary, t long, kind int, start int, n int, id binary, keys array<long>"
 
 
 def _looked_up(least: int):
-    """Of each text (tid, text, starts of windows, lines as id, start, n): the shingle sets of the lines, and the hashes
+    """Of each text (t, low, text, starts of windows, lines as id, start, n): the shingle sets of the lines, and the hashes
     of all runs of ``least`` words that reach over one of the windows."""
     size = least // 2
 
@@ -160,10 +160,9 @@ def _looked_up(least: int):
                 words = Words(part.column("text").to_pylist())
                 h = words.hashes()
                 grams, place = windows(h, words.first, K)
-                run_a, run_at = windows(h, words.first, least)
-                run_b = windows(mix(h + np.uint64(1)), words.first, least)[0]
+                run_hash, run_at = windows(h, words.first, least)
                 lines, runs = [], []
-                for i, (tid, starts, asked) in enumerate(zip(part.column("tid").to_pylist(), part.column("starts").to_pylist(), part.column("lines").to_pylist(), strict=True)):
+                for i, (starts, asked) in enumerate(zip(part.column("starts").to_pylist(), part.column("lines").to_pylist(), strict=True)):
                     base = int(words.first[i])
                     for x in asked or ():
                         low, high = np.searchsorted(place, [base + x["start"], base + x["start"] + x["n"] - K + 1])
@@ -173,18 +172,18 @@ def _looked_up(least: int):
                         low = np.searchsorted(run_at, spots)
                         low = low[low < len(run_at)]
                         low = np.unique(low[(run_at[low] >= base) & (run_at[low] < words.first[i + 1])])
-                        runs.append((tid, low, run_at[low] - base))
+                        runs.append((i, low, run_at[low] - base))
                 if lines:
                     ids, blobs = zip(*lines, strict=True)
                     n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, LINE, np.int32)), pa.array(ids, pa.binary()), pa.array(blobs, pa.binary()), *[pa.nulls(n, k) for k in (pa.int32(), pa.int64(), pa.int64())]], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, LINE, np.int32)), pa.array(ids, pa.binary()), pa.array(blobs, pa.binary()), *[pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]], names)
                 if runs:
-                    tids = pa.array([t for t, low, _ in runs], pa.binary()).take(pa.array(np.repeat(np.arange(len(runs)), [len(low) for _, low, _ in runs])))
+                    text = pa.array(np.repeat([i for i, _, _ in runs], [len(low) for _, low, _ in runs]))
                     low, pos = np.concatenate([x[1] for x in runs]), np.concatenate([x[2] for x in runs])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), WINDOW, np.int32)), tids, pa.nulls(len(low), pa.binary()), pa.array(pos.astype(np.int32)), pa.array(run_a[low].view(np.int64)), pa.array(run_b[low].view(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), WINDOW, np.int32)), *[pa.nulls(len(low), pa.binary())] * 2, part.column("t").take(text), part.column("low").take(text), pa.array(pos.astype(np.int32)), pa.array(run_hash[low].view(np.int64))], names)
 
-    names = ["kind", "id", "blob", "pos", "h", "g"]
-    return run, "kind int, id binary, blob binary, pos int, h long, g long"
+    names = ["kind", "id", "blob", "t", "low", "pos", "h"]
+    return run, "kind int, id binary, blob binary, t long, low long, pos int, h long"
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -206,64 +205,70 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def _place(low: Column | str, tid: Column | str, start: Column | str) -> Column:
+def _place(start: str) -> Column:
     """An occurrence, in the order that decides which is the first: doc_id (null last), text, word."""
-    return F.struct(F.col(low).isNull().alias("none"), F.col(low).alias("low"), F.col(tid).alias("tid"), F.col(start).alias("start"))
+    return F.struct(F.col("low").isNull().alias("none"), "low", "t", F.col(start).alias("start"))
 
 
 def repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> DataFrame:
     """doc_id, tid (of the text: its MD5), kind ("line", "passage" or "text"), start, n_words (in words from 0),
-    first_doc_id, first_tid, first_start, n_occurrences, removed. See :func:`repeated_paragraphs`. Saved."""
+    first_doc_id, first_start, n_occurrences, removed. See :func:`repeated_paragraphs`. Saved.
+
+    On the way texts go by ``t``, a 64-bit hash of their MD5, with the smallest doc_id of their rows (``low``)."""
+    spark = docs.sparkSession
     bands, rows = tuned_bands(threshold)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", text_id(F.col("text")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", text_id(F.col("text"))).withColumn("t", F.xxhash64("tid"))
     units, schema = _units(bands, rows, min_words)
     lines, spots, whole = _kinds(keyed.mapInArrow(units, schema), "units", LINE, WINDOW, TEXT)
-    texts = saved(whole.groupBy("tid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n_words")), "texts")
+    texts = saved(whole.groupBy("tid").agg(F.min("doc_id").alias("low"), F.first("t").alias("t"), F.count("*").alias("copies"), F.first("n").alias("n_words")), "texts")
 
     # windows that stand in two different texts
-    spots = spots.select("tid", "start", F.col("keys")[0].alias("key"))
-    common = spots.groupBy("key").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("key")
-    starts = spots.join(common, "key", "left_semi").groupBy("tid").agg(F.collect_set("start").alias("starts"))
+    spots = spots.select("t", "start", F.col("keys")[0].alias("key"))
+    common = spots.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("key")
+    starts = spots.join(common, "key", "left_semi").groupBy("t").agg(F.collect_set("start").alias("starts"))
 
     # lines that share a band with another
-    lines = lines.select("tid", "start", "n", "id", "keys")
-    one = saved(lines.groupBy("id").agg(F.min(F.struct("tid", "start", "n")).alias("at"), F.first("keys").alias("keys")), "line-sketches")
+    lines = lines.select("t", "start", "n", "id", "keys")
+    one = saved(lines.groupBy("id").agg(F.min(F.struct("t", "start", "n")).alias("at"), F.first("keys").alias("keys")), "line-sketches")
     buckets = shared_buckets(one.select("id", F.posexplode("keys").alias("band", "key")))
-    of_text = one.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("at.tid").agg(F.collect_list(F.struct("id", "at.start", "at.n")).alias("lines"))
+    of_text = one.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("at.t").agg(F.collect_list(F.struct("id", "at.start", "at.n")).alias("lines"))
 
-    asked = saved(starts.join(of_text, "tid", "full").join(texts.select("tid", "low"), "tid"), "asked")
+    asked = saved(starts.join(of_text, "t", "full").join(texts.select("t", F.col("tid").alias("want"), "low"), "t"), "asked")
+    settled(spark)
     found, schema = _looked_up(min_words)
-    reread = keyed.join(asked.select(F.col("tid").alias("want"), "low", "starts", "lines"), (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    sets, runs = _kinds(reread.select("tid", "text", "starts", "lines").mapInArrow(found, schema), "looked-up", LINE, WINDOW)
+    reread = keyed.drop("t").join(asked, (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    sets, runs = _kinds(reread.select("t", "low", "text", "starts", "lines").mapInArrow(found, schema), "looked-up", LINE, WINDOW)
+    settled(spark)
 
     # lines: the components of similar ones; a line that only equal ones repeat in other texts is left to the passages
     sets = saved(sets.select("id", "blob").dropDuplicates(["id"]), "shingles")
     roots = bucket_classes(buckets, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), threshold)
-    placed = lines.join(texts.select("tid", "low", "copies"), "tid").dropDuplicates(["tid", "start"])
-    counts = placed.groupBy("id").agg(F.sum("copies").alias("n"), F.min(_place("low", "tid", "start")).alias("first"), F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("k"))
-    counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", "a", "b", "k", F.coalesce("root", "id").alias("root"))
-    classes = counts.groupBy("root").agg(F.sum("n").alias("n_occurrences"), F.min("first").alias("first"), F.count("*").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"), F.sum("k").alias("k"))
-    classes = classes.where("m > 1 or a = b and k > 1").select("root", "n_occurrences", "first")
+    placed = lines.select("t", "start", "n", "id").dropDuplicates(["t", "start"]).join(texts.select("t", "low"), "t")
+    counts = placed.groupBy("id").agg(F.min(_place("start")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"))
+    counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", "a", "b", F.coalesce("root", "id").alias("root"))
+    classes = counts.groupBy("root").agg(F.sum("n").alias("n_occurrences"), F.min("first").alias("first"), F.count("*").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"))
+    classes = classes.where("m > 1 or a = b and n_occurrences > 1").select("root", "n_occurrences", "first")
     of_id = counts.select("id", "root").join(classes, "root").select("id", "n_occurrences", "first")
-    line_rows = placed.join(of_id, "id").select("low", "tid", F.lit("line").alias("kind"), "start", F.col("n").alias("n_words"), "first", "n_occurrences")
+    line_rows = placed.join(of_id, "id").select("t", "low", F.lit("line").alias("kind"), "start", F.col("n").alias("n_words"), F.col("first.t").alias("ft"), F.col("first.low").alias("fl"), F.col("first.start").alias("fs"), "n_occurrences")
+    line_rows = saved(line_rows, "line-rows")
+    settled(spark)
 
     # passages: neighbouring runs whose first occurrences are neighbours as well
-    runs = runs.select(F.col("id").alias("tid"), "pos", "h", "g").join(texts.select("tid", "low", "copies"), "tid")
-    runs = saved(runs, "runs")
-    twice = runs.groupBy("h", "g").agg(F.min(_place("low", "tid", "pos")).alias("first"), F.sum("copies").alias("n"), F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b")
-    hit = runs.select("tid", "low", "pos", "h", "g").join(twice.select("h", "g", "first", "n"), ["h", "g"])
-    hit = hit.select("tid", "low", "pos", "n", F.col("first.low").alias("fl"), F.col("first.tid").alias("ft"), (F.col("first.start") - F.col("pos")).alias("shift"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("tid", "ft", "shift").orderBy("pos"))
-    hit = hit.withColumn("island", island).groupBy("tid", "ft", "shift", "island").agg(F.first("low").alias("low"), F.first("fl").alias("fl"), F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), F.max("n").alias("n_occurrences"))
-    first = F.struct(F.col("fl").isNull().alias("none"), F.col("fl").alias("low"), F.col("ft").alias("tid"), (F.col("start") + F.col("shift")).cast("int").alias("start"))
-    passage_rows = hit.select("low", "tid", F.lit("passage").alias("kind"), "start", "n_words", first.alias("first"), "n_occurrences")
-
-    same = (F.col("first.tid") == F.col("tid")) & (F.col("first.start") == F.col("start"))
-    columns = ["doc_id", "tid", "kind", "start", "n_words", "first_doc_id", "first_tid", "first_start", "n_occurrences", "removed"]
-    parts = line_rows.unionByName(passage_rows)
-    parts = parts.select(F.col("low").alias("doc_id"), "tid", "kind", "start", "n_words", F.col("first.low").alias("first_doc_id"), F.col("first.tid").alias("first_tid"), F.col("first.start").alias("first_start"), "n_occurrences", (~same).alias("removed"))
+    runs = runs.select("t", "low", "pos", "h")
+    twice = runs.groupBy("h").agg(F.min(_place("pos")).alias("first"), F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b")
+    hit = runs.join(twice.select("h", F.col("first.low").alias("fl"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "n"), "h")
+    hit = hit.select("t", "low", "pos", "n", "fl", "ft", (F.col("fs") - F.col("pos")).alias("shift"))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("t", "low", "ft", "fl", "shift").orderBy("pos"))
+    hit = hit.withColumn("island", island).groupBy("t", "low", "ft", "fl", "shift", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), F.max("n").alias("n_occurrences"))
+    passage_rows = hit.select("t", "low", F.lit("passage").alias("kind"), "start", "n_words", "ft", "fl", (F.col("start") + F.col("shift")).cast("int").alias("fs"), "n_occurrences")
+
+    same = (F.col("ft") == F.col("t")) & F.col("fl").eqNullSafe(F.col("low")) & (F.col("fs") == F.col("start"))
+    columns = ["doc_id", "tid", "kind", "start", "n_words", "first_doc_id", "first_start", "n_occurrences", "removed"]
+    of_t = texts.select(F.col("t").alias("_t"), F.col("low").alias("_low"), "tid")
+    parts = line_rows.unionByName(passage_rows).join(of_t, (F.col("t") == F.col("_t")) & F.col("low").eqNullSafe(F.col("_low")))
+    parts = parts.select(F.col("low").alias("doc_id"), "tid", "kind", "start", "n_words", F.col("fl").alias("first_doc_id"), F.col("fs").alias("first_start"), "n_occurrences", (~same).alias("removed"))
     copied = whole.select("doc_id", "tid").join(texts.where("copies > 1"), "tid")
-    copied = copied.select("doc_id", "tid", F.lit("text").alias("kind"), F.lit(0).alias("start"), "n_words", F.col("low").alias("first_doc_id"), F.col("tid").alias("first_tid"), F.lit(0).alias("first_start"), F.col("copies").alias("n_occurrences"), (~F.col("doc_id").eqNullSafe(F.col("low"))).alias("removed"))
+    copied = copied.select("doc_id", "tid", F.lit("text").alias("kind"), F.lit(0).alias("start"), "n_words", F.col("low").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("copies").alias("n_occurrences"), (~F.col("doc_id").eqNullSafe(F.col("low"))).alias("removed"))
     return saved(parts.select(*columns).unionByName(copied), "repeats")
 
 
@@ -274,10 +279,11 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, min_words: int
     kind "text": the document's whole text of ``min_words`` words or more stands in other rows too; only the first row's
     document has the other kinds. kind "passage": ``min_words`` words or more in a row stand word for word in another
     text, all with the same first occurrence (n_occurrences: of its most frequent run). kind "line": a line of ``min_words``
-    words or more that is similar to another one, or repeats inside the text. Null and short texts have no rows. A row
+    words or more that is similar to another one, or repeats inside the text. n_occurrences counts equal texts once, but for
+    kind "text". Null and short texts have no rows. A row
     that equals the first occurrence's in doc_id and text is not removed. Null doc_ids come last. Other columns are left
     out; an empty table gives an empty result."""
-    return repeats(docs, threshold, min_words).drop("tid", "first_tid")
+    return repeats(docs, threshold, min_words).drop("tid")
 
 
 def _cut(text: str, ranges: list[int]) -> str:
