@@ -1,12 +1,11 @@
-"""Links between items that share a bucket, without all pairs of a bucket.
-
-In each round every bucket names a leader, its most central item, and the others are verified against it alone; what it
-matches leaves the round's list, not the bucket. Rounds end when leaders settle little more (a group of near copies is
-settled by its first leader; items that merely share a passage are settled by none). Then every bucket whose items are
-not yet all joined by links is resolved exactly: in a small bucket all pairs of items that are not joined, in a crowded
-one those of them that share a rare token of both (a prefix filter, which no similar pair fails). Items settled before
-take part, so the links have the components of all similar pairs of the buckets. The number of jobs does not depend on
-the size of a bucket.
+"""Classes of similar items that share a bucket, without emitting all pairs of a bucket.
+
+Every bucket names a leader, its most central item, and the others are verified against it alone. That settles a bucket of
+near copies; what is left are buckets whose items are not all joined by links. They are resolved exactly, settled items
+taking part: in a small bucket all pairs of items that are not joined are verified; in a crowded one the items that are not
+joined to the leader meet all its items in blocks of bounded size, where the numbers of common tokens, one matrix product
+for a pair of blocks, leave few pairs to verify, and a pair of blocks gives no more links than it has items. So the classes
+are the components of all similar pairs of the buckets. The number of jobs does not depend on the size of a bucket.
 """
 
 from __future__ import annotations
@@ -18,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, saved_with_mark, union_all
+from .common import components, saved, saved_with_mark
 
-#: Rows of one leader's group that one task verifies.
-GROUP = 500
-#: Most rounds of leaders; a round that settles less than this share of its rows is the last.
-ROUNDS, LEAST = 4, 0.1
-#: Open buckets of at most so many items are paired without a filter.
+#: Rows of one leader's group that one task verifies; items and bytes of a block.
+GROUP, BLOCK, BLOCK_BYTES = 500, 500, 1 << 19
+#: Buckets of more items are crowded.
 FEW = 24
 
 
@@ -67,64 +64,108 @@ def _across(rows: DataFrame, on: list[str]) -> DataFrame:
     return one.join(two, [*on, "part"]).where("ra < rb").select("a", "b")
 
 
-def _by_prefix(rows: DataFrame, items: DataFrame, tokens: Callable[[bytes], np.ndarray], share: float, kind: str) -> DataFrame:
-    """(a, b): of the pairs of different roots in one bucket (rows: band, key, id, root) all that can have ``share`` of
-    either's tokens in common. In any order of the tokens such a pair shares one among the first
-    n - ceil(share * n) + 1 of both; the order here is by how rare a token is. Items that share a long passage, but less
-    than ``share``, have their own words first, so they do not meet."""
-
-    def run(batches):
-        for x in batches:
-            found = [tokens(p.as_buffer().to_pybytes()).view(np.int64) for p in x.column(1)]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
-
-    of = items.join(rows.select("id").distinct(), "id", "left_semi").select("id", "blob").mapInArrow(run, f"id {kind}, tokens array<long>")
-    of = saved(of, "tokens")
-    each = of.select("id", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    # a token of one item alone comes first and meets nothing
-    ranked = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))
-    first = F.size("tokens") - F.ceil(F.size("tokens") * share - 1e-6) + 1
-    alone = F.size("tokens") - F.size("common")
-    most = F.greatest(first - alone, F.lit(0)).cast("int")
-    head = of.join(ranked, "id").select("id", F.transform(F.slice("common", F.lit(1), most), lambda x: x["token"]).alias("head"))
-    return _across(rows.join(head, "id").select("band", "key", "id", "root", F.explode("head").alias("token")), ["band", "key", "token"])
-
-
-def bucket_classes(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray], share: float) -> DataFrame:
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of ``left`` has in common with each of ``right`` (distinct tokens in each)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    both = np.intersect1d(a, b)
+    for at in range(0, len(both), 4096):
+        some = both[at : at + 4096]
+        sides = []
+        for tokens, rows, n in ((a, row_a, len(left)), (b, row_b, len(right))):
+            spot = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+            mine = some[spot] == tokens
+            m = np.zeros((n, len(some)), np.float32)
+            m[rows[mine], spot[mine]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _met_before(left: list[list[dict]], right: list[list[dict]], band: int) -> np.ndarray:
+    """Which of ``left`` share with which of ``right`` a bucket (each: band, key) of a band before ``band``."""
+    out = np.zeros((len(left), len(right)), bool)
+    for before in range(band):
+        a, b = (np.array([next((s["key"] for s in own if s["band"] == before), None) for own in side], object) for side in (left, right))
+        has_a, has_b = (np.array([k is not None for k in side]) for side in (a, b))
+        if has_a.any() and has_b.any():
+            out[np.ix_(has_a, has_b)] |= a[has_a].astype(np.int64)[:, None] == b[has_b].astype(np.int64)[None, :]
+    return out
+
+
+def _in_blocks(rows: DataFrame, every_row: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray], likely: Callable, kind: str) -> DataFrame:
+    """(a, b): links that join all roots of each bucket which similar pairs join (rows: band, key, id, root, main; main is
+    the leader's root). every_row: those of all open buckets; a pair meets in the first band that both share."""
+    own = every_row.groupBy("id").agg(F.collect_list(F.struct("band", "key")).alias("own"))
+    blobs = items.join(own, "id").select("id", "blob", "own")
+    full = saved(rows.join(blobs, "id").select("band", "key", "id", "root", "main", "blob", "own"), "crowded")
+    apart = F.col("root") != F.col("main")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    size = F.length("blob")
+    sizes = full.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(size).alias("b"), F.count(F.when(apart, 1)).alias("na"), F.sum(F.when(apart, size)).alias("ba"))
+    sizes = sizes.select("band", "key", blocks(F.col("na"), F.col("ba")).alias("ni"), blocks(F.col("n"), F.col("b")).alias("nj"))
+    dealt = full.join(sizes, ["band", "key"])
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, data = ["band", "key", "i", "j"], ["id", "root", "blob", "own"]
+    one = dealt.where(apart).select(*keys[:2], part("ni").alias("i"), every("nj").alias("j"), *data)
+    # under names of its own, as both sides stem from one table
+    two = dealt.select(*keys[:2], every("ni").alias("i"), part("nj").alias("j"), *data).toDF(*[f"{c}_b" for c in keys + data])
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if x.num_rows and y.num_rows:
+            (ia, ra, ba, sa), (ib, rb, bb, sb) = ([t.column(c + end).to_pylist() for c in data] for t, end in ((x, ""), (y, "_b")))
+            ta, tb = [tokens(v) for v in ba], [tokens(v) for v in bb]
+            number = {r: i for i, r in enumerate(dict.fromkeys(ra + rb))}
+            parent = list(range(len(number)))
+
+            def top(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            na, nb = np.array([len(v) for v in ta])[:, None], np.array([len(v) for v in tb])[None, :]
+            qa, qb = np.array([number[r] for r in ra]), np.array([number[r] for r in rb])
+            open_ = likely(_common(ta, tb), na, nb) & (qa[:, None] != qb[None, :]) & ~_met_before(sa, sb, x.column("band")[0].as_py())
+            for i, j in np.argwhere(open_).tolist():
+                p, q = top(qa[i]), top(qb[j])
+                if p != q and similar(ba[i], bb[j]):
+                    parent[q] = p
+                    found.append((ia[i], ib[j]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        of = pa.int64() if kind == "bigint" else pa.binary()
+        return pa.table({"a": pa.array(a, of), "b": pa.array(b, of)})
+
+    return one.groupBy(*keys).cogroup(two.groupBy(*[f"{c}_b" for c in keys])).applyInArrow(meet, f"a {kind}, b {kind}")
+
+
+def bucket_classes(keys: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool], tokens: Callable[[bytes], np.ndarray], likely: Callable) -> DataFrame:
     """(node, root): the components of all similar pairs of items in one bucket, for the items that have any; root is one
     of the component's items.
 
     keys: id, band int, key long, central, as :func:`shared_buckets` leaves them; items: id, blob. tokens: the distinct
-    64-bit tokens of a blob, of which similar items have ``share`` of either's in common.
+    64-bit tokens of a blob; likely(common, n_a, n_b), of arrays: true wherever so many common tokens can mean a similar
+    pair.
     """
-    kind, active, found = dict(keys.dtypes)["id"], keys, []
-    for turn in range(ROUNDS):
-        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("l")
-        leaders = active.groupBy("band", "key").agg(first, F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("l.id").alias("leader"))
-        met, n, _ = saved_with_mark(active.join(leaders, ["band", "key"]).where("id <> leader"), "met", "id")
-        if not n:
-            break
-        ok = saved(verified(met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), items, similar, kind), "links")
-        found.append(ok)
-        left = met.join(ok.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti")
-        active, rest, _ = saved_with_mark(left.select(*keys.columns), "active", "id")
-        if not rest or rest > (1 - LEAST) * n:
-            break
-    if not found:
-        return keys.select(F.col("id").alias("node"), F.col("id").alias("root")).where("false")
-    roots = saved(components(union_all(found)), "roots")
+    kind = dict(keys.dtypes)["id"]
+    first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64("id").alias("h"), "id")).alias("l")
+    leaders = saved(keys.groupBy("band", "key").agg(first, F.count("*").alias("m")).select("band", "key", F.col("l.id").alias("leader"), "m"), "leaders")
+    met = keys.join(leaders, ["band", "key"]).where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    roots = saved(components(saved(verified(met, items, similar, kind), "links")), "roots")
     # a settled item stays a candidate for all that no link has joined to it yet
     rows = keys.join(roots, keys["id"] == roots["node"], "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
-    parted = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows, n, _ = saved_with_mark(rows.join(parted.select("band", "key", "m"), ["band", "key"]), "open", "id")
+    parted = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    main = leaders.join(roots, leaders["leader"] == roots["node"], "left").select("band", "key", "m", F.coalesce("root", "leader").alias("main"))
+    parted = saved(parted.join(main, ["band", "key"]), "parted")
+    rows, n, _ = saved_with_mark(rows.join(parted, ["band", "key"]), "open", "id")
     if not n:
         return roots
-    pairs = saved(_across(rows.where(F.col("m") <= FEW), ["band", "key"]).distinct(), "pairs")
-    crowded = rows.where(F.col("m") > FEW).select("band", "key", "id", "root")
+    more = saved(verified(_across(rows.where(F.col("m") <= FEW), ["band", "key"]).distinct(), items, similar, kind), "links")
+    crowded = rows.where(F.col("m") > FEW).select("band", "key", "id", "root", "main")
     if not crowded.isEmpty():
-        pairs = pairs.union(saved(_by_prefix(crowded, items, tokens, share, kind).distinct(), "pairs")).distinct()
-    more = saved(verified(pairs, items, similar, kind), "links")
+        more = more.union(saved(_in_blocks(crowded, rows, items, similar, tokens, likely, kind), "links"))
     of = rows.select("id", "root").distinct()
     across = more.join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
     merged = components(across.select("ra", "rb"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))

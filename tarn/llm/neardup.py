@@ -75,7 +75,7 @@ def order_minhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the edit distance of two arrays is at most ``most``: furthest-reaching points along a band of
-    diagonals that widens by one with each further edit, all diagonals at once."""
+    diagonals that widens by one with each further edit, all diagonals at once; a wide band goes by columns instead."""
     if abs(len(a) - len(b)) > most:
         return False
     n = min(len(a), len(b))
@@ -89,6 +89,8 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     la, lb = len(a), len(b)
     if not la or not lb:
         return max(la, lb) <= most
+    if most > 16:
+        return _columns(a.tolist(), b.tolist(), most)
     ends = np.append(a, np.uint32(0)), np.append(b, np.uint32(0))
     reach = np.full(2 * most + 5, -2, np.int64)  # rows of a used, by diagonal; index most + 2 is the main one
     diagonal = np.arange(2 * most + 5) - most - 2  # columns of b less rows of a
@@ -116,6 +118,26 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return bool(reach[goal] >= la)
 
 
+def _columns(a: list[int], b: list[int], most: int) -> bool:
+    """As :func:`within`: the alignment's columns as bit vectors of their vertical steps, one big number for each sign.
+    Ends as soon as what is left can't bring the distance down to ``most``."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for left, x in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        match = places.get(x, 0) | down
+        diagonal = ((up + (match & up)) ^ up) | match
+        fall, rise = up & diagonal, down | (full & ~(up | diagonal))
+        distance += (rise >> top & 1) - (fall >> top & 1)
+        if distance - left > most:
+            return False
+        rise = rise << 1 | 1
+        down, up = rise & diagonal & full, full & (fall << 1 | ~(rise | diagonal))
+    return distance <= most
+
+
 def _rising(p: np.ndarray) -> np.ndarray:
     """Places of a longest rising subsequence."""
     if (np.diff(p) > 0).all():
@@ -218,7 +240,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id").distinct(), "id", "left_semi")
     texts = keyed.join(wanted, (keyed["id"] == wanted["id"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     items = saved(texts.select("id", "text").mapInArrow(_blob, "id binary, blob binary").dropDuplicates(["id"]), "words")
-    return bucket_classes(keys, items, similar, word_tokens, SHARE), one.select("id", "low", "n"), rows.select("doc_id", "id")
+    return bucket_classes(keys, items, similar, word_tokens, lambda c, a, b: c >= SHARE * np.maximum(a, b) - 1e-3), one.select("id", "low", "n"), rows.select("doc_id", "id")
 
 
 def with_classes(docs: DataFrame) -> DataFrame:

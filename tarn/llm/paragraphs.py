@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, saved, scratch_path, settled, windows
+from .common import Words, mix, removed, saved, scratch_path, settled, windows
 from .links import bucket_classes, shared_buckets
 
 K = 5
@@ -193,12 +193,12 @@ def jaccard(x: bytes, y: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _kinds(df: DataFrame, name: str, *kinds: int) -> list[DataFrame]:
-    """``df``, saved by its column ``kind``: the rows of each of ``kinds``."""
+def _kinds(df: DataFrame, name: str, *kinds: int) -> tuple[str, list[DataFrame]]:
+    """``df``, saved by its column ``kind``: the folder, the rows of each of ``kinds``."""
     path, spark = scratch_path(df.sparkSession, name), df.sparkSession
     df.write.partitionBy("kind").parquet(path)
     both = spark.read.schema(df.schema).parquet(path)
-    return [both.where(F.col("kind") == k).drop("kind") for k in kinds]
+    return path, [both.where(F.col("kind") == k).drop("kind") for k in kinds]
 
 
 def text_id(text: Column) -> Column:
@@ -219,12 +219,13 @@ def repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> Dat
     bands, rows = tuned_bands(threshold)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", text_id(F.col("text"))).withColumn("t", F.xxhash64("tid"))
     units, schema = _units(bands, rows, min_words)
-    lines, spots, whole = _kinds(keyed.mapInArrow(units, schema), "units", LINE, WINDOW, TEXT)
+    path, (lines, spots, whole) = _kinds(keyed.mapInArrow(units, schema), "units", LINE, WINDOW, TEXT)
     texts = saved(whole.groupBy("tid").agg(F.min("doc_id").alias("low"), F.first("t").alias("t"), F.count("*").alias("copies"), F.first("n").alias("n_words")), "texts")
 
     # windows that stand in two different texts
     spots = spots.select("t", "start", F.col("keys")[0].alias("key"))
     common = spots.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("key")
+    common = saved(common, "common-windows")  # apart, so that Spark can split the windows of a hot passage in the join
     starts = spots.join(common, "key", "left_semi").groupBy("t").agg(F.collect_set("start").alias("starts"))
 
     # lines that share a band with another
@@ -234,15 +235,16 @@ def repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> Dat
     of_text = one.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("at.t").agg(F.collect_list(F.struct("id", "at.start", "at.n")).alias("lines"))
 
     asked = saved(starts.join(of_text, "t", "full").join(texts.select("t", F.col("tid").alias("want"), "low"), "t"), "asked")
+    removed(spark, f"{path}/kind={WINDOW}")
     settled(spark)
     found, schema = _looked_up(min_words)
     reread = keyed.drop("t").join(asked, (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    sets, runs = _kinds(reread.select("t", "low", "text", "starts", "lines").mapInArrow(found, schema), "looked-up", LINE, WINDOW)
+    _, (sets, runs) = _kinds(reread.select("t", "low", "text", "starts", "lines").mapInArrow(found, schema), "looked-up", LINE, WINDOW)
     settled(spark)
 
     # lines: the components of similar ones; a line that only equal ones repeat in other texts is left to the passages
     sets = saved(sets.select("id", "blob").dropDuplicates(["id"]), "shingles")
-    roots = bucket_classes(buckets, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), threshold)
+    roots = bucket_classes(buckets, sets, lambda x, y: jaccard(x, y) >= threshold, lambda x: np.frombuffer(x, np.uint64), lambda c, a, b: c >= threshold * (a + b - c) - 1e-3)
     placed = lines.select("t", "start", "n", "id").dropDuplicates(["t", "start"]).join(texts.select("t", "low"), "t")
     counts = placed.groupBy("id").agg(F.min(_place("start")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"))
     counts = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n", "first", "a", "b", F.coalesce("root", "id").alias("root"))
@@ -256,7 +258,9 @@ def repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 50) -> Dat
     # passages: neighbouring runs whose first occurrences are neighbours as well
     runs = runs.select("t", "low", "pos", "h")
     twice = runs.groupBy("h").agg(F.min(_place("pos")).alias("first"), F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b")
-    hit = runs.join(twice.select("h", F.col("first.low").alias("fl"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "n"), "h")
+    twice = saved(twice.select("h", F.col("first.low").alias("fl"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "n"), "repeated-runs")
+    settled(spark)
+    hit = runs.join(twice, "h")
     hit = hit.select("t", "low", "pos", "n", "fl", "ft", (F.col("fs") - F.col("pos")).alias("shift"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy("t", "low", "ft", "fl", "shift").orderBy("pos"))
     hit = hit.withColumn("island", island).groupBy("t", "low", "ft", "fl", "shift", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), F.max("n").alias("n_occurrences"))

@@ -562,7 +562,9 @@ def test_similarity_equals_edit_distance():
             at = rng.integers(0, len(b) + 1)
             b = [np.delete(b, min(at, len(b) - 1)) if len(b) > 1 else b, np.insert(b, at, 7), np.concatenate((b[:at], [99], b[at + 1 :]))][rng.integers(3)].astype(np.uint32)
         n = max(len(a), len(b))
-        assert neardup.similar(a.tobytes(), b.tobytes()) == (edit_distance(a.tolist(), b.tolist()) <= int(0.2 * n + 1e-9))
+        far = edit_distance(a.tolist(), np.asarray(b).tolist())
+        assert neardup.similar(a.tobytes(), b.tobytes()) == (far <= int(0.2 * n + 1e-9))
+        assert [neardup._columns(a.tolist(), np.asarray(b).tolist(), m) for m in (far - 1, far, far + 1)] == [False, True, True]
 
 
 def test_near_duplicates_against_brute_force(spark, docs, texts):
@@ -601,7 +603,7 @@ def classes_of(spark, keys, sets, similar=None):
     keys = spark.createDataFrame(keys, "id long, band int, key long")
     items = spark.createDataFrame([(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()], "id long, blob binary")
     alike = similar or (lambda x, y: paragraphs.jaccard(x, y) >= 0.8)
-    found = links.bucket_classes(links.shared_buckets(keys), items, alike, lambda x: np.frombuffer(x, np.uint64), 0.8)
+    found = links.bucket_classes(links.shared_buckets(keys), items, alike, lambda x: np.frombuffer(x, np.uint64), lambda c, a, b: c >= 0.8 * (a + b - c) - 1e-3)
     return partition(found, sets)
 
 
