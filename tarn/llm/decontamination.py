@@ -20,8 +20,9 @@ from .common import LOWER, Words, saved, table, windows
 W = 8
 #: Template windows with fewer literal words than this say nothing; they are compared by their exact values.
 LITERALS = 3
-#: Benchmark windows that are sent to all tasks as a filter (8 bytes each); beyond, all windows are shuffled.
-FILTER_MOST = 2_000_000
+#: Bits of the sieve of benchmark windows that all tasks get: of fixed size (2 MB), whatever the size of the benchmark. It
+#: only spares windows the shuffle; the join decides.
+SIEVE_BITS = 24
 NUMBER, NAME, UNIT = np.uint64(0xA11), np.uint64(0xB22), np.uint64(0xC33)
 UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec min h hr hrs day days week weeks month months year years hz khz mhz ghz b kb mb gb tb w kw mw v kv a ma j kj cal kcal k c f pa kpa mpa bar usd eur gbp dollar dollars euro euros cent cents percent degrees".split()
 _PUNCT = np.zeros(256, bool)
@@ -62,7 +63,11 @@ class Template(Words):
         buf[wide] += 32
         self.buf = LOWER[buf]
         self.value = self.hashes()
+        # a unit follows a number: "3 a" is ampere, "a box" is not
         unit = np.isin(self.value, _unit_hashes())
+        unit[1:] &= number[:-1]
+        unit[:1] = False
+        unit[self.first[:-1][self.n > 0]] = False
         self.template = np.where(number, NUMBER, np.where(capital & ~opens, NAME, np.where(unit, UNIT, self.value)))
         self.slot = number | (capital & ~opens) | unit
         self.opening = capital & opens & ~number  # may be a name as well
@@ -95,8 +100,8 @@ def _windows_of(size: int, key: str, wanted: np.ndarray | None):
                 ]
                 for way, h, keep, slots in ways:
                     if wanted is not None:
-                        found = np.searchsorted(wanted, h)
-                        keep = keep & (wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else False)
+                        spot = h >> np.uint64(64 - SIEVE_BITS)
+                        keep = keep & (wanted[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1) == 1)
                     h, at_ = h[keep], begin[keep]
                     if not len(h):
                         continue
@@ -153,6 +158,16 @@ def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None)
     return df.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _sieve(windows_of_items: DataFrame) -> np.ndarray:
+    """A bit for each value of the first SIEVE_BITS bits of the windows' hashes: at most 2 ** (SIEVE_BITS - 6) numbers."""
+    spot = F.shiftrightunsigned("hash", 64 - SIEVE_BITS)
+    words = windows_of_items.select(F.shiftright(spot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - SIEVE_BITS}) & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    for r in words.groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")).collect():
+        out[r["at"]] = r["bits"]
+    return out.view(np.uint64)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows (of the item's that were
     found along its best chain), share (of the item's windows, or of
@@ -160,20 +175,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
 
     A document holds an item if at least ``share`` of its windows lie on one chain with consistent slots; each word put in or
     left out costs up to seven windows, so an item of under 21 words can still be lost by one in its middle. Items
-    of fewer than eight words are compared as a whole, if they have three words (fewer are found by chance in any text). Items with the same text count as
-    one, the smallest item_id. Null texts have no words; rows with the same doc_id count as one document; null
+    of fewer than eight words are compared as a whole, if they have three words (fewer are found by chance in any text). Items with the same text are
+    looked for once; each has its row. Null texts have no words; rows with the same doc_id count as one document; null
     doc_ids as well. Empty tables give an empty result. Other columns are left out.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    twins = items
     items = saved(items.groupBy("text").agg(F.min("item_id").alias("item_id")), "items")
+    twins = twins.join(items.withColumnRenamed("item_id", "one"), "text").select("one", "item_id").distinct()
     sizes = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike("[^!-/:-@\\[-`{-~]")))
     short = sorted(r[0] for r in items.select(sizes.alias("n")).where(f"n < {W} and n >= {LITERALS}").distinct().collect())  # at most W sizes
     found = []
     for size in [W, *short]:
         theirs = _table(items, "item_id", size).where(F.col("n_words") == size if size < W else F.lit(True))
         theirs = saved(theirs.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), F.col("n_kept").alias("item_kept"), "way"), "item-windows")
-        few = theirs.count() <= FILTER_MOST
-        wanted = np.unique(np.array([r[0] for r in theirs.select("hash").collect()], np.int64).view(np.uint64)) if few else None
+        wanted = _sieve(theirs)
         mine = _table(docs, "doc_id", size, wanted).select(F.col("key").alias("doc_id"), "at", "hash", "slots")
         met = mine.join(theirs, "hash")
         hit = F.struct("item_at", "at", "item_slots", "slots", "way").alias("hit")
@@ -188,6 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
     for f in found[1:]:
         every = every.unionByName(f)
     best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "share", "verbatim")).alias("m"))
+    best = best.withColumnRenamed("item_id", "one").join(twins, "one")
     return best.select("doc_id", "item_id", "m.n_windows", F.round("m.share", 6).alias("share"), "m.verbatim")
 
 
