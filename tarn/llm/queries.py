@@ -110,7 +110,7 @@ best AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(ve
          FROM h JOIN rules ON ends_with('.' || host, '.' || rh) AND starts_with(path, rp) GROUP BY page_id)
 SELECT h.page_id, host, path, rule,
        coalesce(best.verdict, CASE WHEN starts_with(path, '/') AND (contains(host, 'spam') OR contains(host, 'casino') OR contains(host, 'pills')
-            OR regexp_matches(path, '(?s)^/.*/porn') OR regexp_matches(path, '(?s)^/.*viagra') OR regexp_matches(path, '(?s)^/.*\.exe')) THEN 'block' ELSE 'allow' END) AS verdict
+            OR regexp_matches(path, '(?s)^/.*/porn') OR regexp_matches(path, '(?s)^/.*viagra') OR regexp_matches(path, '(?s)^/.*\.exe$')) THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best USING (page_id)
 """
 

@@ -23,7 +23,7 @@ CUT = "\0"
 FIXED_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 #: The method's own verdict where no rule fits: hosts and paths that are blocked, as globs.
-OWN_BLOCKS = ["*spam*/", "*casino*/", "*pills*/", "*/*/porn*", "*/*viagra*", "*/*.exe"]
+OWN_BLOCKS = ["*spam*/", "*casino*/", "*pills*/", "*/*/porn*", "*/*viagra*", "*/*.exe$"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,9 +38,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def glob_of(rule: str) -> str:
-    """``host/path`` as a glob over the canonical form; a host without ``*`` also fits its subdomains."""
+    """``host/path`` as a glob over the canonical form; a host without ``*`` also fits its subdomains, a path that does not
+    end in ``$`` also fits longer ones."""
     host, _, path = rule.partition("/")
-    return ("*" if host.startswith("*") else "*.") + host.removeprefix("*") + CUT + "/" + path + "**"
+    return ("*" if host.startswith("*") else "*.") + host.removeprefix("*") + CUT + "/" + (path[:-1] if path.endswith("$") else path + "**")
 
 
 class ShiftAnd:
@@ -99,7 +100,7 @@ class ShiftAnd:
 def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] | None = None, blocks: list[str] | None = None) -> DataFrame:
     """``df`` with _host, _path, _rule (the longest that fits, or null) and _verdict (allow or block).
 
-    Rules of the same length: the first in the list. Where no rule fits, the verdict is block if one of ``blocks``
+    Columns of these names, and one named _v, are replaced. Rules of the same length: the first in the list. Where no rule fits, the verdict is block if one of ``blocks``
     does, else allow. Null, empty, very long and repeated URLs are judged like any other; an empty table stays empty.
     """
     rules = FIXED_RULES if rules is None else rules
