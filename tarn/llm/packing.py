@@ -9,6 +9,7 @@ by its rank among the pieces of its length, which Spark counts in salted parts,
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -37,7 +38,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")  # texts with one of them go to the library
         self.kept: dict[str, bytes | None] = {}
         newline = self.whole.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else -1
@@ -71,7 +73,8 @@ class ByteBpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.many is None or self.newline < 0:
             return [self._whole(t or "") for t in texts]
-        split = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        odd = {i: self._whole(t) for i, t in enumerate(texts) if t and self.added.search(t)}
+        split = [("" if i in odd else t or "").replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
         for parts in split:  # nothing comes before the first chunk, as after a line end
             parts[0] = "\n" + parts[0]
         new = set().union(*split) - self.kept.keys()
@@ -97,6 +100,8 @@ class ByteBpe:
                 out.append(b"".join(map(get, parts))[4:])
             except TypeError:  # white space of another kind
                 out.append(self._whole(text))
+        for i, ids in odd.items():
+            out[i] = ids
         return out
 
     def _whole(self, text: str) -> bytes:
