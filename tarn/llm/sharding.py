@@ -1,7 +1,8 @@
 """Two-pass external shuffle into shards (operator 4); DataFrame functions only.
 
 Pass one scatters the records by seeded hashes into buckets that fit a task's memory, each inside one shard.
-Pass two shuffles each bucket (Spark's ``shuffle`` is a Fisher-Yates shuffle with a seed). The law is ``key``:
+Pass two shuffles each bucket: the draws of a Fisher-Yates shuffle come as a seeded hash of each record, and sorting by
+them gives the permutation, so it depends on the seed alone, not on Spark's partitions. The law is ``key``:
 the key and the number of shards alone decide the shard, by the highest of one hash per shard, so one more shard
 takes rows only into itself. A slot is the bucket's first slot plus the place in the shuffled bucket.
 """
@@ -30,7 +31,7 @@ def two_pass_shuffle(df: DataFrame, key: str, size: Column, shards: int, seed: i
     large the input; which bucket of its shard a record goes to depends on a hash of all its columns, so a hot
     key, source or text is spread over all of them. Nulls, very long texts and repeated rows are rows like any
     other (rows equal in every column share a bucket); columns may have any names; an empty table stays empty.
-    The order in a bucket depends on the seed and on the number of partitions.
+    The order in a bucket depends on the seed and the number of buckets alone; rows equal in every column are neighbours.
     """
     total = df.agg(F.sum(size)).first()[0] or 0
     per_shard = max(1, math.ceil(total / shards / bucket_bytes))
@@ -40,7 +41,7 @@ def two_pass_shuffle(df: DataFrame, key: str, size: Column, shards: int, seed: i
     base = base.withColumn("bucket", F.pmod("fine", F.lit(per_shard)).cast("int"))
     counts = base.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
-    buckets = base.groupBy("shard", "bucket").agg(F.shuffle(F.sort_array(F.collect_list(F.struct("fine", "record"))), seed).alias("records"))
+    buckets = base.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 2), "fine").alias("draw"), "fine", "record"))).alias("records"))
     placed = buckets.join(first, ["shard", "bucket"]).select("shard", "first", F.posexplode("records").alias("at", "row"))
     mine, new = F.col(f"row.record.`{key}`"), F.col("shard")
     kept = _hash(mine, shards, seed) <= F.greatest(*[_hash(mine, s, seed) for s in range(shards)])
