@@ -121,7 +121,6 @@ def test_pieces_hold_the_ids_of_the_tokenizers_library(spark, docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, queries.tokenizer_path(), 256).collect()
     packed_ok(rows, 256)
     by = {}
@@ -143,7 +142,6 @@ def test_encoder_on_odd_white_space():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     cases = ["", " ", "\n", "a", " a", "\na", "a\n", "a\n\nb", "a  b", "a \n b", "a\u00a0b c", "a\tb", "it's we'll\nI'm", "x\x1cy z", "\u3000a b", "<|endoftext|> b", "a\x85b c", "né 12,3 !!\n?? a"]
     got = packing.ByteBpe(queries.tokenizer_path()).encode(cases)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in cases]
@@ -200,6 +198,19 @@ def test_template_lines_go_where_no_article_is_marked(spark):
     assert html.extract(df.limit(0)).count() == 0 and html.extract(df).count() == 10
 
 
+def test_html_with_left_out_ends_and_broken_tags():
+    import time
+
+    text = lambda page: html.lines_of(page)[0]
+    assert text('<article><p class="advert">Buy<p>Real text one<p>Real two</article>') == ["Real text one", "Real two"]
+    assert text('<article><ul><li class="share">Share<li>Kept</ul><p>After</article>') == ["Kept", "After"]
+    assert text('<article><p class="advert">Buy<div>Kept</div></article>') == ["Kept"]
+    assert text("<article><p>Let <math><mi>x</mi></math> be</article>") == ["Let x be"]
+    began = time.perf_counter()
+    assert text("<article>" + "<a " * 20_000) and text("<article>" + "<div class=x>" * 20_000 + "deep") == ["deep"]
+    assert time.perf_counter() - began < 3
+
+
 def test_pages_equal_a_plain_reading(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op2_html_extraction(spark, SF).collect():
@@ -220,9 +231,19 @@ def test_quality_odd_input(odd):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_stage_keeps_columns_of_any_name(spark, odd):
+    df = odd.selectExpr("*", "1 as rejected_by", "2 as _w", "3 as base_failed", "4 as _q_w", "5 as row")
+    out = quality.filter_stage(spark, df, SF)
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {1, 2, None}
+    assert quality.filter_stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_cascade_orders_by_rejection_per_cost(docs):
-    order = quality.ordered_rules(docs, quality.default_rules(), fraction=1.0)
-    gain = [-hit / max(cost, 1e-6) for _, cost, hit in order]
+    order = quality.ordered_rules(docs, quality.default_rules())
+    gain = [-hit / cost for _, cost, hit in order]
+    assert sum(hit > 0 for _, _, hit in order) >= 2
+    few = [r["text"] for r in quality.rule_sample(docs, rows=40).collect()]
+    assert 10 < len(few) < 90 and few == [r["text"] for r in quality.rule_sample(docs, rows=40).collect()]
     assert gain == sorted(gain) and {n for n, _, _ in order} == set(quality.default_rules())
 
 
@@ -464,7 +485,7 @@ def test_seating_follows_the_restaurant():
 def test_predictions_sum_to_one():
     keys, _ = lm.tokens_of(["a b a c b", "b c c a"])
     distinct, c = np.unique(keys, return_counts=True)
-    every = np.unique(np.concatenate([(distinct & ~np.uint64(0xFF)) | np.uint64(x) for x in range(lm.LEAVES)]))
+    every = np.unique(np.concatenate([(distinct & ~np.uint64(lm.LEAVES - 1)) | np.uint64(x) for x in range(lm.LEAVES)]))
     counts = np.zeros(len(every), np.int64)
     counts[np.searchsorted(every, distinct)] = c
     r = lm.Range(every, counts, 0)
@@ -517,6 +538,15 @@ def test_reparameterised_questions_are_caught(spark, odd):
     assert decontamination.contaminated(odd, bench).count() == 0
 
 
+def test_units_follow_numbers_and_twin_items_have_rows(spark):
+    t = decontamination.Template(["sold a box in May for 3 a and 5 in more"])
+    assert [bool(x) for x in t.template == decontamination.UNIT] == [i in (7, 10) for i in range(12)]
+    text = "every morning the old man walks along the quiet river with his small brown dog and waits"
+    bench = spark.createDataFrame([(1, text), (2, text), (3, text + " there")], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame([(9, "so " + text)], "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(9, 1), (9, 2), (9, 3)}
+
+
 def test_leaks_with_words_put_in_are_caught(spark):
     item = "A train leaves the old station of Lenford with many tired passengers and their heavy bags, and after a long ride through green hills it meets Anna near the wide river bridge where she waits for her brother."
     rows = [
