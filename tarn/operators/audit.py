@@ -141,10 +141,16 @@ def resolve_identity(same: DataFrame, different: DataFrame) -> DataFrame:
     return links.groupBy("component").applyInPandas(run, "node long, cluster long")
 
 
-def count_interval(same: DataFrame, nodes: DataFrame, proven: str) -> DataFrame:
-    """One row: lower (all possible merges made) and upper (only proven ones) bounds of how many things there are."""
+def count_interval(same: DataFrame, nodes: DataFrame, proven: str, different: DataFrame | None = None) -> DataFrame:
+    """One row: lower (all possible merges made) and upper (only proven ones) bounds of how many things there are.
+    ``different`` (a, b): pairs proven to be two things, which no merge may bring together (see :func:`resolve_identity`)."""
     n = nodes.select("node")
-    lower = graph.components(same.select("src", "dst"), n).agg(F.countDistinct("component").alias("lower"))
+    if different is None:
+        lower = graph.components(same.select("src", "dst"), n).agg(F.countDistinct("component").alias("lower"))
+    else:
+        merged = resolve_identity(same.select(F.col("src").alias("a"), F.col("dst").alias("b")), different)
+        alone = n.distinct().join(merged, "node", "left_anti").select("node", F.col("node").alias("cluster"))
+        lower = merged.select("node", "cluster").unionByName(alone).agg(F.countDistinct("cluster").alias("lower"))
     upper = graph.components(same.where(proven).select("src", "dst"), n).agg(F.countDistinct("component").alias("upper"))
     return lower.crossJoin(upper)  # single rows
 

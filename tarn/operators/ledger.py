@@ -72,11 +72,18 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: list[floa
 def draw_down(charges: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(allocations, unbacked): charges (org, charge_id, at, credits), in the order of (at, charge_id), consume grants
     (org, grant_id, ends, credits), those that end first. Both sides become intervals of the organisation's cumulative
-    credits; an allocation is an overlap. All grants are valid for all charges (else: :func:`draw_down_in_order`)."""
+    credits; an allocation is an overlap (one sort of an organisation, no product of charges and grants). All grants are valid for all charges (else: :func:`draw_down_in_order`)."""
     c = charges.where("credits > 0").withColumn("hi", F.sum("credits").over(Window.partitionBy("org").orderBy("at", "charge_id"))).withColumn("lo", F.col("hi") - F.col("credits"))
     g = grants.where("credits > 0").withColumn("to", F.sum("credits").over(Window.partitionBy("org").orderBy(F.col("ends").asc_nulls_last(), "grant_id"))).withColumn("from", F.col("to") - F.col("credits"))
-    pairs = c.join(g.drop("credits"), "org").where("lo < to and from < hi")
-    allocations = pairs.select("org", "charge_id", "grant_id", (F.least("hi", "to") - F.greatest("lo", "from")).alias("credits"))
+    # every end of an interval ends one stretch, which lies in the next charge and the next grant at or after it
+    ends = c.select("org", F.col("hi").alias("v"), "charge_id", F.lit(None).cast(g.schema["grant_id"].dataType).alias("grant_id"))
+    ends = ends.unionByName(g.select("org", F.col("to").alias("v"), F.lit(None).cast(c.schema["charge_id"].dataType).alias("charge_id"), "grant_id"))
+    ends = ends.groupBy("org", "v").agg(F.max("charge_id").alias("charge_id"), F.max("grant_id").alias("grant_id"))
+    down = Window.partitionBy("org").orderBy(F.desc("v"))
+    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda x: F.last(x, ignorenulls=True).over(upto).alias(x)
+    size = F.col("v") - F.coalesce(F.lead("v").over(down), F.lit(0))
+    allocations = ends.select("org", last("charge_id"), last("grant_id"), size.alias("credits")).where("charge_id is not null and grant_id is not null")
     backed = g.groupBy("org").agg(F.max("to").alias("all"))
     unbacked = c.join(backed, "org", "left").select("org", "charge_id", F.greatest(F.col("hi") - F.greatest("lo", F.coalesce("all", F.lit(0))), F.lit(0)).alias("unbacked"))
     return allocations, unbacked.where("unbacked > 0")
@@ -149,8 +156,8 @@ def quota_summary(grants: DataFrame, as_of: Column, tiers: list[str]) -> DataFra
     return out.withColumn("tier", F.when(F.col("b.r") <= len(tiers), F.col("b.tier")).otherwise("free")).drop("b")
 
 
-def run_scenarios(calls: DataFrame, runs: list[str], value: str, flag: Column, n: int = 10) -> DataFrame:
-    """Per run: credits, whether any call has the flag, the decile of credits from the top."""
+def run_scenarios(calls: DataFrame, runs: list[str], value: str, flag: Column) -> DataFrame:
+    """Per run: credits, calls, whether any call has the flag, and the scenario: of one call, with the flag, or else."""
     per = calls.groupBy(*runs).agg(F.sum(value).alias("credits"), F.max(flag.cast("int")).alias("flagged"), F.count("*").alias("calls"))
     kind = F.when(F.col("calls") == 1, "single_turn").when(F.col("flagged") == 1, "takeoff").otherwise("analysis")
     return per.withColumn("scenario", kind)

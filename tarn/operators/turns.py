@@ -43,6 +43,12 @@ def previous_of_role(msgs: DataFrame, conversation: str, order: str, role: str,
     return F.last(F.when(F.col(role) == wanted, F.col(ident)), ignorenulls=True).over(w)
 
 
+def anchor_of(conversation: str, order: str, role: str, wanted: str, ident: str) -> Column:
+    """The id of the latest earlier message of a role in the conversation, else the message's own."""
+    w = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.last(F.when(F.col(role) == wanted, F.col(ident)), ignorenulls=True).over(w), F.col(ident))
+
+
 def bind_usage(turns: DataFrame, runs: DataFrame) -> DataFrame:
     """(turn_id, run_id, tier): runs of a turn by run id (1), else by the question's normal form (2), else by a start in
     [start, next_start) of the same conversation (3). A lower tier counts only where no higher one found a run.

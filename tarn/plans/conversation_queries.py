@@ -33,10 +33,10 @@ def turn_length_facet(spark, d):
     return _turns(spark, d).groupBy("n_messages").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS)
-          OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS)
+          OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), turn) AS anchor FROM conversations""")
 def anchor_messages(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", T.previous_of_role(t(spark, d, "conversations"), "conv_id", "turn", "role", "assistant", "turn").alias("anchor"))
+    return t(spark, d, "conversations").select("conv_id", "turn", T.anchor_of("conv_id", "turn", "role", "assistant", "turn").alias("anchor"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 400) AS x FROM conversations),

@@ -51,7 +51,7 @@ def streamed_snapshot(spark, d):
     path = X.shared_path(spark, "snapshot")
     s = _stream(spark, d).select("user_id", "event_type", "ts", "value")
     L.apply_batches(s, path, ["user_id", "event_type"], "ts", X.shared_path(spark, "snapshot-state")).awaitTermination()
-    return spark.read.parquet(f"{path}/v=0").select("user_id", "event_type", "value")
+    return L.newest_version(spark, path).select("user_id", "event_type", "value")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

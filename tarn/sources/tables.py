@@ -62,7 +62,10 @@ def repair_jsonl(lines: DataFrame, file: str = "file", order: str = "line_no", v
 
 
 def publish_dataset(df: DataFrame, path: str, dataset: str, known: DataFrame | None = None) -> None:
-    """Replaces the partition of one dataset_id; refuses rows of any other."""
+    """Replaces the partition of one dataset_id; refuses rows of any other, and a dataset that is not in ``known``
+    (dataset_id), if given."""
+    if known is not None and known.where(F.col("dataset_id") == dataset).isEmpty():
+        raise ValueError(f"{dataset!r} is no known dataset")
     if not df.where(~F.col("dataset_id").eqNullSafe(F.lit(dataset))).isEmpty():
         raise ValueError(f"rows of another dataset than {dataset!r}")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path)

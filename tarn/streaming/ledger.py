@@ -68,6 +68,13 @@ def apply_batches(stream: DataFrame, path: str, keys: list[str], order: str, che
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`apply_batches` left after its last complete micro-batch."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("v")).first()[0]
+    return every.where(F.col("v") == last).drop("v")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs an append-mode stream over what is there, to Parquet files under ``path``, and reads these."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

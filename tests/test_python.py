@@ -222,3 +222,43 @@ def test_other_queries_read_whole_tables(spark, duck):
         got.setdefault(r["code"], set()).add(r["id"])
     assert got.get("dangling", set()) == ends - nodes and got["atomic_with_children"] == {x for x in nodes & parents if x % 3 == 0}
     assert got.get("composite_without_children", set()) == {x for x in nodes - parents if x % 3}
+
+
+def test_count_interval_keeps_different_things_apart(spark):
+    from tarn.operators import audit
+
+    same = spark.createDataFrame([(1, 2, True), (2, 3, False), (4, 5, False)], "src long, dst long, sure boolean")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "node long")
+    apart = spark.createDataFrame([(1, 3)], "a long, b long")
+    row = audit.count_interval(same, nodes, "sure", apart).first()
+    assert (row["lower"], row["upper"]) == (4, 5)
+    assert audit.count_interval(same, nodes, "sure").first()["lower"] == 3
+
+
+def test_charges_draw_down_grants_in_order(spark):
+    from tarn.operators import ledger
+
+    charges = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 2, 3), (2, 3, 1, 5), (3, 4, 1, 2)], "org long, charge_id long, at long, credits long")
+    grants = spark.createDataFrame([(1, 1, 5, 1), (1, 2, 9, 1000), (2, 3, 5, 1), (2, 4, None, 4)], "org long, grant_id long, ends long, credits long")
+    used, open_ = ledger.draw_down(charges, grants)
+    assert sorted(tuple(r) for r in used.collect()) == [(1, 1, 1, 1), (1, 1, 2, 2), (1, 2, 2, 3), (2, 3, 3, 1), (2, 3, 4, 4)]
+    assert [tuple(r) for r in open_.collect()] == [(3, 4, 2)]
+
+
+def test_publishing_refuses_an_unknown_dataset(spark, tmp_path):
+    import pytest
+
+    from tarn.sources import tables
+
+    rows = spark.createDataFrame([(1, "a")], "x long, dataset_id string")
+    tables.publish_dataset(rows, str(tmp_path / "d"), "a", rows)
+    with pytest.raises(ValueError):
+        tables.publish_dataset(rows, str(tmp_path / "d"), "a", rows.where("x > 1"))
+
+
+def test_snapshot_reads_its_last_version(spark, tmp_path):
+    from tarn.streaming import ledger
+
+    for v in (0, 1, 10):
+        spark.createDataFrame([(v,)], "x long").write.parquet(str(tmp_path / f"v={v}"))
+    assert [r["x"] for r in ledger.newest_version(spark, str(tmp_path)).collect()] == [10]
