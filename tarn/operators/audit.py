@@ -182,3 +182,33 @@ def ranked_search(df: DataFrame, ident: str, text: str, terms: list[str], k: int
     for i in range(len(terms)):
         every = every.where(f"_t{i} > 0")
     return every.select(ident, F.round(score, 6).alias("score")).orderBy(F.desc("score"), ident).limit(k)
+
+
+def entity_profile(df: DataFrame, drawing: str, n: int = 200) -> DataFrame:
+    """drawing, fact, key, sub, n, layers: what a drawing is made of, the ``n`` most frequent of each fact (then by key).
+
+    df: drawing, type, layer, name, on_sheet, text_override. Facts of what lies on a sheet: "type", "layer", "layer_type"
+    (key: the layer, sub: the type), "block" (references by block name, with the sorted names of their layers) and
+    "dimension" (key: override or geometry). Contents of block definitions count as "definition_type" alone.
+    """
+    text = lambda c, empty: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(empty)).otherwise(F.col(c))
+    kind, layer, none = F.lower(text("type", "(unknown)")), text("layer", "(empty)"), F.lit("")
+    fact = lambda name, key, sub=none: F.struct(F.lit(name).alias("fact"), key.alias("key"), sub.alias("sub"))
+    measured = F.when(F.trim(F.coalesce(F.col("text_override"), none)) == "", "geometry").otherwise("override")
+    placed = F.array(
+        fact("type", kind), fact("layer", layer), fact("layer_type", layer, kind),
+        F.when(kind == "block_reference", fact("block", text("name", "(unnamed)"))), F.when(kind == "dimension", fact("dimension", measured)),
+    )
+    facts = F.filter(F.when(F.coalesce(F.col("on_sheet"), F.lit(False)), placed).otherwise(F.array(fact("definition_type", kind))), lambda x: x.isNotNull())
+    rows = df.select(drawing, layer.alias("_layer"), F.explode(facts).alias("f")).select(drawing, "f.*", "_layer")
+    counts = rows.groupBy(drawing, "fact", "key", "sub").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("fact") == "block", F.col("_layer")))), ",").alias("layers"))
+    rank = F.row_number().over(Window.partitionBy(drawing, "fact").orderBy(F.desc("n"), "key", "sub"))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def bounds_union(df: DataFrame, drawing: str) -> DataFrame:
+    """drawing, n, minx, miny, maxx, maxy: the box around all boxes of a drawing that lie in world space (world), their
+    corners in any order; a box with a null corner doesn't count."""
+    whole = df.where("world and x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    ends = [F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy")]
+    return whole.groupBy(drawing).agg(F.count("*").alias("n"), *ends)

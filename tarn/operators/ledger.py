@@ -196,3 +196,22 @@ def budget_pick(rows: DataFrame, request: str, group: str, score: str, tokens: s
     schema = f"`{request}` {kinds[request]}, `{ident}` {kinds[ident]}"
     small = marked.where(F.col("_total") <= budget).select(request, ident)
     return small.unionByName(marked.where(F.col("_total") > budget).groupBy(request).applyInPandas(run, schema))
+
+
+def credit_report(charges: DataFrame, run: str, purpose: str) -> DataFrame:
+    """scope ("run" or "purpose"), key (the purpose; empty for runs), n, mean, p50, p90, p99, max: credits of whole runs,
+    and of single calls by purpose (null: empty). charges: as :func:`priced` returns them."""
+    calls = charges.select(F.lit("purpose").alias("scope"), F.coalesce(F.col(purpose).cast("string"), F.lit("")).alias("key"), "credits")
+    runs = charges.groupBy(run).agg(F.sum("credits").alias("credits")).select(F.lit("run").alias("scope"), F.lit("").alias("key"), "credits")
+    rows = calls.unionByName(runs)
+    sums = rows.groupBy("scope", "key").agg(F.count("credits").alias("n"), F.round(F.avg("credits"), 4).alias("mean"), F.max("credits").alias("max"))
+    return sums.join(nearest_rank(rows, ["scope", "key"], "credits", [0.5, 0.9, 0.99]), ["scope", "key"])
+
+
+def window_economics(charges: DataFrame, markup: float = MARKUP) -> DataFrame:
+    """One row: credits burned, their retail value (revenue), what the provider took, and the margin in per cent of the
+    revenue (null without any)."""
+    sums = charges.agg(F.coalesce(F.sum("credits"), F.lit(0)).alias("credits"), F.coalesce(F.sum("micro_credits"), F.lit(0)).alias("micro"))
+    out = sums.withColumn("revenue", F.col("credits") * F.lit(CREDIT_PRICE)).withColumn("provider_cost", F.col("micro") / F.lit(float(MICRO)) * F.lit(CREDIT_PRICE) / F.lit(markup))
+    margin = F.when(F.col("revenue") > 0, (F.col("revenue") - F.col("provider_cost")) / F.col("revenue") * 100)
+    return out.select("credits", F.round("revenue", 6).alias("revenue"), F.round("provider_cost", 6).alias("provider_cost"), F.round(margin, 4).alias("margin"))

@@ -146,3 +146,15 @@ def split_lines(df: DataFrame, line: str, left: str, right: str, height: str, ra
     w = Window.partitionBy(line).orderBy(left, right)
     wide = F.col(left) - F.lag(right).over(w) > ratio * F.greatest(F.col(height), F.lag(height).over(w))
     return df.withColumn("_new", F.coalesce(wide.cast("int"), F.lit(0))).withColumn("part", F.sum("_new").over(w)).drop("_new")
+
+
+def query_representations(df: DataFrame, class_id: str | None = None, status: str | None = None, mode: str | None = None, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Rows (class_id, status, mode, minx, miny, maxx, maxy) that equal what is asked for and whose box overlaps or
+    touches ``bounds``; what is None isn't asked for. A box with a null corner meets no bounds."""
+    for name, wanted in (("class_id", class_id), ("status", status), ("mode", mode)):
+        if wanted is not None:
+            df = df.where(F.col(name) == F.lit(wanted))
+    if bounds is not None:
+        x1, y1, x2, y2 = bounds
+        df = df.where((F.col("minx") <= x2) & (F.col("maxx") >= x1) & (F.col("miny") <= y2) & (F.col("maxy") >= y1))
+    return df

@@ -164,3 +164,19 @@ def usage_only_cases(users: DataFrame, archived: DataFrame, runs: DataFrame, use
     alone = users.join(archived, user, "left_anti").join(runs, user)
     pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit("user").alias("role"), F.col(question).alias("content")), F.struct(F.lit(1).alias("ordinal"), F.lit("assistant").alias("role"), F.col(answer).alias("content")))
     return alone.select(user, run, F.explode(pair).alias("m")).select(user, run, "m.*")
+
+
+def sync_messages(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, fields: list[str], synced: DataFrame | None = None) -> DataFrame:
+    """The stored messages (keys: conversation, then the source's key; fields; is_deleted) after a sync.
+
+    All messages of the synced conversations are marked deleted, then each incoming one takes the place of its key, or is
+    added, and counts as not deleted; of several with one key the last by ``order`` stays (order must be a field).
+    Conversations that aren't synced stay as they are. synced: the conversations, if some of them come without messages."""
+    conversation = keys[0]
+    latest = incoming.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_new"))
+    touched = incoming.select(conversation) if synced is None else incoming.select(conversation).union(synced.select(conversation))
+    old = current.select(*keys, F.struct(*fields).alias("_old"), F.col("is_deleted").alias("_gone"))
+    old = old.join(touched.distinct().withColumn("_touched", F.lit(True)), conversation, "left")
+    both = old.join(latest, keys, "full")
+    gone = F.when(F.col("_new").isNotNull(), False).when(F.col("_touched"), True).otherwise(F.col("_gone"))
+    return both.select(*keys, F.coalesce("_new", "_old").alias("_row"), gone.alias("is_deleted")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in fields], "is_deleted")

@@ -195,3 +195,19 @@ def global_search(spark, d):
     conv = t(spark, d, "conversations").where(F.lower("text").contains("ing the")).select(F.lit(2).alias("rank"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("place"))
     page = t(spark, d, "pages").where(F.lower("url").contains("77")).select(F.lit(3).alias("rank"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("place"))
     return docs.unionByName(conv).unionByName(page).orderBy("rank", F.desc("place"), "id").limit(100)
+
+
+# stored: all messages but every fifth turn, some of them deleted; the sync brings the conversations of even number as they
+# are in the table, but for assistants' turns beyond the sixth, and the first turn twice
+@query("""WITH i AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 2 = 0 AND NOT (role = 'assistant' AND turn > 6)),
+c AS (SELECT conv_id, turn, role, 'old ' || coalesce(text, '') AS text, turn % 4 = 3 AS is_deleted FROM conversations WHERE turn % 5 <> 4)
+SELECT coalesce(i.conv_id, c.conv_id) AS conv_id, coalesce(i.turn, c.turn) AS turn, coalesce(i.role, c.role) AS role, md5(CASE WHEN i.conv_id IS NULL THEN c.text ELSE coalesce(i.text, '') END) AS digest,
+ CASE WHEN i.conv_id IS NOT NULL THEN FALSE WHEN c.conv_id IN (SELECT conv_id FROM i) THEN TRUE ELSE c.is_deleted END AS is_deleted
+FROM c FULL JOIN i ON c.conv_id = i.conv_id AND c.turn = i.turn""")
+def synced_messages(spark, d):
+    m = t(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    stored = m.where("turn % 5 <> 4").withColumn("text", F.concat(F.lit("old "), "text")).withColumn("at", F.lit(0)).withColumn("is_deleted", F.expr("turn % 4 = 3"))
+    new = m.where("conv_id % 2 = 0 and not (role = 'assistant' and turn > 6)").withColumn("at", F.lit(2))
+    new = new.unionByName(new.where("turn = 0").withColumn("text", F.lit("earlier")).withColumn("at", F.lit(1)))
+    out = T.sync_messages(stored, new, ["conv_id", "turn"], "at", ["role", "text", "at"])
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("digest"), "is_deleted")

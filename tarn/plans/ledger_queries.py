@@ -162,3 +162,18 @@ def budget_pick(spark, d):
     """Greedy while it fits, sequential per request; compared with plain Python in tests."""
     e = _events(spark, d).select("user_id", "event_type", F.col("value").alias("score"), F.col("o").alias("tokens"), "event_id")
     return L.budget_pick(e, "user_id", "event_type", "score", "tokens", "event_id", 2000)
+
+
+@query(f"""WITH {_PRICED}, v AS (SELECT 'purpose' AS scope, event_type AS key, credits FROM charges UNION ALL SELECT 'run', '', CAST(sum(credits) AS BIGINT) FROM charges GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY credits) - 1 AS i, count(*) OVER (PARTITION BY scope, key) AS m FROM v)
+SELECT scope, key, count(*) AS n, round(avg(credits), 4) AS mean, max(credits) AS max, max(credits) FILTER (i = CAST(round_even((m - 1) * 0.5, 0) AS BIGINT)) AS p50,
+ max(credits) FILTER (i = CAST(round_even((m - 1) * 0.9, 0) AS BIGINT)) AS p90, max(credits) FILTER (i = CAST(round_even((m - 1) * 0.99, 0) AS BIGINT)) AS p99 FROM r GROUP BY 1, 2""")
+def credit_report(spark, d):
+    return L.credit_report(_charges(spark, d), "user_id", "event_type")
+
+
+@query(f"""WITH {_PRICED}, w AS (SELECT CAST(sum(credits) AS BIGINT) AS credits, CAST(sum(micro_credits) AS BIGINT) AS micro FROM charges),
+m AS (SELECT credits, credits * 0.008::DOUBLE AS revenue, micro / 1000000.0::DOUBLE * 0.008::DOUBLE / (10.0::DOUBLE / 9) AS cost FROM w)
+SELECT credits, round(revenue, 6) AS revenue, round(cost, 6) AS provider_cost, round((revenue - cost) / revenue * 100, 4) AS margin FROM m""")
+def window_economics(spark, d):
+    return L.window_economics(_charges(spark, d))

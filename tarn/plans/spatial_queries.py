@@ -287,3 +287,44 @@ def bom_coverage(spark, d):
 @query("""WITH s AS (SELECT p_brand AS g, p_partkey AS id, p_size AS l, p_size + 1 + p_partkey % 9 AS h FROM part) SELECT x.g, z.id AS parent, x.id AS first, y.id AS second FROM s x JOIN s y ON x.g = y.g AND x.h = y.l JOIN s z ON z.g = x.g AND z.l = x.l AND z.h = y.h""")
 def partition_equations(spark, d):
     return D.partition_equations(t(spark, d, "part").selectExpr("p_brand as g", "p_partkey as id", "p_size as low", "p_size + 1 + p_partkey % 9 as high"), "g", 1.0)
+
+
+@query(f"WITH {_POINTS} SELECT id, x - id % 7 AS minx, y - id % 5 AS miny, x + id % 6 AS maxx, y + id % 4 AS maxy FROM points WHERE label % 2 = 1 AND id % 3 = 1 AND x - id % 7 <= 90 AND x + id % 6 >= -40 AND y - id % 5 <= 60 AND y + id % 4 >= -70")
+def scoped_region(spark, d):
+    p = _points(spark, d).selectExpr("id", "string(label % 2) as class_id", "string(id % 3) as status", "'plan' as mode", "x - id % 7 as minx", "y - id % 5 as miny", "x + id % 6 as maxx", "y + id % 4 as maxy")
+    return S.query_representations(p, "1", "1", "plan", (-40.0, -70.0, 90.0, 60.0)).drop("class_id", "status", "mode")
+
+
+_ENTITY = [
+    "CAST(year(l_shipdate) AS INT) AS drawing",
+    "CASE l_linenumber % 4 WHEN 0 THEN 'Dimension' WHEN 1 THEN 'block_reference' WHEN 2 THEN 'line' END AS type",
+    "CASE WHEN l_suppkey % 3 > 0 THEN concat(l_returnflag, l_linestatus) ELSE '' END AS layer",
+    "CASE WHEN l_suppkey % 7 > 0 THEN concat('B', l_suppkey % 50) END AS name",
+    "l_linenumber <> 6 AS on_sheet",
+    "CASE WHEN l_quantity > 25 THEN '3 m' ELSE ' ' END AS text_override",
+    "l_linenumber <> 2 AS world",
+    "l_quantity AS x1",
+    "l_extendedprice AS y1",
+    "CASE WHEN l_tax > 0.01 THEN l_discount END AS x2",
+    "l_tax AS y2",
+]
+_ENTITIES = f"entities AS (SELECT {', '.join(_ENTITY)} FROM lineitem)"
+
+
+def _entities(spark, d):
+    return t(spark, d, "lineitem").selectExpr(*_ENTITY)
+
+
+@query(f"""WITH {_ENTITIES}, e AS (SELECT drawing, coalesce(lower(type), '(unknown)') AS type, CASE WHEN layer = '' THEN '(empty)' ELSE layer END AS layer, coalesce(name, '(unnamed)') AS name, on_sheet, trim(text_override) <> '' AS own FROM entities),
+f AS (SELECT drawing, 'type' AS fact, type AS key, '' AS sub, NULL AS l FROM e WHERE on_sheet UNION ALL SELECT drawing, 'layer', layer, '', NULL FROM e WHERE on_sheet UNION ALL SELECT drawing, 'layer_type', layer, type, NULL FROM e WHERE on_sheet
+ UNION ALL SELECT drawing, 'block', name, '', layer FROM e WHERE on_sheet AND type = 'block_reference' UNION ALL SELECT drawing, 'dimension', CASE WHEN own THEN 'override' ELSE 'geometry' END, '', NULL FROM e WHERE on_sheet AND type = 'dimension'
+ UNION ALL SELECT drawing, 'definition_type', type, '', NULL FROM e WHERE NOT on_sheet),
+g AS (SELECT drawing, fact, key, sub, count(*) AS n, coalesce(string_agg(DISTINCT l, ',' ORDER BY l), '') AS layers FROM f GROUP BY 1, 2, 3, 4)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY drawing, fact ORDER BY n DESC, key, sub) <= 20""")
+def entity_profile(spark, d):
+    return A.entity_profile(_entities(spark, d), "drawing", 20)
+
+
+@query(f"WITH {_ENTITIES} SELECT drawing, count(*) AS n, min(least(x1, x2)) AS minx, min(least(y1, y2)) AS miny, max(greatest(x1, x2)) AS maxx, max(greatest(y1, y2)) AS maxy FROM entities WHERE world AND x2 IS NOT NULL GROUP BY 1")
+def bounds_union(spark, d):
+    return A.bounds_union(_entities(spark, d), "drawing")
