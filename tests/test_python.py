@@ -262,3 +262,30 @@ def test_snapshot_reads_its_last_version(spark, tmp_path):
     for v in (0, 1, 10):
         spark.createDataFrame([(v,)], "x long").write.parquet(str(tmp_path / f"v={v}"))
     assert [r["x"] for r in ledger.newest_version(spark, str(tmp_path)).collect()] == [10]
+
+
+def test_messages_are_marked_deleted_then_taken_from_the_sync(spark):
+    from tarn.operators import turns
+
+    stored = spark.createDataFrame([(1, "a", "x", 0, False), (1, "b", "y", 0, False), (2, "a", "z", 0, True), (3, "a", "w", 0, False)], "c long, k string, text string, at long, is_deleted boolean")
+    new = spark.createDataFrame([(1, "b", "late", 2), (1, "b", "early", 1), (1, "c", None, 1)], "c long, k string, text string, at long")
+    emptied = spark.createDataFrame([(3,)], "c long")
+    out = {(r["c"], r["k"]): (r["text"], r["is_deleted"]) for r in turns.sync_messages(stored, new, ["c", "k"], "at", ["text", "at"], emptied).collect()}
+    assert out == {(1, "a"): ("x", True), (1, "b"): ("late", False), (1, "c"): (None, False), (2, "a"): ("z", True), (3, "a"): ("w", True)}
+
+
+def test_economics_of_an_empty_window(spark):
+    from tarn.operators import ledger
+
+    none = spark.createDataFrame([], "run string, purpose string, credits long, micro_credits long")
+    assert [tuple(r) for r in ledger.window_economics(none).collect()] == [(0, 0.0, 0.0, None)]
+    assert ledger.credit_report(none, "run", "purpose").count() == 0
+
+
+def test_a_region_asks_only_for_what_is_given(spark):
+    from tarn.operators import spatial
+
+    rows = spark.createDataFrame([(1, "door", "ok", 0.0, 1.0), (2, "door", "bad", 0.0, 1.0), (3, "door", "ok", 5.0, 6.0), (4, None, "ok", 1.0, None)], "id long, class_id string, status string, minx double, maxx double")
+    rows = rows.selectExpr("*", "'plan' as mode", "minx as miny", "maxx as maxy")
+    ids = lambda *a: sorted(r["id"] for r in spatial.query_representations(rows, *a).collect())
+    assert ids() == [1, 2, 3, 4] and ids("door", "ok") == [1, 3] and ids(None, None, None, (1.0, 1.0, 2.0, 2.0)) == [1, 2]
