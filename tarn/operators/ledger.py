@@ -142,6 +142,11 @@ def cache_report(calls: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("cached_percent", share).withColumn("average_input", F.expr("input_tokens div calls"))
 
 
+def period_of(at: Column, cutoff: Column) -> Column:
+    """before or after (from the cutoff on); null without a time."""
+    return F.when(at < cutoff, "before").when(at >= cutoff, "after")
+
+
 def unbilled_calls(calls: DataFrame, charges: DataFrame, key: str) -> DataFrame:
     """Finished calls without a charge."""
     return calls.join(charges.select(key).distinct(), key, "left_anti")

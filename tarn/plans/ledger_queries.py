@@ -177,3 +177,11 @@ m AS (SELECT credits, credits * 0.008::DOUBLE AS revenue, micro / 1000000.0::DOU
 SELECT credits, round(revenue, 6) AS revenue, round(cost, 6) AS provider_cost, round((revenue - cost) / revenue * 100, 4) AS margin FROM m""")
 def window_economics(spark, d):
     return L.window_economics(_charges(spark, d))
+
+
+@query(f"""WITH {_CALLS}, g AS (SELECT event_type, CASE WHEN ts < TIMESTAMP '2024-01-15 12:00:00' THEN 'before' ELSE 'after' END AS period, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+ CAST(sum(cache_read_tokens) AS BIGINT) AS cached_tokens FROM calls GROUP BY 1, 2)
+SELECT *, CASE WHEN input_tokens > 0 THEN round(100.0::DOUBLE * cached_tokens / input_tokens, 4) ELSE 0.0::DOUBLE END AS cached_percent, input_tokens // calls AS average_input FROM g""")
+def cache_hits_by_period(spark, d):
+    period = L.period_of(F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    return L.cache_report(_calls(spark, d).withColumn("period", period), ["event_type", "period"])
