@@ -10,7 +10,7 @@ from ..operators import spatial as S
 from .registry import query, t
 
 _POINTS = "points AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE * 1000) AS x, round(embedding[2]::DOUBLE * 1000) AS y, label FROM embeddings)"
-_BOXES = _POINTS + ", boxes AS (SELECT id, x - id % 7 AS minx, y - id % 5 AS miny, x + id % 6 AS maxx, y + id % 4 AS maxy FROM points WHERE id % 3 = 0)"
+_BOXES = _POINTS + ", boxes AS (SELECT id, x - id % 7 AS minx, y - id % 5 AS miny, x + id % 6 AS maxx, y + id % 4 AS maxy FROM points)"
 
 
 def _points(spark, d):
@@ -20,7 +20,7 @@ def _points(spark, d):
 
 
 def _boxes(spark, d):
-    p = _points(spark, d).where("id % 3 = 0")
+    p = _points(spark, d)
     return p.selectExpr("id", "x - id % 7 as minx", "y - id % 5 as miny", "x + id % 6 as maxx", "y + id % 4 as maxy")
 
 
@@ -49,13 +49,13 @@ def nearest_buckets(spark, d):
     return S.nearest(p.where("id % 4 = 1"), p.where("id % 4 = 2"), 60.0, 15.0).select("point", "target", S.distance_bucket(F.col("distance"), 1.0, 10.0, 30.0).alias("bucket"))
 
 
-@query(f"""WITH {_POINTS}, s AS (SELECT id, x AS x1, y AS y1, x + id % 9 - 4 AS x2, y + id % 7 - 3 AS y2 FROM points WHERE id % 2 = 0),
+@query(f"""WITH {_POINTS}, s AS (SELECT id, x AS x1, y AS y1, x + id % 9 - 4 AS x2, y + id % 7 - 3 AS y2 FROM points),
 p AS (SELECT a.id AS a, b.id AS b, sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) AS o1, sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) AS o2,
  sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) AS o3, sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) AS o4
  FROM s a JOIN s b ON a.id < b.id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2))
 SELECT a, b, CASE WHEN o1 = 0 AND o2 = 0 THEN 'collinear' WHEN o1 * o2 < 0 AND o3 * o4 < 0 THEN 'proper' ELSE 'touching' END AS kind FROM p WHERE o1 * o2 <= 0 AND o3 * o4 <= 0 OR o1 = 0 AND o2 = 0""")
 def intersect_pairs(spark, d):
-    s = _points(spark, d).where("id % 2 = 0").selectExpr("id", "x as x1", "y as y1", "x + id % 9 - 4 as x2", "y + id % 7 - 3 as y2")
+    s = _points(spark, d).selectExpr("id", "x as x1", "y as y1", "x + id % 9 - 4 as x2", "y + id % 7 - 3 as y2")
     return S.segment_pairs(s, 8.0)
 
 
