@@ -72,8 +72,8 @@ def test_each_stage_works_on_what_its_predecessor_kept(spark, monkeypatch):
     assert got == want
 
 
-def test_all_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries().keys()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
