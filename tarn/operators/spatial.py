@@ -16,18 +16,35 @@ def cell_of(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size)).cast("long")
 
 
-def with_cells(boxes: DataFrame, size: float) -> DataFrame:
-    """A row for each grid cell that a box touches."""
-    span = lambda low, high: F.sequence(cell_of(F.col(low), size), cell_of(F.col(high), size))
-    return boxes.withColumn("_cx", F.explode(span("minx", "maxx"))).withColumn("_cy", F.explode(span("miny", "maxy")))
+def _level(size: float) -> Column:
+    """The grid of a box: cells of ``size``, doubled until a cell is as wide and as high as the box. Null corners: null."""
+    span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) + F.col("minx") * 0 + F.col("miny") * 0
+    return F.when(span <= size, 0).otherwise(F.ceil(F.log2(span / size)).cast("int"))
+
+
+def _in_cells(boxes: DataFrame, size: float, others: list[int]) -> DataFrame:
+    """A row for each cell that a box touches (four at most), in its own grid and in each wider grid of ``others``."""
+    levels = F.array_union(F.array("_own"), F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("_own")))
+    out = boxes.select("*", F.explode(levels).alias("_level")).withColumn("_w", F.lit(size) * F.pow(F.lit(2.0), F.col("_level")))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_w")), F.floor(F.col(high) / F.col("_w"))))
+    return out.withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
 
 
 def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs (a_id, b_id) of boxes that overlap or touch. Both: id, minx, miny, maxx, maxy."""
-    left = with_cells(a, size)
-    right = with_cells(b, size).select("_cx", "_cy", *[F.col(c).alias(f"b_{c}") for c in ("id", "minx", "miny", "maxx", "maxy")])
-    met = left.join(right, ["_cx", "_cy"]).where("minx <= b_maxx and b_minx <= maxx and miny <= b_maxy and b_miny <= maxy")
-    own = (cell_of(F.greatest("minx", "b_minx"), size) == F.col("_cx")) & (cell_of(F.greatest("miny", "b_miny"), size) == F.col("_cy"))
+    """Pairs (a_id, b_id) of boxes that overlap or touch. Both: id, minx, miny, maxx, maxy; a null corner meets nothing.
+
+    A box lies in a grid whose cells are as large as itself, the smallest of ``size``; two boxes meet in the wider of
+    their grids. So a box has at most four rows for each size of box there is, however wide it is; there are at most about
+    two thousand sizes (powers of two), and mostly a few. Many small boxes in one cell of a wide box are one key, which
+    adaptive execution splits, as the other side is few rows.
+    """
+    a, b = (x.select("id", "minx", "miny", "maxx", "maxy", _level(size).alias("_own")).where("_own is not null and minx <= maxx and miny <= maxy") for x in (a, b))
+    levels = [[r[0] for r in x.select("_own").distinct().collect()] for x in (a, b)]  # powers of two
+    left = _in_cells(a, size, levels[1])
+    right = _in_cells(b, size, levels[0])
+    right = right.select("_level", "_cx", "_cy", *[F.col(c).alias(f"b_{c}") for c in ("id", "minx", "miny", "maxx", "maxy", "_own")])
+    met = left.join(right, ["_level", "_cx", "_cy"]).where("_level = greatest(_own, b__own) and minx <= b_maxx and b_minx <= maxx and miny <= b_maxy and b_miny <= maxy")
+    own = (F.floor(F.greatest("minx", "b_minx") / F.col("_w")) == F.col("_cx")) & (F.floor(F.greatest("miny", "b_miny") / F.col("_w")) == F.col("_cy"))
     return met.where(own).select(F.col("id").alias("a_id"), "b_id")
 
 
@@ -42,10 +59,115 @@ def radius_join(points: DataFrame, queries: DataFrame, r: float) -> DataFrame:
 
 def smallest_container(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """(point, box) for the smallest box around each point; ties: the smaller id. points: id, x, y."""
-    p = points.select(F.col("id").alias("point"), "x", "y", cell_of(F.col("x"), size).alias("_cx"), cell_of(F.col("y"), size).alias("_cy"))
-    met = p.join(with_cells(boxes, size).withColumnRenamed("id", "box"), ["_cx", "_cy"]).where("x between minx and maxx and y between miny and maxy")
+    at = points.select("id", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    return met.groupBy("point").agg(F.min(F.struct(area.alias("a"), "box")).alias("m")).select("point", F.col("m.box").alias("box"))
+    met = box_join(at, boxes, size).join(boxes.select(F.col("id").alias("b_id"), area.alias("a")), "b_id")
+    return met.groupBy(F.col("a_id").alias("point")).agg(F.min(F.struct("a", F.col("b_id").alias("box"))).alias("m")).select("point", F.col("m.box").alias("box"))
+
+
+def _corners(kind: DataFrame, ident: str) -> DataFrame:
+    return kind.select(F.col("id").alias(ident), F.col("minx").alias("bx1"), F.col("miny").alias("by1"), F.col("maxx").alias("bx2"), F.col("maxy").alias("by2"))
+
+
+def _bounds(segments: DataFrame) -> DataFrame:
+    return segments.select("id", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
+
+
+def segment_box_join(segments: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """(segment, box) where a point of the segment lies in the closed box. segments: id (unique), x1, y1, x2, y2.
+
+    Their bounds overlap, and the corners of the box don't all lie on one side of the segment's line: exact, as the axes
+    and the line's normal are all directions that can part the two.
+    """
+    pairs = box_join(_bounds(segments), boxes, size)
+    both = pairs.join(segments.select(F.col("id").alias("a_id"), "x1", "y1", "x2", "y2"), "a_id").join(_corners(boxes, "b_id"), "b_id")
+    side = lambda x, y: F.signum((F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col(x) - F.col("x1")))
+    sides = [side(x, y) for x, y in (("bx1", "by1"), ("bx1", "by2"), ("bx2", "by1"), ("bx2", "by2"))]
+    return both.where((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)).select(F.col("a_id").alias("segment"), F.col("b_id").alias("box"))
+
+
+def legs(lines: DataFrame) -> DataFrame:
+    """(line, id, x1, y1, x2, y2) of polylines (id, points array<struct<x, y>>, closed): the legs between neighbouring
+    points, of closed ones also from the last to the first; a line of one point has one leg without length. id: line and
+    place, as a struct."""
+    n = F.size("points")
+    to = lambda i: F.get("points", F.when(i + 1 < n, i + 1).otherwise(F.lit(0)))
+    last = F.when(n == 1, 1).otherwise(n - 1 + (F.coalesce(F.col("closed"), F.lit(False)) & (n > 2)).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct(i.alias("at"), F.get("points", i).alias("p"), F.when(n == 1, F.get("points", F.lit(0))).otherwise(to(i)).alias("q")))
+    rows = lines.where(n > 0).select(F.col("id").alias("line"), F.explode(each).alias("e"))
+    return rows.select("line", F.struct("line", "e.at").alias("id"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
+
+
+def winding(points: Column, x: Column, y: Column) -> Column:
+    """How often a closed ring goes around (x, y), 0 outside of it."""
+    n = F.size(points)
+    turned = F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
+
+    def step(p: Column, q: Column) -> Column:
+        left = (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
+        return F.when((p["y"] <= y) & (q["y"] > y) & (left > 0), 1).when((p["y"] > y) & (q["y"] <= y) & (left < 0), -1).otherwise(0)
+
+    return F.aggregate(F.zip_with(points, turned, step), F.lit(0), lambda s, v: s + v)
+
+
+def line_box_join(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """(line, box) where a polyline (id, points, closed) meets the closed box: a leg does, or the box lies inside a closed
+    line. Legs meet boxes one by one, so a long line is no wide box, and a line's points go to no box that its legs meet."""
+    each = legs(lines)
+    crossed = segment_box_join(each.drop("line"), boxes, size).select(F.col("segment.line").alias("line"), "box").distinct()
+    x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    rings = lines.where(F.col("closed") & (F.size("points") > 2))
+    around = rings.select("id", F.array_min(x).alias("minx"), F.array_min(y).alias("miny"), F.array_max(x).alias("maxx"), F.array_max(y).alias("maxy"))
+    inside = box_join(around, boxes, size).select(F.col("a_id").alias("line"), F.col("b_id").alias("box")).join(crossed, ["line", "box"], "left_anti")
+    inside = inside.join(_corners(boxes, "box"), "box").join(rings.select(F.col("id").alias("line"), "points"), "line")
+    return crossed.unionByName(inside.where(winding(F.col("points"), F.col("bx1"), F.col("by1")) != 0).select("line", "box"))
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """From a point to the nearest point of a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    square = dx * dx + dy * dy
+    at = F.when(square == 0, F.lit(0.0)).otherwise(F.least(F.greatest(((x - x1) * dx + (y - y1) * dy) / square, F.lit(0.0)), F.lit(1.0)))
+    return F.sqrt((x - x1 - at * dx) ** 2 + (y - y1 - at * dy) ** 2)
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, start: float, tie: float = 0.0, cap: int = 1) -> DataFrame:
+    """(point, distance, n_ties, targets) for every point: the distance to the nearest polyline, how many lie within
+    ``tie`` of that distance, and these, by (distance, id), null if more than ``cap``; all null if there are no lines.
+    points: id, x, y; lines: id, points, closed.
+
+    A point looks into a box around it, ``start`` to each side, and what it finds within that radius is proven the nearest
+    if the radius holds the tie too. Only points without a proof go on, with twice the radius, up to the width of all
+    points and lines together, where every point has found all there is: nothing is left out beyond some distance.
+    """
+    each = graph.checkpointed(legs(lines).where("x1 is not null and y1 is not null and x2 is not null and y2 is not null"))
+    ends = each.select(F.col("x1").alias("x"), F.col("y1").alias("y")).union(each.select("x2", "y2")).union(points.select("x", "y"))
+    span = ends.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()  # one row
+    widest = (span["w"] or 0.0) + (span["h"] or 0.0) + tie
+    bounds = _bounds(each)
+    geometry = each.select(F.col("id").alias("b_id"), "line", "x1", "y1", "x2", "y2")
+    left, r, found = points.where("x is not null and y is not null").select("id", "x", "y"), float(start), None
+    while not each.isEmpty():
+        look = left.select("id", (F.col("x") - r).alias("minx"), (F.col("y") - r).alias("miny"), (F.col("x") + r).alias("maxx"), (F.col("y") + r).alias("maxy"))
+        met = box_join(look, bounds, start).join(left.withColumnRenamed("id", "a_id"), "a_id").join(geometry, "b_id")
+        met = met.groupBy(F.col("a_id").alias("point"), "line").agg(F.min(segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])).alias("d"))
+        # the best is known before ties are counted, so a group keeps no more than its best
+        best = met.where(F.col("d") <= r).groupBy("point").agg(F.min("d").alias("distance"))
+        ties = met.join(best, "point").where(F.col("d") <= F.col("distance") + tie)
+        rank = F.row_number().over(Window.partitionBy("point").orderBy("d", "line"))
+        ties = ties.withColumn("_rank", rank).groupBy("point", "distance").agg(F.count("*").alias("n_ties"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= cap, F.struct("d", "line")))).alias("t"))
+        last = r >= widest
+        hit = ties if last else ties.where(F.col("distance") + tie <= r)
+        hit = graph.checkpointed(hit.select("point", "distance", "n_ties", F.when(F.col("n_ties") <= cap, F.transform("t", lambda x: x["line"])).alias("targets")))
+        found = hit if found is None else found.unionByName(hit)
+        left = left.join(hit.select(F.col("point").alias("id")), "id", "left_anti")
+        if last or left.isEmpty():
+            break
+        r *= 2
+    if found is None:
+        none = {"distance": "double", "n_ties": "long", "targets": f"array<{dict(lines.dtypes)['id']}>"}
+        return points.select(F.col("id").alias("point"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+    return points.select(F.col("id").alias("point")).join(found, "point", "left")
 
 
 def nearest(points: DataFrame, targets: DataFrame, far: float, start: float) -> DataFrame:
@@ -73,7 +195,7 @@ def _turn(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> Column:
 
 def segment_pairs(segments: DataFrame, size: float) -> DataFrame:
     """(a, b, kind), a < b, of segments that meet: proper, touching or collinear. segments: id, x1, y1, x2, y2."""
-    boxes = segments.select("id", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
+    boxes = _bounds(segments)
     pairs = box_join(boxes, boxes, size).where("a_id < b_id")
     p = segments.select(F.col("id").alias("a_id"), *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
     q = segments.select(F.col("id").alias("b_id"), *[F.col(c).alias(f"q{c}") for c in ("x1", "y1", "x2", "y2")])

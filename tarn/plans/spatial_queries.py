@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import diff as D
+from ..operators import graph
 from ..operators import spatial as S
+from ..operators import text_index as TI
 from .registry import query, t
 
 _POINTS = "points AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE * 1000) AS x, round(embedding[2]::DOUBLE * 1000) AS y, label FROM embeddings)"
@@ -30,6 +34,55 @@ def region_join(spark, d):
     return S.box_join(b, b, 8.0).where("a_id < b_id")
 
 
+_SEGMENTS = _BOXES + ", s AS (SELECT id, x AS x1, y AS y1, x + id % 41 - 20 AS x2, y + id % 37 - 18 AS y2 FROM points), wide AS (SELECT * FROM boxes UNION ALL SELECT -1, min(x), min(y), max(x), max(y) FROM points)"
+#: Does segment (x1, y1, x2, y2) meet the box's diagonal (u1, v1, u2, v2)? What crosses a box without an end in it crosses one of them.
+_DIAGONAL = """(sign((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1)) * sign((x2 - x1) * (v2 - y1) - (y2 - y1) * (u2 - x1)) <= 0
+ AND sign((u2 - u1) * (y1 - v1) - (v2 - v1) * (x1 - u1)) * sign((u2 - u1) * (y2 - v1) - (v2 - v1) * (x2 - u1)) <= 0
+ AND least(x1, x2) <= greatest(u1, u2) AND least(u1, u2) <= greatest(x1, x2) AND least(y1, y2) <= greatest(v1, v2) AND least(v1, v2) <= greatest(y1, y2))"""
+_MEETS = f"""(x1 BETWEEN minx AND maxx AND y1 BETWEEN miny AND maxy OR x2 BETWEEN minx AND maxx AND y2 BETWEEN miny AND maxy
+ OR {_DIAGONAL.replace("u1", "minx").replace("v1", "miny").replace("u2", "maxx").replace("v2", "maxy")} OR {_DIAGONAL.replace("u1", "minx").replace("v1", "maxy").replace("u2", "maxx").replace("v2", "miny")})"""
+
+
+def _wide(spark, d):
+    """The boxes, and one (-1) around all points."""
+    p = _points(spark, d)
+    return _boxes(spark, d).unionByName(p.selectExpr("-1L as id", "x", "y").groupBy("id").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy")))
+
+
+@query(f"WITH {_SEGMENTS} SELECT s.id AS segment, b.id AS box FROM s JOIN wide b ON {_MEETS}")
+def segment_region_join(spark, d):
+    s = _points(spark, d).selectExpr("id", "x as x1", "y as y1", "x + id % 41 - 20 as x2", "y + id % 37 - 18 as y2")
+    return S.segment_box_join(s, _wide(spark, d), 8.0)
+
+
+def _lines(spark, d):
+    corner = lambda x, y: f"struct({x} as x, {y} as y)"
+    return _points(spark, d).selectExpr("id", f"array({corner('x', 'y')}, {corner('x + id % 83 - 41', 'y + id % 13')}, {corner('x + id % 5', 'y + id % 71 - 35')}) as points", "id % 3 = 0 as closed")
+
+
+_LINES = _BOXES + """, c AS (SELECT id, x AS ax, y AS ay, x + id % 83 - 41 AS bx, y + id % 13 AS "by", x + id % 5 AS cx, y + id % 71 - 35 AS cy FROM points),
+legs AS (SELECT id AS line, ax AS x1, ay AS y1, bx AS x2, "by" AS y2 FROM c UNION ALL SELECT id, bx, "by", cx, cy FROM c UNION ALL SELECT id, cx, cy, ax, ay FROM c WHERE id % 3 = 0)"""
+
+
+@query(f"""WITH {_LINES}, turns AS (SELECT c.id AS line, b.id AS box, sign((bx - ax) * (miny - ay) - ("by" - ay) * (minx - ax)) AS o1, sign((cx - bx) * (miny - "by") - (cy - "by") * (minx - bx)) AS o2, sign((ax - cx) * (miny - cy) - (ay - cy) * (minx - cx)) AS o3
+ FROM c JOIN boxes b ON c.id % 3 = 0 AND least(ax, bx, cx) <= minx AND minx <= greatest(ax, bx, cx) AND least(ay, "by", cy) <= miny AND miny <= greatest(ay, "by", cy))
+SELECT DISTINCT line, b.id AS box FROM legs JOIN boxes b ON {_MEETS} UNION SELECT line, box FROM turns WHERE o1 = o2 AND o2 = o3 AND o1 <> 0""")
+def line_region_join(spark, d):
+    return S.line_box_join(_lines(spark, d), _boxes(spark, d), 8.0)
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT id AS point, x * 3 + 7 AS x, y * 3 - 11 AS y FROM points), g AS (SELECT * FROM legs),
+q AS (SELECT point, line, min(sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2)) AS d FROM (
+ SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1) END AS u FROM p, g) GROUP BY 1, 2),
+m AS (SELECT *, min(d) OVER (PARTITION BY point) AS best FROM q), r AS (SELECT point, best, line, d, count(*) OVER (PARTITION BY point) AS n FROM m WHERE d <= best + 0.3711)
+SELECT point, round(any_value(best), 6) AS distance, any_value(n) AS n_ties, CASE WHEN any_value(n) <= 3 THEN string_agg(line::VARCHAR, ',' ORDER BY d, line) END AS targets,
+ CASE WHEN any_value(best) <= 1e-9 THEN 'coincident' WHEN any_value(best) <= 1 THEN 'near' WHEN any_value(best) <= 100 THEN 'local' ELSE 'far' END AS bucket FROM r GROUP BY point""")
+def nearest_geometry(spark, d):
+    p = _points(spark, d).selectExpr("id", "x * 3 + 7 as x", "y * 3 - 11 as y")
+    near = S.nearest_lines(p, _lines(spark, d), 8.0, tie=0.3711, cap=3)
+    return near.select("point", F.round("distance", 6).alias("distance"), "n_ties", F.array_join("targets", ",").alias("targets"), S.distance_bucket(F.col("distance"), 1e-9, 1.0, 100.0).alias("bucket"))
+
+
 @query(f"WITH {_POINTS} SELECT q.id AS query, p.id AS point, round(sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2), 6) AS distance FROM points q JOIN points p ON q.id % 10 = 0 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 <= 100")
 def radius_join(spark, d):
     p = _points(spark, d)
@@ -199,6 +252,40 @@ def ranked_search(spark, d):
     return A.ranked_search(t(spark, d, "documents"), "doc_id", "text", ["the", "and"], 20)
 
 
+_WORDS = """w AS (SELECT doc_id, lang, source, f.field, list_filter(regexp_split_to_array(strip_accents(lower(f.body)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+ FROM (SELECT *, unnest([{'field': 'title', 'body': split_part(coalesce(text, ''), chr(10), 1)}, {'field': 'text', 'body': coalesce(text, '')}, {'field': 'lang', 'body': coalesce(lang, '')}, {'field': 'source', 'body': coalesce(source, '')}]) AS f FROM documents)),
+n AS (SELECT doc_id, lang, source, sum(len(w)) AS size FROM w GROUP BY 1, 2, 3), t AS (SELECT count(*) AS docs, avg(size) AS mean FROM n)"""
+_SCORE = "greatest(ln((docs - n{0} + 0.5) / (n{0} + 0.5)), 1e-6) * h{0} * 2.2 / (h{0} + 1.2 * (0.25 + 0.75 * size / mean))"
+_INDEXES: dict[tuple[str, str], TI.TextIndex] = {}
+
+
+def _index(spark, d):
+    """The index over all documents, built once in a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+        fields = {"title": title, "text": F.col("text"), "lang": F.col("lang"), "source": F.col("source")}
+        path = f"{graph.shared_folder(spark)}/tarn/index-{uuid.uuid4().hex}"
+        _INDEXES[key] = TI.build_index(t(spark, d, "documents"), "doc_id", fields, path, {"lang": F.col("lang"), "source": F.col("source")})
+    return _INDEXES[key]
+
+
+@query(f"""WITH {_WORDS}, h AS (SELECT doc_id, field, len(list_filter(w, lambda x: x = 'en')) AS h0, len(list_filter(w, lambda x: x = 'the')) AS h1 FROM w),
+s AS (SELECT doc_id, sum(h0) AS h0, sum(h1) AS h1, list_sort(list(field) FILTER (h0 + h1 > 0)) AS matched FROM h GROUP BY 1), r AS (SELECT count(*) FILTER (h0 > 0) AS n0, count(*) FILTER (h1 > 0) AS n1 FROM s)
+SELECT doc_id AS id, round({_SCORE.format(0)} + {_SCORE.format(1)}, 6) AS score, array_to_string(matched, ',') AS matched_fields FROM s JOIN n USING (doc_id), t, r WHERE h0 > 0 AND h1 > 0 ORDER BY score DESC, id LIMIT 40""")
+def ranked_search_fields(spark, d):
+    """Both words anywhere in four fields, best first."""
+    return TI.search(_index(spark, d), "En  THE", 40).withColumn("matched_fields", F.array_join("matched_fields", ","))
+
+
+@query(f"""WITH {_WORDS}, h AS (SELECT doc_id, field, len(list_filter(range(1, len(w)), lambda i: w[i] = 'la' AND w[i+1] = 'le')) AS h0, len(list_filter(w, lambda x: x = 'de')) AS h1 FROM w WHERE field IN ('text', 'title')),
+s AS (SELECT doc_id, sum(h0) AS h0, sum(h1) AS h1, list_sort(list(field) FILTER (h0 + h1 > 0)) AS matched FROM h GROUP BY 1), r AS (SELECT count(*) FILTER (h0 > 0) AS n0, count(*) FILTER (h1 > 0) AS n1 FROM s)
+SELECT doc_id AS id, round({_SCORE.format(0)} + {_SCORE.format(1)}, 6) AS score, array_to_string(matched, ',') AS matched_fields FROM s JOIN n USING (doc_id), t, r WHERE h0 > 0 AND h1 > 0 AND source <> 'web' ORDER BY score DESC, id LIMIT 40""")
+def phrase_search(spark, d):
+    """A phrase and a word, in two fields of rows that aren't from the web."""
+    return TI.search(_index(spark, d), "la-le dé", 40, fields=["text", "title"], where="source <> 'web'").withColumn("matched_fields", F.array_join("matched_fields", ","))
+
+
 # ------------------------------------------------------------------ versions
 
 
