@@ -46,9 +46,9 @@ class Template(Words):
         opens = line.copy()
         opens[1:] |= _ENDS[last[:-1]]
         opens[self.first[:-1][self.n > 0]] = True
-        for _ in range(6):
-            self.start = self.start + (_PUNCT[buf[np.minimum(self.start, len(buf) - 1)]] & (self.start < self.end))
-            self.end = self.end - (_PUNCT[buf[self.end - 1]] & (self.start < self.end))
+        # all punctuation at either end goes; a word of nothing else is none
+        inner = np.append(np.flatnonzero(~_PUNCT[buf]), len(buf))
+        self.start, self.end = np.minimum(inner[np.searchsorted(inner, self.start)], self.end), inner[np.maximum(np.searchsorted(inner, self.end) - 1, 0)] + 1
         full = self.start < self.end
         first_text = np.searchsorted(self.first, np.arange(len(full)), side="right") - 1
         self.start, self.end, opens = self.start[full], self.end[full], opens[full]
@@ -126,6 +126,7 @@ def chain(hits: list, gap: int) -> tuple[int, int, bool]:
     for h in sorted(hits, key=lambda h: (h[4], h[0])):
         shifts.setdefault(h[1] - h[0], []).append(h)
     best = (0, 0, False)
+    most = len({h[0] for h in hits}), len({h[0] for h in hits if h[4] < 2}), True
     for main in sorted(shifts, key=lambda s: (-len(shifts[s]), s)):
         there, back, places, ats, torn, kept = {}, {}, [], [], False, 0
         for shift in sorted((s for s in range(main - gap, main + gap + 1) if s in shifts), key=lambda s: (abs(s - main), s)):
@@ -144,13 +145,15 @@ def chain(hits: list, gap: int) -> tuple[int, int, bool]:
                 kept += way < 2
         if not torn:
             best = max(best, (len(places), kept, all(x == y for x, y in there.items())))
+            if best >= most:
+                break
     return best
 
 
 def _chains(frames):
     for f in frames:
         found = [chain([(h["item_at"], h["at"], list(h["item_slots"]), list(h["slots"]), h["way"]) for h in hits], max(2, int(w) // 8)) for hits, w in zip(f["hits"], f["w"], strict=True)]
-        yield f[["doc_id", "item_id", "w", "k"]].assign(n_windows=[x[0] for x in found], n_kept=[x[1] for x in found], verbatim=[x[2] for x in found])
+        yield f[["doc_id", "item_id", "w"]].assign(n_windows=[x[0] for x in found], n_kept=[x[1] for x in found], verbatim=[x[2] for x in found])
 
 
 def _table(df: DataFrame, key: str, size: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -170,7 +173,7 @@ def _sieve(windows_of_items: DataFrame) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows (of the item's that were
-    found along its best chain), share (of the item's windows, or of
+    found along its best chain), share (of the item's distinct windows, or of
     those with three literal words if that is more), verbatim (all slots equal).
 
     A document holds an item if at least ``share`` of its windows lie on one chain with consistent slots; each word put in or
@@ -188,17 +191,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
     found = []
     for size in [W, *short]:
         theirs = _table(items, "item_id", size).where(F.col("n_words") == size if size < W else F.lit(True))
-        theirs = saved(theirs.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), F.col("n_kept").alias("item_kept"), "way"), "item-windows")
+        # a window that an item repeats counts once, where it stands first: so a document has no more hits than windows
+        theirs = theirs.groupBy(F.col("key").alias("item_id"), "hash", "way").agg(F.min(F.struct("at", "slots")).alias("m"), F.max("n_words").alias("item_words"))
+        theirs = saved(theirs.select("item_id", F.col("m.at").alias("item_at"), "hash", F.col("m.slots").alias("item_slots"), "item_words", "way"), "item-windows")
+        totals = theirs.groupBy("item_id").agg(F.count_if(F.col("way") != 1).alias("every"), F.count_if(F.col("way") == 0).alias("k"))
         wanted = _sieve(theirs)
         mine = _table(docs, "doc_id", size, wanted).select(F.col("key").alias("doc_id"), "at", "hash", "slots")
         met = mine.join(theirs, "hash")
         hit = F.struct("item_at", "at", "item_slots", "slots", "way").alias("hit")
-        # windows of the benchmark item that one document holds: a group is no longer than the document
-        pairs = met.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("w"), F.max("item_kept").alias("k"), F.collect_set(hit).alias("hits"))
-        lined = pairs.mapInPandas(_chains, "doc_id long, item_id long, w long, k long, n_windows long, n_kept long, verbatim boolean")
-        every = F.greatest(F.col("w") - (size - 1), F.lit(1))
+        pairs = met.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("w"), F.collect_set(hit).alias("hits"))
+        lined = pairs.mapInPandas(_chains, "doc_id long, item_id long, w long, n_windows long, n_kept long, verbatim boolean").join(totals, "item_id")
         # of all windows, or of those kept as templates (of four at least, as far as there are)
-        part = F.least(F.lit(1.0), F.greatest(F.col("n_windows") / every, F.col("n_kept") / F.greatest("k", F.least(every, F.lit(4)))))
+        part = F.least(F.lit(1.0), F.greatest(F.col("n_windows") / F.col("every"), F.col("n_kept") / F.greatest("k", F.least("every", F.lit(4)))))
         found.append(lined.withColumn("share", part).where(F.col("share") >= share))
     every = found[0]
     for f in found[1:]:
