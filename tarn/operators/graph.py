@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,9 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back: computed once, its lineage cut, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tarn/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -92,11 +94,19 @@ def graph_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.crossJoin(b).crossJoin(c).withColumn("cycle_rank", F.col("edges") - F.col("nodes") + F.col("components"))  # single rows
 
 
-def cut_facts(edges: DataFrame) -> DataFrame:
-    """(component, kind, a, b): bridges (a < b) and articulation points (a, null), found per component by one depth-
-    first search; a component must fit a task. edges: src, dst; self-loops count nothing, parallel edges are no bridge."""
-    comp = components(edges)
-    inside = edges.select("src", "dst").where("src <> dst").join(comp.withColumnRenamed("node", "src"), "src")
+def cut_facts(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """(component, kind, a, b): bridges (a < b) and articulation points (a, null). edges: src, dst; self-loops count
+    nothing, parallel edges are no bridge. Components of up to ``most`` edges are searched depth first, each in one task;
+    larger ones go by joins, with the same rows (see :mod:`tarn.operators.cuts`)."""
+    from .cuts import cut_facts_by_joins
+
+    comp = checkpointed(components(edges))
+    inside = checkpointed(edges.select("src", "dst").where("src <> dst").join(comp.withColumnRenamed("node", "src"), "src"))
+    large = checkpointed(inside.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"))
+    beyond = None
+    if not large.isEmpty():
+        beyond = cut_facts_by_joins(inside.join(large, "component", "left_semi"), comp.join(large, "component", "left_semi"))
+        inside = inside.join(large, "component", "left_anti")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         adj: dict = {}
@@ -133,7 +143,8 @@ def cut_facts(edges: DataFrame) -> DataFrame:
         out.insert(0, "component", f["component"].iloc[0])
         return out
 
-    return inside.groupBy("component").applyInPandas(run, "component long, kind string, a long, b long")
+    found = inside.groupBy("component").applyInPandas(run, "component long, kind string, a long, b long")
+    return found if beyond is None else found.unionByName(beyond)
 
 
 def shortest_path(edges: DataFrame, start: object, end: object) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import audit as A
 from ..operators import catalog as K
 from ..operators import diff as D
+from ..operators import instances as I
 from ..operators import review as R
 from .registry import query, t
 
@@ -185,6 +186,46 @@ def merged_scans(spark, d):
     return K.merge_scan(x.where("doc_id % 3 = 0").selectExpr("doc_id", "'old' as record"), x.where("doc_id % 5 = 0").selectExpr("doc_id", "'new' as record", "doc_id % 2 = 0 as ok"), "doc_id", "record", "ok")
 
 
+#: Part c is a definition, placed in part c div 2: turned by quarters, some mirrored, scaled by halves and doubles, some as
+#: grids; every 97th also refers to its grandparent (a cycle), every 89th to a part that is not there.
+_BLOCKS = """e AS (SELECT p_partkey // 2 AS owner, p_partkey AS handle, p_partkey AS target, p_partkey FROM part WHERE p_partkey > 1
+ UNION ALL SELECT p_partkey, p_partkey + 1000000000, p_partkey // 4, p_partkey FROM part WHERE p_partkey % 97 = 5 AND p_partkey > 7
+ UNION ALL SELECT p_partkey, p_partkey + 2000000000, -p_partkey, p_partkey FROM part WHERE p_partkey % 89 = 7 UNION ALL SELECT p_partkey, p_partkey + 3000000000, NULL, p_partkey FROM part WHERE p_partkey % 5 = 1),
+q AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS c, CASE p_partkey % 4 WHEN 1 THEN 1.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS s, CASE WHEN p_partkey % 3 = 1 THEN 0.5 WHEN p_partkey % 3 = 2 THEN 2.0 ELSE 1.0 END * CASE WHEN p_partkey % 7 = 3 THEN -1.0 ELSE 1.0 END AS sx, CASE WHEN p_partkey % 3 = 1 THEN 0.5 WHEN p_partkey % 3 = 2 THEN 2.0 ELSE 1.0 END AS sy FROM e),
+m AS (SELECT owner, handle, target, (c * sx)::DOUBLE AS a, (-s * sy)::DOUBLE AS b, (s * sx)::DOUBLE AS d, (c * sy)::DOUBLE AS f, (p_partkey % 11)::DOUBLE AS x, (p_partkey % 13)::DOUBLE AS y, CASE WHEN p_partkey % 12 = 4 THEN 2 ELSE 1 END AS rows, CASE WHEN p_partkey % 10 = 3 THEN 2 ELSE 1 END AS cols FROM q),
+g AS (SELECT owner, handle, target, a, b, d, f, a * j * 4 + b * i * 8 + x AS x, d * j * 4 + f * i * 8 + y AS y, i, j FROM m, unnest(range(rows)) AS u(i), unnest(range(cols)) AS v(j) WHERE target IS NOT NULL UNION ALL SELECT owner, handle, NULL, 1, 0, 0, 1, 0, 0, 0, 0 FROM m WHERE target IS NULL),
+w AS (SELECT owner, handle, target, a, b, d, f, x, y, i, j, 0 AS depth, [1::BIGINT] AS above FROM g WHERE owner = 1
+ UNION ALL SELECT g.owner, g.handle, g.target, w.a * g.a + w.b * g.d, w.a * g.b + w.b * g.f, w.d * g.a + w.f * g.d, w.d * g.b + w.f * g.f, w.a * g.x + w.b * g.y + w.x, w.d * g.x + w.f * g.y + w.y, g.i, g.j, w.depth + 1, list_append(w.above, w.target)
+ FROM w JOIN g ON g.owner = w.target WHERE w.depth < 9 AND NOT list_contains(w.above, w.target) AND w.target > 0)"""
+
+
+def _expanded(spark, d):
+    p = t(spark, d, "part").select("p_partkey")
+    turn = F.expr("p_partkey % 4")
+    c, s = F.when(turn == 0, 1.0).when(turn == 2, -1.0).otherwise(0.0), F.when(turn == 1, 1.0).when(turn == 3, -1.0).otherwise(0.0)
+    size = F.expr("case when p_partkey % 3 = 1 then 0.5d when p_partkey % 3 = 2 then 2.0d else 1.0d end")
+    sx, zero, one = size * F.expr("if(p_partkey % 7 = 3, -1.0d, 1.0d)"), F.lit(0.0), F.lit(1.0)
+    matrix = F.array(c * sx, -s * size, zero, F.expr("double(p_partkey % 11)"), s * sx, c * size, zero, F.expr("double(p_partkey % 13)"), zero, zero, one, zero, zero, zero, zero, one)
+    rows = [("p_partkey > 1", "p_partkey div 2", 0, "p_partkey"), ("p_partkey % 97 = 5 and p_partkey > 7", "p_partkey", 1, "p_partkey div 4"), ("p_partkey % 89 = 7", "p_partkey", 2, "-p_partkey"), ("p_partkey % 5 = 1", "p_partkey", 3, "null")]
+    parts = [p.where(w).select(F.expr(owner).alias("owner"), (F.col("p_partkey") + n * 1_000_000_000).alias("handle"), F.expr(f"cast({target} as bigint)").alias("target"), matrix.alias("matrix"), F.expr("if(p_partkey % 12 = 4, 2, 1)").alias("rows"), F.expr("if(p_partkey % 10 = 3, 2, 1)").alias("cols"), F.lit(8.0).alias("row_gap"), F.lit(4.0).alias("col_gap")) for w, owner, n, target in rows]
+    entities = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return I.expand_affine(p.where("p_partkey > 0").select(F.col("p_partkey").alias("definition"), (F.col("p_partkey") == 1).alias("is_root")), entities, 9)
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS} SELECT handle::VARCHAR AS handle, CASE WHEN target IS NULL THEN 'entity' ELSE 'reference' END AS kind, depth, i::INT AS row, j::INT AS col, a + 0.0 AS a, b + 0.0 AS b, d + 0.0 AS d, f + 0.0 AS f, x + 0.0 AS x, y + 0.0 AS y FROM w""")
+def affine_instances(spark, d):
+    """Every instance of a nested, turned, mirrored and scaled assembly, and its place."""
+    cell = lambda i: F.get("world", i) + 0.0
+    return _expanded(spark, d)[0].select("handle", "kind", "depth", "row", "col", cell(0).alias("a"), cell(1).alias("b"), cell(4).alias("d"), cell(5).alias("f"), cell(3).alias("x"), cell(7).alias("y"))
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS} SELECT handle::VARCHAR AS handle, CASE WHEN target < 0 THEN 'TARGET_DEFINITION_MISSING' WHEN depth = 9 THEN 'MAX_NESTING_DEPTH_REACHED' ELSE 'CYCLIC_BLOCK_REFERENCE' END AS code, count(*) AS n
+FROM w WHERE target < 0 OR depth = 9 AND target IS NOT NULL OR list_contains(above, target) GROUP BY 1, 2""")
+def instance_diagnostics(spark, d):
+    """References that the walk keeps but does not enter."""
+    return _expanded(spark, d)[1].groupBy("handle", "code").agg(F.count("*").alias("n"))
+
+
 @query("""WITH RECURSIVE i AS (SELECT p_partkey % 13 AS parent, p_partkey % 29 + 13 AS child, (p_partkey % 7)::DOUBLE AS x, 1 + p_size % 2 AS cols FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT p_partkey % 29 + 13, p_partkey % 31 + 42, 2.0::DOUBLE, 1 FROM part WHERE p_partkey % 17 = 0 UNION ALL SELECT NULL, p_partkey % 13, 0.0::DOUBLE, 1 FROM part WHERE p_partkey < 13),
 r AS (SELECT parent, child, x + j * 10 AS x FROM i, unnest(range(cols)) AS u(j)), w AS (SELECT child, x, 0 AS depth FROM r WHERE parent IS NULL UNION ALL SELECT r.child, w.x + r.x, depth + 1 FROM w JOIN r ON r.parent = w.child WHERE depth < 4)
 SELECT child AS definition, x, depth, count(*) AS n FROM w GROUP BY 1, 2, 3""")
