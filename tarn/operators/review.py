@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from .turns import best_tier, latest_per_key, unique_only
 
 #: Confidences of semantic relations (name alone, structured, documented, called).
@@ -189,3 +190,52 @@ def dimension_chains(spans: DataFrame, group: str, grid: float) -> DataFrame:
     base = join("al", "bl").where("a < b").withColumn("relation", F.when(F.col("ah") == F.col("bh"), "duplicate").otherwise("common_baseline"))
     datum = join("ah", "bh").where("a < b and al <> bl").withColumn("relation", F.lit("shared_datum"))
     return chain.unionByName(base).unionByName(datum).select(group, "a", "b", "relation")
+
+
+def _stations(spans: DataFrame, group: str, grid: float) -> DataFrame:
+    at = lambda c: F.bround(F.col(c) / grid, 0).cast("long")
+    return spans.select(F.col(group).alias("g"), "id", at("low").alias("l"), at("high").alias("h")).where("l is not null and h is not null")
+
+
+def nested_spans(spans: DataFrame, group: str, grid: float) -> DataFrame:
+    """(group, id, container): of each span that lies inside another of its group, sharing one end at most, the one that
+    reaches furthest (ties: the smaller id). spans: id, low, high.
+
+    A sweep over distinct spans: in the order of starts, the longest first, the furthest end so far. The order is cut into
+    ranges, and a range starts with the furthest end of those before it, so a group of very many spans is many tasks, and
+    no pairs of spans are formed.
+    """
+    q = graph.checkpointed(_stations(spans, group, grid))
+    once = q.groupBy("g", "l", (-F.col("h")).alias("back")).agg(F.min("id").alias("first"))
+    ranged = graph.checkpointed(once.repartitionByRange("g", "l", "back").withColumn("_range", F.spark_partition_id()))
+    best, so_far = F.struct((-F.col("back")).alias("h"), (-F.col("first")).alias("less")), (Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_range", "g").agg(F.max(best).alias("top"))
+    before = parts.select("_range", "g", F.max("top").over(Window.partitionBy("g").orderBy("_range").rowsBetween(*so_far)).alias("_before"))
+    sweep = F.max(best).over(Window.partitionBy("_range", "g").orderBy("l", "back").rowsBetween(*so_far))
+    found = ranged.withColumn("_here", sweep).join(before, ["_range", "g"]).select("g", "l", (-F.col("back")).alias("h"), F.greatest("_here", "_before").alias("top"))
+    inside = found.where("top.h >= h").select("g", "l", "h", (-F.col("top.less")).alias("container"))
+    return q.join(inside, ["g", "l", "h"]).select(F.col("g").alias(group), "id", "container")
+
+
+def span_chains(spans: DataFrame, group: str, grid: float) -> DataFrame:
+    """(id, chain): spans of a group of which one ends where another starts, over any number of steps, named by the
+    smallest id; spans without a neighbour are left out. At a station each span is linked with the first of those that
+    go on from it, so a station of n spans has n links, not pairs."""
+    q = graph.checkpointed(_stations(spans, group, grid))
+    starts = q.groupBy("g", F.col("l").alias("s")).agg(F.min("id").alias("to"))
+    ends = q.groupBy("g", F.col("h").alias("s")).agg(F.min("id").alias("to"))
+    links = q.withColumn("s", F.col("h")).join(starts, ["g", "s"]).select(F.col("id").alias("src"), F.col("to").alias("dst"))
+    links = links.union(q.withColumn("s", F.col("l")).join(ends, ["g", "s"]).select("id", "to"))
+    return graph.components(links).select(F.col("node").alias("id"), F.col("component").alias("chain"))
+
+
+def chain_totals(spans: DataFrame, group: str, grid: float) -> DataFrame:
+    """(chain, parts, low, high, parents): chains whose parts fill the length from end to end once, and how many spans
+    beside the parts measure that length as a whole."""
+    q = _stations(spans, group, grid)
+    of = q.join(span_chains(spans, group, grid), "id")
+    whole = of.groupBy("g", "chain").agg(F.count("*").alias("parts"), F.min("l").alias("low"), F.max("h").alias("high"), F.sum(F.col("h") - F.col("l")).alias("length")).where("length = high - low")
+    same = q.join(of.select("id", F.col("chain").alias("own")), "id", "left").select("g", F.col("l").alias("low"), F.col("h").alias("high"), "own", F.lit(1).alias("one"))
+    met = whole.join(same, ["g", "low", "high"], "left").where("own is null or own <> chain")
+    counts = met.groupBy("g", "chain").agg(F.count("one").alias("parents"))
+    return whole.join(counts, ["g", "chain"], "left").select("chain", "parts", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.coalesce("parents", F.lit(0)).alias("parents"))

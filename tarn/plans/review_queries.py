@@ -174,6 +174,33 @@ def dimension_chains_whole(spark, d):
     return R.dimension_chains(t(spark, d, "part").selectExpr("p_brand as g", "p_partkey as id", "p_size as low", "p_size + 1 + p_partkey % 9 as high"), "g", 1.0)
 
 
+_SPANS = "s AS (SELECT p_brand AS g, p_partkey AS id, p_partkey * 7 % 60 AS l, p_partkey * 7 % 60 + 1 + p_partkey % 9 + CASE WHEN p_partkey % 8 = 0 THEN 20 ELSE 0 END AS h FROM part)"
+
+
+def _spans(spark, d):
+    return t(spark, d, "part").selectExpr("p_brand as g", "p_partkey as id", "p_partkey * 7 % 60 as low", "p_partkey * 7 % 60 + 1 + p_partkey % 9 + if(p_partkey % 8 = 0, 20, 0) as high")
+
+
+@query(f"WITH {_SPANS} SELECT b.g, b.id, arg_min(a.id, (-a.h, a.id)) AS container FROM s a JOIN s b ON a.g = b.g AND a.l <= b.l AND a.h >= b.h AND (a.l < b.l OR a.h > b.h) GROUP BY b.g, b.id")
+def nested_spans(spark, d):
+    return R.nested_spans(_spans(spark, d), "g", 1.0)
+
+
+_CHAINS = _SPANS + """, e AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.g = b.g AND a.h = b.l UNION SELECT b.id, a.id FROM s a JOIN s b ON a.g = b.g AND a.h = b.l),
+r AS (SELECT x AS id, x AS low FROM e UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.id WHERE r.low < e.y), c AS (SELECT id, min(low) AS chain FROM r GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINS} SELECT id, chain FROM c")
+def span_chains(spark, d):
+    return R.span_chains(_spans(spark, d), "g", 1.0)
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, w AS (SELECT g, chain, count(*) AS parts, min(l) AS low, max(h) AS high FROM c JOIN s USING (id) GROUP BY 1, 2 HAVING sum(h - l) = max(h) - min(l))
+SELECT chain, parts, low, high, (SELECT count(*) FROM s LEFT JOIN c USING (id) WHERE s.g = w.g AND s.l = w.low AND s.h = w.high AND c.chain IS DISTINCT FROM w.chain) AS parents FROM w""")
+def chain_totals(spark, d):
+    return R.chain_totals(_spans(spark, d), "g", 1.0)
+
+
 @query("SELECT p_partkey, p_type IS NOT DISTINCT FROM 'PROMO' AND p_size % 2 = 0 AS comparable, CASE WHEN p_type <> 'PROMO' THEN 'other_number' WHEN p_size % 2 = 1 THEN 'other_sheet' ELSE 'same' END AS reason FROM part")
 def comparable_headers(spark, d):
     p = t(spark, d, "part")
