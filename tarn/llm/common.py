@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -27,8 +28,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Scratch folders made so far in this process, in order.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tarn/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/tarn/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+class Leftovers:
+    """Scratch folders of the stages of a pipeline: what a stage leaves is deleted when the next one begins, as its result
+    has been written by then. A folder that the next stage's input reads (a result that was not written) stays."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    def collected(self, stage: Callable[..., DataFrame], remember: bool = True) -> Callable[..., DataFrame]:
+        """``stage``, deleting what earlier ones left and remembering what it leaves itself (but for a last stage)."""
+
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if self.folders:
+                used = {f.split("/")[-2] for f in docs.inputFiles()}
+                gone = [x for x in self.folders if x.rsplit("/", 1)[-1] not in used]
+                self.folders = [x for x in self.folders if x not in gone]
+                for folder in gone:
+                    removed(spark, folder)
+                settled(spark)
+            n = len(_MADE)
+            out = stage(spark, docs, sf_dir)
+            self.folders += _MADE[n:] if remember else []
+            return out
+
+        return run
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -156,4 +189,4 @@ def salted_join_sizes(pairs: DataFrame, key: str, rows: int) -> DataFrame:
     return pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n_salts"))
 
 
-__all__ = ["LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "saved_with_mark", "scratch_path", "settled", "shared_dir", "table", "union_all", "windows"]
+__all__ = ["Leftovers", "LOWER", "NOT_SPACE", "SPACE", "Window", "Words", "components", "mix", "removed", "salted_join_sizes", "saved", "saved_with_mark", "scratch_path", "settled", "shared_dir", "table", "union_all", "windows"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, saved, windows
+from .common import Words, mix, saved, settled, windows
 from .links import bucket_classes, shared_buckets
 
 SKETCHES, PICKED, K = 32, 3, 2
@@ -252,11 +252,13 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = keyed.withColumn("id", text_id(F.col("text")))
     rows = saved(keyed.mapInArrow(_sketch, "doc_id long, id binary, sketch array<long>"), "sketches")
     one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "texts")
+    settled(docs.sparkSession)
     keys = one.where(F.size("sketch") > 0).select("id", F.posexplode("sketch").alias("band", "key"))
     keys = shared_buckets(keys)
     wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id").distinct(), "id", "left_semi")
     texts = keyed.join(wanted, (keyed["id"] == wanted["id"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     items = saved(texts.select("id", "text").mapInArrow(_blob, "id binary, blob binary").dropDuplicates(["id"]), "words")
+    settled(docs.sparkSession)
     return bucket_classes(keys, items, similar, word_tokens, lambda c, a, b: c >= SHARE * np.maximum(a, b) - 1e-3), one.select("id", "low", "n"), rows.select("doc_id", "id")
 
 
@@ -284,8 +286,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the smallest doc_id (null last; of rows with the
     same doc_id and text: one)."""
+    # one key for the row's doc_id and text, by which the rows move once
+    key = lambda doc: F.unhex(F.md5(F.concat(F.coalesce(doc.cast("long").cast("string"), F.lit("none")).cast("binary"), F.lit(" ").cast("binary"), F.col("id"))))
     c = with_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text")))
-    kept = c.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_kept")).distinct()
-    mine = docs.withColumn("_id", text_id(F.col("text")))
-    out = mine.join(kept, mine["doc_id"].eqNullSafe(kept["_doc"]) & (mine["_id"] == kept["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_id"]).select(*docs.columns)
+    kept = saved(c.select(key(F.col("doc_id")).alias("key")).distinct(), "kept")
+    settled(spark)
+    mine = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), text_id(F.col("text")).alias("id"))
+    mine = mine.select("row", key(F.col("row")["doc_id"]).alias("key"))
+    return mine.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
