@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import decontamination, neardup, paragraphs, quality
-from tarn.llm.common import saved, table
+from tarn.llm.common import Leftovers, saved, table
 from tarn.llm.packing import pack_documents
 from tarn.llm.queries import tokenizer_path
 
@@ -15,12 +15,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, tokenizer_path())
 
 
+#: A stage's scratch tables go when the next stage begins. The last one's stay: they belong to the result.
+LEFTOVERS = Leftovers()
+
 STAGES = [
-    ("quality_rules", quality.filter_stage),
-    ("near_dedup", neardup.dedup_stage),
-    ("substring_dedup", paragraphs.cut_stage),
-    ("decontamination", decontamination.decontaminate_stage),
-    ("packing", packing_stage),
+    ("quality_rules", LEFTOVERS.collected(quality.filter_stage)),
+    ("near_dedup", LEFTOVERS.collected(neardup.dedup_stage)),
+    ("substring_dedup", LEFTOVERS.collected(paragraphs.cut_stage)),
+    ("decontamination", LEFTOVERS.collected(decontamination.decontaminate_stage)),
+    ("packing", LEFTOVERS.collected(packing_stage, remember=False)),
 ]
 
 #: SQL can't express the near-duplicate and packing stages; tests/llm compares the stages with plain Python.
