@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_counter
+from .graph import checkpointed
 
 MICRO = 1_000_000
 #: Provider prices per million tokens (uncached, cached, written, output), credit price, markup.
@@ -59,6 +60,7 @@ def whole_credits(micro: Column) -> Column:
 def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """Per group the value at index round((n - 1) * share), half to even, of the ascending order. Equal values are
     counted before they are ordered, so a large group is as many rows as it has values."""
+    df = checkpointed(df.select(*groups, value))  # what makes the value is computed, and compiled, apart from its counts
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
     key = groups or ["_all"]
     counts = counts if groups else counts.withColumn("_all", F.lit(1))
@@ -73,6 +75,8 @@ def draw_down(charges: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFra
     """(allocations, unbacked): charges (org, charge_id, at, credits), in the order of (at, charge_id), consume grants
     (org, grant_id, ends, credits), those that end first. Both sides become intervals of the organisation's cumulative
     credits; an allocation is an overlap (one sort of an organisation, no product of charges and grants). All grants are valid for all charges (else: :func:`draw_down_in_order`)."""
+    # priced once, in a step of their own: inlined into the sums below, prices are too much code to compile
+    charges = checkpointed(charges.select("org", "charge_id", "at", "credits"))
     c = charges.where("credits > 0").withColumn("hi", F.sum("credits").over(Window.partitionBy("org").orderBy("at", "charge_id"))).withColumn("lo", F.col("hi") - F.col("credits"))
     g = grants.where("credits > 0").withColumn("to", F.sum("credits").over(Window.partitionBy("org").orderBy(F.col("ends").asc_nulls_last(), "grant_id"))).withColumn("from", F.col("to") - F.col("credits"))
     # every end of an interval ends one stretch, which lies in the next charge and the next grant at or after it
