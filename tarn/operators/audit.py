@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +86,47 @@ def key_path_profile(df: DataFrame, json: str, unit: str, examples: int = 6) ->
     return each.groupBy("path").agg(F.count("*").alias("seen"), F.count_if(empty).alias("empty"), F.countDistinct(unit).alias("units")).join(some, "path", "left")
 
 
+def json_paths(df: DataFrame, json: str, unit: str, max_depth: int = 10) -> DataFrame:
+    """(unit, path, kind, text) of everything inside JSON texts, down to ``max_depth``: "a.b" is a key of an object in a,
+    "a[]" an element of an array. kind: object, array, null or scalar; text: the value, nested ones as JSON. Text that is no
+    JSON has no paths. Each level is saved once, and only nested values are read again for the next."""
+    level = df.select(unit, F.lit("").alias("path"), F.col(json).alias("text"))
+    levels = []
+    for _ in range(max_depth):
+        level.select(unit, "path", F.try_parse_json("text").alias("v")).createOrReplaceTempView(view := f"json_{uuid.uuid4().hex}")
+        rows = df.sparkSession.sql(f"select v.`{unit}`, v.path as above, e.key, e.value from {view} v, lateral variant_explode(v.v) e")
+        path = F.when(F.col("key").isNull(), F.concat("above", F.lit("[]"))).when(F.col("above") == "", F.col("key")).otherwise(F.concat("above", F.lit("."), "key"))
+        kind = F.schema_of_variant("value")
+        kind = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(F.is_variant_null("value"), "null").otherwise("scalar")
+        rows = rows.select(unit, path.alias("path"), kind.alias("kind"), F.when(kind == "scalar", F.variant_get("value", "$", "string")).otherwise(F.to_json("value")).alias("text"))
+        rows = graph.checkpointed(rows)
+        df.sparkSession.catalog.dropTempView(view)
+        levels.append(rows)
+        level = rows.where("kind in ('object', 'array')")
+        if level.isEmpty():
+            break
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def path_profile(df: DataFrame, json: str, unit: str, examples: int = 6, max_depth: int = 10) -> DataFrame:
+    """Per path of :func:`json_paths`: seen, empty (null, "", [] or {}), units that have it, the smallest ``examples``
+    distinct scalar values. Values are ranked in 64 parts of a path before they are ranked together, so a path that
+    every row has is no single task."""
+    paths = json_paths(df, json, unit, max_depth)
+    empty = (F.col("kind") == "null") | F.trim(F.col("text")).isin("", "[]", "{}")
+    facts = paths.groupBy("path").agg(F.count("*").alias("seen"), F.count_if(empty).alias("empty"))
+    units = paths.select("path", unit).distinct().groupBy("path").agg(F.count("*").alias("units"))
+    values = paths.where((F.col("kind") == "scalar") & ~empty).select("path", "text").distinct()
+    part = Window.partitionBy("path", F.pmod(F.xxhash64("text"), F.lit(64))).orderBy("text")
+    first = values.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= examples)
+    first = first.withColumn("_rank", F.row_number().over(Window.partitionBy("path").orderBy("text"))).where(F.col("_rank") <= examples)
+    shown = first.groupBy("path").agg(F.array_sort(F.collect_list("text")).alias("examples"))
+    return facts.join(units, "path").join(shown, "path", "left").select("path", "seen", "empty", "units", "examples")
+
+
 def attach(rows: DataFrame, anns: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(anns, keys)
 

@@ -231,6 +231,38 @@ def translation_signature(points: Column, grid: float) -> Column:
     return F.sha2(F.array_join(relative, ";"), 256)
 
 
+def geometry_signature(shapes: Column, grid: float, step: float, mirror: bool = True) -> Column:
+    """SHA-256 of what stays of a group of shapes (array<struct<kind, points array<struct<x, y>>>>) when it is moved,
+    turned and scaled, and, with ``mirror``, mirrored: the kinds; leg lengths over their median (``grid`` at least); turns
+    between legs in half circles; distances of the shapes' centres over the same median. Each is sorted and rounded to
+    ``step``. Null for no shapes. Distances grow with the square of the shapes of one group, which is a symbol's size."""
+    points = F.transform(shapes, lambda s: s["points"])
+    drawn = F.filter(points, lambda p: F.size(p) > 0)
+    ahead = lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+    behind = lambda p: F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
+    steps = lambda p: F.zip_with(behind(p), ahead(p), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    long = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+    vectors = F.transform(drawn, steps)
+    lengths = F.array_sort(F.filter(F.flatten(F.transform(vectors, lambda vs: F.transform(vs, long))), lambda x: x > 0))
+
+    def turn(a: Column, b: Column) -> Column:
+        angle = F.atan2(a["x"] * b["y"] - a["y"] * b["x"], a["x"] * b["x"] + a["y"] * b["y"]) / 3.141592653589793
+        return F.when((long(a) > 0) & (long(b) > 0), F.abs(angle) if mirror else angle)
+
+    turns = F.array_sort(F.filter(F.flatten(F.transform(vectors, lambda vs: F.zip_with(behind(vs), ahead(vs), turn))), lambda x: x.isNotNull()))
+    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda t, q: t + q[c]) / F.size(p)
+    centres = F.transform(drawn, lambda p: F.struct(mean(p, "x").alias("x"), mean(p, "y").alias("y")))
+    apart = lambda a: lambda b: F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2)
+    gaps = F.flatten(F.transform(centres, lambda a, i: F.transform(F.slice(centres, i + 2, F.size(centres)), apart(a))))
+    n = F.size(lengths)
+    middle = (F.get(lengths, F.floor((n - 1) / 2).cast("int")) + F.get(lengths, F.floor(n / 2).cast("int"))) / 2
+    scale = F.greatest(F.coalesce(middle, F.lit(grid)), F.lit(grid))
+    whole = lambda values: F.array_join(F.array_sort(F.transform(values, lambda v: F.bround(v / step, 0).cast("long"))), ",")
+    kinds = F.array_join(F.array_sort(F.transform(shapes, lambda s: s["kind"])), ",")
+    text = F.concat_ws("|", kinds, whole(F.transform(lengths, lambda v: v / scale)), whole(turns), whole(F.transform(gaps, lambda v: v / scale)))
+    return F.when(F.size(shapes) > 0, F.sha2(text, 256))
+
+
 def snap_endpoints(points: DataFrame, tol: float) -> DataFrame:
     """(id, cluster, x, y): points within ``tol`` of each other, over any number of steps, share a cluster; its place is
     the member with the highest priority, then nearest to the centre, then the smallest id. points: id, x, y, priority."""

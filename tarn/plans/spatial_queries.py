@@ -230,6 +230,43 @@ def identity_links(spark, d):
     return A.identity_pairs(t(spark, d, "part"), "p_partkey", "p_name")
 
 
+_NESTED = """r AS (SELECT p_partkey AS u, p_name AS name, p_brand AS brand, p_type AS kind, p_size AS size FROM part),
+v AS (SELECT u, 'name' AS path, 'scalar' AS k, name AS x FROM r UNION ALL SELECT u, 'dims', 'object', NULL FROM r UNION ALL SELECT u, 'dims.size', 'scalar', size::VARCHAR FROM r WHERE size % 7 > 0
+ UNION ALL SELECT u, 'dims.tags', CASE WHEN size % 5 = 0 THEN 'empty' ELSE 'array' END, NULL FROM r UNION ALL SELECT u, 'dims.tags[]', 'object', NULL FROM r, (VALUES (1), (2)) WHERE size % 5 > 0
+ UNION ALL SELECT u, 'dims.tags[].t', 'scalar', brand FROM r WHERE size % 5 > 0 UNION ALL SELECT u, 'dims.tags[].t', 'scalar', kind FROM r WHERE size % 5 > 0
+ UNION ALL SELECT u, 'dims.tags[].odd', CASE WHEN u % 2 = 1 THEN 'scalar' ELSE 'empty' END, CASE WHEN u % 2 = 1 THEN '{"a":1}' END FROM r WHERE size % 5 > 0)"""
+
+
+@query(f"""WITH {_NESTED}, d AS (SELECT path, x, row_number() OVER (PARTITION BY path ORDER BY x) AS n FROM (SELECT DISTINCT path, x FROM v WHERE k = 'scalar')), e AS (SELECT path, string_agg(x, ';' ORDER BY n) AS examples FROM d WHERE n <= 6 GROUP BY 1)
+SELECT path, count(*) AS seen, count(*) FILTER (k = 'empty') AS empty, count(DISTINCT u) AS units, any_value(e.examples) AS examples FROM v LEFT JOIN e USING (path) GROUP BY path""")
+def nested_key_paths(spark, d):
+    """Paths below the top level of JSON made of the parts; a text that looks like JSON stays a text."""
+    one = "named_struct('t', p_brand, 'odd', cast(null as string))"
+    two = "named_struct('t', p_type, 'odd', if(p_partkey % 2 = 1, '{\"a\":1}', ''))"
+    tags = f"slice(array({one}, {two}), 1, if(p_size % 5 = 0, 0, 2))"
+    doc = f"to_json(named_struct('name', p_name, 'dims', named_struct('size', if(p_size % 7 > 0, p_size, null), 'tags', {tags})))"
+    p = t(spark, d, "part").selectExpr("p_partkey as u", f"{doc} as doc")
+    return A.path_profile(p, "doc", "u").withColumn("examples", F.array_join("examples", ";"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT id, [bx - ax, "by" - ay] AS v, [cx - bx, cy - "by"] AS w FROM c),
+m AS (SELECT id, sqrt(v[1] ** 2 + v[2] ** 2) AS l1, sqrt(w[1] ** 2 + w[2] ** 2) AS l2, abs(atan2(v[1] * w[2] - v[2] * w[1], v[1] * w[1] + v[2] * w[2])) / pi() AS u FROM s),
+q AS (SELECT id, list_sort(list_filter([l1, l2], lambda x: x > 0)) AS l, CASE WHEN l1 > 0 AND l2 > 0 THEN u END AS u FROM m),
+k AS (SELECT id, list_transform(l, lambda x: round_even(x / greatest(coalesce((l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2, 0.001), 0.001) / 0.0101, 0)) AS l, round_even(u / 0.0101, 0) AS u FROM q),
+g AS (SELECT *, min(id) OVER (PARTITION BY l, u) AS same FROM k) SELECT id, same, 4 AS copies, 1 AS signatures FROM g""")
+def shape_signatures(spark, d):
+    """Each line, a turned, a mirrored and a shifted and doubled copy have one signature; lines by it."""
+    copies = {0: ("q.x", "q.y"), 1: ("-q.y", "q.x"), 2: ("-q.x", "q.y"), 3: ("2 * q.x + 11", "2 * q.y - 5")}
+    lines, shapes = _lines(spark, d), None
+    for n, (x, y) in copies.items():
+        one = lines.select("id", F.lit(n).alias("copy"), F.expr(f"array(named_struct('kind', 3, 'points', transform(points, q -> named_struct('x', {x}, 'y', {y}))))").alias("shapes"))
+        shapes = one if shapes is None else shapes.unionByName(one)
+    of = shapes.select("id", S.geometry_signature(F.col("shapes"), 0.001, 0.0101).alias("s"))
+    per = of.groupBy("id").agg(F.count("*").cast("int").alias("copies"), F.countDistinct("s").cast("int").alias("signatures"), F.min("s").alias("s"))
+    first = per.groupBy("s").agg(F.min("id").alias("same"))
+    return per.join(first, "s").select("id", "same", "copies", "signatures")
+
+
 @query()
 def resolve_identity(spark, d):
     """Greedy merging under constraints, sequential per component; compared with plain Python in tests."""

@@ -144,3 +144,49 @@ def test_spans(spark):
         if best:
             want[i] = -best[1]
     assert got == want
+
+
+def test_signatures_of_turned_and_mirrored_symbols(spark):
+    rng = random.Random(9)
+    symbol = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]), (2, [(6.0, 1.0), (7.0, 5.0)]), (2, [(1.0, 9.0)])]
+
+    def moved(shapes, angle, k, dx, dy, mirror):
+        c, s = math.cos(angle), math.sin(angle)
+        at = lambda x, y: (dx + k * (c * x * mirror - s * y), dy + k * (s * x * mirror + c * y))
+        return [(kind, [at(*p) for p in pts]) for kind, pts in shapes]
+
+    rows = [(i, moved(symbol, rng.uniform(0, 6), rng.uniform(0.5, 9), rng.uniform(-99, 99), rng.uniform(-99, 99), 1)) for i in range(6)]
+    rows += [(6, moved(symbol, 1.0, 2.0, 3.0, 4.0, -1)), (7, symbol[::-1]), (8, [symbol[0], symbol[1], (3, symbol[2][1])]), (9, [(1, [(0.0, 0.0), (4.0, 0.0), (4.5, 3.0)]), *symbol[1:]]), (10, []), (11, [(1, [])])]
+    df = spark.createDataFrame(rows, "id int, shapes array<struct<kind: int, points: array<struct<x: double, y: double>>>>")
+    both = df.select("id", spatial.geometry_signature(F.col("shapes"), 0.001, 0.01).alias("m"), spatial.geometry_signature(F.col("shapes"), 0.001, 0.01, mirror=False).alias("o"))
+    got = {r["id"]: r for r in both.collect()}
+    assert len({got[i]["m"] for i in range(8)}) == 1 and got[8]["m"] != got[0]["m"] != got[9]["m"]
+    assert len({got[i]["o"] for i in range(6)}) == 1 and got[6]["o"] != got[0]["o"]
+    assert got[10]["m"] is None and got[11]["m"] is not None
+
+
+def test_paths_inside_json(spark):
+    from tarn.operators import audit
+
+    rows = [("u1", '{"a": {"b": [1, {"c": null}, []], "": 2}, "t": "{\\"x\\": 1}"}'), ("u2", '[{"k": true}, "s"]'), ("u2", "not json"), ("u3", None), ("u3", "{}"), ("u4", '{"a": ""}')]
+    df = spark.createDataFrame(rows, "u string, j string")
+    got = sorted((r["u"], r["path"], r["kind"], r["text"]) for r in audit.json_paths(df, "j", "u").collect())
+    assert got == sorted(
+        [
+            ("u1", "a", "object", '{"":2,"b":[1,{"c":null},[]]}'),
+            ("u1", "a.", "scalar", "2"),
+            ("u1", "a.b", "array", '[1,{"c":null},[]]'),
+            ("u1", "a.b[]", "scalar", "1"),
+            ("u1", "a.b[]", "object", '{"c":null}'),
+            ("u1", "a.b[]", "array", "[]"),
+            ("u1", "a.b[].c", "null", "null"),
+            ("u1", "t", "scalar", '{"x": 1}'),
+            ("u2", "[]", "object", '{"k":true}'),
+            ("u2", "[].k", "scalar", "true"),
+            ("u2", "[]", "scalar", "s"),
+            ("u4", "a", "scalar", ""),
+        ]
+    )
+    profile = {r["path"]: tuple(r)[1:] for r in audit.path_profile(df, "j", "u", examples=1).collect()}
+    assert profile["a"] == (2, 1, 2, None) and profile["a.b[]"] == (3, 1, 1, ["1"]) and profile["a.b[].c"] == (1, 1, 1, None)
+    assert len(audit.json_paths(df, "j", "u", max_depth=1).collect()) == 5
