@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from ..operators import graph as G
+from ..operators import validators as V
 from .registry import query, t
 
 
@@ -253,6 +254,44 @@ def graph_facts_whole(spark, d):
     return G.graph_facts(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
 
 
+@query("""WITH a AS (SELECT p_partkey AS k, p_name || '#' || p_partkey AS ck, CASE WHEN p_size % 11 = 0 THEN 'web' ELSE 'cad' END AS surface, p_partkey % 7 AS art, p_size AS s FROM part),
+e AS (SELECT k, list_filter([CASE WHEN surface <> 'cad' THEN 'surface_mismatch' END, CASE WHEN s % 13 = 0 THEN 'atom_kind' END, CASE WHEN k % 17 = 0 THEN 'atom_id' END, CASE WHEN k % 19 = 0 AND k % 23 > 0 THEN 'hosts_repeat' END,
+ CASE WHEN k % 23 = 0 THEN 'host_not_observed' END, CASE WHEN art = 6 THEN 'artifact_unknown' END, CASE WHEN art = 5 AND k % 3 = 0 THEN 'artifact_differs' END, CASE WHEN k % 29 = 0 THEN 'member_signature_empty' END,
+ CASE WHEN k % 5 > 1 AND s % 4 = 0 THEN 'parameter_positions' END, CASE WHEN k % 5 > 0 AND s % 9 = 0 THEN 'parameter_direction' END, CASE WHEN k % 31 = 0 THEN 'is_static_missing' END], lambda x: x IS NOT NULL) AS errors FROM a)
+SELECT k, array_to_string(errors, ',') AS errors FROM e WHERE len(errors) > 0""")
+def atom_errors(spark, d):
+    """Catalog rows made of the parts, with what is wrong with them."""
+    p = t(spark, d, "part").selectExpr("p_partkey as k", "concat(p_name, '#', p_partkey) as canonical_key", "if(p_size % 11 = 0, 'web', 'cad') as surface", "p_size as s")
+    artifact = "named_struct('artifact_id', concat('x', k % 7), 'kind', 'dll', 'name', if(k % 7 = 5 and k % 3 = 0, 'other', concat('n', k % 7)), 'version', '1', 'sha256', cast(null as string))"
+    parameters = "transform(sequence(0, cast(k % 5 as int)), i -> named_struct('position', if(s % 4 = 0 and i = 2, 7, i), 'direction', if(s % 9 = 0 and i = 1, 'inout', 'in')))"
+    p = p.withColumn("atom_id", F.when(F.col("k") % 17 == 0, "cap:cad:0").otherwise(V.atom_id(F.col("surface"), F.col("canonical_key"))))
+    p = p.selectExpr(
+        "*", "'1.0' as schema_version", "'inv' as inventory_id", "if(s % 13 = 0, 'gizmo', 'method') as atom_kind", "if(k % 23 = 0, array('h2'), if(k % 19 = 0, array('h1', 'h1'), array('h1', 'h2'))) as observed_host_ids", f"{artifact} as source_artifact",
+        f"named_struct('name', canonical_key, 'signature', if(k % 29 = 0, '', 'f()'), 'parameters', {parameters}, 'is_static', if(k % 31 = 0, null, true)) as member", "map('file', 'f') as source_locator",
+    )
+    artifacts = t(spark, d, "part").selectExpr("p_partkey % 7 as n").distinct().where("n < 6").selectExpr("concat('x', n) as artifact_id", "'dll' as kind", "concat('n', n) as name", "'1' as version", "cast(null as string) as sha256")
+    found = V.validate_atoms(p, artifacts, "inv", "cad", "h1", ["method", "property"])
+    return found.where("size(errors) > 0").select("k", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 5 AS v, CASE WHEN o_orderstatus = 'F' THEN 'classified' WHEN o_orderstatus = 'O' THEN 'deferred' ELSE 'lost' END AS status FROM orders),
+e AS (SELECT k, list_filter([CASE WHEN k % 41 = 0 THEN 'atom_unknown' END, CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN v = 1 THEN 'operations_repeat' END, CASE WHEN v = 2 THEN 'operation_unknown' END, CASE WHEN k % 7 = 0 THEN 'tag_empty' END,
+ CASE WHEN k % 9 = 4 THEN 'confidence' END, CASE WHEN k % 6 = 1 THEN 'evidence_kind' END, CASE WHEN k % 6 = 2 THEN 'evidence_empty_field' END, CASE WHEN k % 8 = 3 AND k % 6 <> 5 THEN 'verified_without_proof' END,
+ CASE WHEN status = 'classified' AND v = 0 THEN 'classified_without_operations' END, CASE WHEN status = 'classified' AND k % 10 = 9 THEN 'classified_without_summary' END, CASE WHEN status = 'classified' AND k % 6 = 0 THEN 'classified_without_evidence' END,
+ CASE WHEN status <> 'classified' AND k % 4 = 0 THEN 'notes_missing' END], lambda x: x IS NOT NULL) AS errors FROM a) SELECT k, array_to_string(errors, ',') AS errors FROM e WHERE len(errors) > 0""")
+def enrichment_errors(spark, d):
+    """Enrichment rows made of the orders, with what is wrong with them."""
+    o = t(spark, d, "orders").selectExpr("o_orderkey as k", "case o_orderstatus when 'F' then 'classified' when 'O' then 'deferred' else 'lost' end as status")
+    evidence = "case k % 6 when 0 then array() when 1 then array(named_struct('kind', 'rumour', 'ref', 'r', 'claim', 'c')) when 2 then array(named_struct('kind', 'signature', 'ref', '', 'claim', 'c')) when 5 then array(named_struct('kind', 'human_review', 'ref', 'r', 'claim', 'c')) else array(named_struct('kind', 'signature', 'ref', 'r', 'claim', 'c')) end"
+    o = o.selectExpr(
+        "*", "'1.0' as schema_version", "'inv' as inventory_id", "if(k % 41 = 0, 'none', concat('a', k)) as atom_id", "case k % 5 when 0 then array() when 1 then array('read', 'read') when 2 then array('fly') else array('read', 'edit') end as operation_kinds",
+        "if(k % 7 = 0, array('t', ''), array('t')) as domain_tags", "if(k % 10 = 9, '  ', 's') as summary", "if(k % 9 = 4, 1.5d, 0.5d) as classification_confidence", f"{evidence} as evidence",
+        "array(named_struct('confidence', 0.3d, 'status', if(k % 8 = 3, 'verified', 'proposed'))) as semantic_candidates", "'rule' as processor_kind", "if(k % 4 = 0, null, 'n') as notes",
+    )
+    atoms = t(spark, d, "orders").selectExpr("concat('a', o_orderkey) as atom_id")
+    return V.validate_enrichments(o, atoms, "inv").where("size(errors) > 0").select("k", F.array_join("errors", ",").alias("errors"))
+
+
 @query()
 def cut_facts(spark, d):
     """Bridges and articulation points over all orders; compared with plain Python in tests."""
