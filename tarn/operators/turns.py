@@ -120,6 +120,50 @@ def run_level(statuses: Column, errors: Column) -> Column:
     return F.when(F.coalesce(failed | aborted, F.lit(False)), "hard_fail").when(F.coalesce(late, F.lit(False)), "degraded").otherwise("clean")
 
 
+def turn_report(turns: DataFrame, msgs: DataFrame, runs: DataFrame, calls: DataFrame, key: str) -> DataFrame:
+    """One row per turn of ``turns`` (key): what its messages, runs and calls say, each counted by itself before the join.
+
+    msgs: key, ord, tool, result, content; runs: key, ord, status, error, duration_ms; calls: key, ord, purpose, status,
+    input_tokens, output_tokens, total_tokens. A message with a tool name went well or failed by its result and content.
+    duration_ms is null if 0; tokens_by_purpose and tool_counts are maps; run_error is the first error (500 characters),
+    run_errors the first 6 (400 each), tool_errors the first 8 (240 each). kinds, in this order: usage_run_failed, aborted,
+    timeout, tool_error, auth_required. level: unobserved without messages and runs, else hard_fail (a run failed or was
+    aborted), degraded (any other kind) or clean. Turns without any rows have zeros and empty lists.
+    """
+    first = lambda order, text, n, size: F.transform(F.slice(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), F.substring(text, 1, size).alias("x"))))), 1, n), lambda e: e["x"])
+    name = F.trim(F.coalesce("tool", F.lit("")))
+    blob = F.concat_ws("\n", F.when(F.col("result") != "", F.col("result")), F.when(F.col("content") != "", F.col("content")))
+    m = msgs.select(key, "ord", name.alias("_name"), blob.alias("_blob"), F.when(F.col("result") != "", F.col("result")).alias("_result"))
+    m = m.withColumn("_bad", (F.col("_name") != "") & F.col("_blob").rlike(FAIL_HINT))
+    tool_error = F.when(F.col("_bad"), F.concat("_name", F.lit(": "), F.substring(F.coalesce("_result", "_blob"), 1, 240)))
+    said = m.groupBy(key).agg(F.count("*").alias("_messages"), F.count_if((F.col("_name") != "") & ~F.col("_bad")).alias("tool_ok"), F.count_if("_bad").alias("tool_fail"), first(F.col("ord"), tool_error, 8, 500).alias("tool_errors"))
+    pairs = lambda df, name, value: df.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))))
+    tools = pairs(m.where("_name <> ''").groupBy(key, "_name").agg(F.count("*").alias("n")), "_name", "n").toDF(key, "tool_counts")
+    error = F.when(F.col("error") != "", F.col("error"))
+    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
+    lower = F.lower("error")
+    ran = runs.groupBy(key).agg(
+        F.count("*").alias("_runs"), F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") != "", F.col("status")))), ",").alias("run_status"),
+        F.substring(F.min_by(error, F.when(error.isNotNull(), F.col("ord"))), 1, 500).alias("run_error"), first(F.col("ord"), error, 6, 400).alias("run_errors"),
+        any_of(F.col("status") == "failed").alias("_failed"), any_of(error.rlike(ABORT_HINT)).alias("aborted"), any_of(lower.contains("timeout") | lower.contains("timed out")).alias("_late"), any_of(error.contains("请先登录")).alias("_auth"),
+    )
+    c = calls.withColumn("purpose", F.when(F.col("purpose") != "", F.col("purpose")))
+    number = lambda x: F.sum(F.coalesce(x, F.lit(0)))
+    spent = c.groupBy(key).agg(*[number(x).alias(x) for x in ("input_tokens", "output_tokens", "total_tokens")], first(F.col("ord"), F.when(F.col("status").isin("failed", "stopped"), F.coalesce("purpose", F.lit(""))), 1 << 30, 1 << 30).alias("failed_call_purposes"))
+    by = pairs(c.groupBy(key, F.coalesce("purpose", F.lit("unknown")).alias("_purpose")).agg(number("total_tokens").alias("n")), "_purpose", "n").toDF(key, "tokens_by_purpose")
+    out = turns.select(key).distinct()
+    for part in (said, tools, ran, spent, by):
+        out = out.join(part, key, "left")
+    zero = ["_messages", "_runs", "tool_ok", "tool_fail", "input_tokens", "output_tokens", "total_tokens"]
+    out = out.withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in zero}).withColumns({x: F.coalesce(x, F.lit(False)) for x in ("_failed", "aborted", "_late", "_auth")})
+    out = out.withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in ("tool_errors", "run_errors", "failed_call_purposes")}).withColumns({x: F.coalesce(x, F.create_map().cast("map<string,bigint>")) for x in ("tool_counts", "tokens_by_purpose")})
+    kinds = F.array_compact(F.array(F.when(F.col("_failed"), "usage_run_failed"), F.when(F.col("aborted"), "aborted"), F.when(F.col("_late"), "timeout"), F.when(F.col("tool_fail") > 0, "tool_error"), F.when(F.col("_auth"), "auth_required")))
+    out = out.withColumn("kinds", kinds)
+    level = F.when((F.col("_runs") == 0) & (F.col("_messages") == 0), "unobserved").when(F.col("_failed") | F.col("aborted"), "hard_fail").when(F.size("kinds") > 0, "degraded").otherwise("clean")
+    out = out.withColumn("level", level).withColumn("duration_ms", F.when(F.col("duration_ms") != 0, F.col("duration_ms"))).withColumn("run_status", F.when(F.col("run_status") != "", F.col("run_status")))
+    return out.withColumnRenamed("_failed", "hard_fail").drop("_messages", "_runs", "_late", "_auth")
+
+
 def stratified_sample(cases: DataFrame, case: str, stratum: str, order: str, n: int, strata: list[str] | None = None) -> DataFrame:
     """One case from each stratum in turn, in the order of the strata, until there are ``n``; a repeated case counts
     once, where it comes first. Only the first ``n`` of a stratum are ranked together."""

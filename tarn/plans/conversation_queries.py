@@ -100,6 +100,28 @@ def turn_signals(spark, d):
     return T.turn_signals(e.withColumn("tool", F.when(F.col("event_type") == "error", "err").otherwise(F.col("event_type"))), ["user_id"], "tool", "result", "result").select("user_id", "tool_ok", "tool_fail", "level")
 
 
+@query("""WITH e AS (SELECT user_id * 8 + event_id % 8 AS turn, event_id, event_type AS k, floor(value)::BIGINT AS v FROM events),
+m AS (SELECT turn, count(*) AS n, count(*) FILTER (event_id % 3 > 0 AND v % 5 > 0) AS ok, count(*) FILTER (event_id % 3 > 0 AND v % 5 = 0) AS bad, count(*) FILTER (event_id % 3 > 0 AND k = 'click') AS clicks,
+ list(k || ': it timed out' ORDER BY event_id) FILTER (event_id % 3 > 0 AND v % 5 = 0) AS errors FROM e WHERE k IN ('click', 'view') GROUP BY 1),
+r AS (SELECT turn, count(*) AS n, nullif(sum(v)::BIGINT, 0) AS ms, bool_or(v % 7 = 0) AS failed, bool_or(v % 11 = 3) AS aborted, bool_or(v % 11 = 5) AS late, bool_or(v % 11 = 7) AS auth,
+ string_agg(DISTINCT CASE WHEN v % 7 = 0 THEN 'failed' ELSE 'done' END, ',' ORDER BY CASE WHEN v % 7 = 0 THEN 'failed' ELSE 'done' END) AS statuses, arg_min(CASE v % 11 WHEN 3 THEN 'user canceled' WHEN 5 THEN 'TIMEOUT' ELSE '请先登录' END, event_id) FILTER (v % 11 IN (3, 5, 7)) AS error FROM e WHERE k IN ('purchase', 'error') GROUP BY 1),
+c AS (SELECT turn, (2 * sum(v))::BIGINT AS input, sum(v)::BIGINT AS output, (3 * sum(v))::BIGINT AS total, coalesce((3 * sum(v) FILTER (k = 'signup'))::BIGINT, 0) AS unknown, count(*) FILTER (v % 13 = 1) AS stopped FROM e GROUP BY 1)
+SELECT c_custkey AS turn, coalesce(m.ok, 0) AS tool_ok, coalesce(m.bad, 0) AS tool_fail, coalesce(clicks, 0) AS clicks, array_to_string(coalesce(errors[1:8], []), ';') AS tool_errors, ms AS duration_ms, statuses AS run_status, error AS run_error, coalesce(input, 0) AS input_tokens, coalesce(output, 0) AS output_tokens,
+ coalesce(total, 0) AS total_tokens, coalesce(unknown, 0) AS unknown_tokens, coalesce(stopped, 0) AS stopped, array_to_string(list_filter([CASE WHEN failed THEN 'usage_run_failed' END, CASE WHEN aborted THEN 'aborted' END, CASE WHEN late THEN 'timeout' END, CASE WHEN m.bad > 0 THEN 'tool_error' END, CASE WHEN auth THEN 'auth_required' END], lambda x: x IS NOT NULL), ',') AS kinds,
+ CASE WHEN m.n IS NULL AND r.n IS NULL THEN 'unobserved' WHEN failed OR aborted THEN 'hard_fail' WHEN late OR auth OR m.bad > 0 THEN 'degraded' ELSE 'clean' END AS level
+FROM customer LEFT JOIN m ON m.turn = c_custkey LEFT JOIN r ON r.turn = c_custkey LEFT JOIN c ON c.turn = c_custkey""")
+def turn_report(spark, d):
+    """What events say of customers' turns: as messages, as runs, as calls."""
+    e = t(spark, d, "events").selectExpr("user_id * 8 + event_id % 8 as turn", "event_id as ord", "event_type as k", "cast(floor(value) as bigint) as v")
+    msgs = e.where("k in ('click', 'view')").selectExpr("turn", "ord", "if(ord % 3 > 0, concat(' ', k), '') as tool", "if(v % 5 = 0, 'it timed out', null) as result", "if(ord % 3 > 0, 'fine', 'error') as content")
+    runs = e.where("k in ('purchase', 'error')").selectExpr("turn", "ord", "if(v % 7 = 0, 'failed', 'done') as status", "case v % 11 when 3 then 'user canceled' when 5 then 'TIMEOUT' when 7 then '请先登录' else '' end as error", "v as duration_ms")
+    calls = e.selectExpr("turn", "ord", "if(k = 'signup', null, k) as purpose", "if(v % 13 = 1, 'stopped', 'ok') as status", "2 * v as input_tokens", "v as output_tokens", "3 * v as total_tokens")
+    r = T.turn_report(t(spark, d, "customer").selectExpr("c_custkey as turn"), msgs, runs, calls, "turn")
+    count = lambda m, k: F.coalesce(F.col(m)[k], F.lit(0).cast("long"))
+    joined = lambda c, by: F.array_join(c, by).alias(c)
+    return r.select("turn", "tool_ok", "tool_fail", count("tool_counts", "click").alias("clicks"), joined("tool_errors", ";"), "duration_ms", "run_status", "run_error", "input_tokens", "output_tokens", "total_tokens", count("tokens_by_purpose", "unknown").alias("unknown_tokens"), F.size("failed_call_purposes").cast("long").alias("stopped"), joined("kinds", ","), "level")
+
+
 @query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 300) THEN 'hard_fail' WHEN bool_or(event_type = 'error' AND value > 200) THEN 'degraded' ELSE 'clean' END AS level
           FROM events GROUP BY 1""")
 def run_levels(spark, d):
