@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import cell_of
+from .spatial import cell_of, nearest_lines, smallest_container
 
 
 def compare_identity(a: DataFrame, b: DataFrame, key: str, number: str, sheet: str) -> DataFrame:
@@ -150,6 +150,41 @@ def bom_coverage(instances: DataFrame, pointed: DataFrame, documented: DataFrame
     return out.select("id", F.when(F.col("_p") == 1, "pointed").when(F.col("_o") == 1, "pointed_by_other").when(F.col("_d") == 1, "in_documentation").otherwise("unpointed").alias("coverage"))
 
 
+def instance_coverage(segments: DataFrame, annotations: DataFrame, leaves: DataFrame, instances: DataFrame, regions: DataFrame, tolerance: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(details, roll-up) of which instances the items of a parts list point at, from geometry.
+
+    segments: segment, x, y (what an item's leader points at); annotations: segment, annotation, x, y; leaves: id, points,
+    closed, owner (an instance, null for loose geometry); instances: id, definition, x, y; regions: id, kind, minx, miny, maxx, maxy.
+    A segment's anchor is its nearest leaf. status: anchor_unresolved (no leaf within ``tolerance``, or its owner is no
+    instance), not_matchable_loose_geometry, else computed; then every instance of the anchor's definition is, in this order,
+    pointed (an annotation of the segment has it as its nearest leaf's owner within the tolerance), pointed_by_other_item,
+    in_documentation_region (kind documentation_region of the smallest region around it) or unpointed_candidate.
+    details: segment, status, instance, classification, region (instance and what follows null unless computed).
+    roll-up: segment, status, region, and the number of instances of each classification.
+    """
+    shapes = leaves.select("id", "points", "closed")
+    owner = leaves.select(F.col("id").alias("nearest"), "owner")
+
+    def anchors(points: DataFrame, key: str) -> DataFrame:
+        near = nearest_lines(points.select(F.col(key).alias("id"), "x", "y"), shapes, cell).where(F.col("distance") <= tolerance)
+        return near.join(owner, "nearest").select(F.col("point").alias(key), "owner")
+
+    at = segments.select("segment").join(anchors(segments, "segment").withColumn("_found", F.lit(True)), "segment", "left")
+    at = at.join(instances.select(F.col("id").alias("owner"), "definition"), "owner", "left")
+    status = F.when(F.col("_found").isNull(), "anchor_unresolved").when(F.col("owner").isNull(), "not_matchable_loose_geometry").when(F.col("definition").isNull(), "anchor_unresolved").otherwise("computed")
+    at = at.select("segment", status.alias("status"), F.when(status == "computed", F.col("definition")).alias("definition"))
+    pointed = annotations.select("segment", "annotation").join(anchors(annotations, "annotation"), "annotation").where("owner is not null").select("segment", F.col("owner").alias("instance")).distinct()
+    within = smallest_container(instances.select("id", "x", "y"), regions.select("id", "minx", "miny", "maxx", "maxy"), cell)
+    within = within.select(F.col("point").alias("instance"), F.col("box").alias("region")).join(regions.select(F.col("id").alias("region"), "kind"), "region")
+    met = at.join(instances.select(F.col("id").alias("instance"), "definition"), "definition", "left").join(within, "instance", "left")
+    met = met.join(pointed.withColumn("_mine", F.lit(True)), ["segment", "instance"], "left")
+    met = met.join(pointed.select("instance").distinct().withColumn("_any", F.lit(True)), "instance", "left")
+    kind = F.when(F.col("_mine"), "pointed").when(F.col("_any"), "pointed_by_other_item").when(F.col("kind") == "documentation_region", "in_documentation_region").otherwise("unpointed_candidate")
+    details = met.select("segment", "status", "instance", F.when(F.col("instance").isNotNull(), kind).alias("classification"), "region")
+    counts = [F.count_if(F.col("classification") == c).alias(c) for c in ("pointed", "pointed_by_other_item", "in_documentation_region", "unpointed_candidate")]
+    return details, details.groupBy("segment", "status", "region").agg(*counts)
+
+
 def partition_equations(spans: DataFrame, group: str, grid: float) -> DataFrame:
     """(group, parent, first, second): a span that two others fill exactly, by a two-hop join on quantised stations.
     spans: id, low, high (low < high)."""

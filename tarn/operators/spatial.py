@@ -132,9 +132,9 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 
 
 def nearest_lines(points: DataFrame, lines: DataFrame, start: float, tie: float = 0.0, cap: int = 1) -> DataFrame:
-    """(point, distance, n_ties, targets) for every point: the distance to the nearest polyline, how many lie within
-    ``tie`` of that distance, and these, by (distance, id), null if more than ``cap``; all null if there are no lines.
-    points: id, x, y; lines: id, points, closed.
+    """(point, distance, nearest, n_ties, targets) for every point: the distance to the nearest polyline, that line (the
+    smaller id of equals), how many lie within ``tie`` of that distance, and these, by (distance, id), null if more than
+    ``cap``; all null if there are no lines. points: id, x, y; lines: id, points, closed.
 
     A point looks into a box around it, ``start`` to each side, and what it finds within that radius is proven the nearest
     if the radius holds the tie too. Only points without a proof go on, with twice the radius, up to the width of all
@@ -155,17 +155,17 @@ def nearest_lines(points: DataFrame, lines: DataFrame, start: float, tie: float
         best = met.where(F.col("d") <= r).groupBy("point").agg(F.min("d").alias("distance"))
         ties = met.join(best, "point").where(F.col("d") <= F.col("distance") + tie)
         rank = F.row_number().over(Window.partitionBy("point").orderBy("d", "line"))
-        ties = ties.withColumn("_rank", rank).groupBy("point", "distance").agg(F.count("*").alias("n_ties"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= cap, F.struct("d", "line")))).alias("t"))
+        ties = ties.withColumn("_rank", rank).groupBy("point", "distance").agg(F.count("*").alias("n_ties"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= max(cap, 1), F.struct("d", "line")))).alias("t"))
         last = r >= widest
         hit = ties if last else ties.where(F.col("distance") + tie <= r)
-        hit = graph.checkpointed(hit.select("point", "distance", "n_ties", F.when(F.col("n_ties") <= cap, F.transform("t", lambda x: x["line"])).alias("targets")))
+        hit = graph.checkpointed(hit.select("point", "distance", F.get("t", F.lit(0))["line"].alias("nearest"), "n_ties", F.when(F.col("n_ties") <= cap, F.transform("t", lambda x: x["line"])).alias("targets")))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select(F.col("point").alias("id")), "id", "left_anti")
         if last or left.isEmpty():
             break
         r *= 2
     if found is None:
-        none = {"distance": "double", "n_ties": "long", "targets": f"array<{dict(lines.dtypes)['id']}>"}
+        none = {"distance": "double", "nearest": dict(lines.dtypes)["id"], "n_ties": "long", "targets": f"array<{dict(lines.dtypes)['id']}>"}
         return points.select(F.col("id").alias("point"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
     return points.select(F.col("id").alias("point")).join(found, "point", "left")
 

@@ -408,6 +408,28 @@ def bom_coverage(spark, d):
     return D.bom_coverage(p.select("id", "definition"), p.where("id % 13 = 0"), p.where("p_size > 40"))
 
 
+@query(f"""WITH {_LINES}, leaf AS (SELECT line, x1, y1, x2, y2, CASE WHEN line % 6 = 5 THEN NULL WHEN line % 31 = 3 THEN -1 ELSE line END AS owner FROM legs), inst AS (SELECT id, label % 5 AS definition, x, y FROM points),
+p AS (SELECT 's' AS what, id AS n, id AS segment, x * 1.5 + 3 AS x, y * 1.5 - 2 AS y FROM points WHERE label % 3 = 0 UNION ALL SELECT 'a', id, id % 90, x * 1.25, y * 1.25 FROM points),
+q AS (SELECT what, n, segment, line, owner, min(sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2)) AS d FROM (
+ SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1) END AS u FROM p, leaf) GROUP BY ALL),
+n AS (SELECT what, n, segment, arg_min(struct_pack(o := owner), (d, line)).o AS owner, min(d) AS d FROM q GROUP BY 1, 2, 3),
+seg AS (SELECT n.segment, CASE WHEN d > 20.123 THEN 'anchor_unresolved' WHEN owner IS NULL THEN 'not_matchable_loose_geometry' WHEN definition IS NULL THEN 'anchor_unresolved' ELSE 'computed' END AS status, definition FROM n LEFT JOIN inst ON inst.id = owner WHERE what = 's'),
+pt AS (SELECT DISTINCT segment, owner FROM n WHERE what = 'a' AND d <= 20.123 AND owner IS NOT NULL),
+reg AS (SELECT id, arg_min(k, (area, k)) AS region FROM (SELECT points.id, b.id AS k, (b.maxx - b.minx) * (b.maxy - b.miny) AS area FROM points JOIN (SELECT id, x - 60 AS minx, y - 60 AS miny, x + 60 + id % 5 AS maxx, y + 60 AS maxy FROM points WHERE label % 11 = 4) b ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy) GROUP BY 1),
+m AS (SELECT seg.segment, status, inst.id AS instance, region, CASE WHEN inst.id IS NULL THEN NULL WHEN (seg.segment, inst.id) IN (SELECT segment, owner FROM pt) THEN 1 WHEN inst.id IN (SELECT owner FROM pt) THEN 2 WHEN coalesce(region % 2 = 0, FALSE) THEN 3 ELSE 4 END AS k
+ FROM seg LEFT JOIN inst ON status = 'computed' AND inst.definition = seg.definition LEFT JOIN reg ON reg.id = inst.id)
+SELECT segment, status, region, count(*) FILTER (k = 1) AS pointed, count(*) FILTER (k = 2) AS pointed_by_other_item, count(*) FILTER (k = 3) AS in_documentation_region, count(*) FILTER (k = 4) AS unpointed_candidate FROM m GROUP BY 1, 2, 3""")
+def instance_coverage(spark, d):
+    """Coverage of a parts list from where its leaders point, by segment and view region."""
+    p = _points(spark, d)
+    leaves = _lines(spark, d).withColumn("owner", F.expr("case when id % 6 = 5 then null when id % 31 = 3 then -1 else id end"))
+    instances = p.selectExpr("id", "label % 5 as definition", "x", "y")
+    segments = p.where("label % 3 = 0").selectExpr("id as segment", "x * 1.5 + 3 as x", "y * 1.5 - 2 as y")
+    annotations = p.selectExpr("id % 90 as segment", "id as annotation", "x * 1.25 as x", "y * 1.25 as y")
+    regions = p.where("label % 11 = 4").selectExpr("id", "if(id % 2 = 0, 'documentation_region', 'view') as kind", "x - 60 as minx", "y - 60 as miny", "x + 60 + id % 5 as maxx", "y + 60 as maxy")
+    return D.instance_coverage(segments, annotations, leaves, instances, regions, 20.123, 8.0)[1]
+
+
 @query("""WITH s AS (SELECT p_brand AS g, p_partkey AS id, p_size AS l, p_size + 1 + p_partkey % 9 AS h FROM part) SELECT x.g, z.id AS parent, x.id AS first, y.id AS second FROM s x JOIN s y ON x.g = y.g AND x.h = y.l JOIN s z ON z.g = x.g AND z.l = x.l AND z.h = y.h""")
 def partition_equations(spark, d):
     return D.partition_equations(t(spark, d, "part").selectExpr("p_brand as g", "p_partkey as id", "p_size as low", "p_size + 1 + p_partkey % 9 as high"), "g", 1.0)
