@@ -82,3 +82,29 @@ def test_questions_asked_again_with_other_values_are_found(spark):
     docs += [(100 + i, " ".join(rng.choice(words, 120))) for i in range(40)]
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert all(d == i for d, i in got) and len(got) >= 54
+
+
+def test_leftovers_of_a_stage_go_when_the_next_begins(spark):
+    import os
+
+    from tarn.llm import common
+
+    made = []
+
+    def stage(spark, docs, sf_dir):
+        out = common.saved(docs.withColumn("text", F.upper("text")), "stage-test")
+        made.append(common._MADE[-1])
+        return out
+
+    rest = common.Leftovers()
+    first, second, last = rest.collected(stage), rest.collected(stage), rest.collected(stage, remember=False)
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    one = first(spark, docs, "")
+    two = second(spark, one, "")  # reads what the first left, which was not written elsewhere
+    exists = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert exists(made[0]) and exists(made[1]) and two.count() == 2
+    written = common.saved(two, "elsewhere")
+    three = last(spark, written, "")
+    assert not exists(made[0]) and not exists(made[1]) and exists(made[2])
+    first(spark, docs, "")
+    assert exists(made[2]) and sorted((r["doc_id"], r["text"]) for r in three.collect()) == [(1, "A"), (2, None)]
