@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, identity
 
 
 def excluded_by(reasons: dict[str, Column]) -> Column:
@@ -144,54 +143,14 @@ def identity_pairs(reps: DataFrame, ident: str, key: str) -> DataFrame:
     return reps.where(F.col(key).isNotNull()).join(first, key).where(F.col(ident) != F.col("src")).select("src", F.col(ident).alias("dst"))
 
 
-def resolve_identity(same: DataFrame, different: DataFrame) -> DataFrame:
-    """(node, cluster): pairs ``same`` (a, b) merge in sorted order unless a pair of ``different`` (a, b) would lie in
-    one cluster. The order matters only inside a connected component, so each is one group."""
-    comp = graph.components(same.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    at = comp.withColumnRenamed("node", "a")
-    links = same.join(at, "a").withColumn("kind", F.lit(1)).unionByName(different.join(at, "a").withColumn("kind", F.lit(0)))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(x):
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        apart = [(r.a, r.b) for r in f.itertuples() if r.kind == 0]
-        against: dict = {}
-        for a, b in apart:
-            against.setdefault(a, set()).add(b)
-            against.setdefault(b, set()).add(a)
-        members: dict = {}
-        for r in sorted((r for r in f.itertuples() if r.kind == 1), key=lambda r: (min(r.a, r.b), max(r.a, r.b))):
-            x, y = root(r.a), root(r.b)
-            if x == y:
-                continue
-            mx, my = members.setdefault(x, {x}), members.setdefault(y, {y})
-            small, large = (mx, my) if len(mx) < len(my) else (my, mx)
-            if any(against.get(m, set()) & large for m in small):
-                continue
-            low, high = min(x, y), max(x, y)
-            parent[high] = low
-            members[low] = mx | my
-        nodes = sorted({x for r in f.itertuples() if r.kind == 1 for x in (r.a, r.b)})
-        return pd.DataFrame({"node": nodes, "cluster": [root(x) for x in nodes]})
-
-    return links.groupBy("component").applyInPandas(run, "node long, cluster long")
-
-
 def count_interval(same: DataFrame, nodes: DataFrame, proven: str, different: DataFrame | None = None) -> DataFrame:
     """One row: lower (all possible merges made) and upper (only proven ones) bounds of how many things there are.
-    ``different`` (a, b): pairs proven to be two things, which no merge may bring together (see :func:`resolve_identity`)."""
+    ``different`` (a, b): pairs proven to be two things, which no merge may bring together (see :func:`identity.resolve_identity`)."""
     n = nodes.select("node")
     if different is None:
         lower = graph.components(same.select("src", "dst"), n).agg(F.countDistinct("component").alias("lower"))
     else:
-        merged = resolve_identity(same.select(F.col("src").alias("a"), F.col("dst").alias("b")), different)
+        merged = identity.resolve_identity(same.select(F.col("src").alias("a"), F.col("dst").alias("b")), different)
         alone = n.distinct().join(merged, "node", "left_anti").select("node", F.col("node").alias("cluster"))
         lower = merged.select("node", "cluster").unionByName(alone).agg(F.countDistinct("cluster").alias("lower"))
     upper = graph.components(same.where(proven).select("src", "dst"), n).agg(F.countDistinct("component").alias("upper"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import diff as D
-from ..operators import graph
+from ..operators import graph, identity
 from ..operators import spatial as S
 from ..operators import text_index as TI
 from .registry import query, t
@@ -269,10 +269,65 @@ def shape_signatures(spark, d):
 
 @query()
 def resolve_identity(spark, d):
-    """Greedy merging under constraints, sequential per component; compared with plain Python in tests."""
+    """Merging in order under constraints; compared with plain Python in tests."""
     p = t(spark, d, "part")
     same = A.identity_pairs(p, "p_partkey", "p_name").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return A.resolve_identity(same, same.where("b % 3 = 0"))
+    return identity.resolve_identity(same, same.where("b % 3 = 0"))
+
+
+_MODE = "CASE WHEN p_size % 8 < 3 THEN 'instance_view' WHEN p_size % 8 = 3 THEN 'schematic_instance' WHEN p_size % 8 = 4 THEN 'legend_symbol' WHEN p_size % 8 = 5 THEN 'schedule_record' WHEN p_size % 8 = 6 THEN 'unknown' ELSE 'aggregated_representation' END"
+_REPS = [
+    "p_partkey AS id",
+    "CASE WHEN p_partkey % 41 > 0 THEN p_type END AS class",
+    "CASE WHEN p_partkey % 17 > 0 THEN concat(p_brand, '/', p_partkey % 50) END AS context",
+    f"{_MODE} AS mode",
+    "concat(p_size, '/', p_partkey % 37) AS signature",
+    "CASE WHEN p_partkey % 9 > 0 THEN concat(p_name, ' ', p_partkey % 100) ELSE '' END AS name",
+    "concat(' ', upper(p_brand), ' ', p_partkey % 60) AS mark",
+]
+
+
+def _reps(spark, d):
+    return t(spark, d, "part").selectExpr(*_REPS).withColumn("labels", F.array("name", "mark")).drop("name", "mark")
+
+
+_SIDES = f"""reps AS (SELECT {", ".join(_REPS)} FROM part), r AS (SELECT *, CASE WHEN mode IN ('instance_view', 'schematic_instance', 'aggregated_representation') THEN 'physical' WHEN mode = 'legend_symbol' THEN 'type' WHEN mode = 'schedule_record' THEN 'schedule' ELSE 'other' END AS side FROM reps WHERE class IS NOT NULL),
+l AS (SELECT DISTINCT id, class, context, side, lower(trim(x)) AS label FROM (SELECT *, unnest([name, mark]) AS x FROM r) WHERE trim(x) <> '')"""
+
+
+@query(f"""WITH {_SIDES}, g AS (SELECT DISTINCT 'represents_type' AS edge, a.class, NULL AS context, NULL AS signature, NULL AS label, unnest([a.id, b.id]) AS id, unnest([a.side, b.side]) AS side FROM r a JOIN r b ON a.class = b.class AND a.id < b.id AND (a.side = 'type' OR b.side = 'type')
+UNION SELECT 'different_object_proven', a.class, a.context, NULL, NULL, unnest([a.id, b.id]), 'physical' FROM r a JOIN r b ON a.class = b.class AND a.context = b.context AND a.id < b.id AND a.side = 'physical' AND b.side = 'physical'
+UNION SELECT 'same_type_only', a.class, NULL, a.signature, NULL, unnest([a.id, b.id]), unnest([a.side, b.side]) FROM r a JOIN r b ON a.class = b.class AND a.signature = b.signature AND a.id < b.id
+UNION SELECT 'same_object_supported', NULL, NULL, NULL, a.label, unnest([a.id, b.id]), unnest([a.side, b.side]) FROM l a JOIN l b ON a.label = b.label AND a.side = 'schedule' AND b.side = 'physical'),
+p AS (SELECT a.class, a.label FROM l a JOIN l b ON a.class = b.class AND a.label = b.label AND a.id < b.id AND a.side <> 'type' AND b.side <> 'type'
+ AND NOT (a.side = 'physical' AND b.side = 'physical' AND a.context IS NOT DISTINCT FROM b.context AND a.context IS NOT NULL) AND (a.side, b.side) NOT IN (('physical', 'schedule'), ('schedule', 'physical')))
+SELECT * FROM g UNION ALL SELECT 'same_object_possible', class, NULL, NULL, label, id, side FROM l SEMI JOIN p USING (class, label) WHERE side <> 'type'""")
+def identity_assertions(spark, d):
+    """What the rules say of pairs of representations, as groups of members."""
+    return identity.assertion_groups(_reps(spark, d))
+
+
+@query()
+def identity_clusters(spark, d):
+    """Physical representations of one name or mark merge in order, but never two of one class and context; compared
+    with plain Python in tests."""
+    return identity.resolve_identity(_same_marks(spark, d), exclusive=identity.exclusive_keys(_reps(spark, d)))
+
+
+def _same_marks(spark, d):
+    r = _reps(spark, d).where(F.col("class").isNotNull() & F.col("mode").isin(identity.PHYSICAL)).select("id", F.explode("labels").alias("label")).where("label <> ''")
+    return A.identity_pairs(r, "id", "label").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+
+
+@query(f"""WITH {_SIDES}, c AS (SELECT id, min(id) OVER (PARTITION BY class, context) AS cluster FROM r WHERE side = 'physical' AND context IS NOT NULL),
+m AS (SELECT s.id, coalesce(c.cluster, p.id) AS cluster FROM l s JOIN l p ON s.side = 'schedule' AND p.side = 'physical' AND s.label = p.label LEFT JOIN c ON c.id = p.id)
+SELECT id, min(cluster) AS cluster FROM m GROUP BY 1 HAVING count(DISTINCT cluster) = 1""")
+def schedule_attachments(spark, d):
+    """Schedule records with the one cluster that their labels name; here what shares class and context is a cluster."""
+    reps = _reps(spark, d)
+    at = reps.where(F.col("class").isNotNull() & F.col("context").isNotNull() & F.col("mode").isin(identity.PHYSICAL))
+    first = at.groupBy("class", "context").agg(F.min("id").alias("cluster"))
+    return identity.attach_schedules(reps, at.join(first, ["class", "context"]).select(F.col("id").alias("node"), "cluster"))
 
 
 @query("""WITH t AS (SELECT doc_id, source FROM documents WHERE contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ation the')), c AS (SELECT source, count(*) AS unit_hits FROM t GROUP BY 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tarn.functions import columns as C
-from tarn.operators import audit, graph, ledger, turns
+from tarn.operators import audit, graph, identity, ledger, turns
 from tarn.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -134,7 +134,7 @@ def test_shortest_path(spark):
 def test_identity_keeps_proven_different_apart(spark):
     same = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11)], "a long, b long")
     apart = spark.createDataFrame([(1, 4)], "a long, b long")
-    got = {r["node"]: r["cluster"] for r in audit.resolve_identity(same, apart).collect()}
+    got = {r["node"]: r["cluster"] for r in identity.resolve_identity(same, apart).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 10: 10, 11: 10}
     assert len(rows(spark, "resolve_identity")) > 0
 
