@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 from .spatial import cell_of, nearest_lines, smallest_container
 
 
@@ -140,6 +141,83 @@ def view_similarity(features: DataFrame, block: str, view: str, value: str, n: i
     return x.join(y, block).where("a < b").select("a", "b", F.round(gap, 6).alias("distance"))
 
 
+def view_features(values: DataFrame, counts: DataFrame, bins: DataFrame, weights: dict, n: int = 33) -> DataFrame:
+    """A row per view: d (an array of ``n`` interpolated quantiles, null without values, per distribution of ``weights``),
+    c (its counts, 0 if absent) and h (its histogram, a sorted array of (bin, n)).
+
+    values: view, feature, value; counts: view, feature, n; bins: view, bin, n; rows of one key are added up, nulls left out.
+    ``percentile`` merges partial counts of distinct values, so a view with many rows is no single task before its last step.
+    """
+    shares = [i / (n - 1) for i in range(n)]
+    q = [F.percentile(F.when(F.col("feature") == f, F.col("value")), shares).alias(f"_d{i}") for i, f in enumerate(weights["distributions"])]
+    total = [F.coalesce(F.sum(F.when(F.col("feature") == f, F.col("n"))), F.lit(0)).cast("double").alias(f"_c{i}") for i, f in enumerate(weights["counts"])]
+    v = values.where("value is not null").groupBy("view").agg(*q)
+    c = counts.groupBy("view").agg(*total)
+    h = bins.where("n > 0 and bin is not null").groupBy("view", "bin").agg(F.sum("n").cast("double").alias("n"))
+    h = h.groupBy("view").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"))
+    every = values.select("view").union(counts.select("view")).union(bins.select("view")).where("view is not null").distinct()
+    out = every.join(v, "view", "left").join(c, "view", "left").join(h, "view", "left")
+    empty = F.expr("filter(array(struct(cast(null as string) as bin, 0.0D as n)), x -> false)")
+    return out.select(
+        "view",
+        F.array(*[F.col(f"_d{i}") for i in range(len(q))]).alias("d"),
+        F.array(*[F.coalesce(f"_c{i}", F.lit(0.0)) for i in range(len(total))]).alias("c"),
+        F.coalesce("h", empty).alias("h"),
+    )
+
+
+def similar_views(features: DataFrame, weights: dict, bar: float, parts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity), a < b, of views at least ``bar`` alike; members (view, like) with each
+    view's representative, the smallest view of equal features. Only representatives are paired: views of one
+    representative are 1 alike.
+
+    Similarity is the weighted sum of: per distribution 1 - the mean distance of its quantiles, at least 0 (1 if neither
+    view has values, 0 if one has none); the histogram's sum of minima over the sum of maxima; per count the smaller over the
+    larger. weights: {"distributions": {name: w}, "histogram": w, "counts": {name: w}}, 1 in all. bin must be a string.
+
+    No view meets all others: quantiles that differ by g on average have means that differ by at most g, so views ``bar``
+    alike lie within (1 - bar) / w of each other in the means of each distribution heavier than 1 - bar, and are looked up
+    in neighbouring cells of that size, a cell in ``parts`` salted parts. ``bar`` must leave such a distribution.
+    """
+    ds, cs = list(weights["distributions"].values()), list(weights["counts"].values())
+    gaps = {i: (1 - bar) / w + 1e-9 for i, w in enumerate(ds) if w > 1 - bar}
+    if not gaps:
+        raise ValueError("bar leaves no distribution whose means bound the pairs: raise it above 1 - the largest weight")
+    key = F.to_json(F.struct("d", "c", "h"))
+    like = features.groupBy("d", "c", "h").agg(F.min("view").alias("like"))
+    one = checkpointed(like)
+    members = features.select("view", key.alias("_k")).join(one.select("like", key.alias("_k")), "_k").select("view", "like")
+    mean = lambda q: F.aggregate(q, F.lit(0.0), lambda t, x: t + x) / F.size(q)
+    cells = {i: F.floor(mean(F.get("d", i)) / g).cast("long") for i, g in gaps.items()}
+    x = one.select(F.col("like").alias("a"), F.col("d").alias("da"), F.col("c").alias("ca"), F.col("h").alias("ha"), *[F.coalesce(c, F.lit(-(2**62))).alias(f"_g{i}") for i, c in cells.items()])
+    y = one.select(F.col("like").alias("b"), F.col("d").alias("db"), F.col("c").alias("cb"), F.col("h").alias("hb"), *[F.coalesce(c, F.lit(-(2**62))).alias(f"_g{i}") for i, c in cells.items()])
+    for i in gaps:
+        y = y.withColumn(f"_g{i}", F.explode(F.sequence(F.col(f"_g{i}") - 1, F.col(f"_g{i}") + 1)))
+    x = x.withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    y = y.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = x.join(y, [*[f"_g{i}" for i in gaps], "_part"]).where("a < b")
+
+    def distribution(i: int) -> Column:
+        p, q = F.get("da", i), F.get("db", i)
+        apart = F.aggregate(F.zip_with(p, q, lambda s, t: F.abs(s - t)), F.lit(0.0), lambda t, v: t + v) / F.size(p)
+        return F.when(p.isNull() & q.isNull(), 1.0).when(p.isNull() | q.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - apart))
+
+    def count(i: int) -> Column:
+        p, q = F.get("ca", i), F.get("cb", i)
+        return F.when(F.greatest(p, q) == 0, 1.0).otherwise(F.least(p, q) / F.greatest(p, q))
+
+    size = lambda h: F.aggregate(h, F.lit(0.0), lambda t, e: t + e["n"])
+    other = lambda e: F.coalesce(F.element_at(F.map_from_entries("hb"), e["bin"]), F.lit(0.0))
+    shared = F.aggregate("ha", F.lit(0.0), lambda t, e: t + F.least(e["n"], other(e)))
+    union = size("ha") + size("hb") - shared
+    histogram = F.when(union == 0, 1.0).otherwise(shared / union)
+    terms = [w * distribution(i) for i, w in enumerate(ds)] + [weights["histogram"] * histogram] + [w * count(i) for i, w in enumerate(cs)]
+    alike = terms[0]
+    for term in terms[1:]:
+        alike = alike + term
+    return met.select("a", "b", F.round(alike, 9).alias("similarity")).where(F.col("similarity") >= bar), members
+
+
 def bom_coverage(instances: DataFrame, pointed: DataFrame, documented: DataFrame) -> DataFrame:
     """(id, coverage): pointed by an annotation, pointed_by_other if another instance of the definition is, else
     in_documentation, else unpointed. instances: id, definition; pointed, documented: id."""

@@ -276,6 +276,43 @@ def snap_endpoints(points: DataFrame, tol: float) -> DataFrame:
     return c.select("id", "component").join(best, "component").select("id", F.col("component").alias("cluster"), "m.x", "m.y")
 
 
+def snap_plan(endpoints: DataFrame, tol: float) -> DataFrame:
+    """(id, cluster, x, y, displacement, exceeds, collapses) for each endpoint: the cluster of endpoints within ``tol`` of
+    each other over any number of steps, named by its smallest id; the place it snaps to; how far that is; whether
+    some member of the cluster snaps further than ``tol``; whether both ends of an open curve are in the cluster.
+
+    The place is that of the member with priority, then nearest to the members' centre, then with the smallest sum of
+    distances to all members, then the smallest id; distances are compared to nine decimals. endpoints: id, x, y,
+    priority, curve, closed; null priority: none; null closed: open; a null curve collapses nothing; a null x or y: left out.
+
+    Copies of a place are one place with a number, so a pile of endpoints is no pile of pairs. Sums of distances are only
+    taken where different places are equally near to the centre, for these places alone.
+    """
+    ends = endpoints.where("x is not null and y is not null").withColumn("priority", F.coalesce("priority", F.lit(False)))
+    rank = F.min(F.struct((~F.col("priority")).alias("late"), "id")).alias("m")
+    places = graph.checkpointed(ends.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("id"), rank).select("id", "x", "y", "n", F.col("m.late").alias("late"), F.col("m.id").alias("own")))
+    pairs = radius_join(places, places, tol).where("query < point").select(F.col("query").alias("src"), F.col("point").alias("dst"))
+    comp = graph.components(pairs, places.select(F.col("id").alias("node")))
+    at = graph.checkpointed(places.join(comp.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id").drop("id"))
+    weighted = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    centre = at.groupBy("cluster").agg(weighted("x").alias("mx"), weighted("y").alias("my"))
+    far = F.round(F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2), 9)
+    tried = at.join(centre, "cluster").withColumn("far", far)
+    best = tried.groupBy("cluster").agg(F.min(F.struct("late", "far")).alias("best"))
+    tied = tried.join(best, "cluster").where((F.col("late") == F.col("best.late")) & (F.col("far") == F.col("best.far"))).select("cluster", "x", "y", "own")
+    tied = graph.checkpointed(tied)
+    several = tied.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster")
+    asked = tied.join(several, "cluster", "left_semi")
+    cost = asked.join(at.select("cluster", F.col("x").alias("px"), F.col("y").alias("py"), "n"), "cluster").groupBy("cluster", "own").agg(F.sum(F.col("n") * F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)).alias("cost"))
+    chosen = tied.join(cost, ["cluster", "own"], "left").groupBy("cluster").agg(F.min(F.struct(F.round(F.coalesce("cost", F.lit(0.0)), 9), "own", "x", "y")).alias("m")).select("cluster", F.col("m.x").alias("sx"), F.col("m.y").alias("sy"))
+    moved = graph.checkpointed(ends.join(at.select("x", "y", "cluster"), ["x", "y"]).join(chosen, "cluster").withColumn("displacement", F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)))
+    curves = moved.where(F.col("curve").isNotNull() & ~F.coalesce("closed", F.lit(False))).groupBy("cluster", "curve").agg(F.count("*").alias("_n")).where("_n > 1")
+    collapsed = curves.select("cluster").distinct().withColumn("_c", F.lit(True))
+    furthest = moved.groupBy("cluster").agg(F.max("displacement").alias("_far"))
+    out = moved.join(furthest, "cluster").join(collapsed, "cluster", "left")
+    return out.select("id", "cluster", F.col("sx").alias("x"), F.col("sy").alias("y"), "displacement", (F.col("_far") > tol).alias("exceeds"), F.coalesce("_c", F.lit(False)).alias("collapses"))
+
+
 def spatial_groups(boxes: DataFrame, gap: float, size: float) -> DataFrame:
     """(node, component): boxes that overlap when each is widened by ``gap``, over any number of steps."""
     wide = boxes.select("id", (F.col("minx") - gap).alias("minx"), (F.col("miny") - gap).alias("miny"), (F.col("maxx") + gap).alias("maxx"), (F.col("maxy") + gap).alias("maxy"))

@@ -142,6 +142,18 @@ def endpoint_clusters(spark, d):
     return S.snap_endpoints(p, 2.0).select("id", "cluster")
 
 
+@query(f"""WITH RECURSIVE {_SNAP}, c AS (SELECT points.*, id % 5 > 0 AS late, id // 2 AS curve, id % 14 < 2 AS closed, cluster FROM points JOIN (SELECT node AS id, min(low) AS cluster FROM r GROUP BY 1) USING (id)),
+m AS (SELECT *, round(sqrt((x - avg(x) OVER w) ** 2 + (y - avg(y) OVER w) ** 2), 9) AS far FROM c WINDOW w AS (PARTITION BY cluster)),
+k AS (SELECT a.cluster, a.id, a.x, a.y, any_value(a.late) AS late, any_value(a.far) AS far, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 9) AS cost FROM m a JOIN m b USING (cluster) GROUP BY 1, 2, 3, 4),
+z AS (SELECT cluster, arg_min(struct_pack(x := x, y := y), (late, far, cost, id)) AS p FROM k GROUP BY 1),
+d AS (SELECT c.*, p.x AS sx, p.y AS sy, sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2) AS displacement FROM c JOIN z USING (cluster)),
+f AS (SELECT DISTINCT cluster FROM d WHERE NOT closed GROUP BY cluster, curve HAVING count(*) > 1)
+SELECT id, cluster, sx AS x, sy AS y, displacement, max(displacement) OVER (PARTITION BY cluster) > 2 AS exceeds, cluster IN (SELECT cluster FROM f) AS collapses FROM d""")
+def snap_plan(spark, d):
+    """Where endpoints snap to, and clusters that reach too far or collapse a curve."""
+    return S.snap_plan(_points(spark, d).selectExpr("id", "x", "y", "id % 5 = 0 as priority", "id div 2 as curve", "id % 14 < 2 as closed"), 2.0)
+
+
 @query(f"WITH RECURSIVE {_BOXES}, s AS (SELECT a.id AS src, b.id AS dst FROM boxes a JOIN boxes b ON a.id <> b.id AND a.minx - 1 <= b.maxx + 1 AND b.minx - 1 <= a.maxx + 1 AND a.miny - 1 <= b.maxy + 1 AND b.miny - 1 <= a.maxy + 1), r AS (SELECT id AS node, id AS low FROM boxes UNION SELECT s.dst, r.low FROM r JOIN s ON s.src = r.node WHERE r.low < s.dst) SELECT node, min(low) AS component FROM r GROUP BY 1")
 def spatial_groups(spark, d):
     return S.spatial_groups(_boxes(spark, d), 1.0, 8.0)
@@ -457,6 +469,27 @@ def view_similarity(spark, d):
     return D.view_similarity(p, "p_type", "view", "v", 5)
 
 
+_WEIGHTS = {"distributions": {"edge": 0.3, "radial": 0.25}, "histogram": 0.2, "counts": {"edges": 0.1, "vertices": 0.1, "faces": 0.05}}
+_BINS = ", ".join(f"count(*) FILTER (p_size % 5 = {i})" for i in range(5))
+_SHARES = [i / 32 for i in range(33)]
+_DISTANCE = "CASE WHEN a.{0} IS NULL AND b.{0} IS NULL THEN 1 WHEN a.{0} IS NULL OR b.{0} IS NULL THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(1, 34), lambda i: abs(a.{0}[i] - b.{0}[i]))) / 33) END"
+_LESS = "least(a.{0}, b.{0}) / greatest(a.{0}, b.{0})"
+
+
+@query(f"""WITH v AS (SELECT concat(p_brand, '/', p_type) AS view, quantile_cont(p_size / 50, {_SHARES}) FILTER (p_size % 6 > 0) AS e, quantile_cont((p_retailprice - 900) / 1200, {_SHARES}) AS r,
+ count(*) AS n, count(DISTINCT p_name) AS m, count(DISTINCT p_size) AS f, [{_BINS}] AS h FROM part GROUP BY 1)
+SELECT a, b, round(s, 9) AS similarity FROM (SELECT a.view AS a, b.view AS b, 0.3 * {_DISTANCE.format("e")} + 0.25 * {_DISTANCE.format("r")} + 0.2 * (list_sum(list_transform(range(1, 6), lambda i: least(a.h[i], b.h[i]))) / list_sum(list_transform(range(1, 6), lambda i: greatest(a.h[i], b.h[i]))))
+ + 0.1 * {_LESS.format("n")} + 0.1 * {_LESS.format("m")} + 0.05 * {_LESS.format("f")} AS s FROM v a JOIN v b ON a.view < b.view) WHERE round(s, 9) >= 0.812345""")
+def similar_views(spark, d):
+    """Views (here parts of a brand and type) alike in two distributions, a histogram and three counts."""
+    p = t(spark, d, "part").withColumn("view", F.concat_ws("/", "p_brand", "p_type"))
+    values = p.where("p_size % 6 > 0").selectExpr("view", "'edge' as feature", "p_size / 50 as value").unionByName(p.selectExpr("view", "'radial' as feature", "(p_retailprice - 900) / 1200 as value"))
+    per = p.groupBy("view").agg(F.count("*").alias("edges"), F.countDistinct("p_name").alias("vertices"), F.countDistinct("p_size").alias("faces"))
+    counts = per.unpivot("view", ["edges", "vertices", "faces"], "feature", "n")
+    bins = p.selectExpr("view", "string(p_size % 5) as bin", "1 as n")
+    return D.similar_views(D.view_features(values, counts, bins, _WEIGHTS), _WEIGHTS, 0.812345)[0]
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, p_name AS d, p_partkey % 13 = 0 AS p, p_size > 40 AS m FROM part) SELECT id, CASE WHEN p THEN 'pointed' WHEN d IN (SELECT d FROM p WHERE p) THEN 'pointed_by_other' WHEN m THEN 'in_documentation' ELSE 'unpointed' END AS coverage FROM p""")
 def bom_coverage(spark, d):
     p = t(spark, d, "part").selectExpr("p_partkey as id", "p_name as definition", "p_size")

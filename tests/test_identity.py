@@ -1,11 +1,12 @@
 """Identity of representations, clusters of endpoints and similar views against plain Python."""
 
+import math
 import random
 
 import pytest
 
 import __spark_entry__ as entry
-from tarn.operators import audit, identity
+from tarn.operators import audit, diff, identity, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +95,63 @@ def test_schedule_rows(spark):
         ("same_object_possible", "p-1"): [1, 2],
     }
     assert identity.assertion_groups(df.limit(0)).count() == 0
+
+
+WEIGHTS = {"distributions": {"edge": 0.5, "radial": 0.2}, "histogram": 0.2, "counts": {"edges": 0.1}}
+
+
+def quantiles(v, n=33):
+    v = sorted(v)
+    at = [i / (n - 1) * (len(v) - 1) for i in range(n)]
+    return [v[int(p)] + (p - int(p)) * (v[min(int(p) + 1, len(v) - 1)] - v[int(p)]) for p in at]
+
+
+def alike(a, b):
+    total = 0.0
+    for name, w in WEIGHTS["distributions"].items():
+        p, q = a[name], b[name]
+        total += w * (1.0 if not p and not q else 0.0 if not p or not q else max(0.0, 1 - sum(abs(x - y) for x, y in zip(quantiles(p), quantiles(q), strict=True)) / 33))
+    keys = a["h"].keys() | b["h"].keys()
+    more = sum(max(a["h"].get(k, 0), b["h"].get(k, 0)) for k in keys)
+    total += 0.2 * (sum(min(a["h"].get(k, 0), b["h"].get(k, 0)) for k in keys) / more if more else 1.0)
+    return total + 0.1 * (min(a["n"], b["n"]) / max(a["n"], b["n"]) if a["n"] or b["n"] else 1.0)
+
+
+def test_similar_views(spark):
+    rng = random.Random(7)
+    views = {}
+    for i in range(60):
+        base = rng.choice([0.1, 0.5, 3.0, -2.0])
+        views[f"v{i:02}"] = {"edge": [base + rng.random() / 3 for _ in range(rng.randrange(4))], "radial": [rng.random() for _ in range(rng.randrange(3))], "h": {str(rng.randrange(4)): rng.randrange(1, 4) for _ in range(rng.randrange(3))}, "n": rng.randrange(4)}
+    for i in range(60, 75):
+        views[f"v{i}"] = views["v03"]  # copies
+    values = [(v, f, x) for v, r in views.items() for f in ("edge", "radial") for x in r[f]] + [("v00", "edge", None), ("v00", "strange", 9.0)]
+    counts = [(v, "edges", r["n"]) for v, r in views.items()]
+    bins = [(v, k, n) for v, r in views.items() for k, n in r["h"].items()] + [("v01", None, 4), ("v01", "9", 0)]
+    features = diff.view_features(spark.createDataFrame(values, "view string, feature string, value double"), spark.createDataFrame(counts, "view string, feature string, n long"), spark.createDataFrame(bins, "view string, bin string, n long"), WEIGHTS)
+    pairs, members = diff.similar_views(features, WEIGHTS, 0.77)
+    like = {r["view"]: r["like"] for r in members.collect()}
+    assert like.keys() == views.keys() and all(like[f"v{i}"] == "v03" for i in range(60, 75))
+    first = sorted(set(like.values()))
+    want = {(a, b): round(alike(views[a], views[b]), 6) for a in first for b in first if a < b and alike(views[a], views[b]) >= 0.77}
+    assert {(r["a"], r["b"]): round(r["similarity"], 6) for r in pairs.collect()} == want and len(want) > 20
+    none = features.limit(0)
+    assert diff.similar_views(none, WEIGHTS, 0.77)[0].count() == 0
+    with pytest.raises(ValueError):
+        diff.similar_views(none, WEIGHTS, 0.5)
+
+
+def test_snapping_of_endpoints(spark):
+    schema = "id long, x double, y double, priority boolean, curve long, closed boolean"
+    rows = [(1, 0.0, 0.0, None, 1, None), (2, 1.0, 0.0, None, 1, None), (3, 50.0, 0.0, False, 2, True), (4, 50.5, 0.0, True, 2, True), (5, None, 0.0, True, 3, None), (6, 90.0, 9.0, None, None, None)]
+    rows += [(10 + i, 200.0 + i, 7.0, None, 10 + i, False) for i in range(5)]  # a row that reaches further than the tolerance
+    # four corners as near to the centre as each other, one of them with more copies; then two whose sums are equal
+    rows += [(20, 300.0, 0.0, None, None, None), (21, 301.0, 0.0, None, None, None), (22, 301.0, 1.0, None, None, None), (23, 300.0, 1.0, None, None, None)]
+    rows += [(30 + i, 400.0, 4.0, None, None, None) for i in range(200)]
+    got = {r["id"]: tuple(r)[1:] for r in spatial.snap_plan(spark.createDataFrame(rows, schema), 1.0).collect()}
+    assert got[1] == (1, 0.0, 0.0, 0.0, False, True) and got[2] == (1, 0.0, 0.0, 1.0, False, True)
+    assert got[3] == (3, 50.5, 0.0, 0.5, False, False) and 5 not in got and got[6] == (6, 90.0, 9.0, 0.0, False, False)
+    assert got[10] == (10, 202.0, 7.0, 2.0, True, False)
+    assert got[22][:3] == (20, 300.0, 0.0) and got[22][4] and math.isclose(got[22][3], math.sqrt(2))
+    assert all(got[30 + i] == (30, 400.0, 4.0, 0.0, False, False) for i in range(200)) and len(got) == len(rows) - 1
+    assert spatial.snap_plan(spark.createDataFrame([], schema), 1.0).count() == 0
