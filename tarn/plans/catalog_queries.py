@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from ..operators import graph as G
+from ..operators import layout
 from ..operators import validators as V
 from .registry import query, t
 
@@ -183,11 +184,6 @@ def context_ranking(spark, d):
 _EDGES = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 50 = 0)"
 
 
-def _edges(spark, d):
-    li = t(spark, d, "lineitem").where("l_orderkey % 50 = 0")
-    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct()
-
-
 def _tree(spark, d):
     """Every event hangs below event_id / 3: one deep tree."""
     return t(spark, d, "events").where("event_id > 0").select(F.expr("event_id div 3").alias("src"), F.col("event_id").alias("dst"))
@@ -206,12 +202,12 @@ def unreachable(spark, d):
     return G.unreachable(t(spark, d, "events").select(F.col("event_id").alias("node")), _tree(spark, d), spark.range(2, 3).select(F.col("id").alias("node")))
 
 
-_RING = "ring AS (SELECT o_custkey AS src, o_orderkey % 300 AS dst FROM orders WHERE o_orderkey % 7 = 0)"
+_RING = "ring AS (SELECT o_custkey AS src, o_orderkey % 300 AS dst FROM orders)"
 
 
 @query(f"WITH RECURSIVE {_RING}, p AS (SELECT DISTINCT src, dst FROM ring UNION SELECT p.src, ring.dst FROM p JOIN ring ON p.dst = ring.src), c AS (SELECT DISTINCT src AS n FROM p WHERE src = dst) SELECT DISTINCT node FROM (SELECT n AS node FROM c UNION SELECT a.dst FROM p a JOIN p b ON a.dst = b.src JOIN c x ON a.src = x.n JOIN c y ON b.dst = y.n)")
 def cycle_nodes(spark, d):
-    return G.cycle_nodes(t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst")))
+    return G.cycle_nodes(t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst")))
 
 
 @query()
@@ -220,11 +216,11 @@ def cycle_nodes_whole(spark, d):
     return G.cycle_nodes(t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst")))
 
 
-def _pairs(spark, d, where="o_orderkey % 3 = 0"):
-    return t(spark, d, "orders").where(where).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
+def _pairs(spark, d):
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
 
 
-_PAIRS = "e AS (SELECT o_custkey AS src, o_orderkey * 7 % 1000 AS dst FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS low FROM s UNION SELECT s.dst, r.low FROM r JOIN s ON s.src = r.node WHERE r.low < s.dst)"
+_PAIRS = "e AS (SELECT o_custkey AS src, o_orderkey * 7 % 1000 AS dst FROM orders), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS low FROM s UNION SELECT s.dst, r.low FROM r JOIN s ON s.src = r.node WHERE r.low < s.dst)"
 
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT node, min(low) AS component FROM r GROUP BY 1")
@@ -244,13 +240,13 @@ def graph_facts(spark, d):
 @query()
 def components_whole(spark, d):
     """components over all orders; compared with plain Python in tests."""
-    return G.components(_pairs(spark, d, "true"))
+    return G.components(_pairs(spark, d))
 
 
 @query()
 def graph_facts_whole(spark, d):
     """graph_facts over all orders; compared with plain Python in tests."""
-    e = _pairs(spark, d, "true")
+    e = _pairs(spark, d)
     return G.graph_facts(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
 
 
@@ -295,13 +291,13 @@ def enrichment_errors(spark, d):
 @query()
 def cut_facts(spark, d):
     """Bridges and articulation points over all orders; compared with plain Python in tests."""
-    return G.cut_facts(_pairs(spark, d, "true"))
+    return G.cut_facts(_pairs(spark, d))
 
 
 @query()
 def cut_facts_by_joins(spark, d):
     """As cut_facts, the graph's large component by joins; compared with plain Python in tests."""
-    return G.cut_facts(_pairs(spark, d, "true"), most=1000)
+    return G.cut_facts(_pairs(spark, d), most=1000)
 
 
 @query()
@@ -317,23 +313,41 @@ def sectors(spark, d):
     return G.sectors(roots, _tree(spark, d))
 
 
-@query("""WITH n AS (SELECT c_custkey AS node, c_mktsegment || c_nationkey::VARCHAR || (c_custkey % 90)::VARCHAR AS name, c_custkey % 3 = 0 AS atomic FROM customer), e AS (SELECT o_custkey AS src, o_orderkey % 400 AS dst FROM orders WHERE o_orderkey % 5 = 0)
+_REQUIREMENTS = """e AS (SELECT event_id AS id, event_id // 7 AS src, event_id AS dst, CASE event_id % 5 WHEN 1 THEN 'reuses_requirement' WHEN 2 THEN 'decomposes_to' ELSE 'contains_requirement' END AS kind, event_id * 31 % 10 AS ord FROM events WHERE event_id > 0),
+top AS (SELECT dst, row_number() OVER (ORDER BY ord, dst) - 1 AS s FROM e WHERE src = 0 AND kind = 'contains_requirement'),
+r AS (SELECT 0::BIGINT AS node, 0 AS depth, NULL::BIGINT AS sector, NULL::BIGINT AS ord UNION ALL SELECT e.dst, depth + 1, CASE WHEN node = 0 THEN s ELSE sector END, e.ord FROM r JOIN e ON src = node LEFT JOIN top ON top.dst = e.dst),
+p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY sector, depth) AS n, (SELECT count(*) FROM top) AS k, CASE WHEN node = 0 THEN 0 ELSE 180 * (node % 3 + 1) + 55 * greatest(depth - 1, 0) END AS radius,
+ CASE WHEN sector IS NULL THEN ('0x' || substr(sha256('initial-semantic-v1:theta:' || node), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0 END AS unit FROM r WINDOW w AS (PARTITION BY sector, depth ORDER BY ord, node)),
+a AS (SELECT *, CASE WHEN node = 0 THEN 0 WHEN sector IS NULL THEN 2 * pi() * unit WHEN n = 1 THEN 2 * pi() * sector / k ELSE 2 * pi() * sector / k - 2 * pi() / k * 0.41 + 2 * pi() / k * 0.82 * i / (n - 1) END AS angle FROM p)"""
+
+
+@query(f"WITH RECURSIVE {_REQUIREMENTS} SELECT node, sector, round(radius * cos(angle), 6) + 0.0 AS x, round(radius * sin(angle), 6) + 0.0 AS y, radius::DOUBLE AS radius FROM a")
+def requirement_positions(spark, d):
+    """Sectors, angles and radii of a tree of requirements; other relations carry sectors on."""
+    e = t(spark, d, "events").where("event_id > 0").selectExpr("event_id as id", "event_id div 7 as src", "event_id as dst", "case event_id % 5 when 1 then 'reuses_requirement' when 2 then 'decomposes_to' else 'contains_requirement' end as kind", "event_id * 31 % 10 as ord")
+    nodes = G.min_depth(e, spark.range(1).select(F.col("id").alias("node")))
+    nodes = nodes.selectExpr("node", "case node % 3 when 0 then 'customer_stated' when 1 then 'normalized' else 'domain_decomposition' end as origin", "depth", "cast(null as double) as x", "cast(null as double) as y", "cast(null as double) as z", "false as locked")
+    at = layout.positions(nodes, e, 0)
+    return at.select("node", "sector", "x", "y", "radius")
+
+
+@query("""WITH n AS (SELECT c_custkey AS node, c_mktsegment || c_nationkey::VARCHAR || (c_custkey % 90)::VARCHAR AS name, c_custkey % 3 = 0 AS atomic FROM customer), e AS (SELECT o_custkey AS src, o_orderkey % 400 AS dst FROM orders)
 SELECT 'dangling' AS code, x AS id FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) WHERE x NOT IN (SELECT node FROM n)
 UNION ALL SELECT 'atomic_with_children', node FROM n WHERE atomic AND node IN (SELECT src FROM e) UNION ALL SELECT 'composite_without_children', node FROM n WHERE NOT atomic AND node NOT IN (SELECT src FROM e)
 UNION ALL SELECT 'duplicate_name', node FROM (SELECT node, count(*) OVER (PARTITION BY lower(name)) AS k FROM n) WHERE k > 1""")
 def audit_graph(spark, d):
-    return _audit(spark, d, "o_orderkey % 5 = 0")
+    return _audit(spark, d)
 
 
 @query()
 def audit_graph_whole(spark, d):
     """audit_graph over all orders; compared with plain Python in tests."""
-    return _audit(spark, d, "true")
+    return _audit(spark, d)
 
 
-def _audit(spark, d, where):
+def _audit(spark, d):
     n = t(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 90).cast("string")).alias("name"), (F.col("c_custkey") % 3 == 0).alias("atomic"))
-    return G.audit_graph(n, t(spark, d, "orders").where(where).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 400).alias("dst")))
+    return G.audit_graph(n, t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 400).alias("dst")))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_custkey % 4 AS depth, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_nationkey, c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_custkey % 4) AS n FROM customer)
