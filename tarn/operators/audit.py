@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph, identity
+from . import cuts, graph, identity
 
 
 def excluded_by(reasons: dict[str, Column]) -> Column:
@@ -136,6 +136,43 @@ def repeated_groups(df: DataFrame, keys: list[str], k: int, x: str, y: str, tol:
     return g.withColumn("alignment", F.when(F.col("h") <= tol, "row").when(F.col("w") <= tol, "column").otherwise("scattered"))
 
 
+def feature_groups(df: DataFrame, keys: list[str], k: int, tol: float) -> tuple[DataFrame, DataFrame]:
+    """(groups, spacings) of groups of at least ``k`` equal features. groups: keys, n, alignment; spacings: keys, station,
+    spacing (from a feature to the next along the group's axis, if more than half of ``tol``).
+
+    alignment, the first that holds: local_x_row or local_y_column (extent across of at most twice ``tol``),
+    pair_spacing_only (two features), oblique_row_in_view_plane (none further than twice ``tol`` from the principal axis, and
+    some spacing), local_grid_candidate (four or more, on several stations of ``tol`` both ways), distributed_in_local_frame.
+    Only the first four have an axis. df: keys (null keys are no group), id, x, y; rows without x or y are left out.
+
+    The axis comes from sums, the spacings from one order of all rows that is cut into ranges, so a large group is many tasks.
+    """
+    rows = df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=keys)
+    on = lambda c: F.count_distinct(F.round(F.col(c) / tol)) > 1
+    extent = lambda c: F.max(c) - F.min(c)
+    turn = 0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("n"), extent("x").alias("_w"), extent("y").alias("_h"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), turn.alias("_turn"), (on("x") & on("y")).alias("_grid")).where(F.col("n") >= k)
+    facts = graph.checkpointed(facts)
+    at = rows.join(facts, keys)
+    dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
+    station = F.when(F.col("_h") <= 2 * tol, F.col("x")).when(F.col("_w") <= 2 * tol, F.col("y")).otherwise(dx * F.cos("_turn") + dy * F.sin("_turn"))
+    at = at.select(*keys, station.alias("station"), "id", F.abs(dy * F.cos("_turn") - dx * F.sin("_turn")).alias("_off"))
+    order = cuts.next_in_order(at, *keys, "station", "id")
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(f"next.{c}") == F.col(c))
+    steps = graph.checkpointed(order.select(*keys, "station", "_off", F.when(same, F.col("next.station") - F.col("station")).alias("spacing")))
+    wide = F.col("spacing") > tol / 2
+    seen = steps.groupBy(*keys).agg(F.max("_off").alias("_off"), F.count_if(wide).alias("_steps"))
+    alignment = (
+        F.when(F.col("_h") <= 2 * tol, "local_x_row").when(F.col("_w") <= 2 * tol, "local_y_column").when(F.col("n") == 2, "pair_spacing_only")
+        .when((F.col("_off") <= 2 * tol) & (F.col("_steps") > 0) & (F.col("n") > 2), "oblique_row_in_view_plane").when((F.col("n") >= 4) & F.col("_grid"), "local_grid_candidate").otherwise("distributed_in_local_frame")
+    )
+    groups = graph.checkpointed(facts.join(seen, keys).select(*keys, "n", alignment.alias("alignment")))
+    lined = groups.where("alignment not in ('local_grid_candidate', 'distributed_in_local_frame')").select(*keys)
+    return groups, steps.where(wide).join(lined, keys).select(*keys, "station", "spacing")
+
+
 def identity_pairs(reps: DataFrame, ident: str, key: str) -> DataFrame:
     """Links (src, dst) that give the same classes as all pairs that share a key: each item with the first of its key.
     Pairs themselves would grow with the square of a key's rows."""

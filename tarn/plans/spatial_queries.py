@@ -237,6 +237,29 @@ def repeated_shapes(spark, d):
     return A.repeated_groups(_points(spark, d), ["label", "x"], 2, "x", "y", 20.0).select("label", "x", "n", "alignment")
 
 
+_FEATURES = [
+    "CASE WHEN id div 5 % 5 = 4 THEN concat(id div 5, '/', id % 2) ELSE concat(id div 5, '') END AS g",
+    "id",
+    "CASE id div 5 % 5 WHEN 1 THEN 4.0 + id % 2 WHEN 2 THEN 10.0 * (id % 5) * (id % 5) ELSE x END AS x",
+    "CASE id div 5 % 5 WHEN 0 THEN 7.0 WHEN 2 THEN 7.0 * (id % 5) * (id % 5) + id % 2 ELSE y END AS y",
+]
+
+
+@query(f"""WITH {_POINTS}, f AS (SELECT {", ".join(_FEATURES).replace(" div ", " // ")} FROM points),
+a AS (SELECT g, count(*) AS n, max(x) - min(x) AS w, max(y) - min(y) AS h, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t, count(DISTINCT round(x / 3)) > 1 AND count(DISTINCT round(y / 3)) > 1 AS grid FROM f GROUP BY 1 HAVING count(*) >= 2),
+b AS (SELECT *, CASE WHEN h <= 6 THEN x WHEN w <= 6 THEN y ELSE (x - mx) * cos(t) + (y - my) * sin(t) END AS s, abs((y - my) * cos(t) - (x - mx) * sin(t)) AS o FROM f JOIN a USING (g)),
+c AS (SELECT *, lead(s) OVER (PARTITION BY g ORDER BY s, id) - s AS d FROM b),
+k AS (SELECT g, any_value(n) AS n, count(*) FILTER (d > 1.5) AS steps, min(d) FILTER (d > 1.5) AS low, max(d) FILTER (d > 1.5) AS high, CASE WHEN any_value(h) <= 6 THEN 'local_x_row' WHEN any_value(w) <= 6 THEN 'local_y_column' WHEN any_value(n) = 2 THEN 'pair_spacing_only'
+ WHEN max(o) <= 6 AND steps > 0 THEN 'oblique_row_in_view_plane' WHEN any_value(n) >= 4 AND any_value(grid) THEN 'local_grid_candidate' ELSE 'distributed_in_local_frame' END AS alignment FROM c GROUP BY 1)
+SELECT g, n, alignment, CASE WHEN alignment[1] = 'l' AND alignment <> 'local_grid_candidate' OR alignment[1] IN ('p', 'o') THEN steps ELSE 0 END AS steps, CASE WHEN alignment NOT IN ('local_grid_candidate', 'distributed_in_local_frame') THEN round(low, 6) END AS low,
+ CASE WHEN alignment NOT IN ('local_grid_candidate', 'distributed_in_local_frame') THEN round(high, 6) END AS high FROM k""")
+def feature_groups(spark, d):
+    """How groups of repeated features lie, with the number and the range of their spacings."""
+    groups, spacings = A.feature_groups(_points(spark, d).selectExpr(*_FEATURES), ["g"], 2, 3.0)
+    per = spacings.groupBy("g").agg(F.count("*").alias("steps"), F.round(F.min("spacing"), 6).alias("low"), F.round(F.max("spacing"), 6).alias("high"))
+    return groups.join(per, "g", "left").select("g", "n", "alignment", F.coalesce("steps", F.lit(0)).alias("steps"), "low", "high")
+
+
 @query("WITH f AS (SELECT p_name, min(p_partkey) AS src FROM part GROUP BY 1) SELECT src, p_partkey AS dst FROM part JOIN f USING (p_name) WHERE p_partkey <> src")
 def identity_links(spark, d):
     return A.identity_pairs(t(spark, d, "part"), "p_partkey", "p_name")

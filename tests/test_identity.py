@@ -155,3 +155,27 @@ def test_snapping_of_endpoints(spark):
     assert got[22][:3] == (20, 300.0, 0.0) and got[22][4] and math.isclose(got[22][3], math.sqrt(2))
     assert all(got[30 + i] == (30, 400.0, 4.0, 0.0, False, False) for i in range(200)) and len(got) == len(rows) - 1
     assert spatial.snap_plan(spark.createDataFrame([], schema), 1.0).count() == 0
+
+
+def test_groups_of_features(spark):
+    rows = [("row", i, 10.0 * i, 1.0 + i % 2) for i in range(4)] + [("column", i, 5.0, float(i * i)) for i in range(5)]
+    rows += [("pair", 0, 0.0, 0.0), ("pair", 1, 30.0, 40.0), ("oblique", 0, 0.0, 0.0), ("oblique", 1, 30.0, 40.0), ("oblique", 2, 90.0, 120.0)]
+    rows += [("grid", i, 20.0 * (i % 2), 20.0 * (i // 2)) for i in range(4)] + [("spread", 0, 0.0, 0.0), ("spread", 1, 50.0, 0.0), ("spread", 2, 0.0, 50.0)]
+    rows += [("one", 0, 0.0, 0.0), (None, 0, 0.0, 0.0), (None, 1, 9.0, 9.0), ("one", 1, None, 3.0)] + [("heap", i, 7.0, 7.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    groups, spacings = audit.feature_groups(df, ["g"], 2, 1.0)
+    assert {(r["g"], r["n"], r["alignment"]) for r in groups.collect()} == {
+        ("row", 4, "local_x_row"),
+        ("column", 5, "local_y_column"),
+        ("pair", 2, "pair_spacing_only"),
+        ("oblique", 3, "oblique_row_in_view_plane"),
+        ("grid", 4, "local_grid_candidate"),
+        ("spread", 3, "distributed_in_local_frame"),
+        ("heap", 3, "local_x_row"),
+    }
+    got = {}
+    for r in spacings.collect():
+        got.setdefault(r["g"], []).append(round(r["spacing"], 6))
+    assert {g: sorted(v) for g, v in got.items()} == {"row": [10.0] * 3, "column": [1.0, 3.0, 5.0, 7.0], "pair": [50.0], "oblique": [50.0, 100.0]}
+    none = audit.feature_groups(df.limit(0), ["g"], 2, 1.0)
+    assert none[0].count() == none[1].count() == 0
