@@ -131,6 +131,61 @@ def compare_interfaces(links: DataFrame, a: DataFrame, b: DataFrame, tol: float)
     return ranked.where("_rn = 1").select("link", "a_id", F.col("b_id").alias("best"), status.alias("status"))
 
 
+def interface_comparisons(links: DataFrame, interfaces: DataFrame, absolute: float = 0.1, relative: float = 0.02, tie: float = 0.01, bar: float = 0.9) -> DataFrame:
+    """(link, a_id, best, status, resolution, score, n_support, others): for each interface on a link's first side the best
+    of the same family on the other, by (score, id), and the others within ``tie`` of its score.
+
+    The family is the kind, and the shape unless one has none. The score is the mean over what both have: per metric and
+    per authored dimension 1 - the difference over the larger value (at least ``absolute``), and 1 for an equal signature. A
+    value supports if the difference is at most ``absolute`` or ``relative`` of the larger one; a dimension that doesn't, or
+    a metric that doesn't where the link's scales are comparable, is a proven conflict. Compatible: no proven conflict, and a
+    score of 0.65 or two supports.
+
+    status: conflicted (one best, proven conflict, supported link), supported (one best, compatible, score of ``bar``, two
+    supports, supported link), else possible. Interfaces without a candidate have no row.
+    links: link, a_drawing, b_drawing, supported, comparable (null: false); interfaces: drawing, id, kind, shape, metrics and
+    dimensions (maps of doubles), signature.
+    """
+    side = lambda c: interfaces.select(F.col("drawing").alias(f"{c}_drawing"), F.col("id").alias(f"{c}_id"), "kind", *[F.col(x).alias(f"{c}_{x}") for x in ("shape", "metrics", "dimensions", "signature")])
+    shape = lambda c: F.coalesce(f"{c}_shape", F.lit(""))
+    met = links.join(side("a"), "a_drawing").join(side("b"), ["b_drawing", "kind"]).where((shape("a") == "") | (shape("b") == "") | (shape("a") == shape("b")))
+
+    def both(name: str) -> Column:
+        pairs = F.transform(F.map_entries(F.col(f"a_{name}")), lambda e: F.struct(e["value"].alias("p"), F.try_element_at(F.col(f"b_{name}"), e["key"]).alias("q")))
+        pairs = F.filter(pairs, lambda e: e["p"].isNotNull() & e["q"].isNotNull())
+        larger = lambda e: F.greatest(F.abs(e["p"]), F.abs(e["q"]))
+        gap = lambda e: F.abs(e["p"] - e["q"])
+        judged = F.transform(pairs, lambda e: F.struct(F.greatest(F.lit(0.0), 1 - gap(e) / F.greatest(larger(e), F.lit(absolute))).alias("score"), (gap(e) <= F.greatest(F.lit(absolute), relative * larger(e))).alias("within")))
+        return F.coalesce(judged, F.expr("filter(array(named_struct('score', 0.0D, 'within', false)), x -> false)"))
+
+    met = met.select("link", "a_id", "b_id", F.coalesce("supported", F.lit(False)).alias("linked"), F.coalesce("comparable", F.lit(False)).alias("scaled"), both("metrics").alias("m"), both("dimensions").alias("d"), F.coalesce((F.col("a_signature") == F.col("b_signature")) & (F.col("a_signature") != ""), F.lit(False)).cast("int").alias("same"))
+    off = lambda c: F.exists(c, lambda e: ~e["within"])
+    every = F.concat("m", "d")
+    n = F.size(every) + F.col("same")
+    score = F.when(n == 0, 0.0).otherwise((F.aggregate(every, F.lit(0.0), lambda t, e: t + e["score"]) + F.col("same")) / n)
+    judged = met.select("link", "a_id", "b_id", "linked", F.round(score, 9).alias("score"), (F.size(F.filter(every, lambda e: e["within"])) + F.col("same")).alias("n_support"), (off("d") | (F.col("scaled") & off("m"))).alias("conflict"))
+    judged = checkpointed(judged)
+    first = judged.groupBy("link", "a_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "b_id", "n_support", "conflict", "linked")).alias("m")).select("link", "a_id", "m.*")
+    # compared to eleven decimals: scores have nine
+    near = judged.select("link", "a_id", F.col("b_id").alias("other"), "score").join(first.select("link", "a_id", "less", "b_id"), ["link", "a_id"]).where((F.col("other") != F.col("b_id")) & (F.round(-F.col("less") - F.col("score"), 11) <= tie))
+    others = near.groupBy("link", "a_id").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    out = first.join(others, ["link", "a_id"], "left").withColumn("score", -F.col("less"))
+    one = F.col("others").isNull()
+    compatible = ~F.col("conflict") & ((F.col("score") >= 0.65) | (F.col("n_support") >= 2))
+    cases = [
+        (one & F.col("conflict") & F.col("linked"), "conflicted", "unique_same_family_target_has_proven_metric_conflict"),
+        (one & compatible & (F.col("score") >= bar) & (F.col("n_support") >= 2) & F.col("linked"), "supported", "unique_reference_scoped_compatible_interface_signature"),
+        (~one, "possible", "multiple_equal_interface_candidates"),
+        (F.col("conflict"), "possible", "metric_conflict_not_promoted_without_supported_interface_context"),
+        (compatible, "possible", "compatible_geometry_candidate_without_complete_identity_support"),
+    ]
+    which = F.lit("same_family_geometry_difference_candidate")
+    status = F.lit("possible")
+    for case, name, resolution in reversed(cases):
+        status, which = F.when(case, name).otherwise(status), F.when(case, resolution).otherwise(which)
+    return out.select("link", "a_id", F.col("b_id").alias("best"), status.alias("status"), which.alias("resolution"), "score", "n_support", F.coalesce("others", F.expr("filter(array(b_id), x -> false)")).alias("others"))
+
+
 def view_similarity(features: DataFrame, block: str, view: str, value: str, n: int = 33) -> DataFrame:
     """(a, b, distance), a < b, of views of one block: the mean distance of their ``n`` quantiles. Blocks are small by
     construction (views of one drawing and size)."""

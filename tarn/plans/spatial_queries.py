@@ -485,6 +485,24 @@ def interface_candidates(spark, d):
     return D.compare_interfaces(links, i, i, 0.5)
 
 
+@query("""WITH i AS (SELECT p_partkey AS id, p_partkey % 20 AS drawing, p_type AS kind, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'round' ELSE 'square' END AS shape, CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END AS w, (p_size % 7 + 1)::DOUBLE AS h, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice / 100 END AS dim, p_size || '/' || p_partkey % 3 AS sig FROM part),
+l AS (SELECT DISTINCT drawing AS link, drawing % 3 > 0 AS supported, drawing % 2 = 0 AS comparable FROM i),
+m AS (SELECT link, supported, comparable, a.id AS a_id, b.id AS b_id, (a.sig = b.sig)::INT AS same, list_filter([{'x': a.w, 'y': b.w, 'd': FALSE}, {'x': a.h, 'y': b.h, 'd': FALSE}, {'x': a.dim, 'y': b.dim, 'd': TRUE}], lambda e: e.x IS NOT NULL AND e.y IS NOT NULL) AS e
+ FROM l JOIN i a ON a.drawing = link JOIN i b ON b.drawing = (link + 1) % 20 AND a.kind = b.kind AND (a.shape = '' OR b.shape = '' OR a.shape = b.shape)),
+s AS (SELECT *, list_transform(e, lambda v: {'s': greatest(0, 1 - abs(v.x - v.y) / greatest(v.x, v.y, 0.1)), 'w': abs(v.x - v.y) <= greatest(0.1, 0.02 * greatest(v.x, v.y)), 'd': v.d}) AS j FROM m),
+t AS (SELECT *, round((list_sum(list_transform(j, lambda v: v.s)) + same) / (len(j) + same), 9) AS score, len(list_filter(j, lambda v: v.w)) + same AS n_support, len(list_filter(j, lambda v: NOT v.w AND (v.d OR comparable))) > 0 AS conflict FROM s),
+f AS (SELECT *, row_number() OVER w AS rn, round(first_value(score) OVER w - score, 11) <= 0.01 AS near FROM t WINDOW w AS (PARTITION BY link, a_id ORDER BY score DESC, b_id)),
+o AS (SELECT link, a_id, string_agg(b_id, ',' ORDER BY b_id) AS others FROM f WHERE near AND rn > 1 GROUP BY 1, 2)
+SELECT link, a_id, b_id AS best, CASE WHEN others IS NULL AND conflict AND supported THEN 'conflicted' WHEN others IS NULL AND NOT conflict AND score >= 0.9 AND n_support >= 2 AND supported THEN 'supported' ELSE 'possible' END AS status, score, n_support::INT AS n_support, coalesce(others, '') AS others
+FROM f LEFT JOIN o USING (link, a_id) WHERE rn = 1""")
+def interface_comparisons(spark, d):
+    """Interfaces of linked drawings with their best counterpart: two metrics, an authored dimension, a signature."""
+    i = t(spark, d, "part").selectExpr("p_partkey as id", "p_partkey % 20 as drawing", "p_type as kind", "case p_size % 4 when 0 then '' when 1 then 'round' else 'square' end as shape",
+        "map('w', if(p_partkey % 3 > 0, double(p_size), null), 'h', double(p_size % 7 + 1)) as metrics", "if(p_partkey % 5 = 0, map('d', p_retailprice / 100), map()) as dimensions", "concat(p_size, '/', p_partkey % 3) as signature")
+    links = i.selectExpr("drawing as link", "drawing as a_drawing", "(drawing + 1) % 20 as b_drawing", "drawing % 3 > 0 as supported", "drawing % 2 = 0 as comparable").distinct()
+    return D.interface_comparisons(links, i).drop("resolution").withColumn("others", F.array_join("others", ","))
+
+
 @query("""WITH q AS (SELECT p_type, p_brand, quantile_cont(p_size::DOUBLE, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM part GROUP BY 1, 2)
 SELECT a.p_brand || a.p_type AS a, b.p_brand || b.p_type AS b, round((abs(a.q[1] - b.q[1]) + abs(a.q[2] - b.q[2]) + abs(a.q[3] - b.q[3]) + abs(a.q[4] - b.q[4]) + abs(a.q[5] - b.q[5])) / 5, 6) AS distance FROM q a JOIN q b ON a.p_type = b.p_type AND a.p_brand || a.p_type < b.p_brand || b.p_type""")
 def view_similarity(spark, d):

@@ -179,3 +179,33 @@ def test_groups_of_features(spark):
     assert {g: sorted(v) for g, v in got.items()} == {"row": [10.0] * 3, "column": [1.0, 3.0, 5.0, 7.0], "pair": [50.0], "oblique": [50.0, 100.0]}
     none = audit.feature_groups(df.limit(0), ["g"], 2, 1.0)
     assert none[0].count() == none[1].count() == 0
+
+
+def test_interfaces_of_linked_drawings(spark):
+    schema = "drawing string, id string, kind string, shape string, metrics map<string,double>, dimensions map<string,double>, signature string"
+    w = lambda v: {"w": v, "h": 10.0}
+    interfaces = [
+        ("A", "a1", "flange", "round", w(50.0), {}, "s"),
+        ("A", "a2", "slot", None, w(20.0), None, None),
+        ("A", "a3", "bore", "round", w(8.0), {"d": 4.0}, ""),
+        ("A", "a4", "key", "", {}, {}, None),
+        ("A", "a5", "rib", "", w(1.0), {}, None),
+        ("B", "b1", "flange", "", w(50.5), {}, "s"),
+        ("B", "b2", "flange", "square", w(50.0), {}, "s"),
+        ("B", "b3", "slot", "round", w(30.0), {}, None),
+        ("B", "b4", "slot", "square", w(30.0), {}, None),
+        ("B", "b5", "bore", "round", w(8.0), {"d": 5.0}, ""),
+        ("B", "b6", "key", "", None, None, None),
+    ]
+    i = spark.createDataFrame(interfaces, schema)
+    links = spark.createDataFrame([(1, "A", "B", True, False), (2, "A", "B", None, None)], "link int, a_drawing string, b_drawing string, supported boolean, comparable boolean")
+    got = {(r["link"], r["a_id"]): (r["best"], r["status"], r["resolution"].split("_")[0], r["n_support"], list(r["others"])) for r in diff.interface_comparisons(links, i).collect()}
+    assert got == {
+        (1, "a1"): ("b1", "supported", "unique", 3, []),
+        (2, "a1"): ("b1", "possible", "compatible", 3, []),
+        **{(k, "a2"): ("b3", "possible", "multiple", 1, ["b4"]) for k in (1, 2)},
+        (1, "a3"): ("b5", "conflicted", "unique", 2, []),
+        (2, "a3"): ("b5", "possible", "metric", 2, []),
+        **{(k, "a4"): ("b6", "possible", "same", 0, []) for k in (1, 2)},
+    }
+    assert diff.interface_comparisons(links, i.limit(0)).count() == 0
