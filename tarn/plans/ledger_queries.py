@@ -80,7 +80,7 @@ gr AS (SELECT o_custkey % 150 AS org, o_orderkey AS grant_id, o_orderdate AS end
 def _ledger(spark, d):
     c = _charges(spark, d).select(F.col("user_id").alias("org"), F.col("event_id").alias("charge_id"), F.col("ts").alias("at"), "credits")
     o = t(spark, d, "orders")
-    return c, o.select((F.col("o_custkey") % 150).alias("org"), F.col("o_orderkey").alias("grant_id"), F.col("o_orderdate").alias("ends"), F.round(F.col("o_totalprice") / 100).cast("long").alias("credits"))
+    return c, o.select((F.col("o_custkey") % 150).alias("org"), F.col("o_orderkey").alias("grant_id"), F.col("o_orderdate").alias("ends"), F.rint(F.col("o_totalprice") / 100).cast("long").alias("credits"))
 
 
 _INTERVALS = f"""{_PRICED}, {_GRANTS},
