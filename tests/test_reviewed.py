@@ -32,3 +32,9 @@ def test_usage_rounds_half_credits_to_even(spark, tmp_path):
     _half_credits(spark, tmp_path)
     mine, theirs = as_sql(spark, tmp_path, "org_usage")
     assert mine == theirs and len(mine) == 2
+
+
+def test_quotas_round_half_credits_to_even(spark, tmp_path):
+    _half_credits(spark, tmp_path)
+    mine, theirs = as_sql(spark, tmp_path, "quota_summary")
+    assert mine == theirs and len(mine) == 2
