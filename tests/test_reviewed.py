@@ -1,10 +1,14 @@
 """Faults that a review found, each with the smallest table that shows it."""
 
+import contextlib
 import datetime
+import threading
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tarn.operators import review
 from tests.test_oracles import canonical
 
 
@@ -20,6 +24,17 @@ def as_sql(spark, folder, name):
     return canonical(tuple(r) for r in df.select(*names).collect()), canonical(result.fetchall())
 
 
+@contextlib.contextmanager
+def at_most(spark, seconds):
+    """Jobs still running after so long are cancelled, which fails the test: all pairs of its rows would take far longer."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
 def _half_credits(spark, folder):
     moment = datetime.datetime(2024, 1, 20)
     events = [(1, moment, 7, "view", 10.0, "a"), (2, moment, 8, "view", 90.0, "a")]
@@ -38,3 +53,14 @@ def test_quotas_round_half_credits_to_even(spark, tmp_path):
     _half_credits(spark, tmp_path)
     mine, theirs = as_sql(spark, tmp_path, "quota_summary")
     assert mine == theirs and len(mine) == 2
+
+
+def test_feedback_of_one_frequent_key(spark):
+    n = 200_000
+    turns = spark.range(n).selectExpr("id as turn", "'k' as key", "if(id % 3 = 0, null, id % 5) as conv")
+    feedback = spark.range(n).selectExpr("id as fb", "'k' as key", "if(id % 7 = 6, null, id % 7) as conv")
+    with at_most(spark, 60):
+        got = review.turn_feedback(turns, feedback, "turn", "key", "conv", F.desc("fb")).select("turn", "fb").collect()
+    newest = {c: max(i for i in range(n) if (None if i % 7 == 6 else i % 7) == c) for c in [None, *range(6)]}
+    want = {i: max(newest.values()) if i % 3 == 0 else max(newest[None], newest[i % 5]) for i in range(n)}
+    assert {r.turn: r.fb for r in got} == want and len(got) == n
