@@ -138,11 +138,20 @@ def register(new: DataFrame, existing: DataFrame, key: list[str], payload: str,
 
 def match_ranked(queries: DataFrame, patterns: DataFrame, query: str, pattern: str, hashes: list[str], k: int) -> DataFrame:
     """Per query the ``k`` best patterns that agree in one of the hashes; the first hash is the strongest. Which
-    hashes agreed is listed."""
-    found = None
-    for rank, h in enumerate(hashes, 1):
-        one = queries.select(query, h).join(patterns.select(pattern, h), h).select(query, pattern, F.lit(rank).alias("rank"), F.lit(h).alias("kind"))
-        found = one if found is None else found.unionByName(one)
+    hashes agreed is listed.
+
+    A hash may have very many patterns. One of the best ``k`` whose strongest agreement is some hash is among the first
+    ``k`` patterns of that hash's value, so only those meet the queries; then all hashes of such a pair are compared."""
+    pairs = None
+    for h in hashes:
+        first = patterns.select(h, pattern).where(F.col(h).isNotNull()).distinct()
+        first = first.withColumn("_rn", F.row_number().over(Window.partitionBy(h).orderBy(pattern))).where(F.col("_rn") <= k).drop("_rn")
+        one = queries.select(query, h).join(first, h).select(query, pattern)
+        pairs = one if pairs is None else pairs.unionByName(one)
+    theirs = patterns.select(pattern, *[F.col(h).alias(f"_{h}") for h in hashes])
+    met = pairs.distinct().join(theirs, pattern).join(queries.select(query, *hashes), query)
+    agreed = F.filter(F.array(*[F.when(F.col(h) == F.col(f"_{h}"), F.struct(F.lit(rank).alias("rank"), F.lit(h).alias("kind"))) for rank, h in enumerate(hashes, 1)]), lambda x: x.isNotNull())
+    found = met.select(query, pattern, F.explode(agreed).alias("a")).select(query, pattern, "a.rank", "a.kind")
     per = found.groupBy(query, pattern).agg(F.min("rank").alias("rank"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     return per.withColumn("_rn", F.row_number().over(Window.partitionBy(query).orderBy("rank", pattern))).where(F.col("_rn") <= k).drop("_rn")
 

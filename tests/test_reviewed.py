@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tarn.operators import review
+from tarn.operators import catalog, diff, review
 from tests.test_oracles import canonical
 
 
@@ -64,3 +64,16 @@ def test_feedback_of_one_frequent_key(spark):
     newest = {c: max(i for i in range(n) if (None if i % 7 == 6 else i % 7) == c) for c in [None, *range(6)]}
     want = {i: max(newest.values()) if i % 3 == 0 else max(newest[None], newest[i % 5]) for i in range(n)}
     assert {r.turn: r.fb for r in got} == want and len(got) == n
+
+
+def test_matches_of_one_frequent_hash(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("id as p", "if(id < 6, 'x', concat('n', id)) as h1", "if(id < 0, '', 'k') as h2", "if(id % 2 = 0, 'e', null) as h3")
+    with at_most(spark, 60):
+        got = catalog.match_ranked(rows.withColumnRenamed("p", "q"), rows, "q", "p", ["h1", "h2", "h3"], 3).collect()
+    assert len(got) == 3 * n
+    of = {}
+    for r in got:
+        of.setdefault(r.q, []).append((r["rank"], r.p, r.kinds))
+    assert sorted(of[4]) == [(1, 0, ["h1", "h2", "h3"]), (1, 1, ["h1", "h2"]), (1, 2, ["h1", "h2", "h3"])]
+    assert sorted(of[501]) == [(1, 501, ["h1", "h2"]), (2, 0, ["h2"]), (2, 1, ["h2"])]
