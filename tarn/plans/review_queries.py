@@ -262,7 +262,7 @@ def expanded_instances(spark, d):
     defs = defs.unionByName(p.where("p_partkey % 17 = 0").selectExpr("p_partkey % 29 + 13 as parent", "p_partkey % 31 + 42 as child", "2.0d as x", "1 as cols"))
     defs = defs.unionByName(p.where("p_partkey < 13").selectExpr("cast(null as bigint) as parent", "p_partkey % 13 as child", "0.0d as x", "1 as cols"))
     full = defs.selectExpr("*", "0.0d as y", "1 as rows", "0.0d as row_gap", "10.0d as col_gap", "true as known")
-    return D.expand_instances(full, 4).groupBy("definition", "x", "depth").agg(F.count("*").alias("n"))
+    return D.expand_instances(full, 4, counted=True).groupBy("definition", "x", "depth").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT o_custkey AS a, o_orderkey * 7 % 1000 AS b, o_orderstatus = 'F' AS p FROM orders WHERE o_orderkey * 7 % 1000 < (SELECT count(*) FROM customer)), e AS (SELECT a, b, p FROM s UNION ALL SELECT b, a, p FROM s),

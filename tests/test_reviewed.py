@@ -117,3 +117,16 @@ def test_compared_interfaces_of_one_large_kind(spark):
     late = [x for x in range(40, n, 2) if x % 4 != 3 and not (x % 6 < 2)]
     assert got[11996].best == min(x for x in range(40, n, 2))
     assert set(late) - {got[11996].best} <= set(got[11996].others) and got[11996].others == sorted(got[11996].others)
+
+
+def test_coverage_of_one_large_definition(spark):
+    n = 40_000
+    leaves = spark.sql("select 1L as id, array(named_struct('x', 0.0d, 'y', 0.0d), named_struct('x', 10.0d, 'y', 0.0d)) as points, false as closed, 1L as owner")
+    segments = spark.range(n).selectExpr("id as segment", "double(id % 10) as x", "0.5d as y")
+    annotations = spark.sql("select 5L as segment, 1L as annotation, 3.0d as x, 0.0d as y")
+    instances = spark.range(n).selectExpr("id", "1L as definition", "double(id) as x", "1000.0d as y")
+    regions = spark.sql("select 7L as id, 'documentation_region' as kind, -1.0d as minx, 999.0d as miny, 9.5d as maxx, 1001.0d as maxy")
+    with at_most(spark, 90):
+        got = {tuple(r) for r in diff.instance_coverage(segments, annotations, leaves, instances, regions, 2.0, 8.0)[1].collect()}
+    want = {(s, "computed", None, 0, 0, 0, n - 10) for s in range(n)} | {(s, "computed", 7, int(s == 5), int(s != 5), 9, 0) for s in range(n)}
+    assert got == want
