@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tarn.operators import catalog, diff, review
+from tarn.operators import catalog, diff, review, spatial
 from tests.test_oracles import canonical
 
 
@@ -143,3 +143,11 @@ def test_repeated_references_are_counted_not_walked(spark):
     few = of(1, "null", 1).union(of(3, 1, 2)).union(of(2, 2, 3))
     rows = diff.expand_instances(few, 4)
     assert "n" not in rows.columns and sorted(r.definition for r in rows.collect()) == [1] + [2] * 3 + [3] * 6
+
+
+def test_pairs_of_a_large_station_are_dealt(spark):
+    n = 600
+    spans = spark.range(n, numPartitions=1).selectExpr("'g' as g", "id", "1 as low", "2 as high")
+    per = review.dimension_chains(spans, "g", 1.0).where("relation = 'duplicate'").groupBy(F.spark_partition_id()).count().collect()
+    sizes = [r["count"] for r in per]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) < 0.6 * sum(sizes)
