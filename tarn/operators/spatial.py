@@ -332,9 +332,10 @@ def gap_stats(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return df.withColumn("_gap", F.col(value) - F.lag(value).over(w)).groupBy(group).agg(F.count("_gap").alias("gaps"), F.median("_gap").alias("pitch"))
 
 
-def split_lines(df: DataFrame, line: str, left: str, right: str, height: str, ratio: float) -> DataFrame:
-    """``df`` with part: items of a line, left to right, split where the gap exceeds ratio x the larger height."""
-    w = Window.partitionBy(line).orderBy(left, right)
+def split_lines(df: DataFrame, line: str, left: str, right: str, height: str, ratio: float, *ties: Column) -> DataFrame:
+    """``df`` with part: items of a line, left to right, split where the gap exceeds ratio x the larger height. Items with
+    equal ends may differ in height; ``ties`` says which comes first."""
+    w = Window.partitionBy(line).orderBy(left, right, *ties)
     wide = F.col(left) - F.lag(right).over(w) > ratio * F.greatest(F.col(height), F.lag(height).over(w))
     return df.withColumn("_new", F.coalesce(wide.cast("int"), F.lit(0))).withColumn("part", F.sum("_new").over(w)).drop("_new")
 

@@ -174,7 +174,7 @@ def gap_stats(spark, d):
 SELECT CAST(line AS BIGINT) AS line, sum(n)::BIGINT + 1 AS parts FROM n GROUP BY 1""")
 def text_line_parts(spark, d):
     b = _boxes(spark, d).withColumn("line", F.floor(F.col("miny") / 10)).withColumn("h", F.col("maxy") - F.col("miny"))
-    return S.split_lines(b, "line", "minx", "maxx", "h", 1.5).groupBy("line").agg((F.max("part") + 1).alias("parts"))
+    return S.split_lines(b, "line", "minx", "maxx", "h", 1.5, F.desc("id")).groupBy("line").agg((F.max("part") + 1).alias("parts"))
 
 
 # ------------------------------------------------------------------ audits

@@ -151,3 +151,11 @@ def test_pairs_of_a_large_station_are_dealt(spark):
     per = review.dimension_chains(spans, "g", 1.0).where("relation = 'duplicate'").groupBy(F.spark_partition_id()).count().collect()
     sizes = [r["count"] for r in per]
     assert sum(sizes) == n * (n - 1) // 2 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_ties_of_a_text_line_have_one_order(spark):
+    rows = [(1, 0, 0.0, 10.0, 1.0), (2, 0, 0.0, 10.0, 9.0), (3, 0, 20.0, 30.0, 1.0)]
+    for turn in range(3):
+        df = spark.createDataFrame(rows[turn:] + rows[:turn], "id long, line long, minx double, maxx double, h double").coalesce(1)
+        got = {r.id: r.part for r in spatial.split_lines(df, "line", "minx", "maxx", "h", 1.5, F.desc("id")).collect()}
+        assert got == {1: 0, 2: 0, 3: 1}
