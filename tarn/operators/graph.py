@@ -28,6 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a :func:`checkpointed` table that is no longer read."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth) of every node that a root reaches; edges: src, dst; roots: node. Only the frontier is joined."""
     seen = frontier = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +69,13 @@ def exclusive_keys(reps: DataFrame) -> DataFrame:
     return r.select(F.col("id").alias("node"), F.to_json(F.struct("class", "context")).alias("key"))
 
 
-def resolve_identity(same: DataFrame, different: DataFrame | None = None, exclusive: DataFrame | None = None, limit: int = 100_000) -> DataFrame:
+def resolve_identity(same: DataFrame, different: DataFrame | None = None, exclusive: DataFrame | None = None, limit: int = 100_000, block: int = 200_000) -> DataFrame:
     """(node, cluster): the pairs ``same`` (a, b) merge in sorted order, each unless it would bring together two nodes
     proven different: a pair of ``different`` (a, b), or two nodes with one key of ``exclusive`` (node, key). A cluster is
     named by its smallest node. Pairs with a null or equal ends are left out.
 
     The order matters only inside a connected component. Those of up to ``limit`` rows are merged one by one, a group
-    each; larger ones in rounds of joins, with the same clusters: see :func:`_in_rounds`.
+    each; larger ones in blocks of about ``block`` pairs of the order, one after another: see :func:`_in_blocks`.
     """
     kind = dict(same.dtypes)["a"]
     pairs = graph.checkpointed(same.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -96,14 +99,22 @@ def resolve_identity(same: DataFrame, different: DataFrame | None = None, exclus
     large = sizes.where(F.col("_n") > limit).select("component")
     if large.isEmpty():
         return out
-    return out.unionByName(_in_rounds(links.join(large, "component", "left_semi").select("a", "b"), held.join(large, "component", "left_semi").select("node", "key")))
+    return out.unionByName(_in_blocks(links.join(large, "component", "left_semi").select("a", "b"), held.join(large, "component", "left_semi").select("node", "key"), block))
 
 
 def _one_by_one(f: pd.DataFrame) -> pd.DataFrame:
     """One component: rows without a key are pairs, the others a node and a key it holds."""
     is_pair = f["key"].isna()
+    pairs = sorted(zip(f["a"][is_pair], f["b"][is_pair], strict=True))
+    top = _merged(pairs, zip(f["a"][~is_pair], f["key"][~is_pair], strict=True))
+    nodes = sorted({x for p in pairs for x in p})
+    return pd.DataFrame({"node": nodes, "cluster": [top(x) for x in nodes]})
+
+
+def _merged(pairs: Iterable[tuple], held: Iterable[tuple]) -> Callable:
+    """The cluster of a node, after ``pairs`` merged in the order given; held: nodes and their keys."""
     above, holds = {}, {}
-    for node, key in zip(f["a"][~is_pair], f["key"][~is_pair], strict=True):
+    for node, key in held:
         holds.setdefault(node, set()).add(key)
 
     def top(x):
@@ -115,7 +126,6 @@ def _one_by_one(f: pd.DataFrame) -> pd.DataFrame:
             above[p] = x
         return x
 
-    pairs = sorted(zip(f["a"][is_pair], f["b"][is_pair], strict=True))
     for pair in pairs:
         low, high = sorted(map(top, pair))
         less, more = sorted((holds.get(low, set()), holds.get(high, set())), key=len)
@@ -124,58 +134,48 @@ def _one_by_one(f: pd.DataFrame) -> pd.DataFrame:
             more |= less
             holds[low] = more
             holds.pop(high, None)
-    nodes = sorted({x for p in pairs for x in p})
-    return pd.DataFrame({"node": nodes, "cluster": [top(x) for x in nodes]})
-
-
-def _in_rounds(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The clusters that merging in order gives, in rounds over all clusters at once.
+    return top
 
-    A pair whose clusters share a key is refused for good. Of the others each cluster's first pair is certain to merge
 
-    - if it is the first of both its clusters: neither changes before its turn; or
-    - if every cluster that shares a key with this one has its own first pair later: none of them can have joined the
-      other side by then. Merging early refuses no earlier pair, since those touch none of these clusters.
+def _in_blocks(pairs: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """The clusters that merging in order gives, of components that fit no task.
 
-    Certain merges may form chains, so their components are the next clusters. The first pair of all is always
-    certain, so each round settles some; chains of clusters that exclude nothing halve in each.
+    The order is cut into blocks of about ``block`` pairs. A block meets the clusters that the blocks before it made: its
+    pairs become pairs of clusters, and of the keys only those that two of its clusters hold matter. So a task holds one
+    block, and the number of blocks grows with the pairs, whatever waits for what. Two clusters with one key never
+    merge, so a cluster holds each key once.
     """
+    kind = dict(pairs.dtypes)["a"]
     label = graph.checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("cluster", F.col("node")))
-    rest = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("a", "b").alias("turn"))
     held = graph.checkpointed(keys.select(F.col("node").alias("cluster"), "key").distinct())
-    while True:
-        rest = graph.checkpointed(_allowed(rest, held))
-        if rest.isEmpty():
-            return label
-        ends = rest.select(F.col("x").alias("cluster"), F.col("y").alias("other"), "turn").union(rest.select("y", "x", "turn"))
-        first = graph.checkpointed(ends.groupBy("cluster").agg(F.min(F.struct("turn", "other")).alias("m")).select("cluster", "m.turn", "m.other"))
-        waiting = held.join(first, "cluster").select("cluster", "key", "turn")
-        earliest = waiting.groupBy("key").agg(F.min("turn").alias("earliest"))
-        late = waiting.join(earliest, "key").where("earliest < turn").select("cluster").distinct()
-        certain = first.join(late, "cluster", "left_anti").select("cluster", "other")
-        both = first.groupBy("turn").agg(F.count("*").alias("_n"), F.min("cluster").alias("cluster"), F.max("cluster").alias("other")).where("_n = 2").select("cluster", "other")
-        merges = certain.union(both)
-        moved = graph.checkpointed(graph.components(merges.select(F.col("cluster").alias("src"), F.col("other").alias("dst"))).where("node <> component"))
-
-        def follow(df: DataFrame, column: str, moved: DataFrame = moved) -> DataFrame:
-            to = moved.select(F.col("node").alias(column), F.col("component").alias("_to"))
-            return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
-
-        label = graph.checkpointed(follow(label, "cluster"))
-        held = graph.checkpointed(follow(held, "cluster").distinct())
-        rest = follow(follow(rest, "x"), "y").where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("turn").alias("turn"))
-
-
-def _allowed(rest: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs of clusters that share no key; a pair is looked up by the keys of the end that holds fewer."""
-    n = held.groupBy("cluster").agg(F.count("*").alias("_n"))
-    for end in ("x", "y"):
-        rest = rest.join(n.select(F.col("cluster").alias(end), F.col("_n").alias(f"_{end}")), end, "left")
-    both = rest.where("_x is not null and _y is not null")
-    fewer, more = F.when(F.col("_x") <= F.col("_y"), F.col("x")).otherwise(F.col("y")), F.when(F.col("_x") <= F.col("_y"), F.col("y")).otherwise(F.col("x"))
-    asked = both.select("x", "y", fewer.alias("cluster"), more.alias("_more")).join(held, "cluster").select("x", "y", F.col("_more").alias("cluster"), "key")
-    refused = asked.join(held, ["cluster", "key"], "left_semi").select("x", "y").distinct()
-    return rest.join(refused, ["x", "y"], "left_anti").select("x", "y", "turn")
+    blocks = math.ceil(pairs.count() / block)
+    ranged = graph.checkpointed(pairs.repartitionByRange(blocks, "a", "b").withColumn("block", F.spark_partition_id()))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        is_pair = f["key"].isna()
+        order = f[is_pair].sort_values(["a", "b"])
+        top = _merged(zip(order["x"], order["y"], strict=True), zip(f["x"][~is_pair], f["key"][~is_pair], strict=True))
+        old = sorted({*order["x"], *order["y"]})
+        out = pd.DataFrame({"cluster": old, "to": [top(x) for x in old]})
+        return out[out["cluster"] != out["to"]]
+
+    for i in range(blocks):
+        at = ranged.where(F.col("block") == i)
+        for end, name in (("a", "x"), ("b", "y")):
+            at = at.join(label.select(F.col("node").alias(end), F.col("cluster").alias(name)), end)
+        at = graph.checkpointed(at.where("x <> y").select("x", "y", "a", "b"))
+        touched = at.select(F.col("x").alias("cluster")).union(at.select("y")).distinct()
+        mine = held.join(touched, "cluster", "left_semi")
+        met = mine.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+        rows = at.withColumn("key", none("string")).unionByName(mine.join(met, "key").select(F.col("cluster").alias("x"), none(kind).alias("y"), none(kind).alias("a"), none(kind).alias("b"), "key"))
+        moved = graph.checkpointed(rows.groupBy(F.lit(i).alias("block")).applyInPandas(run, f"cluster {kind}, to {kind}"))
+        follow = lambda df, moved=moved: df.join(moved, "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to")
+        before = label, held, at, moved
+        label, held = graph.checkpointed(follow(label)), graph.checkpointed(follow(held))
+        for df in before:
+            graph.dropped(df)
+    return label
 
 
 def attach_schedules(reps: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -43,6 +43,19 @@ def test_rounds_equal_merging_in_order(spark, seed):
         assert got == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_of_the_order_equal_merging_in_order(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
+    held = [(rng.randrange(60), f"k{rng.randrange(20)}") for _ in range(40)]
+    keys = {}
+    for n, k in held:
+        keys.setdefault(n, set()).add(k)
+    same, exclusive = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(held, "node long, key string")
+    got = {r["node"]: r["cluster"] for r in identity.resolve_identity(same, None, exclusive, limit=0, block=12).collect()}
+    assert got == merged([p for p in pairs if p[0] != p[1]], keys)
+
+
 def test_nothing_to_merge(spark):
     none = spark.createDataFrame([], "a string, b string")
     assert identity.resolve_identity(none, none).collect() == []
