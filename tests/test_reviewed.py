@@ -159,3 +159,13 @@ def test_ties_of_a_text_line_have_one_order(spark):
         df = spark.createDataFrame(rows[turn:] + rows[:turn], "id long, line long, minx double, maxx double, h double").coalesce(1)
         got = {r.id: r.part for r in spatial.split_lines(df, "line", "minx", "maxx", "h", 1.5, F.desc("id")).collect()}
         assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_triples_of_equal_spans_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(diff, "ALIKE", 20, raising=False)
+    n = 90
+    spans = spark.range(3 * n, numPartitions=1).selectExpr("'g' as g", "id", "if(id % 3 = 1, 2, 1) as low", "if(id % 3 = 0, 2, 3) as high")
+    got = diff.partition_equations(spans, "g", 1.0)
+    assert got.where("parent % 3 <> 2 or first % 3 <> 0 or second % 3 <> 1").isEmpty() and got.distinct().count() == n**3
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n**3 and max(sizes) < 0.6 * n**3
