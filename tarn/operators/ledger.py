@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,24 +97,40 @@ def draw_down(charges: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFra
 
 def draw_down_in_order(charges: DataFrame, grants: DataFrame) -> DataFrame:
     """The same with grants that start and end while charges run: (org, charge_id, grant_id or null, credits). The
-    order inside an organisation is sequential, so each is one group; grants also have ``starts``."""
+    order inside an organisation is sequential, so each is one group; grants also have ``starts``. A charge looks only at
+    grants that are live, the one that ends first on top of a heap."""
 
     def run(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        left = g.sort_values(["ends", "grant_id"], na_position="last").to_dict("records")
-        rows = []
-        for x in c.sort_values(["at", "charge_id"]).itertuples():
-            need = x.credits
-            for y in left:
-                if need > 0 and y["credits"] > 0 and y["starts"] <= x.at and (pd.isna(y["ends"]) or x.at < y["ends"]):
-                    part = min(need, y["credits"])
-                    rows.append((x.org, x.charge_id, y["grant_id"], part))
-                    y["credits"] -= part
+        # grants wait by their start, then lie in a heap by their end; spent and ended ones leave it for good
+        g = g.sort_values(["ends", "grant_id"], na_position="last")
+        ends, ids, left = g["ends"].tolist(), g["grant_id"].tolist(), g["credits"].tolist()
+        waiting = sorted(((s, i) for i, s in enumerate(g["starts"].tolist()) if not pd.isna(s) and left[i] > 0), reverse=True)
+        live, rows = [], []
+        c = c.sort_values(["at", "charge_id"])
+        for org, charge, at, need in zip(c["org"].tolist(), c["charge_id"].tolist(), c["at"].tolist(), c["credits"].tolist(), strict=True):
+            if not pd.isna(at):
+                while waiting and waiting[-1][0] <= at:
+                    heappush(live, waiting.pop()[1])
+                while need > 0 and live:
+                    i = live[0]
+                    if left[i] <= 0 or not (pd.isna(ends[i]) or at < ends[i]):
+                        heappop(live)
+                        continue
+                    part = min(need, left[i])
+                    rows.append((org, charge, ids[i], part))
+                    left[i] -= part
                     need -= part
             if need > 0:
-                rows.append((x.org, x.charge_id, None, need))
+                rows.append((org, charge, None, need))
         return pd.DataFrame(rows, columns=["org", "charge_id", "grant_id", "credits"]).astype({"grant_id": "Int64"})
 
-    return charges.groupBy("org").cogroup(grants.groupBy("org")).applyInPandas(run, "org long, charge_id long, grant_id long, credits long")
+    # organisations without grants need no group
+    charges = checkpointed(charges.select("org", "charge_id", "at", "credits"))
+    orgs = grants.select(F.col("org").alias("_org")).distinct()
+    granted = F.col("org").eqNullSafe(F.col("_org"))
+    out = charges.join(orgs, granted, "left_semi").groupBy("org").cogroup(grants.groupBy("org")).applyInPandas(run, "org long, charge_id long, grant_id long, credits long")
+    none = charges.join(orgs, granted, "left_anti").where("credits > 0")
+    return out.unionByName(none.select("org", "charge_id", F.lit(None).cast("long").alias("grant_id"), "credits"))
 
 
 def org_usage(charges: DataFrame, grants: DataFrame, as_of: Column, days: int) -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tarn.operators import catalog, diff, review, spatial
+from tarn.operators import catalog, diff, ledger, review, spatial
 from tests.test_oracles import canonical
 
 
@@ -169,3 +169,18 @@ def test_triples_of_equal_spans_are_dealt(spark, monkeypatch):
     assert got.where("parent % 3 <> 2 or first % 3 <> 0 or second % 3 <> 1").isEmpty() and got.distinct().count() == n**3
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n**3 and max(sizes) < 0.6 * n**3
+
+
+def test_many_grants_of_one_organisation_in_order(spark):
+    n = 60_000
+    at = "timestamp_seconds(1700000000 + {0})"
+    charges = spark.range(n).selectExpr("if(id % 2 = 0, 1L, 2L) as org", "id as charge_id", f"{at.format('id')} as at", "3L as credits")
+    # grants that ended long ago are not looked at by every charge
+    grants = spark.range(n).selectExpr("1L as org", "id as grant_id", f"{at.format('-10')} as starts", f"if(id = 7, null, {at.format('-5 + id % 3')}) as ends", "1000L as credits")
+    with at_most(spark, 60):
+        got = ledger.draw_down_in_order(charges, grants).collect()
+    alone = {(r.charge_id, r.credits) for r in got if r.org == 2 and r.grant_id is None}
+    assert alone == {(i, 3) for i in range(1, n, 2)}
+    mine = [r for r in got if r.org == 1]
+    assert sum(r.credits for r in mine if r.grant_id == 7) == 1000 and sum(r.credits for r in mine) == 3 * n // 2
+    assert {r.grant_id for r in mine} == {7, None}
