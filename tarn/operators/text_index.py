@@ -1,15 +1,18 @@
 """Ranked search over an inverted index of several fields.
 
-The index is a folder of tables: ``postings`` (term, field, id, positions, size), partitioned by a hash of the term and
+The index is a folder of tables: ``postings`` (term, field, hits: id, size and positions in some rows), partitioned by a hash of the term and
 sorted by term, so a search reads the partitions, and of these the row groups, of its own terms; ``rows`` (id and the
 structural columns); ``stats`` (one row). It is built once and serves any number of searches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,26 +43,55 @@ def _bucket(term: Column, buckets: int) -> Column:
 def build_index(df: DataFrame, ident: str, fields: dict[str, Column], path: str, structural: dict[str, Column] | None = None, buckets: int = 64) -> TextIndex:
     """Writes the index of ``fields`` (name: text column) of ``df`` to ``path``, which must not exist, and opens it.
 
-    A null field is empty; ``ident`` must be unique. The postings of one frequent term are dealt over several tasks by
-    id, as a term may be in every row.
+    A null field is empty; ``ident`` must be unique. The hits of a term in a batch of rows are one row from where the text is
+    read, so a term moves once a batch. The postings of one frequent term are dealt over several tasks, as a term may be in every row.
     """
     of = df.select(F.col(ident).alias("id"), F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("w")) for n, c in fields.items()]).alias("f"))
     of = of.withColumn("size", F.aggregate("f", F.lit(0), lambda s, x: s + F.size(x["w"])))
-    words = of.select("id", "size", F.explode("f").alias("f")).select("id", "size", "f.field", F.posexplode("f.w").alias("pos", "term"))
-    # a field of a row is whole in one row group of the input, so this sums before the shuffle
-    postings = words.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("size").alias("size"))
+    kind = dict(of.dtypes)["id"]
+    words = of.select("id", "size", F.explode("f").alias("f")).select("id", "size", "f.field", "f.w")
+    postings = words.mapInArrow(_postings, f"term string, field string, hits array<struct<id: {kind}, size: int, positions: array<int>>>")
     postings = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-    deal = F.pmod(F.xxhash64("id"), F.lit(8))
-    postings.repartition("bucket", deal).sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    deal = F.pmod(F.xxhash64(F.get("hits", F.lit(0))["id"]), F.lit(8))
+    postings.repartition("bucket", deal).sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{path}/postings")
     df.select(F.col(ident).alias("id"), *[c.alias(n) for n, c in (structural or {}).items()]).write.parquet(f"{path}/rows")
     facts = of.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), F.lit(buckets).alias("buckets"), F.lit(",".join(fields)).alias("fields"))
     facts.coalesce(1).write.parquet(f"{path}/stats")  # last, so it marks a complete index
     return open_index(df.sparkSession, path)
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, size, field, w: the field's terms) to a row for each term and field of a batch, with its hits."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            words = part.column("w")
+            n = words.value_lengths().to_numpy()
+            row = np.repeat(np.arange(part.num_rows), n)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            terms, fields = words.flatten().dictionary_encode(), part.column("field").dictionary_encode()
+            key = terms.indices.to_numpy().astype(np.int64) * len(fields.dictionary) + fields.indices.to_numpy()[row]
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            hit = new.copy()
+            hit[1:] |= row[1:] != row[:-1]
+            hits = np.flatnonzero(hit)
+            first = np.flatnonzero(new)
+            ends = lambda starts, size: pa.array(np.append(starts, size), pa.int32())
+            positions = pa.ListArray.from_arrays(ends(hits, len(key)), pa.array(place[order], pa.int32()))
+            of = pa.array(row[hits])
+            struct = pa.StructArray.from_arrays([part.column("id").take(of), part.column("size").take(of), positions], ["id", "size", "positions"])
+            lists = pa.ListArray.from_arrays(ends(np.searchsorted(hits, first), len(hits)), struct)
+            of_term, of_field = np.divmod(key[first], max(len(fields.dictionary), 1))
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(of_term)), fields.dictionary.take(pa.array(of_field)), lists], ["term", "field", "hits"])
+
+
 def open_index(spark: SparkSession, path: str) -> TextIndex:
     facts = spark.read.parquet(f"{path}/stats").first()  # one row
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), facts["docs"], facts["mean"] or 1.0, facts["buckets"], tuple(facts["fields"].split(",")))
+    postings = spark.read.parquet(f"{path}/postings").select("bucket", "term", "field", F.inline("hits"))
+    return TextIndex(postings, spark.read.parquet(f"{path}/rows"), facts["docs"], facts["mean"] or 1.0, facts["buckets"], tuple(facts["fields"].split(",")))
 
 
 def query_phrases(spark: SparkSession, query: str) -> list[list[str]]:

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tarn.operators import catalog, diff, ledger, review, spatial
+from tarn.operators import catalog, diff, ledger, review, spatial, text_index
 from tests.test_oracles import canonical
 
 
@@ -184,3 +184,14 @@ def test_many_grants_of_one_organisation_in_order(spark):
     mine = [r for r in got if r.org == 1]
     assert sum(r.credits for r in mine if r.grant_id == 7) == 1000 and sum(r.credits for r in mine) == 3 * n // 2
     assert {r.grant_id for r in mine} == {7, None}
+
+
+def test_a_term_moves_once_a_batch(spark, tmp_path):
+    n = 300
+    df = spark.range(n, numPartitions=1).selectExpr("id", "concat('b a B ', if(id % 2 = 0, 'é', ''), ' a') as body", "if(id = 5, null, 'A') as title")
+    index = text_index.build_index(df, "id", {"body": F.col("body"), "title": F.col("title")}, f"{tmp_path}/index", buckets=4)
+    got = {(r.term, r.field, r.id): (r.size, r.positions) for r in index.postings.collect()}
+    size = lambda i: 4 + (i % 2 == 0) + (i != 5)
+    want = {("b", "body", i): (size(i), [0, 2]) for i in range(n)} | {("a", "body", i): (size(i), [1, 4 - i % 2]) for i in range(n)}
+    want |= {("e", "body", i): (size(i), [3]) for i in range(0, n, 2)} | {("a", "title", i): (size(i), [0]) for i in range(n) if i != 5}
+    assert got == want and spark.read.parquet(f"{tmp_path}/index/postings").count() == 4
