@@ -5,17 +5,139 @@ doubling, so that a subtree is an interval of places. The lowest and highest pla
 from an interval come from tables of doubled width. Blocks are the components of tree edges that such edges tie together.
 The number of rounds grows with the logarithm of the nodes; no step groups more than the edges of a node, and orders
 around a node are cut into ranges, so a hub is no single task.
+
+Before that :func:`contracted` deals the edges into chunks of bounded size and keeps of each what other chunks can change.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
 
+#: Edges of a chunk, about; and the least number of chunks.
+CHUNK, LEAST = 100_000, 8
+
+
+def _blocks(u: np.ndarray, v: np.ndarray, n: int) -> tuple[list[tuple[int, list[int], int]], list[int]]:
+    """The biconnected blocks of a simple graph on nodes 0 to n - 1, by one depth-first search: (top, the other nodes, the
+    edge from top on), a block after all blocks below it; and the root of each node's search."""
+    ends, other = np.concatenate((u, v)), np.concatenate((v, u))
+    order = np.argsort(ends, kind="stable")
+    first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    other, edge = other[order].tolist(), (order % max(len(u), 1)).tolist()
+    at, low, root, held, out = first[:-1], [0] * n, [-1] * n, [], []
+    place, clock = [0] * n, 0
+    for start in range(n):
+        if place[start]:
+            continue
+        clock += 1
+        place[start] = low[start] = clock
+        root[start] = start
+        path = [(start, -1)]
+        while path:
+            x, via = path[-1]
+            if at[x] < first[x + 1]:
+                i = at[x]
+                at[x] = i + 1
+                y = other[i]
+                if not place[y]:
+                    clock += 1
+                    place[y] = low[y] = clock
+                    root[y] = start
+                    held.append(y)
+                    path.append((y, edge[i]))
+                elif edge[i] != via and place[y] < low[x]:
+                    low[x] = place[y]
+                continue
+            path.pop()
+            if path:
+                up = path[-1][0]
+                low[up] = min(low[up], low[x])
+                if low[x] >= place[up]:
+                    block = [held.pop()]
+                    while block[-1] != x:
+                        block.append(held.pop())
+                    out.append((up, block, via))
+    return out, root
+
+
+def _contract(f: pd.DataFrame, shared: np.ndarray) -> pd.DataFrame:
+    """One chunk (u, v, m: distinct pairs, how many edges) whose nodes ``shared`` have edges elsewhere. Rows (kind, root, a,
+    b, m): bridges and articulation points of the whole graph; "edge" for what stays open; "link" from a part's smallest
+    node (root) to its shared nodes (b), and one row of a null b.
+
+    A block of which one side at most leads to shared nodes hangs on the rest, so what it holds is settled. Of any other
+    block count those nodes alone that lead to shared ones: edges from the two smallest to all others join them as the
+    block does, whatever node is taken away.
+    """
+    nodes, at = np.unique(np.concatenate((f["u"].to_numpy(), f["v"].to_numpy())), return_inverse=True)
+    u, v, m = at[: len(f)], at[len(f) :], f["m"].to_numpy()
+    n = len(nodes)
+    own = np.isin(nodes, shared).tolist()
+    blocks, root = _blocks(u, v, n)
+    below, inside, around = [int(x) for x in own], [], [0] * n
+    for top, block, _ in blocks:
+        inside.append(sum(below[x] for x in block))
+        below[top] += inside[-1]
+        around[top] += 1
+        for x in block:
+            around[x] += 1
+    rows, hung, ids = [], set(), nodes.tolist()
+    for (top, block, edge), mine in zip(blocks, inside, strict=True):
+        start = ids[root[top]]
+        ends = sorted([x for x in block if below[x]] + ([top] if below[root[top]] > mine else []))
+        single = len(block) == 1
+        if len(ends) < 2:
+            hung.update(block, (top,))
+            if single and m[edge] == 1:
+                a, b = sorted((ids[top], ids[block[0]]))
+                rows.append(("bridge", start, a, b, None))
+        elif len(ends) == 2:
+            rows.append(("edge", start, ids[ends[0]], ids[ends[1]], min(int(m[edge]), 2) if single else 2))
+        else:
+            x, y = ids[ends[0]], ids[ends[1]]
+            rows += [("edge", start, one, ids[z], 2) for z in ends[2:] for one in (x, y)] + [("edge", start, x, y, 2)]
+    rows += [("articulation", ids[root[x]], ids[x], None, None) for x in hung if around[x] > 1 or own[x]]
+    rows += [("link", ids[x], ids[x], None, None) for x in set(root)]
+    rows += [("link", ids[root[x]], ids[root[x]], ids[x], None) for x in range(n) if own[x]]
+    out = pd.DataFrame(rows, columns=["kind", "root", "a", "b", "m"])
+    return out.astype({"root": "int64", "a": "int64", "b": "Int64", "m": "Int64"})
+
+
+def contracted(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a graph (u, v, m: distinct pairs, u < v, how many edges): what its chunks settle, what stays, and its components.
+
+    (root, kind, a, b): bridges and articulation points; (root, u, v, m): a graph whose further ones are all that is left,
+    m at most 2; (root, component): each root's component (its smallest node). Edges are dealt by their larger node, into
+    about CHUNK a chunk; a chunk that a hub overfills is dealt by both nodes.
+    """
+    n = pairs.count()
+    k = max(LEAST, -(-n // CHUNK))
+    dealt = pairs.withColumn("_c", F.pmod(F.xxhash64("v"), F.lit(k)).cast("int"))
+    parts = dealt.groupBy("_c").agg(F.ceil(F.count("*") / F.lit(2 * CHUNK)).cast("int").alias("_n"))
+    dealt = dealt.join(F.broadcast(parts), "_c")  # a row per chunk
+    dealt = checkpointed(dealt.withColumn("chunk", F.col("_c") + k * F.pmod(F.xxhash64("u"), F.col("_n"))).select("chunk", "u", "v", "m"))
+    held = dealt.select("chunk", F.col("u").alias("node")).union(dealt.select("chunk", "v")).distinct()
+    several = held.groupBy("node").agg(F.collect_list("chunk").alias("chunks")).where(F.size("chunks") > 1)
+    shared = several.select(F.explode("chunks").alias("chunk"), "node")
+
+    def run(f: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        return _contract(f, s["node"].to_numpy()) if len(f) else pd.DataFrame({"kind": [], "root": [], "a": [], "b": [], "m": []})
+
+    out = checkpointed(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(run, "kind string, root long, a long, b long, m long"))
+    link = out.where("kind = 'link'")
+    comp = components(link.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")), link.select(F.col("root").alias("node")))
+    roots = checkpointed(link.select("root").distinct().join(comp.withColumnRenamed("node", "root"), "root"))
+    rest = out.where("kind = 'edge'").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.least(F.sum("m"), F.lit(2)).alias("m"), F.min("root").alias("root"))
+    facts = out.where("kind in ('bridge', 'articulation')").select("root", "kind", "a", "b").distinct()
+    return facts, checkpointed(rest.select("root", "u", "v", "m")), roots
+
 
 def next_in_order(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` with next: the struct of ``keys`` of the row after it, in the order of ``keys`` over the whole table (null for

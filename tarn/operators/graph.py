@@ -104,17 +104,25 @@ def graph_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cut_facts(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """(component, kind, a, b): bridges (a < b) and articulation points (a, null). edges: src, dst; self-loops count
-    nothing, parallel edges are no bridge. Components of up to ``most`` edges are searched depth first, each in one task;
-    larger ones go by joins, with the same rows (see :mod:`tarn.operators.cuts`)."""
-    from .cuts import cut_facts_by_joins
-
-    comp = checkpointed(components(edges))
-    inside = checkpointed(edges.select("src", "dst").where("src <> dst").join(comp.withColumnRenamed("node", "src"), "src"))
-    large = checkpointed(inside.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"))
-    beyond = None
-    if not large.isEmpty():
-        beyond = cut_facts_by_joins(inside.join(large, "component", "left_semi"), comp.join(large, "component", "left_semi"))
-        inside = inside.join(large, "component", "left_anti")
+    nothing, parallel edges are no bridge. Chunks of edges are contracted first, side by side. Components of which
+    up to ``most`` edges are left are searched depth first, each in one task; larger ones go by joins, with the same rows
+    (see :mod:`tarn.operators.cuts`)."""
+    from .cuts import contracted, cut_facts_by_joins
+
+    ends = F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")
+    pairs = checkpointed(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").groupBy(*ends).agg(F.count("*").alias("m")))
+    settled, rest, roots = contracted(pairs)
+    settled = settled.join(roots, "root").select("component", "kind", "a", "b")
+    open_ = rest.join(roots, "root").select("component", F.col("u").alias("src"), F.col("v").alias("dst"), F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("_i")).drop("_i")
+    open_ = checkpointed(open_)
+    over = checkpointed(open_.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"))
+    inside, beyond = open_, None
+    if not over.isEmpty():
+        inside, large = open_.join(over, "component", "left_anti"), open_.join(over, "component", "left_semi")
+        # the smallest node of a component need not be among those that are left of it
+        comp = checkpointed(components(large))
+        of = large.select(F.col("src").alias("node"), F.col("component").alias("whole")).distinct().join(comp, "node").groupBy("component").agg(F.min("whole").alias("whole"))
+        beyond = cut_facts_by_joins(large.select("src", "dst"), comp).join(of, "component").select(F.col("whole").alias("component"), "kind", "a", "b")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         adj: dict = {}
@@ -151,8 +159,9 @@ def cut_facts(edges: DataFrame, most: int = 100_000) -> DataFrame:
         out.insert(0, "component", f["component"].iloc[0])
         return out
 
-    found = inside.groupBy("component").applyInPandas(run, "component long, kind string, a long, b long")
-    return found if beyond is None else found.unionByName(beyond)
+    found = inside.groupBy("component").applyInPandas(run, "component long, kind string, a long, b long").unionByName(settled)
+    found = found if beyond is None else found.unionByName(beyond)
+    return found.distinct()  # a point may be one both inside a chunk and between chunks
 
 
 def shortest_path(edges: DataFrame, start: object, end: object) -> DataFrame:
