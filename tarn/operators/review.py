@@ -14,6 +14,8 @@ from .turns import best_tier, latest_per_key, unique_only
 
 #: Confidences of semantic relations (name alone, structured, documented, called).
 CONFIDENCE = {"name": 0.3, "structured": 0.62, "documented": 0.55, "called": 0.75}
+#: Rows of a part of :func:`crossing_pairs`, about.
+PART = 500_000
 
 
 def valid_evidence(df: DataFrame, path: str, digest: str, window: list[str], counters: list[str], kinds: tuple[str, list[str]]) -> DataFrame:
@@ -183,9 +185,17 @@ def semantic_families(atoms: DataFrame, name: str, kind: str, families: list[tup
 
 
 def crossing_pairs(df: DataFrame, crossing: str, ident: str) -> DataFrame:
-    """(a, b) of parts that share a crossing, in both directions. A crossing has two or a few parts."""
-    x, y = df.select(crossing, F.col(ident).alias("a")), df.select(crossing, F.col(ident).alias("b"))
-    return x.join(y, crossing).where("a <> b").select("a", "b").distinct()
+    """(a, b) of parts that share a crossing, in both directions. A crossing has two or a few parts.
+
+    Crossings are dealt once, and pairs once in one direction, into parts whose number grows with the rows, so what a task
+    holds does not."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART))
+    # a number of partitions of one's own is not coalesced by the bytes read, which say nothing of the pairs
+    held = df.where(F.col(crossing).isNotNull()).select(crossing, ident).repartition(parts, crossing).groupBy(crossing).agg(F.array_sort(F.collect_set(ident)).alias("p"))
+    each = held.where(F.size("p") > 1).select("p", F.posexplode("p").alias("i", "a"))
+    pairs = each.select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")).repartition(parts, "a", "b").distinct()
+    way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    return pairs.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*")
 
 
 def dimension_chains(spans: DataFrame, group: str, grid: float) -> DataFrame:
