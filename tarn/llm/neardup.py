@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, saved, settled, windows
+from .common import Words, mix, saved, scratch_count, scratch_removed, settled, windows
 from .links import bucket_classes, shared_buckets
 
 SKETCHES, PICKED, K = 32, 3, 2
@@ -288,8 +288,10 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     same doc_id and text: one)."""
     # one key for the row's doc_id and text, by which the rows move once
     key = lambda doc: F.unhex(F.md5(F.concat(F.coalesce(doc.cast("long").cast("string"), F.lit("none")).cast("binary"), F.lit(" ").cast("binary"), F.col("id"))))
+    made = scratch_count()
     c = with_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text")))
     kept = saved(c.select(key(F.col("doc_id")).alias("key")).distinct(), "kept")
+    scratch_removed(spark, made, kept)  # sketches, words and links are no longer read when the rows move
     settled(spark)
     mine = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), text_id(F.col("text")).alias("id"))
     mine = mine.select("row", key(F.col("row")["doc_id"]).alias("key"))

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from tarn.llm import packing, queries
+from tarn.llm import common, neardup, packing, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,3 +77,10 @@ def test_all_queries_are_registered():
 
     names = entry.queries().keys()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
+
+
+def test_near_dedup_leaves_only_the_keys_it_keeps(spark):
+    before = common.scratch_count()
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l m"), (4, None)], "doc_id long, text string")
+    kept = neardup.dedup_stage(spark, docs, SF)
+    assert common.scratch_count() == before + 1 and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
