@@ -38,14 +38,20 @@ def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     two thousand sizes (powers of two), and mostly a few. Many small boxes in one cell of a wide box are one key, which
     adaptive execution splits, as the other side is few rows.
     """
-    a, b = (x.select("id", "minx", "miny", "maxx", "maxy", _level(size).alias("_own")).where("_own is not null and minx <= maxx and miny <= maxy") for x in (a, b))
+    names = ("id", "minx", "miny", "maxx", "maxy")
+    return _met(a.select(*names), b.select(*names), size).select(F.col("id").alias("a_id"), "b_id")
+
+
+def _met(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """As :func:`box_join`, with all columns of ``a``, and those of the boxes of ``b`` as b_id, b_minx ..."""
+    a, b = (x.withColumn("_own", _level(size)).where("_own is not null and minx <= maxx and miny <= maxy") for x in (a, b))
     levels = [[r[0] for r in x.select("_own").distinct().collect()] for x in (a, b)]  # powers of two
     left = _in_cells(a, size, levels[1])
     right = _in_cells(b, size, levels[0])
     right = right.select("_level", "_cx", "_cy", *[F.col(c).alias(f"b_{c}") for c in ("id", "minx", "miny", "maxx", "maxy", "_own")])
     met = left.join(right, ["_level", "_cx", "_cy"]).where("_level = greatest(_own, b__own) and minx <= b_maxx and b_minx <= maxx and miny <= b_maxy and b_miny <= maxy")
     own = (F.floor(F.greatest("minx", "b_minx") / F.col("_w")) == F.col("_cx")) & (F.floor(F.greatest("miny", "b_miny") / F.col("_w")) == F.col("_cy"))
-    return met.where(own).select(F.col("id").alias("a_id"), "b_id")
+    return met.where(own)
 
 
 def radius_join(points: DataFrame, queries: DataFrame, r: float) -> DataFrame:
@@ -73,28 +79,69 @@ def _bounds(segments: DataFrame) -> DataFrame:
     return segments.select("id", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
 
 
-def segment_box_join(segments: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """(segment, box) where a point of the segment lies in the closed box. segments: id (unique), x1, y1, x2, y2.
+#: Cells that the bounds of a segment are wide at most, in its own grid.
+SPREAD = 8
+#: Legs of a polyline that carry those before them.
+FEW_LEGS = 32
+
+
+def _meets(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a segment has a point in the closed box (bx1, by1, bx2, by2).
 
     Their bounds overlap, and the corners of the box don't all lie on one side of the segment's line: exact, as the axes
-    and the line's normal are all directions that can part the two.
-    """
-    pairs = box_join(_bounds(segments), boxes, size)
-    both = pairs.join(segments.select(F.col("id").alias("a_id"), "x1", "y1", "x2", "y2"), "a_id").join(_corners(boxes, "b_id"), "b_id")
-    side = lambda x, y: F.signum((F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col(x) - F.col("x1")))
+    and the line's normal are all directions that can part the two."""
+    side = lambda x, y: F.signum((x2 - x1) * (F.col(y) - y1) - (y2 - y1) * (F.col(x) - x1))
     sides = [side(x, y) for x, y in (("bx1", "by1"), ("bx1", "by2"), ("bx2", "by1"), ("bx2", "by2"))]
-    return both.where((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)).select(F.col("a_id").alias("segment"), F.col("b_id").alias("box"))
+    overlap = (F.least(x1, x2) <= F.col("bx2")) & (F.col("bx1") <= F.greatest(x1, x2)) & (F.least(y1, y2) <= F.col("by2")) & (F.col("by1") <= F.greatest(y1, y2))
+    return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _segment_boxes(segments: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """The rows of ``segments`` (x1, y1, x2, y2 and any others), each with each box that it meets (box, bx1, by1, bx2, by2), once.
+
+    A box lies in one cell, that of its lower left corner, of a grid whose cells are as large as itself; a segment in the
+    cells along it of a grid of which it is SPREAD cells wide at most; two meet in the wider of their grids. The test is
+    made where they meet: pairs are not shuffled, however many there are."""
+    span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    own = lambda v, unit: F.when(v <= unit, 0).otherwise(F.ceil(F.log2(v / unit)).cast("int"))
+    left = segments.withColumn("_own", own(span, size * SPREAD)).where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    right = _corners(boxes, "box").withColumn("_own", own(F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")), size)).where("_own is not null and bx1 <= bx2 and by1 <= by2")
+    levels = [[r[0] for r in x.select("_own").distinct().collect()] for x in (left, right)]  # powers of two
+
+    def gridded(df: DataFrame, others: list[int]) -> DataFrame:
+        every = F.array_union(F.array("_own"), F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("_own")))
+        return df.select("*", F.explode(every).alias("_level")).withColumn("_w", F.lit(size) * F.pow(F.lit(2.0), F.col("_level")))
+
+    left, w = gridded(left, levels[1]), F.col("_w")
+    # the boxes of a cell reach into the next one; a millionth of a cell is for rounding
+    along = lambda p, q: F.explode(F.sequence(F.floor(F.least(p, q) / w - 1.000001).cast("long"), F.floor(F.greatest(p, q) / w + 0.000001).cast("long")))
+    left = left.withColumn("_cx", along("x1", "x2")).withColumn("_cy", along("y1", "y2"))
+    side = lambda i, j: (F.col("x2") - F.col("x1")) * ((F.col("_cy") + j) * w - F.col("y1")) - (F.col("y2") - F.col("y1")) * ((F.col("_cx") + i) * w - F.col("x1"))
+    sides = [side(i, j) for i in (-0.000001, 2.000001) for j in (-0.000001, 2.000001)]
+    left = left.where((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)).drop("_w")
+    right = gridded(right, levels[0]).select("_level", F.floor(F.col("bx1") / w).cast("long").alias("_cx"), F.floor(F.col("by1") / w).cast("long").alias("_cy"), "box", "bx1", "by1", "bx2", "by2", F.col("_own").alias("_other"))
+    met = left.join(right, ["_level", "_cx", "_cy"]).where((F.col("_level") == F.greatest("_own", "_other")) & _meets(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    return met.drop("_level", "_cx", "_cy", "_own", "_other")
+
+
+def segment_box_join(segments: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """(segment, box) where a point of the segment lies in the closed box. segments: id (unique), x1, y1, x2, y2."""
+    return _segment_boxes(segments.select("id", "x1", "y1", "x2", "y2"), boxes, size).select(F.col("id").alias("segment"), "box")
+
+
+def _each_leg() -> Column:
+    """The legs of a row's polyline (points, closed): array<struct<at, p, q>>."""
+    n = F.size("points")
+    to = lambda i: F.get("points", F.when(i + 1 < n, i + 1).otherwise(F.lit(0)))
+    last = F.when(n == 1, 1).otherwise(n - 1 + (F.coalesce(F.col("closed"), F.lit(False)) & (n > 2)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct(i.alias("at"), F.get("points", i).alias("p"), F.when(n == 1, F.get("points", F.lit(0))).otherwise(to(i)).alias("q")))
 
 
 def legs(lines: DataFrame) -> DataFrame:
     """(line, id, x1, y1, x2, y2) of polylines (id, points array<struct<x, y>>, closed): the legs between neighbouring
     points, of closed ones also from the last to the first; a line of one point has one leg without length. id: line and
     place, as a struct."""
-    n = F.size("points")
-    to = lambda i: F.get("points", F.when(i + 1 < n, i + 1).otherwise(F.lit(0)))
-    last = F.when(n == 1, 1).otherwise(n - 1 + (F.coalesce(F.col("closed"), F.lit(False)) & (n > 2)).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct(i.alias("at"), F.get("points", i).alias("p"), F.when(n == 1, F.get("points", F.lit(0))).otherwise(to(i)).alias("q")))
-    rows = lines.where(n > 0).select(F.col("id").alias("line"), F.explode(each).alias("e"))
+    rows = lines.where(F.size("points") > 0).select(F.col("id").alias("line"), F.explode(_each_leg()).alias("e"))
     return rows.select("line", F.struct("line", "e.at").alias("id"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
 
 
@@ -112,15 +159,27 @@ def winding(points: Column, x: Column, y: Column) -> Column:
 
 def line_box_join(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """(line, box) where a polyline (id, points, closed) meets the closed box: a leg does, or the box lies inside a closed
-    line. Legs meet boxes one by one, so a long line is no wide box, and a line's points go to no box that its legs meet."""
-    each = legs(lines)
-    crossed = segment_box_join(each.drop("line"), boxes, size).select(F.col("segment.line").alias("line"), "box").distinct()
+    line. Legs meet boxes one by one, so a long line is no wide box.
+
+    A pair is given where its first leg meets the box: a leg carries those before it, so pairs are neither shuffled nor
+    held to find equal ones. Legs of lines of more than FEW_LEGS carry none; the pairs of these are made distinct."""
+    each = _each_leg()
+    meets = lambda e: F.coalesce(_meets(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]), F.lit(False))
+    some = lines.where(F.size("points") > 0).select(F.col("id").alias("line"), each.alias("legs"))
+    few = some.where(F.size("legs") <= FEW_LEGS).select("line", F.posexplode("legs").alias("_at", "e"), "legs").withColumn("legs", F.slice("legs", F.lit(1), F.col("_at")))
+    many = some.where(F.size("legs") > FEW_LEGS).select("line", F.explode("legs").alias("e"))
+    ends = [F.col(f"e.{p}.{c}").alias(f"{c}{n}") for n, p in ((1, "p"), (2, "q")) for c in ("x", "y")]
+    crossed = _segment_boxes(few.select("line", *ends, "legs"), boxes, size).where(~F.exists("legs", meets)).select("line", "box")
+    if not many.isEmpty():
+        crossed = crossed.unionByName(_segment_boxes(many.select("line", *ends), boxes, size).select("line", "box").distinct())
     x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     rings = lines.where(F.col("closed") & (F.size("points") > 2))
-    around = rings.select("id", F.array_min(x).alias("minx"), F.array_min(y).alias("miny"), F.array_max(x).alias("maxx"), F.array_max(y).alias("maxy"))
-    inside = box_join(around, boxes, size).select(F.col("a_id").alias("line"), F.col("b_id").alias("box")).join(crossed, ["line", "box"], "left_anti")
-    inside = inside.join(_corners(boxes, "box"), "box").join(rings.select(F.col("id").alias("line"), "points"), "line")
-    return crossed.unionByName(inside.where(winding(F.col("points"), F.col("bx1"), F.col("by1")) != 0).select("line", "box"))
+    around = rings.select("id", F.array_min(x).alias("minx"), F.array_min(y).alias("miny"), F.array_max(x).alias("maxx"), F.array_max(y).alias("maxy"), "points", each.alias("legs"))
+    # what no leg meets lies inside the line's bounds as a whole
+    inside = _met(around, boxes, size).where("minx <= b_minx and b_maxx <= maxx and miny <= b_miny and b_maxy <= maxy")
+    inside = inside.select("id", "points", "legs", "b_id", *[F.col(f"b_{c}").alias(n) for c, n in (("minx", "bx1"), ("miny", "by1"), ("maxx", "bx2"), ("maxy", "by2"))])
+    inside = inside.where(~F.exists("legs", meets)).where(winding(F.col("points"), F.col("bx1"), F.col("by1")) != 0)
+    return crossed.unionByName(inside.select(F.col("id").alias("line"), F.col("b_id").alias("box")))
 
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
