@@ -190,43 +190,76 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.sqrt((x - x1 - at * dx) ** 2 + (y - y1 - at * dy) ** 2)
 
 
+def _cells_along(each: DataFrame, w: float) -> DataFrame:
+    """Legs (x1, y1, x2, y2) with each cell (_cx, _cy) of the grid ``w`` that they touch; a few cells that they only come
+    close to may be among them."""
+    dx, slack = F.col("x2") - F.col("x1"), w * 1e-6
+    column = F.sequence(F.floor((F.least("x1", "x2") - slack) / w).cast("long"), F.floor((F.greatest("x1", "x2") + slack) / w).cast("long"))
+    at = lambda x, other: F.when(dx == 0, F.lit(other)).otherwise(F.least(F.greatest((x - F.col("x1")) / dx, F.lit(0.0)), F.lit(1.0)))
+    y = lambda x, other: F.col("y1") + at(x, other) * (F.col("y2") - F.col("y1"))
+    ya, yb = y(F.col("_cx") * w - slack, 0.0), y((F.col("_cx") + 1) * w + slack, 1.0)
+    rows = each.select("*", F.explode(column).alias("_cx"))
+    return rows.select("*", F.explode(F.sequence(F.floor((F.least(ya, yb) - slack) / w).cast("long"), F.floor((F.greatest(ya, yb) + slack) / w).cast("long"))).alias("_cy"))
+
+
+def _between(w: float) -> tuple[Column, Column]:
+    """Distance of (x, y) to the cell (_cx, _cy), and to its furthest corner; the cell is taken a little larger."""
+    out = []
+    for c, v in (("_cx", "x"), ("_cy", "y")):
+        low, high = (F.col(c) - 0.001) * w, (F.col(c) + 1.001) * w
+        out.append((F.greatest(low - F.col(v), F.col(v) - high, F.lit(0.0)), F.greatest(F.col(v) - low, high - F.col(v))))
+    return tuple(F.sqrt(px**2 + py**2) for px, py in zip(*out, strict=True))
+
+
 def nearest_lines(points: DataFrame, lines: DataFrame, start: float, tie: float = 0.0, cap: int = 1) -> DataFrame:
     """(point, distance, nearest, n_ties, targets) for every point: the distance to the nearest polyline, that line (the
     smaller id of equals), how many lie within ``tie`` of that distance, and these, by (distance, id), null if more than
     ``cap``; all null if there are no lines. points: id, x, y; lines: id, points, closed.
 
-    A point looks into a box around it, ``start`` to each side, and what it finds within that radius is proven the nearest
-    if the radius holds the tie too. Only points without a proof go on, with twice the radius, up to the width of all
-    points and lines together, where every point has found all there is: nothing is left out beyond some distance.
+    Legs lie in the cells along them. A point goes down a pyramid of the cells that have legs, four times as fine each time:
+    a cell is left out if another one's furthest corner, and the tie, are nearer than it. The legs of its best cell give
+    a distance that the nearest line is not beyond; those of the cells within it, and the tie, are looked at. So a point
+    meets the lines around its nearest one however far that is, and nothing is left out beyond some distance. The finest
+    cells shrink as points grow denser, down to a thirty-second of a leg's mean length; ``start`` is their size where
+    the legs have no extent. Points at one place go as one.
     """
-    each = graph.checkpointed(legs(lines).where("x1 is not null and y1 is not null and x2 is not null and y2 is not null"))
-    ends = each.select(F.col("x1").alias("x"), F.col("y1").alias("y")).union(each.select("x2", "y2")).union(points.select("x", "y"))
-    span = ends.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()  # one row
-    widest = (span["w"] or 0.0) + (span["h"] or 0.0) + tie
-    bounds = _bounds(each)
-    geometry = each.select(F.col("id").alias("b_id"), "line", "x1", "y1", "x2", "y2")
-    left, r, found = points.where("x is not null and y is not null").select("id", "x", "y"), float(start), None
-    while not each.isEmpty():
-        look = left.select("id", (F.col("x") - r).alias("minx"), (F.col("y") - r).alias("miny"), (F.col("x") + r).alias("maxx"), (F.col("y") + r).alias("maxy"))
-        met = box_join(look, bounds, start).join(left.withColumnRenamed("id", "a_id"), "a_id").join(geometry, "b_id")
-        met = met.groupBy(F.col("a_id").alias("point"), "line").agg(F.min(segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])).alias("d"))
-        # the best is known before ties are counted, so a group keeps no more than its best
-        best = met.where(F.col("d") <= r).groupBy("point").agg(F.min("d").alias("distance"))
-        ties = met.join(best, "point").where(F.col("d") <= F.col("distance") + tie)
-        rank = F.row_number().over(Window.partitionBy("point").orderBy("d", "line"))
-        ties = ties.withColumn("_rank", rank).groupBy("point", "distance").agg(F.count("*").alias("n_ties"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= max(cap, 1), F.struct("d", "line")))).alias("t"))
-        last = r >= widest
-        hit = ties if last else ties.where(F.col("distance") + tie <= r)
-        hit = graph.checkpointed(hit.select("point", "distance", F.get("t", F.lit(0))["line"].alias("nearest"), "n_ties", F.when(F.col("n_ties") <= cap, F.transform("t", lambda x: x["line"])).alias("targets")))
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select(F.col("point").alias("id")), "id", "left_anti")
-        if last or left.isEmpty():
-            break
-        r *= 2
-    if found is None:
-        none = {"distance": "double", "nearest": dict(lines.dtypes)["id"], "n_ties": "long", "targets": f"array<{dict(lines.dtypes)['id']}>"}
+    each = graph.checkpointed(legs(lines).where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select("line", "x1", "y1", "x2", "y2"))
+    ident = dict(lines.dtypes)["id"]
+    long = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    low, high = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
+    seen = each.agg(F.count("*").alias("n"), F.avg(long).alias("mean"), (high("x") - low("x")).alias("w"), (high("y") - low("y")).alias("h")).first()  # one row
+    if not seen["n"]:
+        none = {"distance": "double", "nearest": ident, "n_ties": "long", "targets": f"array<{ident}>"}
         return points.select(F.col("id").alias("point"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
-    return points.select(F.col("id").alias("point")).join(found, "point", "left")
+    at = graph.checkpointed(points.where("x is not null and y is not null").select("x", "y").distinct())
+    size = max(0.6 * (seen["w"] * seen["h"] / max(at.count(), 1)) ** 0.5, seen["mean"] / 32, max(seen["w"], seen["h"]) / 2**40) or float(start)
+    cells = graph.checkpointed(_cells_along(each, size))
+    filled, depth = [graph.checkpointed(cells.select("_cx", "_cy").distinct())], 0
+    while size * 4**depth < max(seen["w"], seen["h"]):
+        depth += 1
+        filled.append(filled[-1].select(F.floor(F.col("_cx") / 4).alias("_cx"), F.floor(F.col("_cy") / 4).alias("_cy")).distinct())
+    top = F.array(*[F.struct(F.lit(r[0]).alias("_cx"), F.lit(r[1]).alias("_cy")) for r in filled[depth].collect()])  # nine at most
+    near, far = _between(size * 4**depth)
+    found = at.select("x", "y", F.explode(top).alias("c")).select("x", "y", "c.*").withColumn("_near", near).withColumn("_far", far)
+    of_place = Window.partitionBy("x", "y")
+    for level in range(depth - 1, -1, -1):
+        near, far = _between(size * 4**level)
+        known = found.select("x", "y", "_cx", "_cy", F.min("_far").over(of_place).alias("_most"), "_near").where(F.col("_near") <= F.col("_most") + tie)
+        step = lambda c: F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3))
+        finer = known.withColumn("_i", step("_cx")).select("x", "y", "_most", F.col("_i").alias("_cx"), "_cy").withColumn("_j", step("_cy")).select("x", "y", "_most", "_cx", F.col("_j").alias("_cy"))
+        finer = finer.withColumn("_near", near).withColumn("_far", far).where(F.col("_near") <= F.col("_most") + tie)
+        found = graph.checkpointed(finer.join(filled[level], ["_cx", "_cy"]).select("x", "y", "_cx", "_cy", "_near", "_far"))
+    distance = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    best = found.groupBy("x", "y").agg(F.min(F.struct("_far", "_cx", "_cy")).alias("b")).select("x", "y", "b._cx", "b._cy")
+    most = graph.checkpointed(best.join(cells, ["_cx", "_cy"]).groupBy("x", "y").agg(F.min(distance).alias("_most")))
+    asked = found.join(most, ["x", "y"]).where(F.col("_near") <= F.col("_most") + tie).select("x", "y", "_most", "_cx", "_cy")
+    met = asked.join(cells, ["_cx", "_cy"]).withColumn("d", distance).where(F.col("d") <= F.col("_most") + tie)
+    met = met.groupBy("x", "y", "line").agg(F.min("d").alias("d"))
+    ties = met.withColumn("distance", F.min("d").over(of_place)).where(F.col("d") <= F.col("distance") + tie)
+    ties = ties.withColumn("_rank", F.row_number().over(of_place.orderBy("d", "line")))
+    ties = ties.groupBy("x", "y", "distance").agg(F.count("*").alias("n_ties"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= max(cap, 1), F.struct("d", "line")))).alias("t"))
+    hit = ties.select("x", "y", "distance", F.get("t", F.lit(0))["line"].alias("nearest"), "n_ties", F.when(F.col("n_ties") <= cap, F.transform("t", lambda x: x["line"])).alias("targets"))
+    return points.select(F.col("id").alias("point"), "x", "y").join(hit, ["x", "y"], "left").select("point", "distance", "nearest", "n_ties", "targets")
 
 
 def nearest(points: DataFrame, targets: DataFrame, far: float, start: float) -> DataFrame:
