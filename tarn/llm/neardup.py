@@ -250,16 +250,21 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kept of all texts; the words of those that share a bucket are read again, from one document each."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("id", text_id(F.col("text")))
+    spark, made = docs.sparkSession, scratch_count()
     rows = saved(keyed.mapInArrow(_sketch, "doc_id long, id binary, sketch array<long>"), "sketches")
-    one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "texts")
-    settled(docs.sparkSession)
+    one = saved(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "sketches-of-texts")
+    rows = saved(rows.select("doc_id", "id"), "rows")
+    scratch_removed(spark, made, one.select("id").union(rows.select("id")))  # copies of a text need no sketch
+    settled(spark)
     keys = one.where(F.size("sketch") > 0).select("id", F.posexplode("sketch").alias("band", "key"))
     keys = shared_buckets(keys)
+    one = saved(one.select("id", "low", "n"), "texts")
+    scratch_removed(spark, made, one.select("id").union(rows.select("id")).union(keys.select("id")))  # sketches are done with
     wanted = one.select("id", F.col("low").alias("doc_id")).join(keys.select("id").distinct(), "id", "left_semi")
     texts = keyed.join(wanted, (keyed["id"] == wanted["id"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     items = saved(texts.select("id", "text").mapInArrow(_blob, "id binary, blob binary").dropDuplicates(["id"]), "words")
-    settled(docs.sparkSession)
-    return bucket_classes(keys, items, similar, word_tokens, lambda c, a, b: c >= SHARE * np.maximum(a, b) - 1e-3), one.select("id", "low", "n"), rows.select("doc_id", "id")
+    settled(spark)
+    return bucket_classes(keys, items, similar, word_tokens, lambda c, a, b: c >= SHARE * np.maximum(a, b) - 1e-3), one, rows
 
 
 def with_classes(docs: DataFrame) -> DataFrame:

@@ -84,3 +84,15 @@ def test_near_dedup_leaves_only_the_keys_it_keeps(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l m"), (4, None)], "doc_id long, text string")
     kept = neardup.dedup_stage(spark, docs, SF)
     assert common.scratch_count() == before + 1 and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_sketches_go_before_the_words_are_read(spark):
+    """Pipeline, near_dedup's disk: no table of sketches is left when links are looked for."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " x"), (4, "alone here"), (5, None)], "doc_id long, text string")
+    for df, n in ((docs, 3), (docs.limit(0), 0)):
+        at = common.scratch_count()
+        roots, texts, rows = neardup.near_classes(df)
+        assert not [x for x in common._MADE[at:] if "sketches" in x]
+        assert (rows.count(), texts.count(), roots.count()) == ((5, 4, 2) if n else (0, 0, 0))
+        assert len({r["class_id"] for r in neardup.near_duplicates(df).collect()}) == n
