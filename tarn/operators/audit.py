@@ -175,7 +175,7 @@ def feature_groups(df: DataFrame, keys: list[str], k: int, tol: float) -> tuple[
 
 def identity_pairs(reps: DataFrame, ident: str, key: str) -> DataFrame:
     """Links (src, dst) that give the same classes as all pairs that share a key: each item with the first of its key.
-    Pairs themselves would grow with the square of a key's rows."""
+    Pairs themselves would grow with the square of a key's rows. Not for merging under exclusions: see :func:`identity.resolve_groups`."""
     first = reps.groupBy(key).agg(F.min(ident).alias("src"))
     return reps.where(F.col(key).isNotNull()).join(first, key).where(F.col(ident) != F.col("src")).select("src", F.col(ident).alias("dst"))
 

@@ -344,14 +344,20 @@ def identity_assertions(spark, d):
 
 @query()
 def identity_clusters(spark, d):
-    """Physical representations of one name or mark merge in order, but never two of one class and context; compared
-    with plain Python in tests."""
-    return identity.resolve_identity(_same_marks(spark, d), exclusive=identity.exclusive_keys(_reps(spark, d)))
+    """Physical representations of one name or mark merge in the order of all their pairs, but never two of one class and
+    context; compared with plain Python in tests."""
+    return identity.resolve_groups(_marks(spark, d).select(F.col("label").alias("group"), F.col("id").alias("node")), identity.exclusive_keys(_reps(spark, d)))
+
+
+def _marks(spark, d):
+    r = _reps(spark, d).where(F.col("class").isNotNull() & F.col("mode").isin(identity.PHYSICAL))
+    return r.select("id", F.explode("labels").alias("label")).where("label <> ''")
 
 
 def _same_marks(spark, d):
-    r = _reps(spark, d).where(F.col("class").isNotNull() & F.col("mode").isin(identity.PHYSICAL)).select("id", F.explode("labels").alias("label")).where("label <> ''")
-    return A.identity_pairs(r, "id", "label").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    """All pairs that share a name or mark, as the tests merge them; identity_clusters takes the groups instead."""
+    m = _marks(spark, d)
+    return m.select(F.col("id").alias("a"), "label").join(m.select(F.col("id").alias("b"), "label"), "label").where("a < b").select("a", "b").distinct()
 
 
 @query(f"""WITH {_SIDES}, c AS (SELECT id, min(id) OVER (PARTITION BY class, context) AS cluster FROM r WHERE side = 'physical' AND context IS NOT NULL),

@@ -222,3 +222,45 @@ def test_interfaces_of_linked_drawings(spark):
         **{(k, "a4"): ("b6", "possible", "same", 0, []) for k in (1, 2)},
     }
     assert diff.interface_comparisons(links, i.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_groups_equal_merging_all_their_pairs(spark, seed):
+    rng = random.Random(seed)
+    nodes = 60 if seed % 2 else 140
+    members = [(f"g{rng.randrange(12)}", rng.randrange(nodes)) for _ in range(2 * nodes)] + [("alone", 5)]
+    held = [(rng.randrange(nodes), f"k{rng.randrange(9)}") for _ in range(nodes)]
+    keys, groups = {}, {}
+    for n, k in held:
+        keys.setdefault(n, set()).add(k)
+    for g, n in members:
+        groups.setdefault(g, set()).add(n)
+    want = merged([(a, b) for x in groups.values() for a in x for b in x if a < b], keys)
+    df = spark.createDataFrame([*members, (None, 1), ("g1", None)], "group string, node long")
+    exclusive = spark.createDataFrame([*held, (1, None)], "node long, key string")
+    for limit, block, heads in ((1000, 1, 1), (0, 200, 6)):
+        got = {r["node"]: r["cluster"] for r in identity.resolve_groups(df, exclusive, limit, block, heads).collect()}
+        assert got == want
+
+
+def test_first_of_a_mark_may_be_kept_apart(spark):
+    # 1 and 2 are one object already; 3 and 4 can't join it but each other
+    members = [("a", 1), ("a", 2), ("b", 1), ("b", 3), ("b", 4)]
+    held = [(2, "k"), (3, "k"), (1, "m"), (4, "m")]
+    df, exclusive = spark.createDataFrame(members, "group string, node long"), spark.createDataFrame(held, "node long, key string")
+    for limit in (1000, 0):
+        assert {tuple(r) for r in identity.resolve_groups(df, exclusive, limit).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert identity.resolve_groups(df.limit(0), exclusive).collect() == []
+
+
+def test_parts_of_one_mark_that_merge_without_its_first(spark):
+    from tarn.plans import spatial_queries as q
+
+    keys = {}
+    for r in identity.exclusive_keys(q._reps(spark, "/root/testdata/sf0.01")).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    by = {}
+    for r in q._marks(spark, "/root/testdata/sf0.01").collect():
+        by.setdefault(r["label"], set()).add(r["id"])
+    want = merged([(a, b) for x in by.values() for a in x for b in x if a < b], keys)
+    assert {r["node"]: r["cluster"] for r in entry.queries()["identity_clusters"](spark, "/root/testdata/sf0.01").collect()} == want
