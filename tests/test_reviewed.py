@@ -195,3 +195,11 @@ def test_a_term_moves_once_a_batch(spark, tmp_path):
     want = {("b", "body", i): (size(i), [0, 2]) for i in range(n)} | {("a", "body", i): (size(i), [1, 4 - i % 2]) for i in range(n)}
     want |= {("e", "body", i): (size(i), [3]) for i in range(0, n, 2)} | {("a", "title", i): (size(i), [0]) for i in range(n) if i != 5}
     assert got == want and spark.read.parquet(f"{tmp_path}/index/postings").count() == 4
+
+
+def test_triples_of_many_equal_spans_are_made_when_read(spark):
+    # 343 million triples, of which the memory of this session can't hold one row's
+    spans = spark.range(2100, numPartitions=1).selectExpr("'g' as g", "id", "if(id % 3 = 1, 2, 1) as low", "if(id % 3 = 0, 2, 3) as high")
+    with at_most(spark, 90):
+        got = diff.partition_equations(spans, "g", 1.0).take(5)
+    assert len(set(got)) == 5 and all((r.parent % 3, r["first"] % 3, r.second % 3) == (2, 0, 1) for r in got)
