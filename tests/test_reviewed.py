@@ -203,3 +203,18 @@ def test_triples_of_many_equal_spans_are_made_when_read(spark):
     with at_most(spark, 90):
         got = diff.partition_equations(spans, "g", 1.0).take(5)
     assert len(set(got)) == 5 and all((r.parent % 3, r["first"] % 3, r.second % 3) == (2, 0, 1) for r in got)
+
+
+def test_chains_move_equal_spans_as_one_row(spark):
+    n = 20_000
+    spans = spark.range(n).selectExpr("if(id % 2 = 0, 'g', 'h') as g", "id", "id % 4 as low", "if(id % 4 = 3, null, id % 4 + 1 + id % 8 div 4) as high")
+    few = spans.where("id < 80")
+    rows = [(r.g, r.id, r.low, r.high) for r in few.collect()]
+    want = {(g, a, b, "continuous") for g, a, _, ah in rows for h, b, bl, _ in rows if g == h and ah == bl and a != b}
+    want |= {(g, a, b, "duplicate" if ah is not None and ah == bh else "common_baseline") for g, a, al, ah in rows for h, b, bl, bh in rows if g == h and al == bl and a < b}
+    want |= {(g, a, b, "shared_datum") for g, a, al, ah in rows for h, b, bl, bh in rows if g == h and al != bl and ah == bh and ah is not None and a < b}
+    assert sorted(map(tuple, review.dimension_chains(few, "g", 1.0).collect())) == sorted(want)
+    # rows that wait to be shuffled: classes and their parts, not spans
+    plan = review.dimension_chains(spans, "g", 1.0)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = [spark.read.parquet(*plan.apply(i).relation().location().rootPaths().mkString(",").split(",")) for i in range(plan.size())]
+    assert max(df.count() for df in read) < n / 50
